@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 
-def fold_sql(init: dict[str, str], stages: list[dict[str, str]], reset: bool = True, extra: str = "") -> str:
-    """CTE ``f(k, pos, alarm, state...)`` over ``seq(k, pos, x)``; the last stage must define ``alarm``."""
+def fold_sql(
+    init: dict[str, str], stages: list[dict[str, str]], reset: bool = True, name: str = "f", seq: str = "seq", start: str = ""
+) -> str:
+    """CTE ``name(k, pos, alarm, state...)`` over ``seq(k, pos, x)``; the last stage must define ``alarm``.
+
+    ``start`` is a condition-free source of warmed state columns joined to every key.
+    """
     cols = ", ".join(f"f.{c}" for c in init)
-    body = f"SELECT f.k, s.pos, s.x{extra}, {cols} FROM f JOIN seq s ON s.k = f.k AND s.pos = f.pos + 1"
+    body = f"SELECT f.k, s.pos, s.x, {cols} FROM {name} f JOIN {seq} s ON s.k = f.k AND s.pos = f.pos + 1"
     known = {"k", "pos", "x", *init}
     for stage in stages:
         over = [c for c in stage if c in known]
@@ -14,9 +19,10 @@ def fold_sql(init: dict[str, str], stages: list[dict[str, str]], reset: bool = T
         body = f"SELECT {star}, {', '.join(f'{e} AS {c}' for c, e in stage.items())} FROM ({body})"
         known |= set(stage)
     nxt = ", ".join(f"CASE WHEN alarm THEN {e} ELSE {c} END" if reset else c for c, e in init.items())
-    start = ", ".join(f"{e} AS {c}" for c, e in init.items())
+    first = ", ".join(c if start else f"{e} AS {c}" for c, e in init.items())
+    keys = f"(SELECT DISTINCT k FROM {seq}) q"
     return (
-        f"f AS (SELECT DISTINCT k, 0::BIGINT AS pos, false AS alarm, {start} FROM seq "
+        f"{name} AS (SELECT q.k, 0::BIGINT AS pos, false AS alarm, {first} FROM {keys}{' ' + start if start else ''} "
         f"UNION ALL SELECT k, pos, alarm, {nxt} FROM ({body}))"
     )
 

@@ -60,12 +60,12 @@ def first_alarm(spark, sf):
     return ops.first_alarm(windows_with_alarm(spark, sf), KEY, F.col("alarms") >= 4)
 
 
-@query("running_var", """SELECT user_id, event_id, count(*) OVER w AS n, round(avg(value) OVER w, 6) AS mean,
+@query("running_var", """SELECT user_id, event_id, count(*) OVER w AS n, round(sum(value) OVER w, 4) AS total,
   round(sqrt(coalesce(var_samp(value) OVER w, 0.0)), 6) AS std
 FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)""")
 def running_var(spark, sf):
     ran = ops.running_moments(table(spark, sf, "events", "event_id", "ts", "user_id", "value"), KEY, "value")
-    return ran.select("user_id", "event_id", "n", F.round("mean", 6).alias("mean"), F.round(F.sqrt("variance"), 6).alias("std"))
+    return ran.select("user_id", "event_id", "n", F.round(F.col("mean") * F.col("n"), 4).alias("total"), F.round(F.sqrt("variance"), 6).alias("std"))
 
 
 @query("ddm", """WITH p AS (SELECT user_id, n, e::DOUBLE / n AS p FROM (SELECT user_id,
