@@ -73,7 +73,9 @@ if __name__ == "__main__":
     if args[:1] == ["-s"]:
         sf, args = args[1], args[2:]
     sf_dir = f"/root/testdata/sf{sf}"
-    spark = get_session(master="local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false",
+    extra = {"spark.tidegauge.scan.bucketRows": args.pop(1)} if args[:1] == ["-b"] else {}
+    args = args[1:] if extra else args
+    spark = get_session(master="local[8]", **extra, **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false",
                         "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "8g"})
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(sf_dir)

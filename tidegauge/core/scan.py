@@ -14,8 +14,9 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidegauge.core.session import row_budget
+from tidegauge.core.session import cut_lineage, row_budget
 
+BUCKET_KEY = "spark.tidegauge.scan.bucketRows"
 BUCKET_ROWS = 2_000_000
 MAX_BUCKETS = 4096
 
@@ -25,36 +26,37 @@ _FOLD = {"sum": F.sum, "count": F.sum, "min": F.min, "max": F.max}
 _LOCAL = {"sum": F.sum, "count": F.count, "min": F.min, "max": F.max}
 
 
-def range_bucket(df: DataFrame, axis: Column, name: str = "_b") -> tuple[DataFrame, bool]:
+def range_bucket(df: DataFrame, axis: Column, rows: int | None = None, name: str = "_b") -> tuple[DataFrame, bool]:
     """Add an order-preserving bucket number over ``axis``; False when one bucket is enough.
 
-    The cut points are fixed values taken once, so every later use of the bucket agrees, also after a task is re-run.
+    A large frame is stored first (its later uses read the stored rows, so nothing upstream runs twice), and the cut
+    points are fixed values taken once: every use of the bucket agrees, also after a task is re-run. ``rows`` is a known
+    count or an upper bound, which saves the counting pass.
     """
-    spark = df.sparkSession
-    rows = row_budget(spark, "tidegauge.scan.bucketRows", BUCKET_ROWS)
-    n = df.count()
-    if n <= rows:
+    budget = row_budget(df.sparkSession, BUCKET_KEY, BUCKET_ROWS)
+    n = df.count() if rows is None else rows
+    if n <= budget:
         return df.withColumn(name, F.lit(0.0)), False
-    buckets = min(MAX_BUCKETS, math.ceil(n / rows))
+    shaped = cut_lineage(df.withColumn("_axis", axis.cast("double")))
+    buckets = min(MAX_BUCKETS, math.ceil(n / budget))
     probs = [i / buckets for i in range(1, buckets)]
-    cuts = df.select(F.percentile_approx(axis.cast("double"), probs, 20 * buckets).alias("c")).first()["c"]
+    cuts = shaped.select(F.percentile_approx("_axis", probs, 20 * buckets).alias("c")).first()["c"]
     splits = [-math.inf, *sorted({float(c) for c in cuts or []}), math.inf]
     if len(splits) < 3:
-        return df.withColumn(name, F.lit(0.0)), False
-    shaped = df.withColumn("_axis", axis.cast("double"))
+        return shaped.drop("_axis").withColumn(name, F.lit(0.0)), False
     cut = Bucketizer(splits=splits, inputCol="_axis", outputCol=name, handleInvalid="keep")
     return cut.transform(shaped).drop("_axis"), True
 
 
-def hash_bucket(df: DataFrame, hex_col: Column, name: str = "_b") -> tuple[DataFrame, bool]:
+def hash_bucket(df: DataFrame, hex_col: str, rows: int | None = None, name: str = "_b") -> tuple[DataFrame, bool]:
     """Bucket rows ordered by a hex digest: its leading digits are already equi-depth."""
-    rows = row_budget(df.sparkSession, "tidegauge.scan.bucketRows", BUCKET_ROWS)
-    n = df.count()
-    if n <= rows:
+    budget = row_budget(df.sparkSession, BUCKET_KEY, BUCKET_ROWS)
+    n = df.count() if rows is None else rows
+    if n <= budget:
         return df.withColumn(name, F.lit(0.0)), False
-    buckets = min(MAX_BUCKETS, math.ceil(n / rows))
+    buckets = min(MAX_BUCKETS, math.ceil(n / budget))
     lead = F.conv(F.substring(hex_col, 1, 4), 16, 10).cast("double")
-    return df.withColumn(name, F.floor(lead * buckets / 65536.0).cast("double")), True
+    return cut_lineage(df.withColumn(name, F.floor(lead * buckets / 65536.0).cast("double"))), True
 
 
 def prefix_scan(
@@ -64,18 +66,21 @@ def prefix_scan(
     out: Aggs,
     bucketed: tuple[DataFrame, bool] | None = None,
     axis: Column | None = None,
+    rows: int | None = None,
+    keep: bool = False,
 ) -> DataFrame:
     """Inclusive running sum / count / min / max per key in the given order.
 
-    ``axis`` is the numeric leading order column used for the buckets; ``bucketed`` is an already bucketed frame.
+    ``axis`` is the numeric leading order column used for the buckets; ``bucketed`` is a frame that already has them
+    (``keep`` leaves the bucket column in place for a following scan over the same order).
     """
-    frame, many = bucketed if bucketed is not None else range_bucket(df, axis)
+    frame, many = bucketed if bucketed is not None else range_bucket(df, axis, rows)
     local = (
         Window.partitionBy(*keys, "_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     ran = frame.select("*", *[_LOCAL[fn](e).over(local).alias(n) for n, (fn, e) in out.items()])
     if not many:
-        return ran.drop("_b")
+        return ran if keep else ran.drop("_b")
     totals = frame.groupBy(*keys, "_b").agg(*[_LOCAL[fn](e).alias(f"_t_{n}") for n, (fn, e) in out.items()])
     before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     carry = totals.select(*keys, "_b", *[_FOLD[fn](f"_t_{n}").over(before).alias(f"_c_{n}") for n, (fn, _) in out.items()])
@@ -89,21 +94,27 @@ def prefix_scan(
             return F.when(c.isNull(), r).when(r.isNull(), c).otherwise(r + c).alias(n)
         return (F.least(r, c) if fn == "min" else F.greatest(r, c)).alias(n)
 
-    return joined.select(*[F.col(f"r.{c}") for c in df.columns], *[merged(n, fn) for n, (fn, _) in out.items()])
+    kept = [c for c in frame.columns if keep or c != "_b"]
+    return joined.select(*[F.col(f"r.{c}") for c in kept], *[merged(n, fn) for n, (fn, _) in out.items()])
+
+
+def settle(df: DataFrame, many: bool) -> tuple[DataFrame, bool]:
+    """Store a scanned frame before it is scanned again, so a chain of scans does not re-run its earlier links."""
+    return (cut_lineage(df), True) if many else (df, False)
 
 
 def positions(
-    df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], axis: Column, name: str = "rn"
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], axis: Column, name: str = "rn", rows: int | None = None
 ) -> DataFrame:
     """Exact 1-based position of every row inside its key; ``order`` must be unique per key."""
-    return prefix_scan(df, keys, order, {name: ("count", F.lit(1))}, axis=axis)
+    return prefix_scan(df, keys, order, {name: ("count", F.lit(1))}, axis=axis, rows=rows)
 
 
-def hash_positions(df: DataFrame, keys: Sequence[str], hex_col: str, tie: str, name: str = "rn") -> DataFrame:
+def hash_positions(
+    df: DataFrame, keys: Sequence[str], hex_col: str, tie: str, name: str = "rn", rows: int | None = None
+) -> DataFrame:
     """Exact 1-based position inside the key, ordered by a hex digest column."""
-    return prefix_scan(
-        df, keys, [hex_col, tie], {name: ("count", F.lit(1))}, bucketed=hash_bucket(df, F.col(hex_col))
-    )
+    return prefix_scan(df, keys, [hex_col, tie], {name: ("count", F.lit(1))}, bucketed=hash_bucket(df, hex_col, rows))
 
 
 def key_sizes(df: DataFrame, keys: Sequence[str], name: str = "n") -> DataFrame:

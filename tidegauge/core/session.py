@@ -46,5 +46,5 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 def row_budget(spark: SparkSession, key: str, default: int) -> int:
-    """A tunable row count read from the session, e.g. ``tidegauge.scan.bucketRows``."""
+    """A tunable row count read from the session, e.g. ``spark.tidegauge.scan.bucketRows``."""
     return int(spark.conf.get(key, str(default)))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidegauge.core.expr import ratio
-from tidegauge.core.scan import prefix_scan
+from tidegauge.core.scan import prefix_scan, range_bucket, settle
 
 
 class AlignmentError(ValueError):
@@ -63,8 +63,10 @@ def nearest_key(rows: DataFrame, value: str, keys: DataFrame, key: str, rel: flo
     vals = rows.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("_x"), F.lit(None).cast("double").alias("_k")).distinct()
     ks = keys.select(F.col(key).cast("double").alias("_x"), F.col(key).cast("double").alias("_k")).distinct()
     both = vals.unionByName(ks).groupBy("_x").agg(F.max("_k").alias("_k"), F.max(F.col("_k").isNull()).alias("_asked"))
-    up = prefix_scan(both, [], ["_x"], {"_lo": ("max", F.col("_k"))}, axis=F.col("_x"))
-    down = prefix_scan(up, [], [F.col("_x").desc()], {"_hi": ("min", F.col("_k"))}, axis=-F.col("_x"))
+    cut = range_bucket(both, F.col("_x"))
+    up = prefix_scan(both, [], ["_x"], {"_lo": ("max", F.col("_k"))}, cut, keep=True)
+    back = settle(up.withColumn("_b", -F.col("_b")), cut[1])
+    down = prefix_scan(up, [], [F.col("_x").desc()], {"_hi": ("min", F.col("_k"))}, back)
     x, lo, hi = F.col("_x"), F.col("_lo"), F.col("_hi")
     pick = F.when(hi.isNull() | (x - lo <= hi - x), lo).otherwise(hi)
     near = down.where("_asked").withColumn("_p", pick)

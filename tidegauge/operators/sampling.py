@@ -50,15 +50,17 @@ def digest(uid: Column, seed: str = "", kind: str = "md5") -> Column:
     return F.md5(text) if kind == "md5" else F.sha2(text, 256)
 
 
-def stable_order(df: DataFrame, uid: str, seed: str, keys: Sequence[str] = (), name: str = "rn") -> DataFrame:
+def stable_order(
+    df: DataFrame, uid: str, seed: str, keys: Sequence[str] = (), name: str = "rn", rows: int | None = None
+) -> DataFrame:
     """1-based rank by digest of "seed:uid" (the hex text sorts like the integer), optionally inside a key."""
     hashed = df.withColumn("_hex", digest(F.col(uid), seed))
-    return hash_positions(hashed, list(keys), "_hex", uid, name).drop("_hex")
+    return hash_positions(hashed, list(keys), "_hex", uid, name, rows).drop("_hex")
 
 
-def pool_index(df: DataFrame, uid: str, seed: str, keys: Sequence[str] = ()) -> DataFrame:
+def pool_index(df: DataFrame, uid: str, seed: str, keys: Sequence[str] = (), rows: int | None = None) -> DataFrame:
     """0-based draw index of a pool row."""
-    return stable_order(df, uid, seed, keys, "idx").withColumn("idx", F.col("idx") - 1)
+    return stable_order(df, uid, seed, keys, "idx", rows).withColumn("idx", F.col("idx") - 1)
 
 
 def stable_mask(uid: Column, fraction: float) -> Column:

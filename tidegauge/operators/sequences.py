@@ -10,12 +10,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidegauge.core.expr import ratio
-from tidegauge.core.scan import positions, prefix_scan, with_sizes
+from tidegauge.core.scan import positions, prefix_scan, range_bucket, settle, with_sizes
+
+
+def micros(ts: str) -> Column:
+    """Event time as a number, also for zone-free timestamps."""
+    return F.unix_micros(F.col(ts).cast("timestamp"))
 
 
 def event_positions(events: DataFrame, keys: Sequence[str] = ("user_id",)) -> DataFrame:
     """Exact position of each event inside its key by (ts, event_id)."""
-    return positions(events, list(keys), ["ts", "event_id"], F.unix_micros("ts"))
+    return positions(events, list(keys), ["ts", "event_id"], micros("ts"))
 
 
 def tumbling(numbered: DataFrame, keys: Sequence[str], size: int, aggs: Sequence[Column]) -> DataFrame:
@@ -77,7 +82,7 @@ def running_moments(events: DataFrame, keys: Sequence[str], value: str) -> DataF
         keys,
         ["ts", "event_id"],
         {"n": ("count", F.lit(1)), "_s1": ("sum", F.col("_z")), "_s2": ("sum", F.col("_z") * F.col("_z"))},
-        axis=F.unix_micros("ts"),
+        axis=micros("ts"),
     )
     var = F.when(F.col("n") > 1, (F.col("_s2") - F.col("_s1") * F.col("_s1") / F.col("n")) / (F.col("n") - 1))
     return ran.withColumn("mean", F.col("_mu") + F.col("_s1") / F.col("n")).withColumn(
@@ -90,16 +95,16 @@ def ddm_levels(
 ) -> DataFrame:
     """Error-rate levels up to the first alarm, as running aggregates: exact while no reset has happened."""
     frame = events.withColumn("_x", error.cast("int"))
-    axis = F.unix_micros("ts")
     order = ["ts", "event_id"]
-    ran = prefix_scan(frame, keys, order, {"n": ("count", F.lit(1)), "_e": ("sum", F.col("_x"))}, axis=axis)
+    cut = range_bucket(frame, micros("ts"))
+    ran = prefix_scan(frame, keys, order, {"n": ("count", F.lit(1)), "_e": ("sum", F.col("_x"))}, cut, keep=True)
     p = F.col("_e") / F.col("n")
     ran = ran.withColumn("p", p).withColumn("s", F.sqrt(F.col("p") * (1 - F.col("p")) / F.col("n")))
     best = F.when(
         F.col("n") > warm_start,
         F.struct((F.col("p") + F.col("s")).alias("ps"), (-F.col("n")).alias("late"), F.col("p"), F.col("s")),
     )
-    ran = prefix_scan(ran, keys, order, {"_best": ("min", best)}, axis=axis)
+    ran = prefix_scan(ran, keys, order, {"_best": ("min", best)}, settle(ran, cut[1]))
     level = F.col("p") + F.col("s")
     return ran.withColumn(
         "drift", F.coalesce(level > F.col("_best.p") + drift * F.col("_best.s"), F.lit(False))
@@ -110,19 +115,21 @@ def eddm_levels(
     events: DataFrame, keys: Sequence[str], error: Column, warm_start: int = 30, alpha: float = 0.95, beta: float = 0.9
 ) -> DataFrame:
     """Distance-between-errors levels up to the first alarm; sums of distances telescope, so only errors are kept."""
-    numbered = positions(events, list(keys), ["ts", "event_id"], F.unix_micros("ts"))
-    errors = numbered.where(error).drop("ts", "event_id")
-    axis = F.col("rn")
+    # the time buckets are kept through all scans: positions and error counts grow in the same order
+    cut = range_bucket(events, micros("ts"))
+    numbered = prefix_scan(events, keys, ["ts", "event_id"], {"rn": ("count", F.lit(1))}, cut, keep=True)
+    errors = numbered.where(error).select(*keys, "rn", "_b")
     order = ["rn"]
-    lagged = prefix_scan(errors, keys, order, {"k": ("count", F.lit(1))}, axis=axis)
+    lagged = prefix_scan(errors, keys, order, {"k": ("count", F.lit(1))}, settle(errors, cut[1]), keep=True)
+    lagged, _ = settle(lagged, cut[1])
     prev = lagged.select(*keys, (F.col("k") + 1).alias("k"), F.col("rn").alias("_prev"))
     dist = lagged.join(prev, [*keys, "k"], "left").withColumn("d", F.col("rn") - F.coalesce("_prev", F.lit(0)))
-    ran = prefix_scan(dist, keys, order, {"_s2": ("sum", F.col("d") * F.col("d"))}, axis=axis)
+    ran = prefix_scan(dist, keys, order, {"_s2": ("sum", F.col("d") * F.col("d"))}, settle(dist, cut[1]), keep=True)
     mean = F.col("rn") / F.col("k")
     var = F.when(F.col("k") > 1, (F.col("_s2") - F.col("rn") * F.col("rn") / F.col("k")) / (F.col("k") - 1))
     score = mean + 2.0 * F.sqrt(F.greatest(var, F.lit(0.0)))
     ran = ran.withColumn("score", F.when((F.col("rn") > warm_start) & (F.col("k") >= 2), score))
-    ran = prefix_scan(ran, keys, order, {"best": ("max", F.col("score"))}, axis=axis)
+    ran = prefix_scan(ran, keys, order, {"best": ("max", F.col("score"))}, settle(ran, cut[1]))
     level = ratio(F.col("score"), F.col("best"))
     armed = (F.col("k") > warm_start) & (F.col("score") < F.col("best"))
     return ran.withColumn("drift", F.coalesce(armed & (level < beta), F.lit(False))).withColumn(

@@ -40,7 +40,13 @@ def joined(spark, sf):
     return samples(spark, sf).join(stored_predictions(spark, sf), "uid", "left")
 
 
-CORRECT, PRESENT = F.col("prediction") == F.col("truth"), F.col("prediction").isNotNull()
+def correct():
+    return F.col("prediction") == F.col("truth")
+
+
+def present():
+    return F.col("prediction").isNotNull()
+
 
 
 def rounded(df, name="accuracy"):
@@ -64,7 +70,7 @@ def join_missing_extra(spark, sf):
 
 @query("join_prediction_left", f"WITH {SAMPLE_SQL} SELECT typ, count(*) AS n, sum(coalesce(prediction = truth, false)::INT) AS correct, sum((prediction IS NULL)::INT) AS missing, round(sum(coalesce(prediction = truth, false)::INT) / count(*), 6) AS accuracy FROM j GROUP BY 1")
 def join_prediction_left(spark, sf):
-    return rounded(pr.accuracy_table(joined(spark, sf), ["typ"], CORRECT, PRESENT))
+    return rounded(pr.accuracy_table(joined(spark, sf), ["typ"], correct(), present()))
 
 
 @query("join_default_empty", f"WITH {SAMPLE_SQL} SELECT count(*) AS n, round(avg((coalesce(prediction, '') = truth)::INT), 6) AS accuracy FROM j")
@@ -154,12 +160,12 @@ def overlap_audit(spark, sf):
 
 @query("accuracy", f"WITH {SAMPLE_SQL} SELECT count(*) AS n, sum(coalesce(prediction = truth, false)::INT) AS correct, sum((prediction IS NULL)::INT) AS missing, round(avg(coalesce(prediction = truth, false)::INT), 6) AS accuracy FROM j")
 def accuracy(spark, sf):
-    return rounded(pr.accuracy_table(joined(spark, sf), [], CORRECT, PRESENT))
+    return rounded(pr.accuracy_table(joined(spark, sf), [], correct(), present()))
 
 
 @query("accuracy_by_type", f"WITH {SAMPLE_SQL} SELECT typ, count(*) AS n, sum(coalesce(prediction = truth, false)::INT) AS correct, sum((prediction IS NULL)::INT) AS missing, round(avg(coalesce(prediction = truth, false)::INT), 6) AS accuracy FROM j GROUP BY GROUPING SETS ((typ), ())")
 def accuracy_by_type(spark, sf):
-    return rounded(pr.accuracy_table(joined(spark, sf), ["typ"], CORRECT, PRESENT, with_total=True)).select("typ", "n", "correct", "missing", "accuracy")
+    return rounded(pr.accuracy_table(joined(spark, sf), ["typ"], correct(), present(), with_total=True)).select("typ", "n", "correct", "missing", "accuracy")
 
 
 @query("accuracy_pseudo", f"WITH {SAMPLE_SQL} SELECT typ, count(*) AS n, round(avg((prediction = pseudo)::INT), 6) AS prediction_vs_pseudo, round(avg((pseudo = truth)::INT), 6) AS pseudo_vs_truth FROM j WHERE pseudo IS NOT NULL GROUP BY 1")
@@ -175,8 +181,8 @@ def accuracy_pseudo(spark, sf):
 def accepted_accuracy(spark, sf):
     ok = F.coalesce("accepted", F.lit(False))
     out = joined(spark, sf).groupBy("typ").agg(
-        F.sum(ok.cast("int")).alias("accepted"), F.sum((ok & F.coalesce(CORRECT, F.lit(False))).cast("int")).alias("correct"),
-        F.sum((~PRESENT).cast("int")).alias("missing"),
+        F.sum(ok.cast("int")).alias("accepted"), F.sum((ok & F.coalesce(correct(), F.lit(False))).cast("int")).alias("correct"),
+        F.sum((~present()).cast("int")).alias("missing"),
     )
     return out.withColumn("accuracy", F.round(pr.ratio(F.col("correct"), F.col("accepted"), 0.0), 6))
 

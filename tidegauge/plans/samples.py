@@ -260,3 +260,22 @@ UNION ALL SELECT (pair - 1) * 2 + CASE WHEN head THEN 2 ELSE 1 END, pair, 'drift
 def pair_interleave(spark, sf):
     lab = table(spark, sf, "labels", "doc_id", "quality")
     return smp.pair_interleave(lab.where("quality = 1"), lab.where("quality = 0"), "doc_id", "mix")
+
+
+@query("sample_natural", f"""WITH d AS (SELECT doc_id, row_number() OVER (ORDER BY md5('nat:' || doc_id), doc_id) - 1 AS idx FROM documents),
+s AS (SELECT window_id, slot, {affine_sql('window_id', 'slot', '(SELECT count(*) FROM documents)', 0, 2)} AS pool_idx
+  FROM (SELECT unnest(range((SELECT count(*) // 20 FROM documents))) AS window_id), (SELECT unnest(range(25)) AS slot))
+SELECT window_id, slot, doc_id FROM s JOIN d ON d.idx = s.pool_idx""")
+def sample_natural(spark, sf):
+    """Windows of distinct rows straight from the pool."""
+    docs = table(spark, sf, "documents", "doc_id")
+    n = docs.count()
+    pool = smp.pool_index(docs, "doc_id", "nat", rows=n).withColumnRenamed("idx", "pool_idx")
+    return smp.stationary_plan(spark, n // 20, 25, n).join(pool, "pool_idx").select("window_id", "slot", "doc_id")
+
+
+@query("lowshot", """SELECT vec_id, label FROM (SELECT vec_id, label, row_number() OVER (PARTITION BY label ORDER BY md5('low:' || vec_id), vec_id) AS rn FROM embeddings) WHERE rn <= 3""")
+def lowshot(spark, sf):
+    """The first three rows of each class in digest order (the operator's own k)."""
+    ranked = smp.stable_order(table(spark, sf, "embeddings", "vec_id", "label"), "vec_id", "low", ["label"])
+    return ranked.where("rn <= 3").select("vec_id", "label")

@@ -13,7 +13,11 @@ from tidegauge.plans import fold_sql as fs
 from tidegauge.plans.registry import query
 
 KEY = ["user_id"]
-ERROR = F.col("event_type") == "error"
+
+
+def is_error():
+    return F.col("event_type") == "error"
+
 HORIZON = 500
 NUMBERED = """e AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn,
   count(*) OVER (PARTITION BY user_id) AS cnt FROM events)"""
@@ -28,7 +32,7 @@ SELECT user_id, (rn - 1) // 20 AS window_id, count(*) AS n, round(avg(value), 6)
   sum((event_type = 'error')::INT) AS errors
 FROM e GROUP BY 1, 2 HAVING count(*) = 20""")
 def count_tumbling(spark, sf):
-    aggs = [F.round(F.avg("value"), 6).alias("mean_value"), F.sum(ERROR.cast("int")).alias("errors")]
+    aggs = [F.round(F.avg("value"), 6).alias("mean_value"), F.sum(is_error().cast("int")).alias("errors")]
     return ops.tumbling(numbered(spark, sf), KEY, 20, aggs)
 
 
@@ -38,7 +42,7 @@ w AS (SELECT user_id, rn AS endpoint, sum(value) OVER s AS total, sum((event_typ
 SELECT user_id, endpoint, round(total / 30, 6) AS mean_value, errors FROM w
 WHERE endpoint >= 30 AND (endpoint - 30) % 10 = 0""")
 def count_sliding(spark, sf):
-    w = ops.sliding_sums(numbered(spark, sf), KEY, 30, 10, {"total": F.col("value"), "errors": ERROR.cast("int")})
+    w = ops.sliding_sums(numbered(spark, sf), KEY, 30, 10, {"total": F.col("value"), "errors": is_error().cast("int")})
     return w.select("user_id", "endpoint", F.round(F.col("total") / 30, 6).alias("mean_value"), "errors")
 
 
@@ -50,7 +54,7 @@ w AS (SELECT user_id, rn AS endpoint, cum - coalesce(lag(cum, 20) OVER (PARTITIO
 @query("windows_with_alarm", f"""WITH {ALARM_WINDOWS}
 SELECT user_id, endpoint, alarms, alarms > 0 AS has_alarm FROM w WHERE endpoint >= 20 AND (endpoint - 20) % 5 = 0""")
 def windows_with_alarm(spark, sf):
-    return ops.windows_with_alarm(numbered(spark, sf), KEY, ERROR & (F.col("value") > 10), 20, 5)
+    return ops.windows_with_alarm(numbered(spark, sf), KEY, is_error() & (F.col("value") > 10), 20, 5)
 
 
 @query("first_alarm", f"""WITH {ALARM_WINDOWS}
@@ -79,7 +83,7 @@ SELECT user_id, count(*) AS n, round(max_by(p, n), 6) AS final_rate,
   min(CASE WHEN p + s > best.p + 3.0 * best.s THEN n END) AS first_drift
 FROM b GROUP BY user_id""")
 def ddm(spark, sf):
-    lv = ops.ddm_levels(table(spark, sf, "events", "event_id", "ts", "user_id", "event_type"), KEY, ERROR)
+    lv = ops.ddm_levels(table(spark, sf, "events", "event_id", "ts", "user_id", "event_type"), KEY, is_error())
     return lv.groupBy("user_id").agg(
         F.count(F.lit(1)).alias("n"),
         F.round(F.max_by("p", "n"), 6).alias("final_rate"),
@@ -99,7 +103,7 @@ SELECT user_id, count(*) AS errors, round(max(best), 6) AS best_score,
 FROM b GROUP BY user_id""")
 def eddm(spark, sf):
     lv = ops.eddm_levels(
-        table(spark, sf, "events", "event_id", "ts", "user_id", "event_type"), KEY, ERROR, warm_start=5
+        table(spark, sf, "events", "event_id", "ts", "user_id", "event_type"), KEY, is_error(), warm_start=5
     )
     return lv.groupBy("user_id").agg(
         F.count(F.lit(1)).alias("errors"),
@@ -120,10 +124,10 @@ def ewma(spark, sf):
 
 
 def traces(spark, sf, value) -> DataFrame:
-    return ops.segments(numbered(spark, sf), KEY, value, HORIZON)
+    return ops.segments(numbered(spark, sf), KEY, is_error() if value is None else value, HORIZON)
 
 
-def fold_trace(spark, sf, method, params, value=ERROR) -> DataFrame:
+def fold_trace(spark, sf, method, params, value=None) -> DataFrame:
     packed = traces(spark, sf, value)
     at = seq.alarm_trace(seq.fold(method, params), F.col("xs"))
     return packed.select("user_id", "seg", F.explode(at).alias("at"))
@@ -156,7 +160,7 @@ def page_hinkley(spark, sf):
     return fold_trace(spark, sf, "page_hinkley", {"threshold": 50.0}, F.col("value"))
 
 
-def window_alarms(spark, sf, method, params, value=ERROR) -> DataFrame:
+def window_alarms(spark, sf, method, params, value=None) -> DataFrame:
     packed = traces(spark, sf, value)
     return packed.select("user_id", "seg", F.explode(seq.window_trace(method, params)("xs")).alias("at"))
 
@@ -212,7 +216,7 @@ def phase_gaussian_smooth(spark, sf):
         "user_id", "phase",
         F.when(before, F.col("rn") - 1).otherwise(F.col("rn") - F.col("ready") - 1).alias("pos"),
         F.when(before, F.col("ready")).otherwise(F.col("cnt") - F.col("ready")).alias("m"),
-        ERROR.cast("double").alias("v"),
+        is_error().cast("double").alias("v"),
     )
     out = ops.phase_smooth(rows, ["user_id", "phase"], "pos", "m", "v")
     return out.withColumn("v_smooth", F.round("v_smooth", 6))
@@ -224,7 +228,7 @@ FROM e GROUP BY 1, 2""")
 def block_means(spark, sf):
     rows = numbered(spark, sf)
     return rows.groupBy("user_id", F.floor((F.col("rn") - 1) / 10).alias("block")).agg(
-        F.count(F.lit(1)).alias("n"), F.round(F.avg(ERROR.cast("int")), 6).alias("mean")
+        F.count(F.lit(1)).alias("n"), F.round(F.avg(is_error().cast("int")), 6).alias("mean")
     )
 
 

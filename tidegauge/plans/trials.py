@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegauge.core.session import table
+from tidegauge.core.session import cut_lineage, table
 from tidegauge.functions import sequential as seq
 from tidegauge.operators import sampling as smp
 from tidegauge.operators import signals as sig
@@ -54,18 +54,19 @@ class Pools:
     """Clean, degrading and calibration pools with draw indices and their sizes."""
 
     def __init__(self, spark, sf):
-        rows = signals(spark, sf).select("event_id", "cal", "level")
+        # stored once: every pool and trial reads these rows
+        rows = cut_lineage(signals(spark, sf).select("event_id", "cal", "level"))
         test = rows.where(~F.col("cal"))
-        self.spark = spark
-        self.clean = smp.pool_index(test, "event_id", "clean")
-        self.drift = smp.pool_index(test.where(F.col("level") >= LEVEL), "event_id", "drift")
-        self.cal = smp.pool_index(rows.where("cal"), "event_id", "cal")
         sizes = rows.agg(
             F.sum((~F.col("cal")).cast("int")).alias("c"),
             F.sum((~F.col("cal") & (F.col("level") >= LEVEL)).cast("int")).alias("d"),
             F.sum(F.col("cal").cast("int")).alias("k"),
         ).first()
         self.c, self.d, self.k = sizes["c"], sizes["d"], sizes["k"]
+        self.spark = spark
+        self.clean = smp.pool_index(test, "event_id", "clean", rows=self.c)
+        self.drift = smp.pool_index(test.where(F.col("level") >= LEVEL), "event_id", "drift", rows=self.d)
+        self.cal = smp.pool_index(rows.where("cal"), "event_id", "cal", rows=self.k)
 
     def both(self) -> DataFrame:
         cols = ["event_id", "level", F.col("idx").alias("pool_idx")]

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from tidegauge.core.scan import positions
-from tidegauge.core.session import table
+from tidegauge.core.session import cut_lineage, table
 from tidegauge.operators import sampling as smp
 from tidegauge.operators import vectors as vec
 from tidegauge.operators.sequences import sliding_sums
@@ -88,18 +88,33 @@ class Setup:
 
     def __init__(self, spark, sf, k: int = HALF):
         self.spark = spark
-        self.raw = shifted(vector_pool(spark, sf))
+        self.raw = cut_lineage(shifted(vector_pool(spark, sf)))  # stored once, read by fit, plans and scorers
         fit = self.raw.where("split = 'fit'")
-        self.models = {s: vec.fit_pca(fit, s, HALF, k) for s in STREAMS}
-        self.k = {s: len(m.variances) for s, m in self.models.items()}
+        self._fit, self._components, self._models = fit, k, None
         self.sizes = {r["split"]: r["count"] for r in self.raw.groupBy("split").count().collect()}  # four rows
-        self.pool = self.raw.select(
-            "vec_id", "label", "split", "idx", *[vec.project(F.col(s), m).alias(s) for s, m in self.models.items()]
-        )
+        self._pool = None
+
+    @property
+    def models(self):
+        if self._models is None:
+            self._models = {s: vec.fit_pca(self._fit, s, HALF, self._components) for s in STREAMS}
+        return self._models
+
+    @property
+    def k(self):
+        return {s: len(m.variances) for s, m in self.models.items()}
+
+    @property
+    def pool(self):
+        """Both streams projected once; calibration and evaluation read the stored projection."""
+        if self._pool is None:
+            cols = [vec.project(F.col(s), m).alias(s) for s, m in self.models.items()]
+            self._pool = cut_lineage(self.raw.select("vec_id", "label", "split", "idx", *cols))
+        return self._pool
 
     def drawn(self, plan=None, pool=None):
         plan = mixed_plan(self.spark, None, self.sizes) if plan is None else plan
-        rows = (pool if pool is not None else self.pool).select(
+        rows = (self.pool if pool is None else pool).select(
             F.col("split").alias("source"), F.col("idx").alias("pool_idx"), *STREAMS
         )
         return plan.join(rows, ["source", "pool_idx"])
@@ -427,3 +442,44 @@ def score_linear_head(spark, sf):
     options = F.create_map(F.lit("A"), lab, F.lit("B"), (lab + 3) % 10, F.lit("C"), (lab + 7) % 10)
     out = vec.pick_option(z.withColumn("options", options), "vec_id", "options", "z", heads)
     return out.withColumn("best_score", F.round("best_score", 6))
+
+
+@query("reference_drift_grid")
+def reference_drift_grid(spark, sf):
+    """Detection table over reference task x drift task x score mode: one fit per reference task, one scored pool.
+
+    Reference tasks are the labels 0-3; each is standardised and projected by its own model, calibrated on its own
+    windows and tested on windows that mix in each drift label.
+    """
+    rows = cut_lineage(shifted(vector_splits(spark, sf)))
+    drifts = [4, 5, 6]
+    size, out = 20, None
+    for ref in (0, 1, 2, 3):
+        own = rows.where(F.col("label") == ref)
+        model = vec.fit_pca(own, "A", HALF, 8)
+        near = rows.where(F.col("label").isin(ref, *drifts)).select("vec_id", "label", vec.project(F.col("A"), model).alias("z"))
+        dist = cut_lineage(smp.pool_index(near, "vec_id", f"grid{ref}", ["label"]).withColumn("d", vec.array_norm(F.col("z"), model, 1e-4)))
+        sizes = {r["label"]: r["count"] for r in dist.groupBy("label").count().collect()}  # one row per task
+        windows = max(10, sizes[ref] // 2)
+        cal = smp.stationary_plan(spark, windows, size, sizes[ref]).withColumn("label", F.lit(ref))
+        plans = cal.withColumn("drift", F.lit(-1)).withColumn("ratio", F.lit(-1.0)).select("drift", "ratio", "window_id", "label", "pool_idx")
+        for dr in drifts:
+            mixed = smp.window_plan(spark, windows, size, [0.0, 0.5], sizes[ref], sizes[dr], dr)
+            label = F.when(F.col("source") == "clean", ref).otherwise(dr)
+            plans = plans.unionByName(mixed.select(F.lit(dr).alias("drift"), "ratio", "window_id", label.alias("label"), "pool_idx"))
+        drawn = plans.join(dist.select("label", F.col("idx").alias("pool_idx"), "d", "z"), ["label", "pool_idx"])
+        k = len(model.variances)
+        scored = drawn.groupBy("drift", "ratio", "window_id").agg(
+            F.avg("d").alias("mean_sample"), F.percentile("d", 0.9).alias("p90_sample"), *[F.avg(F.get("z", F.lit(i))).alias(f"z_{i}") for i in range(k)]
+        )
+        scored = scored.withColumn("window_mean", vec.whitened_norm([F.col(f"z_{i}") for i in range(k)], model, 1e-4))
+        modes = F.array(*[F.struct(F.lit(m).alias("mode"), F.col(m).alias("score")) for m in ("mean_sample", "p90_sample", "window_mean")])
+        long = scored.select("drift", "ratio", F.explode(modes).alias("m")).select("drift", "ratio", "m.*")
+        limits = long.where("drift = -1").groupBy("mode").agg(F.percentile("score", 0.95).alias("threshold"))  # one row per window
+        tested = long.where("drift >= 0").join(F.broadcast(limits), "mode")  # three rows
+        part = tested.groupBy("drift", "mode").agg(
+            F.avg(F.when(F.col("ratio") == 0, (F.col("score") > F.col("threshold")).cast("double"))).alias("fpr"),
+            F.avg(F.when(F.col("ratio") > 0, (F.col("score") > F.col("threshold")).cast("double"))).alias("recall"),
+        ).withColumn("reference", F.lit(ref))
+        out = part if out is None else out.unionByName(part)
+    return out.select("reference", "drift", "mode", *r6("fpr", "recall"))
