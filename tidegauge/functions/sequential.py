@@ -8,14 +8,15 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterable
+from functools import lru_cache
 from typing import Any
 
+from statistics import NormalDist
+
 import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tidegauge.core.expr import let
-
 Params = dict[str, float]
 State = dict[str, Any]
 
@@ -44,218 +45,159 @@ GRIDS: dict[str, tuple[str, list[float]]] = {
 GRID_BASE: dict[str, Params] = {"adwin": {"clock": 8}, "optwin": {"f_test": 0, "two_sided": 1}}
 
 # ---------------------------------------------------------------- native folds
+# Written as SQL lambda text: one parse instead of thousands of single expression calls.
 
-Stage = Callable[[Column], dict[str, Column]]
-
-
-def _staged(fields: dict[str, Column], stages: list[Stage], final: Callable[[Column], Column]) -> Column:
-    def body(r: Column) -> Column:
-        if not stages:
-            return final(r)
-        return _staged({**{k: r[k] for k in fields}, **stages[0](r)}, stages[1:], final)
-
-    return let(F.struct(*[v.alias(k) for k, v in fields.items()]), body)
-
-
-def _state(**fields: Column) -> Column:
-    return F.struct(*[v.alias(k) for k, v in fields.items()])
+INF = "double('infinity')"
+Stages = list[dict[str, str]]
 
 
 class Fold:
-    """Start state, update stages and the next state of one detector, all as Column expressions."""
-
-    def __init__(self, init: dict[str, Column], stages: Callable[[Column, Column], list[Stage]], keep: list[str]):
-        self.init, self.stages, self.keep = init, stages, keep
-
-    def start(self) -> Column:
-        return _state(**self.init)
-
-    def step(self, s: Column, x: Column, then: Callable[[Column, Column], Column]) -> Column:
-        """``then(next_state, alarm)`` after reading ``x`` in state ``s``."""
-        first = {**{k: s[k] for k in self.init}, "x": x}
-        return _staged(first, self.stages(s, x), lambda r: then(_state(**{k: r[k] for k in self.keep}), r["alarm"]))
-
-
-def _ddm(p: dict[str, Column]) -> Fold:
-    def stages(s: Column, x: Column) -> list[Stage]:
-        return [
-            lambda r: {"n": r["n"] + 1, "mean": r["mean"] + (r["x"] - r["mean"]) / (r["n"] + 1)},
-            lambda r: {"sd": F.sqrt(F.greatest(r["mean"] * (1 - r["mean"]) / r["n"], F.lit(0.0)))},
-            lambda r: {"live": r["n"] > p["warm"], "better": (r["n"] > p["warm"]) & (r["mean"] + r["sd"] <= r["best"])},
-            lambda r: {
-                "best": F.when(r["better"], r["mean"] + r["sd"]).otherwise(r["best"]),
-                "bp": F.when(r["better"], r["mean"]).otherwise(r["bp"]),
-                "bs": F.when(r["better"], r["sd"]).otherwise(r["bs"]),
-            },
-            lambda r: {"alarm": r["live"] & (r["mean"] + r["sd"] > r["bp"] + p["drift"] * r["bs"])},
-        ]
-
-    init = {"n": F.lit(0), "mean": F.lit(0.0), "best": F.lit(math.inf), "bp": F.lit(math.inf), "bs": F.lit(0.0)}
-    return Fold(init, stages, list(init))
-
-
-def _eddm(p: dict[str, Column]) -> Fold:
-    def stages(s: Column, x: Column) -> list[Stage]:
-        return [
-            lambda r: {"n": r["n"] + 1, "hit": r["x"] == 1},
-            lambda r: {"k": r["k"] + F.when(r["hit"], 1).otherwise(0), "d": (r["n"] - r["last"]).cast("double")},
-            lambda r: {
-                "delta": r["d"] - r["mean"],
-                "mean2": r["mean"] + F.when(r["hit"], (r["d"] - r["mean"]) / r["k"]).otherwise(0.0),
-            },
-            lambda r: {
-                "m2": r["m2"] + F.when(r["hit"], r["delta"] * (r["d"] - r["mean2"])).otherwise(0.0),
-                "mean": r["mean2"],
-                "last": F.when(r["hit"], r["n"]).otherwise(r["last"]),
-            },
-            lambda r: {
-                "score": F.when(
-                    r["hit"] & (r["n"] > p["warm"]) & (r["k"] >= 2),
-                    r["mean"] + 2.0 * F.sqrt(F.greatest(r["m2"] / F.greatest(r["k"] - 1, F.lit(1)), F.lit(0.0))),
-                )
-            },
-            lambda r: {
-                "alarm": F.coalesce(
-                    (r["score"] <= r["top"]) & (r["k"] > p["warm"]) & (r["top"] > 0) & (r["score"] < p["beta"] * r["top"]),
-                    F.lit(False),
-                ),
-                "top": F.greatest(r["top"], r["score"]),
-            },
-        ]
+    """Start state and update stages of one detector. Stage expressions read fields as ``r.name``; the last sets alarm."""
+
+    def __init__(self, init: dict[str, str], stages: Stages):
+        self.init, self.stages = init, stages
+
+    def start(self) -> str:
+        return _struct(self.init)
+
+    def step(self, state: str, x: str, then: str) -> str:
+        """``then`` (text over r.alarm and ``self.kept()``) after reading ``x`` in ``state``."""
+        fields = {**{k: f"{state}.{k}" for k in self.init}, "x": x}
+        layers, known = [fields], list(fields)
+        for stage in self.stages:
+            known = list(dict.fromkeys([*known, *stage]))
+            layers.append({k: stage.get(k, f"r.{k}") for k in known})
+        text = then
+        for layer in reversed(layers):
+            text = f"get(transform(array({_struct(layer)}), r -> {text}), 0)"
+        return text
+
+    def kept(self) -> str:
+        return _struct({k: f"r.{k}" for k in self.init})
+
+    def kept_or_reset(self) -> str:
+        return f"if(r.alarm, {self.start()}, {self.kept()})"
+
+
+def _struct(fields: dict[str, str]) -> str:
+    return "named_struct(" + ", ".join(f"'{k}', {v}" for k, v in fields.items()) + ")"
+
+
+def _ddm(p: dict[str, str]) -> Fold:
+    init = {"n": "0", "mean": "0.0D", "best": INF, "bp": INF, "bs": "0.0D"}
+    return Fold(init, [
+        {"n": "r.n + 1", "mean": "r.mean + (r.x - r.mean) / (r.n + 1)"},
+        {"sd": "sqrt(greatest(r.mean * (1 - r.mean) / r.n, 0.0D))"},
+        {"better": f"r.n > {p['warm']} AND r.mean + r.sd <= r.best"},
+        {
+            "best": "if(r.better, r.mean + r.sd, r.best)",
+            "bp": "if(r.better, r.mean, r.bp)",
+            "bs": "if(r.better, r.sd, r.bs)",
+        },
+        {"alarm": f"r.n > {p['warm']} AND r.mean + r.sd > r.bp + {p['drift']} * r.bs"},
+    ])
+
+
+def _eddm(p: dict[str, str]) -> Fold:
+    init = {"n": "0", "k": "0", "last": "0", "mean": "0.0D", "m2": "0.0D", "top": "-1.0D"}
+    score = "r.mean + 2.0D * sqrt(greatest(r.m2 / greatest(r.k - 1, 1), 0.0D))"
+    return Fold(init, [
+        {"n": "r.n + 1", "hit": "r.x = 1"},
+        {"k": "r.k + int(r.hit)", "d": "double(r.n - r.last)"},
+        {"gap": "r.d - r.mean", "mean": "if(r.hit, r.mean + (r.d - r.mean) / r.k, r.mean)"},
+        {"m2": "if(r.hit, r.m2 + r.gap * (r.d - r.mean), r.m2)", "last": "if(r.hit, r.n, r.last)"},
+        {"score": f"if(r.hit AND r.n > {p['warm']} AND r.k >= 2, {score}, NULL)"},
+        {
+            "alarm": f"coalesce(r.score <= r.top AND r.k > {p['warm']} AND r.top > 0 AND r.score < {p['beta']} * r.top, false)",
+            "top": "greatest(r.top, r.score)",
+        },
+    ])
+
+
+def _hddm_w(p: dict[str, str]) -> Fold:
+    lam, keep = p["lam"], f"(1 - {p['lam']})"
+
+    def bound(ibc: str) -> str:
+        return f"sqrt(greatest({ibc}, 0.0D) * ln(1.0D / {p['conf']}) / 2.0D)"
 
     init = {
-        "n": F.lit(0), "k": F.lit(0), "last": F.lit(0), "mean": F.lit(0.0), "m2": F.lit(0.0), "top": F.lit(-1.0),
+        "n": "0", "t": "0.0D", "ti": "1.0D", "cut": INF, "a": "0.0D", "ai": "1.0D", "b": "0.0D", "bi": "1.0D", "bn": "0",
     }
-    return Fold(init, stages, list(init))
-
-
-def _hddm_w(p: dict[str, Column]) -> Fold:
-    lam = p["lam"]
-
-    def bound(ibc: Column) -> Column:
-        return F.sqrt(F.greatest(ibc, F.lit(0.0)) * F.log(1.0 / p["conf"]) / 2.0)
-
-    def stages(s: Column, x: Column) -> list[Stage]:
-        return [
-            lambda r: {
-                "t": F.when(r["n"] == 0, r["x"]).otherwise(lam * r["x"] + (1 - lam) * r["t"]),
-                "ti": lam * lam + (1 - lam) * (1 - lam) * r["ti"],
-                "n": r["n"] + 1,
-            },
-            lambda r: {"level": r["t"] + bound(r["ti"])},
-            lambda r: {"cut_here": r["level"] < r["cut"]},
-            lambda r: {
-                "cut": F.when(r["cut_here"], r["level"]).otherwise(r["cut"]),
-                "a": F.when(r["cut_here"], r["t"]).otherwise(r["a"]),
-                "ai": F.when(r["cut_here"], r["ti"]).otherwise(r["ai"]),
-                "b": F.when(r["cut_here"], 0.0).otherwise(
-                    F.when(r["bn"] == 0, r["x"]).otherwise(lam * r["x"] + (1 - lam) * r["b"])
-                ),
-                "bi": F.when(r["cut_here"], 1.0).otherwise(lam * lam + (1 - lam) * (1 - lam) * r["bi"]),
-                "bn": F.when(r["cut_here"], 0).otherwise(r["bn"] + 1),
-            },
-            lambda r: {"alarm": (r["bn"] > 0) & (r["b"] - r["a"] > bound(r["ai"] + r["bi"]))},
-        ]
-
-    init = {
-        "n": F.lit(0), "t": F.lit(0.0), "ti": F.lit(1.0), "cut": F.lit(math.inf), "a": F.lit(0.0), "ai": F.lit(1.0),
-        "b": F.lit(0.0), "bi": F.lit(1.0), "bn": F.lit(0),
-    }
-    return Fold(init, stages, list(init))
-
-
-def _page_hinkley(p: dict[str, Column]) -> Fold:
-    def stages(s: Column, x: Column) -> list[Stage]:
-        return [
-            lambda r: {"n": r["n"] + 1, "mean": r["mean"] + (r["x"] - r["mean"]) / (r["n"] + 1)},
-            lambda r: {
-                "up": p["alpha"] * r["up"] + (r["x"] - r["mean"]) - p["delta"],
-                "down": p["alpha"] * r["down"] + (r["x"] - r["mean"]) + p["delta"],
-            },
-            lambda r: {"lo": F.least(r["lo"], r["up"]), "hi": F.greatest(r["hi"], r["down"])},
-            lambda r: {
-                "alarm": (r["n"] >= p["min_n"])
-                & ((r["up"] - r["lo"] > p["threshold"]) | (r["hi"] - r["down"] > p["threshold"]))
-            },
-        ]
-
-    init = {
-        "n": F.lit(0), "mean": F.lit(0.0), "up": F.lit(0.0), "down": F.lit(0.0), "lo": F.lit(math.inf),
-        "hi": F.lit(-math.inf),
-    }
-    return Fold(init, stages, list(init))
-
-
-FOLDS: dict[str, Callable[[dict[str, Column]], Fold]] = {
+    return Fold(init, [
+        {
+            "t": f"if(r.n = 0, r.x, {lam} * r.x + {keep} * r.t)",
+            "ti": f"{lam} * {lam} + {keep} * {keep} * r.ti",
+            "n": "r.n + 1",
+        },
+        {"level": f"r.t + {bound('r.ti')}"},
+        {"here": "r.level < r.cut"},
+        {
+            "cut": "if(r.here, r.level, r.cut)",
+            "a": "if(r.here, r.t, r.a)",
+            "ai": "if(r.here, r.ti, r.ai)",
+            "b": f"if(r.here, 0.0D, if(r.bn = 0, r.x, {lam} * r.x + {keep} * r.b))",
+            "bi": f"if(r.here, 1.0D, {lam} * {lam} + {keep} * {keep} * r.bi)",
+            "bn": "if(r.here, 0, r.bn + 1)",
+        },
+        {"alarm": f"r.bn > 0 AND r.b - r.a > {bound('r.ai + r.bi')}"},
+    ])
+
+
+def _page_hinkley(p: dict[str, str]) -> Fold:
+    init = {"n": "0", "mean": "0.0D", "up": "0.0D", "down": "0.0D", "lo": INF, "hi": f"-{INF}"}
+    limit = p["threshold"]
+    return Fold(init, [
+        {"n": "r.n + 1", "mean": "r.mean + (r.x - r.mean) / (r.n + 1)"},
+        {
+            "up": f"{p['alpha']} * r.up + (r.x - r.mean) - {p['delta']}",
+            "down": f"{p['alpha']} * r.down + (r.x - r.mean) + {p['delta']}",
+        },
+        {"lo": "least(r.lo, r.up)", "hi": "greatest(r.hi, r.down)"},
+        {"alarm": f"r.n >= {p['min_n']} AND (r.up - r.lo > {limit} OR r.hi - r.down > {limit})"},
+    ])
+
+
+FOLDS: dict[str, Callable[[dict[str, str]], Fold]] = {
     "ddm": _ddm, "eddm": _eddm, "hddm_w": _hddm_w, "page_hinkley": _page_hinkley,
 }
 
 
 def fold(method: str, params: dict[str, Any] | None = None) -> Fold:
-    """Fold of a method; a parameter may be a number or a Column, e.g. of a candidate table."""
+    """Fold of a method; a parameter is a number or the name of a column, e.g. of a candidate table."""
     merged = {**DEFAULTS[method], **(params or {})}
-    return FOLDS[method]({k: v if isinstance(v, Column) else F.lit(v) for k, v in merged.items()})
+    return FOLDS[method]({k: v if isinstance(v, str) else f"{float(v)!r}D" for k, v in merged.items()})
 
 
-def warm_state(f: Fold, values: Column) -> Column:
-    """State after reading calibration values, reset after every alarm."""
-    return F.aggregate(
-        values, f.start(), lambda s, x: f.step(s, x, lambda nxt, alarm: F.when(alarm, f.start()).otherwise(nxt))
-    )
+def warm_state(f: Fold, values: str) -> Column:
+    """State after reading calibration values (SQL text of an array), reset after every alarm."""
+    return F.expr(f"aggregate({values}, {f.start()}, (s, x) -> {f.step('s', 'x', f.kept_or_reset())})")
 
 
-def alarm_trace(f: Fold, values: Column, start: Column | None = None) -> Column:
+def alarm_trace(f: Fold, values: str, start: str | None = None) -> Column:
     """1-based positions of all alarms, reset after each."""
-    begin = F.struct((start if start is not None else f.start()).alias("s"), F.lit(0).alias("i"),
-                     F.array().cast("array<int>").alias("at"))
+    begin = _struct({"s": start or f.start(), "i": "0", "at": "cast(array() as array<int>)"})
+    after = _struct({"s": f.kept_or_reset(), "i": "a.i + 1", "at": "if(r.alarm, concat(a.at, array(a.i + 1)), a.at)"})
+    return F.expr(f"aggregate({values}, {begin}, (a, x) -> {f.step('a.s', 'x', after)}, a -> a.at)")
 
-    def merge(acc: Column, x: Column) -> Column:
-        return f.step(
-            acc["s"], x,
-            lambda nxt, alarm: F.struct(
-                F.when(alarm, f.start()).otherwise(nxt).alias("s"),
-                (acc["i"] + 1).alias("i"),
-                F.when(alarm, F.concat(acc["at"], F.array(acc["i"] + 1))).otherwise(acc["at"]).alias("at"),
-            ),
-        )
 
-    return F.aggregate(values, begin, merge, lambda acc: acc["at"])
+def _first(f: Fold, values: str, start: str) -> str:
+    begin = _struct({"s": start, "i": "0", "hit": "cast(NULL as int)"})
+    after = _struct({"s": f.kept(), "i": "a.i + 1", "hit": "if(r.alarm, a.i + 1, NULL)"})
+    return f"aggregate({values}, {begin}, (a, x) -> if(a.hit IS NOT NULL, a, {f.step('a.s', 'x', after)}), a -> a.hit)"
 
 
-def first_detection(f: Fold, values: Column, start: Column) -> Column:
+def first_detection(f: Fold, values: str, start: str) -> Column:
     """1-based position of the first alarm from a warmed state, NULL if none; later values are not read."""
-    begin = F.struct(start.alias("s"), F.lit(0).alias("i"), F.lit(None).cast("int").alias("hit"))
-
-    def merge(acc: Column, x: Column) -> Column:
-        return F.when(acc["hit"].isNotNull(), acc).otherwise(
-            f.step(
-                acc["s"], x,
-                lambda nxt, alarm: F.struct(
-                    nxt.alias("s"), (acc["i"] + 1).alias("i"), F.when(alarm, acc["i"] + 1).alias("hit")
-                ),
-            )
-        )
+    return F.expr(_first(f, values, start))
 
-    return F.aggregate(values, begin, merge, lambda acc: acc["hit"])
 
-
-def onset_detection(f: Fold, clean: Column, drift: Column, start: Column) -> Column:
+def onset_detection(f: Fold, clean: str, drift: str, start: str) -> Column:
     """Struct (prechange, delay): alarms in the clean prefix (with resets), then the first alarm in the suffix."""
-    begin = F.struct(start.alias("s"), F.lit(0).alias("alarms"))
-
-    def merge(acc: Column, x: Column) -> Column:
-        return f.step(
-            acc["s"], x,
-            lambda nxt, alarm: F.struct(
-                F.when(alarm, f.start()).otherwise(nxt).alias("s"),
-                (acc["alarms"] + F.when(alarm, 1).otherwise(0)).alias("alarms"),
-            ),
-        )
-
-    return let(
-        F.aggregate(clean, begin, merge),
-        lambda pre: F.struct(pre["alarms"].alias("prechange"), first_detection(f, drift, pre["s"]).alias("delay")),
-    )
+    begin = _struct({"s": start, "alarms": "0"})
+    after = _struct({"s": f.kept_or_reset(), "alarms": "a.alarms + int(r.alarm)"})
+    prefix = f"aggregate({clean}, {begin}, (a, x) -> {f.step('a.s', 'x', after)})"
+    both = _struct({"prechange": "pre.alarms", "delay": _first(f, drift, "pre.s")})
+    return F.expr(f"get(transform(array({prefix}), pre -> {both}), 0)")
 
 
 # ---------------------------------------------------------------- python updates (streaming, window detectors)
@@ -424,6 +366,12 @@ def f_sf(x: float, d1: float, d2: float) -> float:
     return beta_inc(d2 / 2.0, d1 / 2.0, d2 / (d2 + d1 * x)) if x > 0 else 1.0
 
 
+@lru_cache(maxsize=1024)
+def _normal_limit(tail: float) -> float:
+    """Slightly below the normal quantile of the tail, so rounding never rejects a passing cut."""
+    return -math.inf if tail >= 1.0 else -NormalDist().inv_cdf(tail) - 1e-6
+
+
 def _py_optwin(p: Params, s: State, x: float) -> bool:
     w = _slide(s, x, int(p["max_window"]))
     n, least = w.size, int(p["min_len"])
@@ -442,12 +390,19 @@ def _py_optwin(p: Params, s: State, x: float) -> bool:
     effect = np.abs(rise) if p["two_sided"] else rise
     floor = p["rigor"] * np.sqrt(np.maximum(va, 1e-12)) / np.sqrt(b)
     level = p["delta"] / (cuts.size * max(math.ceil(p["max_window"] / p["clock"]), 1))
-    # tails are costly, so only cuts that pass the effect floor are tested, earliest first
-    for i in np.flatnonzero((effect > 0.0) & (effect >= floor)):
+    # t tails are never below normal tails, so a cut under the normal limit cannot pass the t test; only the rest, and
+    # cuts open to the variance test, get an exact tail, earliest first
+    se2_all = va / a + vb / b
+    z = np.abs(rise) if p["two_sided"] else rise
+    z = np.where(se2_all > 1e-12, z / np.sqrt(np.maximum(se2_all, 1e-300)), 0.0)
+    limit = _normal_limit(level / (2.0 if p["two_sided"] else 1.0))
+    open_t = z >= limit
+    worth = (effect > 0.0) & (effect >= floor) & (open_t | bool(p["f_test"]))
+    for i in np.flatnonzero(worth):
         ra, rb = va[i] / a[i], vb[i] / b[i]
         se2 = ra + rb
         t_p = 1.0
-        if se2 > 1e-12:
+        if open_t[i] and se2 > 1e-12:
             den = ra * ra / max(a[i] - 1, 1) + rb * rb / max(b[i] - 1, 1)
             dof = se2 * se2 / den if den > 1e-18 else 1.0
             t = rise[i] / math.sqrt(se2)

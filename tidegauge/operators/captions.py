@@ -2,50 +2,43 @@
 
 from __future__ import annotations
 
+import math
+from collections import Counter
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidegauge.core.expr import ratio
 from tidegauge.functions.answers import tokens
 
 
-def _grams(words: Column, k: int) -> Column:
-    n = F.size(words)
-    at = F.when(n >= k, F.sequence(F.lit(1), n - k + 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(at, lambda i: F.struct(F.lit(k).alias("k"), F.array_join(F.slice(words, i, k), " ").alias("g")))
+def ngram_cosine(h: list[str], r: list[str], n: int) -> float:
+    """Sum over k = 1..n of the cosine of k-gram counts, times 10/n."""
+    total = 0.0
+    for k in range(1, n + 1):
+        a, b = (Counter(zip(*(t[i:] for i in range(k)))) for t in (h, r))
+        dot = sum(c * b[g] for g, c in a.items() if g in b)
+        if dot:
+            total += dot / math.sqrt(sum(c * c for c in a.values()) * sum(c * c for c in b.values()))
+    return total * 10.0 / n
 
 
 def ngram_scores(pairs: DataFrame, uid: str, pred: str, ref: str, n: int = 4) -> DataFrame:
-    """Unigram precision and the TF n-gram cosine score (x 10, mean over 1..n).
+    """Unigram precision, the TF n-gram cosine score (x 10, mean over 1..n) and both lengths, over whole texts.
 
-    Grams of both sides are counted together by (pair, k, gram): one long text spreads over its grams, and no text is
-    compared gram by gram with another.
+    A pair is scored where it lies: hash counts are linear in the texts, and no n-gram is shuffled.
     """
-    long = None
-    for side, col in (("h", pred), ("r", ref)):
-        words = pairs.select(uid, tokens(F.col(col)).alias("w"))
-        grams = F.explode(F.flatten(F.array(*[_grams(F.col("w"), k) for k in range(1, n + 1)])))
-        part = words.select(uid, grams.alias("e")).select(
-            uid, "e.k", "e.g", F.lit(int(side == "h")).alias("h"), F.lit(int(side == "r")).alias("r")
-        )
-        long = part if long is None else long.unionByName(part)
-    counts = long.groupBy(uid, "k", "g").agg(F.sum("h").alias("h"), F.sum("r").alias("r"))
-    h, r = F.col("h").cast("double"), F.col("r").cast("double")
-    per_k = counts.groupBy(uid, "k").agg(
-        F.sum(h * r).alias("dot"), F.sqrt(F.sum(h * h)).alias("nh"), F.sqrt(F.sum(r * r)).alias("nr"),
-        F.sum("h").alias("len"), F.sum("r").alias("ref_len"), F.sum(F.when(r > 0, h)).alias("hits"),
-    )
-    one = F.col("k") == 1
-    cosine = ratio(F.col("dot"), F.col("nh") * F.col("nr"), 0.0)
-    scored = per_k.groupBy(uid).agg(
-        (F.sum(cosine) * (10.0 / n)).alias("cider"),
-        F.coalesce(F.max(F.when(one, F.col("len"))), F.lit(0)).alias("pred_len"),
-        F.coalesce(F.max(F.when(one, F.col("ref_len"))), F.lit(0)).alias("ref_len"),
-        F.coalesce(ratio(F.max(F.when(one, F.col("hits"))), F.max(F.when(one, F.col("len")))), F.lit(0.0)).alias("bleu1"),
-    )
-    none = {"cider": 0.0, "pred_len": 0, "ref_len": 0, "bleu1": 0.0}
-    return pairs.select(uid).join(scored, uid, "left").fillna(none)
+
+    @F.pandas_udf("cider double, pred_len long, ref_len long, bleu1 double")
+    def score(h: pd.Series, r: pd.Series) -> pd.DataFrame:
+        rows = []
+        for x, y in zip(h, r):
+            x, y = list(x), list(y)
+            known = set(y)
+            rows.append((ngram_cosine(x, y, n), len(x), len(y), sum(t in known for t in x) / len(x) if x else 0.0))
+        return pd.DataFrame(rows, columns=["cider", "pred_len", "ref_len", "bleu1"])
+
+    return pairs.select(uid, score(tokens(F.col(pred)), tokens(F.col(ref))).alias("s")).select(uid, "s.*")
 
 
 def lcs_length(a: list[str], b: list[str]) -> int:

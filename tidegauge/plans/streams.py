@@ -129,7 +129,7 @@ def traces(spark, sf, value) -> DataFrame:
 
 def fold_trace(spark, sf, method, params, value=None) -> DataFrame:
     packed = traces(spark, sf, value)
-    at = seq.alarm_trace(seq.fold(method, params), F.col("xs"))
+    at = seq.alarm_trace(seq.fold(method, params), "xs")
     return packed.select("user_id", "seg", F.explode(at).alias("at"))
 
 

@@ -101,8 +101,8 @@ class Pools:
         return drawn.groupBy("window_id").agg(F.transform(packed, lambda r: r["x"]).alias("xs"))
 
 
-def events_of(levels):
-    return F.transform(levels, lambda v: (v >= LEVEL).cast("double"))
+def events_of(levels: str) -> str:
+    return f"transform({levels}, v -> double(v >= {LEVEL}D))"
 
 
 def candidates(method: str):
@@ -114,15 +114,15 @@ def warmed(p: Pools, method: str) -> DataFrame:
     """State after calibration for each candidate setting: a handful of rows, one per grid value."""
     name, _ = seq.GRIDS[method]
     per = p.calibration().select("cal", F.explode(candidates(method)).alias("c")).select("cal", "c.*")
-    f = seq.fold(method, {**seq.GRID_BASE.get(method, {}), name: F.col("param")})
-    return per.select(F.lit(method).alias("method"), "idx", "param", seq.warm_state(f, F.col("cal")).alias("state"))
+    f = seq.fold(method, {**seq.GRID_BASE.get(method, {}), name: "param"})
+    return per.select(F.lit(method).alias("method"), "idx", "param", seq.warm_state(f, "cal").alias("state"))
 
 
 def onset_rows(p: Pools, method: str, params: dict) -> DataFrame:
     f = seq.fold(method, params)
-    warm = p.calibration().select(seq.warm_state(f, F.col("cal")).alias("state"))
+    warm = p.calibration().select(seq.warm_state(f, "cal").alias("state"))
     rows = p.trials().join(F.broadcast(warm))  # one row
-    both = seq.onset_detection(f, events_of(F.col("clean_level")), events_of(F.col("drift_level")), F.col("state"))
+    both = seq.onset_detection(f, events_of("clean_level"), events_of("drift_level"), "state")
     return rows.select("trial", both.alias("o")).select("trial", "o.prechange", "o.delay")
 
 
@@ -233,9 +233,9 @@ SELECT k AS window_id, min(CASE WHEN alarm THEN pos END)::INT AS first_alarm FRO
 def detects_in_window(spark, sf):
     p = Pools(spark, sf)
     f = seq.fold("hddm_w", HW)
-    warm = p.calibration().select(seq.warm_state(f, F.col("cal")).alias("state"))
+    warm = p.calibration().select(seq.warm_state(f, "cal").alias("state"))
     rows = p.stationary(p.k // 100, WSIZE).join(F.broadcast(warm))  # one row
-    return rows.select("window_id", seq.first_detection(f, F.col("xs"), F.col("state")).alias("first_alarm"))
+    return rows.select("window_id", seq.first_detection(f, "xs", "state").alias("first_alarm"))
 
 
 ONSET_SQL = f"""{TRIALS_SQL}, {CALSEQ_SQL}, {HD_WARM},
@@ -254,14 +254,14 @@ def trial_traces(spark, sf) -> DataFrame:
     """Delay after onset plus alarm windows (last 20 of the clean part, every 10) of one method and seed."""
     p = Pools(spark, sf)
     f = seq.fold("hddm_w", HW)
-    warm = p.calibration().select(seq.warm_state(f, F.col("cal")).alias("state"))
+    warm = p.calibration().select(seq.warm_state(f, "cal").alias("state"))
     rows = p.trials().join(F.broadcast(warm))  # one row
-    clean = events_of(F.col("clean_level"))
+    clean = events_of("clean_level")
     ends = F.sequence(F.lit(20), F.lit(CLEAN), F.lit(10))
-    at = seq.alarm_trace(f, clean, F.col("state"))
+    at = seq.alarm_trace(f, clean, "state")
     out = rows.select("trial", "drift_level", "clean_level", "state", at.alias("at"))
     hits = F.filter(ends, lambda e: F.exists("at", lambda a: (a <= e) & (a > e - 20)))
-    onset = seq.onset_detection(f, clean, events_of(F.col("drift_level")), F.col("state"))
+    onset = seq.onset_detection(f, clean, events_of("drift_level"), "state")
     return out.select(
         "trial", onset["delay"].alias("delay"), onset["prechange"].alias("prechange"), F.size(hits).alias("alarm_windows"),
         F.size(ends).alias("windows"),
@@ -315,12 +315,12 @@ def ratio_results(spark, sf) -> DataFrame:
     """Per window: first alarm (ratio 0) or alarm after onset with pre-change alarms (contiguous tail)."""
     p = Pools(spark, sf)
     f = seq.fold("hddm_w", HW)
-    warm = p.calibration().select(seq.warm_state(f, F.col("cal")).alias("state"))
+    warm = p.calibration().select(seq.warm_state(f, "cal").alias("state"))
     plan = smp.window_plan(spark, p.c // 250, WSIZE, RATIOS, p.c, p.d, 6)
     rows = smp.materialize(plan, p.both(), ["ratio", "window_id", "n_clean", "n_drift"], ["level"]).join(F.broadcast(warm))  # one row
-    clean, drift = events_of(F.col("clean_level")), events_of(F.col("drift_level"))
-    onset = seq.onset_detection(f, clean, drift, F.col("state"))
-    alone = F.struct(F.lit(0).alias("prechange"), seq.first_detection(f, clean, F.col("state")).alias("delay"))
+    clean, drift = events_of("clean_level"), events_of("drift_level")
+    onset = seq.onset_detection(f, clean, drift, "state")
+    alone = F.struct(F.lit(0).alias("prechange"), seq.first_detection(f, clean, "state").alias("delay"))
     out = F.when(F.col("n_drift") > 0, onset).otherwise(alone)
     return rows.select("ratio", "window_id", "n_clean", "n_drift", out.alias("o")).select(
         "ratio", "window_id", "n_clean", "n_drift", "o.prechange", "o.delay"
@@ -361,9 +361,9 @@ cand AS (SELECT 'ddm' AS method, idx, param, avg(hit::INT) AS fpr FROM det GROUP
 def calibration_rows(p: Pools, method: str = "ddm") -> DataFrame:
     """Alarm rate of every candidate on stationary windows; the grid is a few rows, so it is the broadcast side."""
     name, _ = seq.GRIDS[method]
-    f = seq.fold(method, {**seq.GRID_BASE.get(method, {}), name: F.col("param")})
+    f = seq.fold(method, {**seq.GRID_BASE.get(method, {}), name: "param"})
     rows = p.stationary(p.k // 100, WSIZE).join(F.broadcast(warmed(p, method)))
-    hit = seq.first_detection(f, F.col("xs"), F.col("state")).isNotNull()
+    hit = seq.first_detection(f, "xs", "state").isNotNull()
     return rows.select("method", "idx", "param", hit.cast("double").alias("hit")).groupBy("method", "idx", "param").agg(F.avg("hit").alias("fpr"))
 
 
@@ -391,9 +391,9 @@ SELECT method, CASE WHEN ok THEN 'selected' ELSE 'not_calibratable' END AS statu
   round(CASE WHEN ok THEN power END, 6) AS power, round(CASE WHEN ok THEN fpr END, 6) AS fpr FROM r WHERE k = 1""")
 def config_power_select(spark, sf):
     p = Pools(spark, sf)
-    f = seq.fold("ddm", {"drift": F.col("param")})
+    f = seq.fold("ddm", {"drift": "param"})
     rows = p.trials().join(F.broadcast(warmed(p, "ddm")))  # grid rows
-    hit = seq.onset_detection(f, events_of(F.col("clean_level")), events_of(F.col("drift_level")), F.col("state"))["delay"].isNotNull()
+    hit = seq.onset_detection(f, events_of("clean_level"), events_of("drift_level"), "state")["delay"].isNotNull()
     power = rows.select("idx", hit.cast("double").alias("h")).groupBy("idx").agg(F.avg("h").alias("power"))
     out = sig.pick_by_power(calibration_rows(p).join(power, "idx"), 0.5)
     return out.select("method", "status", "selected_index", F.round("power", 6).alias("power"), F.round("fpr", 6).alias("fpr"))
