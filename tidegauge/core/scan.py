@@ -129,14 +129,24 @@ def with_sizes(df: DataFrame, keys: Sequence[str], name: str = "n") -> DataFrame
     return df.join(sizes, list(keys))
 
 
+def first_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], k: int) -> DataFrame:
+    """The first k rows of each key; Spark cuts every task's rows to k per key before the shuffle."""
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    return df.withColumn("_rank", rank).where(F.col("_rank") <= k).drop("_rank")
+
+
 def exact_quantiles(
-    df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], names: Sequence[str]
+    df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], names: Sequence[str], rows: int | None = None
 ) -> DataFrame:
-    """Linear-interpolated quantiles without holding a group's values in one task.
+    """Linear-interpolated quantiles without holding a large group's values in one task.
 
-    Equal values are combined first; positions come from the bucketed running count, and each quantile needs the two
-    values around (n-1)*p only.
+    Up to the bucket budget one ``percentile`` aggregate is enough. Beyond it, equal values are combined first, positions
+    come from the bucketed running count, and each quantile needs the two values around (n-1)*p only.
     """
+    budget = row_budget(df.sparkSession, BUCKET_KEY, BUCKET_ROWS)
+    if (df.count() if rows is None else rows) <= budget:
+        q = df.groupBy(*keys).agg(F.count(value).alias("n"), F.percentile(value, [float(p) for p in probs]).alias("_q"))
+        return q.select(*keys, "n", *[F.get("_q", F.lit(i)).alias(n) for i, n in enumerate(names)])
     counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_m"))
     ran = prefix_scan(counts, keys, [value], {"_cum": ("sum", F.col("_m"))}, axis=F.col(value))
     sized = counts.groupBy(*keys).agg(F.sum("_m").alias("n"))

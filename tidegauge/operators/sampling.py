@@ -70,7 +70,7 @@ def stable_mask(uid: Column, fraction: float) -> Column:
 
 def affine_index(window: Column, j: Column, pool_size: Column | int, seed: int = 0, source: int = 0) -> Column:
     n = pool_size if isinstance(pool_size, Column) else F.lit(pool_size)
-    a = F.get(lit_array(PRIMES), (window % len(PRIMES)).cast("int"))
+    a = F.get(F.expr(f"array({', '.join(f'{p}L' for p in PRIMES)})"), (window % len(PRIMES)).cast("int"))
     b = (window * F.lit(STEP_WINDOW) + F.lit(seed * STEP_SEED + source * STEP_SOURCE)) % n
     return ((a * j) % n + b) % n
 

@@ -52,7 +52,7 @@ def format_ecdf(reference: DataFrame, values: DataFrame, fmt: str, value: str) -
     counts = ref.where(F.col(value).isNotNull()).groupBy("ref_group", value).agg(F.count(F.lit(1)).alias("_r"))
     both = counts.withColumn("ref_group", F.explode(F.array(F.col("ref_group"), F.lit(ALL))))
     both = both.groupBy("ref_group", value).agg(F.sum("_r").alias("_r"))
-    present = F.broadcast(ref.select("ref_group").distinct().withColumn("_own", F.lit(True)))  # one row per format group
+    present = ref.select("ref_group").distinct().withColumn("_own", F.lit(True))
     asked = values.withColumn("group", format_group(F.col(fmt))).join(
         present.withColumnRenamed("ref_group", "group"), "group", "left"
     )

@@ -14,7 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidegauge.core.expr import lit_array, ratio
+from tidegauge.core.expr import ratio
+from tidegauge.core.scan import exact_quantiles
 
 KERNEL_ROWS = 512  # size of the reference sample of the kernel and rank scorers
 MAX_DIM = 4096  # bound on d for the driver's d x d step
@@ -44,9 +45,8 @@ def gram(df: DataFrame, col: str, d: int) -> DataFrame:
 
     rows = df.select(F.col(col).cast("array<double>").alias("x"))
     parts = rows.mapInPandas(partial, "i int, n bigint, s double, g array<double>")
-    total = [F.sum(F.get("g", F.lit(j))).alias(f"g{j}") for j in range(d)]
-    summed = parts.groupBy("i").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), *total)
-    return summed.select("i", "n", "s", F.array(*[F.col(f"g{j}") for j in range(d)]).alias("g"))
+    row = ", ".join(f"sum(g[{j}])" for j in range(d))
+    return parts.groupBy("i").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.expr(f"array({row})").alias("g"))
 
 
 def moments(df: DataFrame, col: str, d: int, eps: float = 0.0) -> DataFrame:
@@ -93,23 +93,22 @@ def project(col: Column, model: Pca) -> Column:
     return run(col)
 
 
-def whitened_norm(means: Sequence[Column], model: Pca, eps: float) -> Column:
-    """Mahalanobis length of a projected vector; the projected reference has mean 0 and a diagonal covariance."""
-    total = F.lit(0.0)
-    for m, var in zip(means, model.variances):
-        total = total + m * m / (float(var) + eps)
-    return F.sqrt(F.greatest(total, F.lit(0.0)))
+def whitened_norm(means: Sequence[str], model: Pca, eps: float) -> Column:
+    """Mahalanobis length of a projected vector given by column names; the projected reference has mean 0 and a diagonal
+    covariance, so each squared coordinate is divided by its own variance."""
+    terms = " + ".join(f"{m} * {m} / {float(var) + eps!r}D" for m, var in zip(means, model.variances))
+    return F.expr(f"sqrt(greatest({terms}, 0.0D))")
 
 
 def array_norm(z: Column, model: Pca, eps: float) -> Column:
-    inv = lit_array([1.0 / (float(v) + eps) for v in model.variances])
+    inv = F.expr("array(" + ", ".join(f"{1.0 / (float(v) + eps)!r}D" for v in model.variances) + ")")
     terms = F.zip_with(z, inv, lambda a, b: a * a * b)
     return F.sqrt(F.aggregate(terms, F.lit(0.0), lambda s, x: s + x))
 
 
 def window_means(drawn: DataFrame, keys: Sequence[str], streams: dict[str, int]) -> DataFrame:
     """Mean vector per window and stream as plain columns ``<stream>_<i>``: one pass, combined map-side, no explode."""
-    aggs = [F.avg(F.get(s, F.lit(i))).alias(f"{s}_{i}") for s, k in streams.items() for i in range(k)]
+    aggs = [F.expr(f"avg({s}[{i}]) AS {s}_{i}") for s, k in streams.items() for i in range(k)]
     return drawn.groupBy(*keys).agg(*aggs)
 
 
@@ -117,7 +116,7 @@ def mahalanobis_scores(means: DataFrame, keys: Sequence[str], models: dict[str,
     """Long table keys + (stream, score)."""
     per = [
         F.struct(F.lit(s).alias("stream"),
-                 whitened_norm([F.col(f"{s}_{i}") for i in range(len(m.variances))], m, eps).alias("score"))
+                 whitened_norm([f"{s}_{i}" for i in range(len(m.variances))], m, eps).alias("score"))
         for s, m in models.items()
     ]
     return means.select(*keys, F.explode(F.array(*per)).alias("p")).select(*keys, "p.stream", "p.score")
@@ -240,11 +239,13 @@ def reference_sample(pool: DataFrame, col: str, idx: str = "idx", rows: int = KE
 # ------------------------------------------------------------------ calibration, fusion, rates
 
 
-def thresholds(scores: DataFrame, keys: Sequence[str], q: float | Sequence[float]) -> DataFrame:
-    """Linear quantile(s) of calibration scores; one row per sampled window, so the group size is the plan's."""
-    many = not isinstance(q, float)
-    value = F.percentile("score", list(q) if many else q)
-    return scores.groupBy(*keys).agg(value.alias("threshold"))
+def thresholds(scores: DataFrame, keys: Sequence[str], q: float | Sequence[float], rows: int | None = None) -> DataFrame:
+    """Linear quantile(s) of calibration scores; ``rows`` is the number of scores where the plan tells it."""
+    if isinstance(q, float):
+        return exact_quantiles(scores, keys, "score", [q], ["threshold"], rows).drop("n")
+    names = [f"_t{i}" for i in range(len(q))]
+    out = exact_quantiles(scores, keys, "score", list(q), names, rows)
+    return out.select(*keys, F.array(*[F.col(n) for n in names]).alias("threshold"))
 
 
 def fuse(scores: DataFrame, limits: DataFrame, keys: Sequence[str], extra: Sequence[str] = ()) -> DataFrame:
@@ -293,12 +294,10 @@ def macro_metrics(rates: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def standard_scaler(df: DataFrame, col: str, d: int) -> DataFrame:
     """One row with per-dimension mean and population deviation (tiny deviations become 1)."""
-    v = [F.get(F.col(col), F.lit(i)).cast("double") for i in range(d)]
-    sd = [F.stddev_pop(x) for x in v]
-    return df.agg(
-        F.array(*[F.avg(x) for x in v]).alias("mean"),
-        F.array(*[F.when(s < 1e-12, 1.0).otherwise(s) for s in sd]).alias("scale"),
-    )
+    v = [f"double({col}[{i}])" for i in range(d)]
+    means = ", ".join(f"avg({x})" for x in v)
+    scales = ", ".join(f"if(stddev_pop({x}) < 1e-12D, 1.0D, stddev_pop({x}))" for x in v)
+    return df.agg(F.expr(f"array({means})").alias("mean"), F.expr(f"array({scales})").alias("scale"))
 
 
 def standardize(df: DataFrame, col: str, scaler: DataFrame, out: str = "z") -> DataFrame:

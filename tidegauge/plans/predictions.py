@@ -462,11 +462,10 @@ def sink_results(spark, sf):
 @query("sink_model_tables")
 def sink_model_tables(spark, sf):
     """Fitted models and thresholds written to the shared folder and read back."""
-    from tidegauge.operators import vectors as vec
-    from tidegauge.plans.vectors import Q, Setup
+    from tidegauge.plans.vectors import Setup
 
     s = Setup(spark, sf)
     out = f"{shared_dir(spark)}/models-{uuid.uuid4().hex}"
-    sinks.write_models(spark, s.models, vec.thresholds(s.cal_scores(), ["stream"], Q), out)
+    sinks.write_models(spark, s.models, s.limits(), out)
     comps = spark.read.parquet(f"{out}/components").select("stream", "component", "variance")
     return comps.join(F.broadcast(spark.read.parquet(f"{out}/thresholds")), "stream")  # one row per stream

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidegauge.core.scan import first_k
 from tidegauge.core.session import table
 from tidegauge.operators import sampling as smp
 from tidegauge.plans.registry import query
@@ -246,10 +247,8 @@ def ratio_split(spark, sf):
 SELECT doc_id, source FROM r WHERE rn <= 8 ORDER BY doc_id LIMIT 100""")
 def cap_per_task(spark, sf):
     """First 8 rows per source, then the first 100 overall: both caps are the operator's own parameters."""
-    from tidegauge.core.scan import positions
-
-    docs = positions(table(spark, sf, "documents", "doc_id", "source"), ["source"], ["doc_id"], F.col("doc_id"))
-    return docs.where("rn <= 8").select("doc_id", "source").orderBy("doc_id").limit(100)
+    docs = first_k(table(spark, sf, "documents", "doc_id", "source"), ["source"], ["doc_id"], 8)
+    return docs.orderBy("doc_id").limit(100)
 
 
 @query("pair_interleave", """WITH a AS (SELECT doc_id, row_number() OVER (ORDER BY md5('mix:a:' || doc_id), doc_id) AS pair FROM labels WHERE quality = 1),
@@ -277,5 +276,5 @@ def sample_natural(spark, sf):
 @query("lowshot", """SELECT vec_id, label FROM (SELECT vec_id, label, row_number() OVER (PARTITION BY label ORDER BY md5('low:' || vec_id), vec_id) AS rn FROM embeddings) WHERE rn <= 3""")
 def lowshot(spark, sf):
     """The first three rows of each class in digest order (the operator's own k)."""
-    ranked = smp.stable_order(table(spark, sf, "embeddings", "vec_id", "label"), "vec_id", "low", ["label"])
-    return ranked.where("rn <= 3").select("vec_id", "label")
+    e = table(spark, sf, "embeddings", "vec_id", "label")
+    return first_k(e, ["label"], [smp.digest(F.col("vec_id"), "low"), "vec_id"], 3)

@@ -6,7 +6,7 @@ import math
 
 from pyspark.sql import functions as F
 
-from tidegauge.core.scan import positions
+from tidegauge.core.scan import exact_quantiles, positions
 from tidegauge.core.session import cut_lineage, table
 from tidegauge.operators import sampling as smp
 from tidegauge.operators import vectors as vec
@@ -128,11 +128,19 @@ class Setup:
         means = vec.window_means(self.drawn() if drawn is None else drawn, keys, self.k)
         return vec.mahalanobis_scores(means, keys, self.models, EPS)
 
+    @property
+    def cal_rows(self):
+        return len(STREAMS) * 4 * (self.sizes["calibrate"] // 3)
+
+    def limits(self, q=None):
+        """Thresholds per stream from the calibration windows."""
+        return vec.thresholds(self.cal_scores(), ["stream"], Q if q is None else q, self.cal_rows)
+
     def cal_scores(self):
         return self.scores(self.cal_drawn(), ["window_id"])
 
     def fused(self):
-        return vec.fuse(self.scores(), vec.thresholds(self.cal_scores(), ["stream"], Q), WINDOW)
+        return vec.fuse(self.scores(), self.limits(), WINDOW)
 
 
 def r6(*names):
@@ -184,9 +192,9 @@ def window_mahalanobis_from_sums(spark, sf):
     s = Setup(spark, sf)
     cols = [(st, i) for st, k in s.k.items() for i in range(k)]
     sums = s.drawn().groupBy(*WINDOW, "source").agg(
-        F.count(F.lit(1)).alias("n"), *[F.sum(F.get(st, F.lit(i))).alias(f"{st}_{i}") for st, i in cols]
+        F.count(F.lit(1)).alias("n"), *[F.expr(f"sum({st}[{i}]) AS {st}_{i}") for st, i in cols]
     )
-    total = sums.groupBy(*WINDOW).agg(*[(F.sum(f"{st}_{i}") / F.sum("n")).alias(f"{st}_{i}") for st, i in cols])
+    total = sums.groupBy(*WINDOW).agg(*[F.expr(f"sum({st}_{i}) / sum(n) AS {st}_{i}") for st, i in cols])
     return vec.mahalanobis_scores(total, WINDOW, s.models, EPS).withColumn("score", F.round("score", 6))
 
 
@@ -319,8 +327,9 @@ CAL_ONLY_SQL = f"WITH {EMB_SQL},\n{STREAM_SQL},\n{MODEL_SQL},\n{CALSCORES_SQL}"
 @query("calibrate_threshold", f"""{CAL_ONLY_SQL}
 SELECT stream, count(*) AS windows, round(quantile_cont(score, {Q}), 6) AS threshold FROM calscores GROUP BY 1""")
 def calibrate_threshold(spark, sf):
-    scores = Setup(spark, sf).cal_scores()
-    return scores.groupBy("stream").agg(F.count(F.lit(1)).alias("windows"), F.round(F.percentile("score", Q), 6).alias("threshold"))
+    s = Setup(spark, sf)
+    q = exact_quantiles(s.cal_scores(), ["stream"], "score", [Q], ["threshold"], s.cal_rows)
+    return q.select("stream", F.col("n").alias("windows"), F.round("threshold", 6).alias("threshold"))
 
 
 @query("threshold_grid", f"""{CAL_ONLY_SQL}
@@ -328,7 +337,7 @@ SELECT stream, q, round(t, 6) AS threshold FROM (SELECT stream, unnest([0.95, 0.
   unnest(quantile_cont(score, [0.95, 0.97, 0.99, 0.995])) AS t FROM calscores GROUP BY 1)""")
 def threshold_grid(spark, sf):
     qs = [0.95, 0.97, 0.99, 0.995]
-    t = vec.thresholds(Setup(spark, sf).cal_scores(), ["stream"], qs)
+    t = Setup(spark, sf).limits(qs)
     pairs = F.arrays_zip(F.array(*[F.lit(q) for q in qs]).alias("q"), F.col("threshold").alias("t"))
     return t.select("stream", F.explode(pairs).alias("p")).select("stream", "p.q", F.round("p.t", 6).alias("threshold"))
 
@@ -367,7 +376,7 @@ def group_detection(spark, sf):
     s = Setup(spark, sf)
     groups = F.when(F.col("stream") == "A", F.array(F.lit("A"), F.lit("A+B"))).otherwise(F.array(F.lit("B"), F.lit("A+B")))
     scores = s.scores().withColumn("feature_group", F.explode(groups))
-    fused = vec.fuse(scores, vec.thresholds(s.cal_scores(), ["stream"], Q), ["feature_group", *WINDOW])
+    fused = vec.fuse(scores, s.limits(), ["feature_group", *WINDOW])
     return vec.detection_rates(fused, ["feature_group", "ratio"]).select("feature_group", "ratio", "windows", *r6("rate"))
 
 
@@ -376,7 +385,7 @@ SELECT count(*) AS windows, 20 AS permutations, 0.0 AS max_span, 0::BIGINT AS di
 def permutation_check(spark, sf):
     """Scores of 20 shuffled copies of each window; the window mean must not depend on the order."""
     s = Setup(spark, sf)
-    limits = vec.thresholds(s.cal_scores(), ["stream"], Q)
+    limits = s.limits()
     copies = s.drawn().withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(19))))
     copies = copies.repartition(*WINDOW, "perm").sortWithinPartitions(F.md5(F.concat_ws(":", "perm", "window_id", "slot")))
     fused = vec.fuse(s.scores(copies, [*WINDOW, "perm"]), limits, [*WINDOW, "perm"])
@@ -417,11 +426,11 @@ def sliding_replay(spark, sf):
         F.when(clean, smp.affine_index(F.col("trial"), F.col("pos"), s.sizes["clean"], 5, 0))
         .otherwise(smp.affine_index(F.col("trial"), F.col("pos") - SIZE, s.sizes["drift"], 5, 1)).alias("pool_idx"),
     )
-    cols = {f"{st}_{i}": F.get(st, F.lit(i)) for st, k in s.k.items() for i in range(k)}
+    cols = {f"{st}_{i}": F.expr(f"{st}[{i}]") for st, k in s.k.items() for i in range(k)}
     sums = sliding_sums(s.drawn(plan), ["trial"], SIZE, 5, cols)
     means = sums.select("trial", (F.col("endpoint") - SIZE).alias("checkpoint"), *[(F.col(c) / SIZE).alias(c) for c in cols])
     scores = vec.mahalanobis_scores(means, ["trial", "checkpoint"], s.models, EPS)
-    fused = vec.fuse(scores, vec.thresholds(s.cal_scores(), ["stream"], Q), ["trial", "checkpoint"])
+    fused = vec.fuse(scores, s.limits(), ["trial", "checkpoint"])
     return fused.select("trial", "checkpoint", F.round("max_norm", 6).alias("fused"), (F.col("max_norm") > 1).alias("alarm"))
 
 
@@ -437,7 +446,7 @@ def score_linear_head(spark, sf):
     """Stored heads of the classes below 8 (class means of standardised features); options without a head are skipped."""
     rows = table(spark, sf, "embeddings")
     z = vec.standardize(rows, "embedding", vec.standard_scaler(rows, "embedding", DIM))
-    heads = z.where("label < 8").groupBy("label").agg(F.array(*[F.avg(F.get("z", F.lit(i))) for i in range(DIM)]).alias("w"))
+    heads = z.where("label < 8").groupBy("label").agg(F.expr("array(" + ", ".join(f"avg(z[{i}])" for i in range(DIM)) + ")").alias("w"))
     lab = F.col("label")
     options = F.create_map(F.lit("A"), lab, F.lit("B"), (lab + 3) % 10, F.lit("C"), (lab + 7) % 10)
     out = vec.pick_option(z.withColumn("options", options), "vec_id", "options", "z", heads)
@@ -470,12 +479,12 @@ def reference_drift_grid(spark, sf):
         drawn = plans.join(dist.select("label", F.col("idx").alias("pool_idx"), "d", "z"), ["label", "pool_idx"])
         k = len(model.variances)
         scored = drawn.groupBy("drift", "ratio", "window_id").agg(
-            F.avg("d").alias("mean_sample"), F.percentile("d", 0.9).alias("p90_sample"), *[F.avg(F.get("z", F.lit(i))).alias(f"z_{i}") for i in range(k)]
+            F.avg("d").alias("mean_sample"), F.percentile("d", 0.9).alias("p90_sample"), *[F.expr(f"avg(z[{i}]) AS z_{i}") for i in range(k)]
         )
-        scored = scored.withColumn("window_mean", vec.whitened_norm([F.col(f"z_{i}") for i in range(k)], model, 1e-4))
+        scored = scored.withColumn("window_mean", vec.whitened_norm([f"z_{i}" for i in range(k)], model, 1e-4))
         modes = F.array(*[F.struct(F.lit(m).alias("mode"), F.col(m).alias("score")) for m in ("mean_sample", "p90_sample", "window_mean")])
         long = scored.select("drift", "ratio", F.explode(modes).alias("m")).select("drift", "ratio", "m.*")
-        limits = long.where("drift = -1").groupBy("mode").agg(F.percentile("score", 0.95).alias("threshold"))  # one row per window
+        limits = vec.thresholds(long.where("drift = -1"), ["mode"], 0.95, 3 * windows)
         tested = long.where("drift >= 0").join(F.broadcast(limits), "mode")  # three rows
         part = tested.groupBy("drift", "mode").agg(
             F.avg(F.when(F.col("ratio") == 0, (F.col("score") > F.col("threshold")).cast("double"))).alias("fpr"),

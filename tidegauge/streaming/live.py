@@ -21,11 +21,11 @@ from tidegauge.functions import sequential as seq
 from tidegauge.operators.vectors import Pca
 
 
-def stream_parquet(spark: SparkSession, folder: str, name: str, files_per_trigger: int = 64) -> DataFrame:
-    """A parquet table as a stream, with the schema of the files present."""
+def stream_parquet(spark: SparkSession, folder: str, name: str, bytes_per_trigger: int = 256 << 20) -> DataFrame:
+    """A parquet table as a stream, with the schema of the files present; a micro-batch is limited by its bytes."""
     schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
     return (
-        spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet*").option("maxFilesPerTrigger", files_per_trigger)
+        spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet*").option("maxBytesPerTrigger", bytes_per_trigger)
         .parquet(folder)
     )
 
