@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tidegauge.core.expr import let
+
 # word boundaries spelled out for all letters, since the engine's \b differs between Java versions
 LEFT, RIGHT = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
 
@@ -17,23 +19,28 @@ def blank(text: Column) -> Column:
 
 def yes_no(text: Column) -> Column:
     """First yes/no/true/false/y/n token as Yes or No; else by how the text starts; else empty."""
-    s = F.lower(F.trim(blank(text)))
-    token = F.regexp_extract(s, LEFT + "(yes|no|true|false|y|n)" + RIGHT, 1)
-    return (
-        F.when(token.isin("yes", "y", "true"), "Yes")
-        .when(token.isin("no", "n", "false"), "No")
-        .when(s.startswith("yes"), "Yes")
-        .when(s.startswith("no"), "No")
-        .otherwise("")
-    )
+    def pick(s: Column) -> Column:
+        return let(
+            F.regexp_extract(s, LEFT + "(yes|no|true|false|y|n)" + RIGHT, 1),
+            lambda token: F.when(token.isin("yes", "y", "true"), "Yes")
+            .when(token.isin("no", "n", "false"), "No")
+            .when(s.startswith("yes"), "Yes")
+            .when(s.startswith("no"), "No")
+            .otherwise(""),
+        )
+
+    return let(F.lower(F.trim(blank(text))), pick)
 
 
 def option_letter(text: Column, letters: str) -> Column:
     """Letter after ANSWER / FINAL / OPTION, else a lone letter, else the first one anywhere."""
-    s = F.upper(F.trim(blank(text)))
-    named = F.regexp_extract(s, rf"(ANSWER|FINAL|OPTION)\s*[:\-]?\s*([{letters}])" + RIGHT, 2)
-    lone = F.regexp_extract(s, LEFT + f"([{letters}])" + RIGHT, 1)
-    return F.when(named != "", named).when(lone != "", lone).otherwise(F.regexp_extract(s, f"([{letters}])", 1))
+    def stages(s: Column) -> Column:
+        named = F.regexp_extract(s, rf"(ANSWER|FINAL|OPTION)\s*[:\-]?\s*([{letters}])" + RIGHT, 2)
+        lone = F.regexp_extract(s, LEFT + f"([{letters}])" + RIGHT, 1)
+        # an empty match falls through to the next stage, which is only then evaluated
+        return F.coalesce(F.nullif(named, F.lit("")), F.nullif(lone, F.lit("")), F.regexp_extract(s, f"([{letters}])", 1))
+
+    return let(F.upper(F.trim(blank(text))), stages)
 
 
 def option_letters(text: Column, letters: str) -> Column:
@@ -137,17 +144,19 @@ def slug(text: Column) -> Column:
 
 
 def parse_options(text: Column) -> Column:
-    """``A. x B) y C: z`` as a map of letter to option; NULL when nothing can be read."""
+    """``A. x B) y C: z`` as a map of letter to option; NULL when nothing can be read. A repeated letter keeps its last option."""
     mark = LEFT + r"([A-Z])[.):]\s*"
-    keys = F.regexp_extract_all(text, F.lit(mark), F.lit(1))
-    parts = F.split(text, mark)
-    bodies = F.slice(parts, F.lit(2), F.size(parts))
-    pairs = F.filter(F.arrays_zip(keys.alias("k"), bodies.alias("v")), lambda p: F.trim(p["v"]) != "")
-    # a repeated letter keeps its last option
-    last = F.filter(
-        pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["k"] == p["k"])
-    )
-    return F.when(F.size(pairs) > 0, F.map_from_entries(F.transform(last, lambda p: F.struct(p["k"], F.trim(p["v"])))))
+
+    def build(pairs: Column) -> Column:
+        last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["k"] == p["k"]))
+        return F.when(F.size(pairs) > 0, F.map_from_entries(F.transform(last, lambda p: F.struct(p["k"], F.trim(p["v"])))))
+
+    def zipped(parts: Column) -> Column:
+        keys = F.regexp_extract_all(text, F.lit(mark), F.lit(1))
+        bodies = F.slice(parts, F.lit(2), F.size(parts))
+        return F.filter(F.arrays_zip(keys.alias("k"), bodies.alias("v")), lambda p: F.trim(p["v"]) != "")
+
+    return let(let(F.split(text, mark), zipped), build)
 
 
 def answer_key(options: Column, candidates: Sequence[Column]) -> Column:
@@ -166,37 +175,47 @@ SCORES = "struct<method:string,scores:map<string,double>>"
 
 def parse_scores(raw: Column) -> Column:
     """Option log-probabilities, or NULL unless the method is logprob and all scores are finite."""
-    p = F.from_json(raw, SCORES)
-    ok = (
-        (p["method"] == "logprob")
-        & (F.size(p["scores"]) > 0)
-        & F.forall(F.map_values(p["scores"]), lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
-    )
-    return F.when(ok, p["scores"])
+
+    def checked(p: Column) -> Column:
+        ok = (
+            (p["method"] == "logprob")
+            & (F.size(p["scores"]) > 0)
+            & F.forall(F.map_values(p["scores"]), lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
+        )
+        return F.when(ok, p["scores"])
+
+    return let(F.from_json(raw, SCORES), checked)
 
 
-def _matched(scores: Column, target: Column, same: bool) -> Column:
+def _split_scores(scores: Column, target: Column) -> Column:
+    """Scores with the target's label and the others, by normalised label."""
     t = normalize_label(target)
 
-    def hit(e: Column) -> Column:
-        eq = normalize_label(e["key"]) == t
-        return eq if same else ~eq
+    def values(e: Column, same: bool) -> Column:
+        kept = F.filter(e, lambda x: (normalize_label(x["key"]) == t) if same else (normalize_label(x["key"]) != t))
+        return F.transform(kept, lambda x: x["value"])
 
-    return F.transform(F.filter(F.map_entries(scores), hit), lambda e: e["value"])
+    return let(F.map_entries(scores), lambda e: F.struct(values(e, True).alias("hit"), values(e, False).alias("wrong")))
 
 
 def option_nll(scores: Column, target: Column) -> Column:
     """log-sum-exp of all scores minus the target's; NULL unless exactly one label matches."""
-    values = F.map_values(scores)
-    top = F.array_max(values)
-    spread = F.aggregate(values, F.lit(0.0), lambda s, v: s + F.exp(v - top))
-    hit = _matched(scores, target, True)
-    return F.when(F.size(hit) == 1, top + F.log(spread) - F.get(hit, F.lit(0)))
+
+    def total(values: Column) -> Column:
+        return let(F.array_max(values), lambda top: top + F.log(F.aggregate(values, F.lit(0.0), lambda s, v: s + F.exp(v - top))))
+
+    return let(
+        _split_scores(scores, target),
+        lambda m: F.when(F.size(m["hit"]) == 1, total(F.concat(m["hit"], m["wrong"])) - F.get(m["hit"], F.lit(0))),
+    )
 
 
 def margin_loss(scores: Column, target: Column) -> Column:
-    hit, wrong = _matched(scores, target, True), _matched(scores, target, False)
-    return F.when((F.size(hit) == 1) & (F.size(wrong) > 0), F.array_max(wrong) - F.get(hit, F.lit(0)))
+    """Best wrong score minus the right one."""
+    return let(
+        _split_scores(scores, target),
+        lambda m: F.when((F.size(m["hit"]) == 1) & (F.size(m["wrong"]) > 0), F.array_max(m["wrong"]) - F.get(m["hit"], F.lit(0))),
+    )
 
 
 def tokens(text: Column) -> Column:

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidegauge.core.expr import ratio
+from tidegauge.core.expr import let, ratio
 from tidegauge.core.scan import positions, prefix_scan, with_sizes
 from tidegauge.operators.results import pareto
 
@@ -164,24 +164,36 @@ def fit_curve_gain(curve: Column, target: Column, cap: float = 1.0) -> Column:
 
     The scale with the smallest squared error is taken from a fixed search list; equal errors keep the smaller scale.
     """
-    pts = F.array_sort(curve)
-    start = F.get(pts, F.lit(0))["acc"]
-    last = F.get(pts, F.size(pts) - 1)
-    top = F.greatest(start, F.lit(min(cap, 1.0)))
-    scales = F.array(*[F.greatest(last["step"] / d, F.lit(1e-6)) for d in SCALE_DIVISORS], *[F.lit(v) for v in SCALE_FIXED])
-
-    def sse(s: Column) -> Column:
-        def err(p: Column) -> Column:
-            pred = F.when(p["step"] > 0, start + (top - start) * (p["step"] / (p["step"] + s))).otherwise(start)
-            return (pred - p["acc"]) * (pred - p["acc"])
-
-        return F.aggregate(pts, F.lit(0.0), lambda a, p: a + err(p))
-
-    best = F.array_min(F.transform(scales, lambda s: F.struct(sse(s).alias("e"), s.alias("s"))))["s"]
-    gain = F.greatest(F.lit(0.0), last["acc"] - start)
-    flat = (F.size(pts) < 2) | (gain <= 0)
-    predicted = F.when(flat | (top <= start), 0.0).otherwise(F.greatest(F.lit(0.0), (top - start) * (target / (target + best))))
-    return F.struct(F.when(flat, 0.0).otherwise(gain).alias("profile_gain"), best.alias("scale"), predicted.alias("predicted_gain"))
+
+    def ends(pts: Column) -> Column:
+        return F.struct(
+            pts.alias("pts"), F.get(pts, F.lit(0))["acc"].alias("start"), F.get(pts, F.size(pts) - 1).alias("last"),
+            F.greatest(F.get(pts, F.lit(0))["acc"], F.lit(min(cap, 1.0))).alias("top"),
+        )
+
+    def search(r: Column) -> Column:
+        def sse(s: Column) -> Column:
+            def err(p: Column) -> Column:
+                pred = F.when(p["step"] > 0, r["start"] + (r["top"] - r["start"]) * (p["step"] / (p["step"] + s))).otherwise(r["start"])
+                return (pred - p["acc"]) * (pred - p["acc"])
+
+            return F.aggregate(r["pts"], F.lit(0.0), lambda a, p: a + err(p))
+
+        scales = F.array(*[F.greatest(r["last"]["step"] / d, F.lit(1e-6)) for d in SCALE_DIVISORS], *[F.lit(v) for v in SCALE_FIXED])
+        return F.array_min(F.transform(scales, lambda s: F.struct(sse(s).alias("e"), s.alias("s"))))["s"]
+
+    def result(r: Column) -> Column:
+        gain = F.greatest(F.lit(0.0), r["last"]["acc"] - r["start"])
+        flat = (F.size(r["pts"]) < 2) | (gain <= 0)
+
+        def read(best: Column) -> Column:
+            far = F.greatest(F.lit(0.0), (r["top"] - r["start"]) * (target / (target + best)))
+            predicted = F.when(flat | (r["top"] <= r["start"]), 0.0).otherwise(far)
+            return F.struct(F.when(flat, 0.0).otherwise(gain).alias("profile_gain"), best.alias("scale"), predicted.alias("predicted_gain"))
+
+        return let(search(r), read)
+
+    return let(let(F.array_sort(curve), ends), result)
 
 
 def extrapolate_time(measured: Column, steps: Column, target: Column) -> Column:

@@ -232,7 +232,7 @@ def block_means(spark, sf):
     )
 
 
-@query("step_timeline", """WITH r AS (SELECT o_orderpriority AS load, 0.2 + (o_custkey % 60) / 100.0 AS inference,
+@query("step_timeline", """WITH r AS (SELECT o_orderpriority AS load, 0.2 + (o_custkey % 60) / 97.0 AS inference,
   CASE WHEN o_orderstatus <> 'P' THEN 3.0 + o_orderkey % 400 END AS ready FROM orders),
 b AS (SELECT DISTINCT load, t FROM (SELECT load, unnest([0.0, 3.0, 300.0]) AS t FROM r
   UNION ALL SELECT load, least(ready, 300.0) FROM r WHERE ready IS NOT NULL))
@@ -244,7 +244,7 @@ SELECT b.load, b.t::DOUBLE AS time_s,
 FROM b JOIN r ON r.load = b.load GROUP BY b.load, b.t""")
 def step_timeline(spark, sf):
     o = table(spark, sf, "orders", "o_orderkey", "o_custkey", "o_orderpriority", "o_orderstatus")
-    inf = 0.2 + (F.col("o_custkey") % 60) / 100.0
+    inf = 0.2 + (F.col("o_custkey") % 60) / 97.0
     rows = o.select(
         F.col("o_orderpriority").alias("load"), inf.alias("inference"), (1 - inf).alias("residual"),
         F.when(F.col("o_orderstatus") != "P", 3.0 + F.col("o_orderkey") % 400).alias("ready"),
