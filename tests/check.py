@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import sys
 import time
 
@@ -75,7 +76,7 @@ if __name__ == "__main__":
     sf_dir = f"/root/testdata/sf{sf}"
     extra = {"spark.tidegauge.scan.bucketRows": args.pop(1)} if args[:1] == ["-b"] else {}
     args = args[1:] if extra else args
-    spark = get_session(master="local[8]", **extra, **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false",
+    spark = get_session(master="local[8]", **extra, **{"spark.sql.shuffle.partitions": os.environ.get("CHECK_PARTITIONS", "8"), "spark.ui.enabled": "false",
                         "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "8g"})
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(sf_dir)
