@@ -288,9 +288,14 @@ def ks_equal_pvalue(steps: int, m: int) -> float:
     return min(1.0, 2.0 * tail / total)
 
 
+def kswin_step(older: int) -> int:
+    """Multiplier of the sampling rule: the first number from 37 on without a common factor with the older part."""
+    return next(a for a in range(37, 37 + older + 1) if math.gcd(a, older) == 1)
+
+
 def kswin_picks(n: int, older: int, stat: int) -> list[int]:
     """Distinct positions sampled from the older part, from a rule both engines can repeat."""
-    mult = next(a for a in range(37, 37 + older) if math.gcd(a, older) == 1)
+    mult = kswin_step(older)
     return [(mult * j + 11 * n) % older for j in range(stat)]
 
 

@@ -119,3 +119,22 @@ def adwin(delta: float, clock: int, min_len: int, grace: int, max_window: int, s
         {"alarm": "len(cuts) > 0", "w": "CASE WHEN len(cuts) > 0 THEN w[cuts[1]+1:] ELSE w END"},
     ]
     return init, stages
+
+
+def kswin(alpha: float, window: int, stat: int, clock: int, pvalues: list[float], mult: int):
+    """``pvalues`` are the exact two-sided p-values for distances 1/stat, 2/stat, ..."""
+    older = window - stat
+    table = "[" + ", ".join(f"{v!r}::DOUBLE" for v in pvalues) + "]"
+    below = "len([v FOR v IN {} IF v <= t])"
+    init = {"n": "0", "w": "[]::DOUBLE[]"}
+    stages = [
+        {"n": "n + 1", "w": f"(list_append(w, x))[-{window}:]"},
+        {"due": f"len(w) = {window} AND n % {clock} = 0"},
+        {
+            "old": f"CASE WHEN due THEN [w[({mult} * j + 11 * n) % {older} + 1] FOR j IN range({stat})] END",
+            "new": f"CASE WHEN due THEN w[{older + 1}:{window}] END",
+        },
+        {"gap": f"CASE WHEN due THEN list_max([abs({below.format('old')} - {below.format('new')}) FOR t IN list_concat(old, new)]) END"},
+        {"alarm": f"coalesce(due AND gap > 0 AND ({table})[gap] <= {alpha} AND gap / {float(stat)} > 0.1, false)"},
+    ]
+    return init, stages

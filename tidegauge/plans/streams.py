@@ -170,10 +170,13 @@ def adwin(spark, sf):
     return window_alarms(spark, sf, "adwin", {"delta": 0.9, "clock": 4, "min_len": 5, "grace": 15, "step": 1})
 
 
-@query("kswin")
+KSWIN = {"alpha": 0.2, "window": 40, "stat": 12, "clock": 2}
+KS_TABLE = [seq.ks_equal_pvalue(k, KSWIN["stat"]) for k in range(1, KSWIN["stat"] + 1)]
+
+
+@query("kswin", trace_twin(fs.kswin(**KSWIN, pvalues=KS_TABLE, mult=seq.kswin_step(KSWIN["window"] - KSWIN["stat"])), "value"))
 def kswin(spark, sf):
-    params = {"alpha": 0.2, "window": 40, "stat": 12, "clock": 2}
-    return window_alarms(spark, sf, "kswin", params, F.col("value"))
+    return window_alarms(spark, sf, "kswin", KSWIN, F.col("value"))
 
 
 @query("optwin")
