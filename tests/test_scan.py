@@ -56,3 +56,18 @@ def test_hot_value_ecdf(spark, tiny_buckets):
     ref = np.sort(df.where("id < 400").toPandas()["v"])
     assert np.allclose(out["level"], np.searchsorted(ref, out["v"], side="right") / len(ref))
     assert out["level"].between(0, 1).all() and out["level"].is_monotonic_increasing
+
+
+def test_burst_with_one_time_value(spark):
+    """A third of all rows share key and axis value: they are split along the tie column, and positions stay exact."""
+    hot = F.col("id") % 3 == 0
+    df = spark.range(3000).select(F.when(hot, 0).otherwise(F.col("id") % 11).alias("k"), F.when(hot, 500.0).otherwise((F.col("id") * 31 % 1009).cast("double")).alias("t"), "id")
+    spark.conf.set(scan.BUCKET_KEY, "100")
+    framed, many = scan.range_bucket(df, F.col("t"), tie=F.col("id"))
+    biggest = framed.groupBy("k", "_b").count().agg(F.max("count")).first()[0]
+    out = scan.positions(df, ["k"], ["t", "id"], F.col("t"), tie=F.col("id")).toPandas()
+    spark.conf.unset(scan.BUCKET_KEY)
+    assert many and biggest <= 200
+    assert len(out) == 3000
+    for _, g in out.groupby("k"):
+        assert list(g.sort_values(["t", "id"])["rn"]) == list(range(1, len(g) + 1))

@@ -8,6 +8,7 @@ carries the rest over. A key that holds a third of all rows is then spread over
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Sequence
 
 from pyspark.ml.feature import Bucketizer
@@ -18,7 +19,7 @@ from tidegauge.core.session import cut_lineage, row_budget
 
 BUCKET_KEY = "spark.tidegauge.scan.bucketRows"
 BUCKET_ROWS = 2_000_000
-MAX_BUCKETS = 4096
+MAX_BUCKETS = 16384
 
 Aggs = dict[str, tuple[str, Column]]
 
@@ -26,12 +27,15 @@ _FOLD = {"sum": F.sum, "count": F.sum, "min": F.min, "max": F.max}
 _LOCAL = {"sum": F.sum, "count": F.count, "min": F.min, "max": F.max}
 
 
-def range_bucket(df: DataFrame, axis: Column, rows: int | None = None, name: str = "_b") -> tuple[DataFrame, bool]:
+def range_bucket(
+    df: DataFrame, axis: Column, rows: int | None = None, tie: Column | None = None, name: str = "_b"
+) -> tuple[DataFrame, bool]:
     """Add an order-preserving bucket number over ``axis``; False when one bucket is enough.
 
     A large frame is stored first (its later uses read the stored rows, so nothing upstream runs twice), and the cut
     points are fixed values taken once: every use of the bucket agrees, also after a task is re-run. ``rows`` is a known
-    count or an upper bound, which saves the counting pass.
+    count or an upper bound, which saves the counting pass. ``tie`` is the next order column (a number): a single axis
+    value that fills several buckets, such as a burst with one timestamp, is split along it.
     """
     budget = row_budget(df.sparkSession, BUCKET_KEY, BUCKET_ROWS)
     n = df.count() if rows is None else rows
@@ -41,11 +45,25 @@ def range_bucket(df: DataFrame, axis: Column, rows: int | None = None, name: str
     buckets = min(MAX_BUCKETS, math.ceil(n / budget))
     probs = [i / buckets for i in range(1, buckets)]
     cuts = shaped.select(F.percentile_approx("_axis", probs, 20 * buckets).alias("c")).first()["c"]
-    splits = [-math.inf, *sorted({float(c) for c in cuts or []}), math.inf]
+    seen = Counter(float(c) for c in cuts or [])
+    hot = {v: m for v, m in seen.items() if m > 1}  # values that reach over a whole bucket
+    splits = [-math.inf, *sorted({*seen, *(math.nextafter(v, math.inf) for v in hot)}), math.inf]
     if len(splits) < 3:
         return shaped.drop("_axis").withColumn(name, F.lit(0.0)), False
-    cut = Bucketizer(splits=splits, inputCol="_axis", outputCol=name, handleInvalid="keep")
-    return cut.transform(shaped).drop("_axis"), True
+    cut = Bucketizer(splits=splits, inputCol="_axis", outputCol=name, handleInvalid="keep").transform(shaped)
+    if tie is not None and hot:
+        cut = _split_hot(cut, hot, tie.cast("double"), name)
+    return cut.drop("_axis"), True
+
+
+def _split_hot(cut: DataFrame, hot: dict[float, int], tie: Column, name: str) -> DataFrame:
+    """Fractions of a bucket along ``tie`` for axis values that are alone in their bucket."""
+    parts = cut.sparkSession.createDataFrame(list(hot.items()), "_axis double, _m int")
+    small = F.broadcast(parts)  # at most half as many rows as there are buckets
+    span = cut.join(small, "_axis").groupBy("_axis", "_m").agg(F.min(tie).alias("_lo"), F.max(tie).alias("_hi"))
+    at = F.floor((tie - F.col("_lo")) * F.col("_m") / (F.col("_hi") - F.col("_lo") + 1))
+    shift = F.coalesce(F.least(at, F.col("_m") - 1) / F.col("_m"), F.lit(0.0))
+    return cut.join(F.broadcast(span), "_axis", "left").withColumn(name, F.col(name) + shift).drop("_m", "_lo", "_hi")
 
 
 def hash_bucket(df: DataFrame, hex_col: str, rows: int | None = None, name: str = "_b") -> tuple[DataFrame, bool]:
@@ -68,13 +86,14 @@ def prefix_scan(
     axis: Column | None = None,
     rows: int | None = None,
     keep: bool = False,
+    tie: Column | None = None,
 ) -> DataFrame:
     """Inclusive running sum / count / min / max per key in the given order.
 
     ``axis`` is the numeric leading order column used for the buckets; ``bucketed`` is a frame that already has them
     (``keep`` leaves the bucket column in place for a following scan over the same order).
     """
-    frame, many = bucketed if bucketed is not None else range_bucket(df, axis, rows)
+    frame, many = bucketed if bucketed is not None else range_bucket(df, axis, rows, tie)
     local = (
         Window.partitionBy(*keys, "_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
@@ -104,10 +123,11 @@ def settle(df: DataFrame, many: bool) -> tuple[DataFrame, bool]:
 
 
 def positions(
-    df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], axis: Column, name: str = "rn", rows: int | None = None
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], axis: Column, name: str = "rn", rows: int | None = None,
+    tie: Column | None = None,
 ) -> DataFrame:
     """Exact 1-based position of every row inside its key; ``order`` must be unique per key."""
-    return prefix_scan(df, keys, order, {name: ("count", F.lit(1))}, axis=axis, rows=rows)
+    return prefix_scan(df, keys, order, {name: ("count", F.lit(1))}, axis=axis, rows=rows, tie=tie)
 
 
 def hash_positions(

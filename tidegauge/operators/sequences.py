@@ -20,7 +20,7 @@ def micros(ts: str) -> Column:
 
 def event_positions(events: DataFrame, keys: Sequence[str] = ("user_id",)) -> DataFrame:
     """Exact position of each event inside its key by (ts, event_id)."""
-    return positions(events, list(keys), ["ts", "event_id"], micros("ts"))
+    return positions(events, list(keys), ["ts", "event_id"], micros("ts"), tie=F.col("event_id"))
 
 
 def tumbling(numbered: DataFrame, keys: Sequence[str], size: int, aggs: Sequence[Column]) -> DataFrame:
@@ -83,6 +83,7 @@ def running_moments(events: DataFrame, keys: Sequence[str], value: str) -> DataF
         ["ts", "event_id"],
         {"n": ("count", F.lit(1)), "_s1": ("sum", F.col("_z")), "_s2": ("sum", F.col("_z") * F.col("_z"))},
         axis=micros("ts"),
+        tie=F.col("event_id"),
     )
     var = F.when(F.col("n") > 1, (F.col("_s2") - F.col("_s1") * F.col("_s1") / F.col("n")) / (F.col("n") - 1))
     return ran.withColumn("mean", F.col("_mu") + F.col("_s1") / F.col("n")).withColumn(
@@ -96,7 +97,7 @@ def ddm_levels(
     """Error-rate levels up to the first alarm, as running aggregates: exact while no reset has happened."""
     frame = events.withColumn("_x", error.cast("int"))
     order = ["ts", "event_id"]
-    cut = range_bucket(frame, micros("ts"))
+    cut = range_bucket(frame, micros("ts"), tie=F.col("event_id"))
     ran = prefix_scan(frame, keys, order, {"n": ("count", F.lit(1)), "_e": ("sum", F.col("_x"))}, cut, keep=True)
     p = F.col("_e") / F.col("n")
     ran = ran.withColumn("p", p).withColumn("s", F.sqrt(F.col("p") * (1 - F.col("p")) / F.col("n")))
@@ -116,7 +117,7 @@ def eddm_levels(
 ) -> DataFrame:
     """Distance-between-errors levels up to the first alarm; sums of distances telescope, so only errors are kept."""
     # the time buckets are kept through all scans: positions and error counts grow in the same order
-    cut = range_bucket(events, micros("ts"))
+    cut = range_bucket(events, micros("ts"), tie=F.col("event_id"))
     numbered = prefix_scan(events, keys, ["ts", "event_id"], {"rn": ("count", F.lit(1))}, cut, keep=True)
     errors = numbered.where(error).select(*keys, "rn", "_b")
     order = ["rn"]
