@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegauge.llm import chat_masks, mixing, order_minhash, secret_ledger
-from tidegauge.llm.tables import table
+from tidegauge.llm import backoff, chat_masks, html_layout, mixing, order_minhash, permutation_index, quality_ftrl, secret_ledger, tiling, toxicity
+from tidegauge.llm.tables import bucket_of, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 TWINS: dict[str, str] = {}
@@ -24,6 +24,38 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+@query("op1_permutation_index")
+def op1_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest found of every vector whose id is divisible by 20."""
+    return permutation_index.nearest(table(spark, sf_dir, "embeddings", "vec_id", "embedding"), every=20, k=20)
+
+
+def _judged(scores: DataFrame, modulus: int, remainder: int, least: float) -> DataFrame:
+    held = bucket_of("doc_id", modulus) == remainder
+    return scores.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= least).cast("int").alias("predicted"))
+
+
+@query("op2_toxicity")
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxicity score of every document by a lexicon learnt outside the held-out fold."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels", "doc_id", "toxic"))
+    return _judged(toxicity.score(docs, model), 3, 1, 0.7)
+
+
+@query("op3_html_layout")
+def op3_html_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The visible text of every page."""
+    return html_layout.visible_text(table(spark, sf_dir, "pages", "page_id", "url", "html"))
+
+
+@query("op4_string_tiling")
+def op4_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document and benchmark item where tiles cover at least half of the item."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    return tiling.contaminated(docs, table(spark, sf_dir, "benchmark", "item_id", "text"))
+
+
 CHAT_SQL = """
 WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
            UNION ALL SELECT * FROM (VALUES (-7::BIGINT, 0::BIGINT, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]'))),
@@ -47,6 +79,12 @@ def op5_chat_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_masks.format_chats(rows.unionByName(probe)).mapInArrow(chat_masks.digest_rows, chat_masks.DIGEST)
 
 
+@query("op6_stupid_backoff", backoff.BACKOFF_SQL)
+def op6_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The score of every document against the counts of all the others."""
+    return backoff.score(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 # Positions in SQL: the pieces between matches and the matches alternate, so running lengths give the spans.
 _SPANS_SQL = """SELECT doc_id, {nth} AS nth, '{kind}' AS kind, unnest(generate_series(1, len(m))) AS i, m, p FROM
   (SELECT doc_id, regexp_extract_all(text, '{re}') AS m, regexp_split_to_array(text, '{re}') AS p FROM d) WHERE len(m) > 0"""
@@ -97,3 +135,19 @@ def op8_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's part in the mix."""
     return mixing.mix(table(spark, sf_dir, "documents", "doc_id", "text", "source"))
+
+
+@query("op10_quality_ftrl")
+def op10_quality_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality score of every document by a model learnt outside the held-out fold."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    weights = quality_ftrl.train(docs, table(spark, sf_dir, "labels", "doc_id", "quality"))
+    return _judged(quality_ftrl.score(docs, weights), 5, 0, 0.3)
+
+
+@query("pipeline")
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus pipeline over all documents."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
