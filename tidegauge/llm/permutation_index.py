@@ -26,9 +26,9 @@ from pyspark.sql import functions as F
 
 from tidegauge.llm.tables import stored
 
-PIVOTS, VECTORS_PER_PIVOT = 256, 40
-POST, VISIT, NEAR = 8, 24, 64
-SHARE, LEAST = 0.25, 100
+PIVOTS, VECTORS_PER_PIVOT = 256, 8
+POST, VISIT, NEAR = 8, 36, 96
+SHARE, LEAST = 0.3, 200
 BLOCK = 4096
 
 
@@ -90,8 +90,8 @@ def _match(k: int):
             vectors = _matrix(posts["vec"], np.float64)
             near = min(NEAR, len(ranks))
             take = min(len(ids), max(LEAST, 4 * k, int(np.ceil(SHARE * len(ids)))))
-            own_ranks, own_vectors = _matrix(queries["ranks"], np.uint16).astype(np.int16), _matrix(queries["vec"], np.float64)
-            for j, q in enumerate(queries["id"].to_pylist()):
+            own_ranks, own_vectors = _matrix(queries["q_ranks"], np.uint16).astype(np.int16), _matrix(queries["q_vec"], np.float64)
+            for j, q in enumerate(queries["q_id"].to_pylist()):
                 cols = np.argsort(own_ranks[j], kind="stable")[:near]
                 rule = np.abs(ranks[cols] - own_ranks[j][cols, None]).sum(0, dtype=np.int32)
                 best = np.sort(np.argsort(rule, kind="stable")[:take])  # back in id order: ties keep the smaller ids
@@ -113,7 +113,7 @@ def nearest(vectors: DataFrame, every: int, k: int = 20, id_col: str = "vec_id",
     empty = "query_id long, rank int, vec_id long, score double"
     if not size["n"]:
         return spark.createDataFrame([], empty)
-    wanted = pivots or min(PIVOTS, max(8, size["n"] // VECTORS_PER_PIVOT))
+    wanted = pivots or min(PIVOTS, max(16, size["n"] // VECTORS_PER_PIVOT))
     # a bounded sample in digest order; equal vectors would be one pivot
     sample = rows.orderBy(F.sha2(F.col("id").cast("string").cast("binary"), 256)).limit(4 * wanted).groupBy("v").agg(F.min("id").alias("id"))
     chosen = [r["v"] for r in sample.orderBy(F.sha2(F.col("id").cast("string").cast("binary"), 256)).limit(wanted).collect()]
@@ -129,9 +129,10 @@ def nearest(vectors: DataFrame, every: int, k: int = 20, id_col: str = "vec_id",
     dealt = dealt.withColumn("own", chunk)
     side = lambda q, other: dealt.where(F.col("query") == q).withColumn("other", F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
     left = side(False, "nq").select("file", F.col("own").alias("pc"), F.col("other").alias("qc"), "id", "ranks", "vec")
-    right = side(True, "np").select("file", F.col("other").alias("pc"), F.col("own").alias("qc"), "id", "ranks", "vec")
-    block = ["file", "pc", "qc"]
-    found = left.groupBy(*block).cogroup(right.groupBy(*block)).applyInArrow(_match(k), "query_id bigint, vec_id bigint, score double")
+    right = side(True, "np").select(
+        F.col("file").alias("q_file"), F.col("other").alias("q_pc"), F.col("own").alias("q_qc"), F.col("id").alias("q_id"), F.col("ranks").alias("q_ranks"), F.col("vec").alias("q_vec")
+    )
+    found = left.groupBy("file", "pc", "qc").cogroup(right.groupBy("q_file", "q_pc", "q_qc")).applyInArrow(_match(k), "query_id bigint, vec_id bigint, score double")
     best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return best.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
