@@ -270,10 +270,10 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Mod
     counted = sample.mapInArrow(_word_batches, "word string, d0 bigint, d1 bigint").groupBy("word").agg(F.sum("d0").alias("d0"), F.sum("d1").alias("d1"))
     counted = stored(counted)
     odds = F.log((F.col("d1") + 0.5) / (n1 + 1)) - F.log((F.col("d0") + 0.5) / (n0 + 1))
-    doubt = F.sqrt(1 / (F.col("d1") + 0.5) + 1 / (F.col("d0") + 0.5) - 1 / (n1 + 1) - 1 / (n0 + 1))
-    sure = odds - F.least(doubt, F.lit(0.6) * odds)  # one unseen count leaves wide doubt; do not let it hide a frequent term
+    doubt = F.sqrt(1 / (F.col("d1") + 0.5) + 1 / (F.col("d0") + 0.5))
+    sure = odds - 2 * doubt  # of the many words, some stand in three toxic texts by chance: the lower bound decides
     least = max(3, math.ceil(0.002 * n1))
-    chosen = counted.where((F.col("d1") >= F.when(F.col("word").endswith("*"), 2 * least).otherwise(least)) & (odds >= 2.0))
+    chosen = counted.where((F.col("d1") >= F.when(F.col("word").endswith("*"), 2 * least).otherwise(least)) & (odds >= 2.0) & (sure >= 1.0))
     best = chosen.orderBy(F.desc(sure), "word").limit(LEXICON).select("word", odds.alias("odds"), "d1").collect()
     ranked = {r["word"]: (r["odds"], r["d1"]) for r in best}
     # a stem needs several words to show it, and then speaks for longer stems and words unless they say clearly more
