@@ -9,7 +9,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Iterable
 from functools import lru_cache
-from typing import Any
+from typing import Any, NamedTuple
 
 from statistics import NormalDist
 
@@ -272,13 +272,6 @@ def _py_page_hinkley(p: Params, s: State, x: float) -> bool:
     return s["n"] >= p["min_n"] and max(s["up"] - s["lo"], s["hi"] - s["down"]) > p["threshold"]
 
 
-def _slide(s: State, x: float, size: int) -> np.ndarray:
-    s["w"].append(x)
-    if len(s["w"]) > size:
-        del s["w"][: len(s["w"]) - size]
-    return np.asarray(s["w"], dtype=np.float64)
-
-
 def ks_equal_pvalue(steps: int, m: int) -> float:
     """Exact two-sided p-value of the KS distance steps/m for two samples of the same size m."""
     if steps <= 0:
@@ -317,114 +310,130 @@ def _py_kswin(p: Params, s: State, x: float) -> bool:
     return False
 
 
-def _py_adwin(p: Params, s: State, x: float) -> bool:
-    w = _slide(s, x, int(p["max_window"]))
-    n = w.size
-    if n < p["grace"] or s["n"] % int(p["clock"]):
-        return False
-    cuts = np.arange(int(p["min_len"]), n - int(p["min_len"]) + 1, int(p["step"]))
-    if not cuts.size:
-        return False
-    sums = np.cumsum(w)
-    diff = (sums[-1] - sums[cuts - 1]) / (n - cuts) - sums[cuts - 1] / cuts
-    harmonic = 1.0 / cuts + 1.0 / (n - cuts)
-    log_term = math.log(max(2.0 * math.log(max(n, 2)) / p["delta"], 1.0000001))
-    eps = np.sqrt(2.0 * w.var() * harmonic * log_term) + 2.0 * harmonic * log_term / 3.0
-    over = np.flatnonzero((np.abs(diff) if p["two_sided"] else diff) > eps)
-    if not over.size:
-        return False
-    s["w"] = s["w"][int(cuts[over[0]]):]
-    return True
-
-
-def beta_inc(a: float, b: float, x: float) -> float:
-    """Regularised incomplete beta function by its continued fraction (modified Lentz)."""
-    if x <= 0.0:
-        return 0.0
-    if x >= 1.0:
-        return 1.0
-    if x > (a + 1.0) / (a + b + 2.0):
-        return 1.0 - beta_inc(b, a, 1.0 - x)
-    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) / a
-    tiny = 1e-300
-    d = 1.0 / ((1.0 - (a + b) * x / (a + 1.0)) or tiny)
-    c, f = 1.0, d
-    for m in range(1, 500):
-        for num in (
-            m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)),
-            -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1)),
-        ):
-            d = 1.0 / ((1.0 + num * d) or tiny)
-            c = (1.0 + num / c) or tiny
-            f *= d * c
-        if abs(d * c - 1.0) < 1e-15:
-            break
-    return front * f
-
-
-def t_sf(t: float, df: float) -> float:
-    half = 0.5 * beta_inc(df / 2.0, 0.5, df / (df + t * t))
-    return half if t >= 0 else 1.0 - half
-
-
-def f_sf(x: float, d1: float, d2: float) -> float:
-    return beta_inc(d2 / 2.0, d1 / 2.0, d2 / (d2 + d1 * x)) if x > 0 else 1.0
-
-
 @lru_cache(maxsize=1024)
 def _normal_limit(tail: float) -> float:
     """Slightly below the normal quantile of the tail, so rounding never rejects a passing cut."""
     return -math.inf if tail >= 1.0 else -NormalDist().inv_cdf(tail) - 1e-6
 
 
-def _py_optwin(p: Params, s: State, x: float) -> bool:
-    w = _slide(s, x, int(p["max_window"]))
-    n, least = w.size, int(p["min_len"])
-    if n < 2 * least or s["n"] % int(p["clock"]):
-        return False
-    cuts = np.arange(least, n - least + 1, int(p["step"]))
-    if not cuts.size:
-        return False
-    s1, s2 = np.cumsum(w), np.cumsum(w * w)
-    a, b = cuts.astype(float), (n - cuts).astype(float)
-    sa, qa = s1[cuts - 1], s2[cuts - 1]
-    sb, qb = s1[-1] - sa, s2[-1] - qa
-    va = np.maximum((qa - sa * sa / a) / np.maximum(a - 1, 1), 0.0)
-    vb = np.maximum((qb - sb * sb / b) / np.maximum(b - 1, 1), 0.0)
-    rise = sb / b - sa / a
-    effect = np.abs(rise) if p["two_sided"] else rise
-    floor = p["rigor"] * np.sqrt(np.maximum(va, 1e-12)) / np.sqrt(b)
-    level = p["delta"] / (cuts.size * max(math.ceil(p["max_window"] / p["clock"]), 1))
-    # t tails are never below normal tails, so a cut under the normal limit cannot pass the t test; only the rest, and
-    # cuts open to the variance test, get an exact tail, earliest first
-    se2_all = va / a + vb / b
-    z = np.abs(rise) if p["two_sided"] else rise
-    z = np.where(se2_all > 1e-12, z / np.sqrt(np.maximum(se2_all, 1e-300)), 0.0)
-    limit = _normal_limit(level / (2.0 if p["two_sided"] else 1.0))
-    open_t = z >= limit
-    worth = (effect > 0.0) & (effect >= floor) & (open_t | bool(p["f_test"]))
-    for i in np.flatnonzero(worth):
-        ra, rb = va[i] / a[i], vb[i] / b[i]
-        se2 = ra + rb
-        t_p = 1.0
-        if open_t[i] and se2 > 1e-12:
-            den = ra * ra / max(a[i] - 1, 1) + rb * rb / max(b[i] - 1, 1)
-            dof = se2 * se2 / den if den > 1e-18 else 1.0
-            t = rise[i] / math.sqrt(se2)
-            t_p = 2.0 * t_sf(abs(t), dof) if p["two_sided"] else t_sf(t, dof)
-        f_p = 1.0
-        if p["f_test"] and va[i] > 1e-12 and vb[i] > 1e-12:
-            up = f_sf(vb[i] / va[i], b[i] - 1, a[i] - 1)
-            f_p = min(1.0, 2.0 * min(up, 1.0 - up)) if p["two_sided"] else up
-        if t_p <= level or f_p <= level:
-            s["w"] = s["w"][int(cuts[i]):]
-            return True
-    return False
+BETA_TERMS = 60  # terms of the continued fraction; below the mean it is exact to rounding with far fewer
+
+
+def beta_inc(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Regularised incomplete beta function of arrays, by its continued fraction evaluated from the last term back."""
+    a, b, x = np.broadcast_arrays(*(np.asarray(v, dtype=np.float64) for v in (a, b, x)))
+    swap = x > (a + 1.0) / (a + b + 2.0)  # the fraction converges fast below the mean; use the symmetry above it
+    p, q, y = np.where(swap, b, a), np.where(swap, a, b), np.clip(np.where(swap, 1.0 - x, x), 0.0, 1.0)
+    tail = np.ones_like(y)
+    for m in range(BETA_TERMS, 0, -1):
+        odd = -(p + m) * (p + q + m) * y / ((p + 2 * m) * (p + 2 * m + 1))
+        even = m * (q - m) * y / ((p + 2 * m - 1) * (p + 2 * m))
+        tail = 1.0 + even / (1.0 + odd / tail)
+    first = 1.0 - (p + q) * y / (p + 1.0) / tail
+    logs = np.vectorize(math.lgamma, otypes=[float])
+    with np.errstate(divide="ignore"):
+        front = np.exp(logs(p + q) - logs(p) - logs(q) + p * np.log(y) + q * np.log1p(-y)) / p
+    part = np.where(y <= 0.0, 0.0, np.where(y >= 1.0, 1.0, front / first))
+    return np.where(swap, 1.0 - part, part)
+
+
+def t_sf(t: np.ndarray, dof: np.ndarray) -> np.ndarray:
+    """Upper tail of Student's t."""
+    half = 0.5 * beta_inc(dof / 2.0, 0.5, dof / (dof + t * t))
+    return np.where(t >= 0, half, 1.0 - half)
+
+
+def f_sf(ratio: np.ndarray, d1: np.ndarray, d2: np.ndarray) -> np.ndarray:
+    """Upper tail of Fisher's F."""
+    return beta_inc(d2 / 2.0, d1 / 2.0, d2 / (d2 + d1 * ratio))
+
+
+class Split(NamedTuple):
+    """A window seen as an older and a newer part at many cuts at once."""
+
+    older: np.ndarray
+    newer: np.ndarray
+    rise: np.ndarray
+    older_var: np.ndarray
+    newer_var: np.ndarray
+
+
+def split_at(values: np.ndarray, cuts: np.ndarray) -> Split:
+    powers = np.vstack([values, values * values]).cumsum(axis=1)
+    older, newer = cuts.astype(np.float64), len(values) - cuts.astype(np.float64)
+    head = powers[:, cuts - 1]
+    tail = powers[:, -1:] - head
+
+    def variance(part: np.ndarray, n: np.ndarray) -> np.ndarray:
+        return np.clip((part[1] - part[0] ** 2 / n) / np.maximum(n - 1, 1), 0.0, None)
+
+    return Split(older, newer, tail[0] / newer - head[0] / older, variance(head, older), variance(tail, newer))
+
+
+def adwin_cuts(p: Params, values: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    """Cuts where the means of the parts differ by more than the bound of adaptive windowing.
+
+    With m the harmonic size of the parts and L = ln(2 / delta'), the bound is sqrt(2 v L / m) + 2 L / (3 m).
+    """
+    part = split_at(values, cuts)
+    log_term = max(math.log(2.0 * math.log(len(values)) / p["delta"]), 1e-7)
+    per_m = len(values) / (part.older * part.newer)
+    bound = np.sqrt(2.0 * values.var() * log_term * per_m) + 2.0 / 3.0 * log_term * per_m
+    return (np.abs(part.rise) if p["two_sided"] else part.rise) > bound
+
+
+def optwin_cuts(p: Params, values: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    """Cuts where the newer part lies above the older by Welch's t test (or spreads wider by the F test).
+
+    Every window is tested at many cuts and many times while it fills, so the level is shared among them. A rise below
+    ``rigor`` standard errors of the older part is no drift however sure the tests are.
+    """
+    part, sides = split_at(values, cuts), 2.0 if p["two_sided"] else 1.0
+    level = p["delta"] / (len(cuts) * max(math.ceil(p["max_window"] / p["clock"]), 1))
+    height = np.abs(part.rise) if p["two_sided"] else part.rise
+    wide = (height > 0.0) & (height * np.sqrt(part.newer) >= p["rigor"] * np.sqrt(np.maximum(part.older_var, 1e-12)))
+    share = np.vstack([part.older_var / part.older, part.newer_var / part.newer])
+    error = share.sum(axis=0)
+    found = np.zeros(len(cuts), dtype=bool)
+    # Student's tails are never below the normal ones: only cuts beyond the normal limit need the exact tail.
+    t = np.divide(height, np.sqrt(error), out=np.zeros_like(height), where=error > 1e-12)
+    near = np.flatnonzero(wide & (error > 1e-12) & (t >= _normal_limit(level / sides)))
+    if near.size:
+        spread = (share[:, near] ** 2 / np.maximum(np.vstack([part.older, part.newer])[:, near] - 1, 1)).sum(axis=0)
+        dof = np.divide(error[near] ** 2, spread, out=np.ones(near.size), where=spread > 1e-18)
+        found[near] = sides * t_sf(t[near], dof) <= level
+    if p["f_test"]:
+        open_f = np.flatnonzero(wide & ~found & (part.older_var > 1e-12) & (part.newer_var > 1e-12))
+        above = f_sf(part.newer_var[open_f] / part.older_var[open_f], part.newer[open_f] - 1, part.older[open_f] - 1)
+        found[open_f] = (np.minimum(1.0, 2.0 * np.minimum(above, 1.0 - above)) if p["two_sided"] else above) <= level
+    return found
+
+
+CUT_TESTS: dict[str, Callable[[Params, np.ndarray, np.ndarray], np.ndarray]] = {"adwin": adwin_cuts, "optwin": optwin_cuts}
+
+
+def _py_cutting(method: str) -> Callable[[Params, State, float], bool]:
+    """A detector that keeps a growing window and drops its older part at the earliest cut that tests as a change."""
+
+    def step(p: Params, s: State, x: float) -> bool:
+        kept = s["w"]
+        kept.append(x)
+        del kept[: max(0, len(kept) - int(p["max_window"]))]
+        least = int(p["min_len"])
+        if s["n"] % int(p["clock"]) or len(kept) < p.get("grace", 2 * least):
+            return False
+        cuts = np.arange(least, len(kept) - least + 1, int(p["step"]))
+        changed = np.flatnonzero(CUT_TESTS[method](p, np.array(kept), cuts)) if cuts.size else cuts
+        if changed.size:
+            s["w"] = kept[cuts[changed[0]] :]
+        return bool(changed.size)
+
+    return step
 
 
 _PY: dict[str, Callable[[Params, State, float], bool]] = {
     "ddm": _py_ddm, "eddm": _py_eddm, "hddm_w": _py_hddm_w, "page_hinkley": _py_page_hinkley,
-    "kswin": _py_kswin, "adwin": _py_adwin, "optwin": _py_optwin,
+    "kswin": _py_kswin, "adwin": _py_cutting("adwin"), "optwin": _py_cutting("optwin"),
 }
 WINDOWED = ("kswin", "adwin", "optwin")
 

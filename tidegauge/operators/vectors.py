@@ -134,12 +134,16 @@ def sq_dists(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.maximum((x * x).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2.0 * x @ y.T, 0.0)
 
 
-def rbf_gamma(ref: np.ndarray) -> float:
-    """1 / (2 * median positive squared distance) over the first 256 reference rows."""
-    head = ref[:256]
-    d = sq_dists(head, head)[np.triu_indices(len(head), k=1)]
-    d = d[d > 0]
-    return 1.0 / max(2.0 * (float(np.median(d)) if d.size else 1.0), 1e-12)
+def rbf_gamma(ref: np.ndarray, rows: int = 256) -> float:
+    """Kernel width by the median rule: half the inverse of the median over distinct pairs of the leading ``rows``.
+
+    Each row is compared with those after it, so no square matrix of pairs is held.
+    """
+    lead = ref[:rows]
+    gaps = [((lead[i + 1 :] - lead[i]) ** 2).sum(axis=1) for i in range(len(lead) - 1)]
+    apart = np.concatenate(gaps) if gaps else np.empty(0)
+    apart = apart[apart > 0]
+    return 0.5 / max(float(np.median(apart)), 5e-13) if apart.size else 0.5
 
 
 def mmd_scorer(ref: np.ndarray):
@@ -190,16 +194,31 @@ def cvm_scorer(ref: np.ndarray):
 
 
 def lsdd_scorer(ref: np.ndarray, centres: int = 64, reg: float = 1e-3):
-    gamma, c = rbf_gamma(ref), ref[:centres]
-    k_ref = np.exp(-gamma * sq_dists(ref, c))
-    h_ref, gram_ref = k_ref.mean(axis=0), k_ref.T @ k_ref / len(ref)
+    """Least-squares density difference over Gaussian bumps at the first ``centres`` reference rows.
+
+    The weights a minimise a'Ma / 2 - h'a + reg |a|^2 / 2, with h the difference of the mean bumps and M their mean product
+    over both samples. At the minimum Ma = h - reg a, so the difference h'a - a'Ma / 2 is (h'a + reg |a|^2) / 2: with the
+    Cholesky factor L of M + reg I and u = L^-1 h this is (|u|^2 + reg |L'^-1 u|^2) / 2, which cannot be negative.
+    """
+    at, width = ref[:centres], rbf_gamma(ref)
+
+    def bumps(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Mean and mean product of the bumps, row block by row block."""
+        mean, product = np.zeros(len(at)), np.zeros((len(at), len(at)))
+        for lo in range(0, len(x), 1024):
+            k = np.exp(-width * sq_dists(x[lo : lo + 1024], at))
+            mean += k.sum(axis=0)
+            product += k.T @ k
+        return mean / len(x), product / len(x)
+
+    base = bumps(ref)
 
     def score(w: np.ndarray) -> float:
-        k = np.exp(-gamma * sq_dists(w, c))
-        h = h_ref - k.mean(axis=0)
-        m = 0.5 * (gram_ref + k.T @ k / len(w))
-        alpha = np.linalg.solve(m + reg * np.eye(len(m)), h)
-        return max(float(h @ alpha - 0.5 * alpha @ m @ alpha), 0.0)
+        own = bumps(w)
+        factor = np.linalg.cholesky((base[1] + own[1]) / 2 + reg * np.eye(len(at)))
+        u = np.linalg.solve(factor, base[0] - own[0])
+        weights = np.linalg.solve(factor.T, u)
+        return float(u @ u + reg * (weights @ weights)) / 2
 
     return score
 
