@@ -63,5 +63,55 @@ def test_window_scores_over_batches(spark, tmp_path):
 def test_resume_adds_nothing_twice(spark, tmp_path):
     ev, folder = split_files(spark, tmp_path)
     for _ in range(2):
-        out, _ = live.run_to_table(live.unseen(one_file_stream(spark, folder), "event_id", "ts", "1 hour").select("event_id"), spark, str(tmp_path / "r"))
+        out, _ = live.run_to_table(live.unseen(one_file_stream(spark, folder), "event_id").select("event_id"), spark, str(tmp_path / "r"))
     assert out.count() == len(ev)
+
+
+def shuffled_table(tmp_path, parts=5):
+    """The events as a directory of part files whose arrival order is not the event order."""
+    import os
+
+    ev = pd.read_parquet(f"{SF}/events.parquet").sort_values(["ts", "event_id"])
+    folder = tmp_path / "mixed" / "events.parquet"
+    folder.mkdir(parents=True)
+    step = len(ev) // parts + 1
+    for arrival, i in enumerate([3, 0, 4, 1, 2]):
+        path = folder / f"part-{arrival}.parquet"
+        ev.iloc[i * step:(i + 1) * step].sample(frac=1, random_state=i).to_parquet(path, coerce_timestamps="us")
+        os.utime(path, (1_700_000_000 + arrival * 10, 1_700_000_000 + arrival * 10))
+    return ev, str(tmp_path / "mixed")
+
+
+def test_directory_and_shuffled_files_lose_nothing(spark, tmp_path):
+    ev, folder = shuffled_table(tmp_path)
+    pieces = lambda: live.stream_parquet(spark, folder, "events", 1)  # noqa: E731  one file per micro-batch
+    out, _ = live.run_to_table(live.unseen(pieces(), "event_id").select("event_id"), spark, str(tmp_path / "u"))
+    assert sorted(r["event_id"] for r in out.collect()) == sorted(ev["event_id"])
+    rates, _ = live.error_rate(pieces(), spark, "ts", F.col("event_type") == "error", "1 day", folder=str(tmp_path / "e"))
+    assert rates.agg(F.sum("n"), F.sum("errors")).first() == (len(ev), int((ev["event_type"] == "error").sum()))
+    p = {"warm": 8, "drift": 1.0}
+    alarms = live.detector_alarms(live.stream_parquet(spark, folder, "events"), "user_id", ["ts", "event_id"], (F.col("event_type") == "error").cast("double"), "ddm", p)
+    got, _ = live.run_to_table(alarms, spark, str(tmp_path / "d"))
+    want = {(u, a) for u, g in ev.groupby("user_id") for a in seq.py_trace("ddm", seq.py_params("ddm", p), (g["event_type"] == "error").astype(float))}
+    assert {(r["user_id"], r["at"]) for r in got.collect()} == want and got.where("late > 0").count() == 0
+    late, _ = live.run_to_table(live.detector_alarms(pieces(), "user_id", ["ts", "event_id"], (F.col("event_type") == "error").cast("double"), "ddm", p), spark, str(tmp_path / "l"))
+    assert late.where("late > 0").count() > 0
+
+
+def test_one_long_key_is_one_unbroken_trace(spark):
+    import numpy as np
+
+    from tidegauge.operators import sequences as ops
+
+    rng = np.random.default_rng(3)
+    xs = np.concatenate([rng.random(2500) < 0.1, rng.random(1500) < 0.5, rng.random(1000) < 0.2]).astype(float)
+    rows = spark.createDataFrame([("k", i + 1, float(x)) for i, x in enumerate(xs)] + [("s", 1, 1.0)], "key string, rn long, x double")
+    packed = ops.segments(rows, ["key"], F.col("x"), 300)
+    for method, params in (("ddm", {"warm": 30, "drift": 2.0}), ("eddm", {"warm": 10}), ("hddm_w", {"conf": 0.01}), ("page_hinkley", {"threshold": 5.0}), ("adwin", {"delta": 0.3}), ("kswin", {"alpha": 0.01})):
+        if method in seq.FOLDS:
+            f = seq.fold(method, params)
+            got = ops.chained_alarms(packed, ["key"], f.start(), lambda v, s, f=f: seq.trace_from(f, "xs", "start"), 300)
+        else:
+            got = ops.chained_alarms(packed, ["key"], seq.WINDOW_START, seq.window_trace_from(method, params), 300)
+        want = seq.py_trace(method, seq.py_params(method, params), xs)
+        assert sorted(r["at"] for r in got.collect() if r["key"] == "k") == want, method

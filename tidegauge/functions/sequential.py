@@ -14,6 +14,7 @@ from typing import Any, NamedTuple
 from statistics import NormalDist
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -180,6 +181,13 @@ def alarm_trace(f: Fold, values: str, start: str | None = None) -> Column:
     return F.expr(f"aggregate({values}, {begin}, (a, x) -> {f.step('a.s', 'x', after)}, a -> a.at)")
 
 
+def trace_from(f: Fold, values: str, start: str) -> Column:
+    """Struct (at, state): positions of all alarms from a given state, reset after each, and the state at the end."""
+    begin = _struct({"s": start, "i": "0", "at": "cast(array() as array<int>)"})
+    after = _struct({"s": f.kept_or_reset(), "i": "a.i + 1", "at": "if(r.alarm, concat(a.at, array(a.i + 1)), a.at)"})
+    return F.expr(f"aggregate({values}, {begin}, (a, x) -> {f.step('a.s', 'x', after)}, a -> named_struct('at', a.at, 'state', a.s))")
+
+
 def _first(f: Fold, values: str, start: str) -> str:
     begin = _struct({"s": start, "i": "0", "hit": "cast(NULL as int)"})
     after = _struct({"s": f.kept(), "i": "a.i + 1", "hit": "if(r.alarm, a.i + 1, NULL)"})
@@ -471,12 +479,24 @@ def py_first(method: str, p: Params, values: Iterable[float], start: State) -> i
     return None
 
 
-def window_trace(method: str, params: Params | None = None) -> Callable[[Column], Column]:
-    """Alarm positions of a window detector over an array column, one Arrow batch of arrays at a time."""
-    p = py_params(method, params)
+WINDOW_START = "named_struct('n', 0L, 'w', cast(array() as array<double>))"
+
 
-    @F.pandas_udf("array<int>")
-    def run(values):  # noqa: ANN001, ANN202 - pandas types are read by Spark at run time
-        return values.map(lambda v: py_trace(method, p, v))
+def window_trace_from(method: str, params: Params | None = None) -> Callable[[Column, Column], Column]:
+    """``trace_from`` of a window detector: (values, state) to (alarms, state), one Arrow batch of arrays at a time."""
+    p = py_params(method, params)
 
-    return run
+    @F.pandas_udf("at array<int>, state struct<n: bigint, w: array<double>>")
+    def run(values, n, w):  # noqa: ANN001, ANN202 - pandas types are read by Spark at run time
+        rows = []
+        for v, seen, kept in zip(values, n, w):
+            state: State = {"n": int(seen), "w": [float(x) for x in kept]}
+            hits = []
+            for i, x in enumerate(v, 1):
+                if py_step(method, p, state, x):
+                    hits.append(i)
+                    state = py_start(method)
+            rows.append((hits, {"n": state["n"], "w": state["w"]}))
+        return pd.DataFrame(rows, columns=["at", "state"])
+
+    return lambda values, start: run(values, start["n"], start["w"])

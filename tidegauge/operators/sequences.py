@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tidegauge.core.expr import ratio
 from tidegauge.core.scan import positions, prefix_scan, range_bucket, settle, with_sizes
+from tidegauge.core.session import cut_lineage
 
 
 def micros(ts: str) -> Column:
@@ -193,6 +194,28 @@ def segments(numbered: DataFrame, keys: Sequence[str], value: Column, horizon: i
     return numbered.groupBy(*keys, seg).agg(F.transform(packed, lambda r: r["x"]).alias("xs"))
 
 
+def chained_alarms(packed: DataFrame, keys: Sequence[str], fresh: str, run: Callable[[Column, Column], Column], horizon: int) -> DataFrame:
+    """(keys, at): alarm positions over whole streams that are held as segments of at most ``horizon`` values.
+
+    Every segment runs at once from a ``fresh`` state; then the state at the end of each segment is handed to the next one, and
+    only segments that began in another state run again, until none does. A segment whose runs from the old and the new state
+    reset at the same row ends in the same state, so corrections die out at the first common reset. The result is that of one
+    unbroken run, no array outgrows a segment, and a long key is spread over its segments.
+    """
+    cur = packed.withColumn("start", F.expr(fresh))
+    cur = cut_lineage(cur.withColumn("out", run(F.col("xs"), F.col("start"))))
+    while True:
+        before = cur.select(*keys, (F.col("seg") + 1).alias("seg"), F.col("out.state").alias("given"))
+        met = cur.join(before, [*keys, "seg"], "left")
+        stale = F.col("given").isNotNull() & ~F.col("given").eqNullSafe(F.col("start"))
+        wrong = met.where(stale).select(*keys, "seg", "xs", F.col("given").alias("start"))
+        again = cut_lineage(wrong.withColumn("out", run(F.col("xs"), F.col("start"))))
+        if again.isEmpty():
+            break
+        cur = cut_lineage(cur.join(again.select(*keys, "seg"), [*keys, "seg"], "left_anti").unionByName(again))
+    return cur.select(*keys, "seg", F.explode("out.at").alias("_i")).select(*keys, (F.col("seg") * horizon + F.col("_i")).cast("long").alias("at"))
+
+
 def share_timeline(rows: DataFrame, load: str, start: float, horizon: float) -> DataFrame:
     """Mean inference / training / idle share at every breakpoint, from share changes instead of an interval join.
 

@@ -10,7 +10,7 @@ from tidegauge.operators import vectors as vec
 from tidegauge.plans import fold_sql as fs
 from tidegauge.plans.registry import query
 from tidegauge.plans.samples import EMB_SQL, vector_pool
-from tidegauge.plans.streams import HORIZON, trace_twin
+from tidegauge.plans.streams import trace_twin
 from tidegauge.plans.trials import LEVEL, SIG_SQL
 from tidegauge.plans.vectors import EPS, HALF, MODEL_SQL, STREAM_SQL, score_sql
 from tidegauge.streaming import live
@@ -22,10 +22,10 @@ def is_error():
 
 
 
-@query("stream_detector", trace_twin(fs.ddm(10, "1.5")).replace('SELECT k.u AS user_id, k.s AS seg, pos::INT AS "at"', f'SELECT k.u AS user_id, k.s * {HORIZON} + pos AS "at"'))
+@query("stream_detector", trace_twin(fs.ddm(10, "1.5")))
 def stream_detector(spark, sf):
     ev = live.stream_parquet(spark, sf, "events")
-    alarms = live.detector_alarms(ev, "user_id", ["ts", "event_id"], is_error().cast("double"), "ddm", {"warm": 10, "drift": 1.5}, HORIZON)
+    alarms = live.detector_alarms(ev, "user_id", ["ts", "event_id"], is_error().cast("double"), "ddm", {"warm": 10, "drift": 1.5})
     return live.run_to_table(alarms, spark)[0].select("user_id", "at")
 
 
@@ -49,10 +49,10 @@ def stream_window_score(spark, sf):
 
 
 @query("stream_error_rate", """SELECT date_trunc('day', ts) AS start, date_trunc('day', ts) + INTERVAL 1 DAY AS "end", count(*) AS n, sum((event_type = 'error')::INT) AS errors FROM events
-GROUP BY 1, 2 HAVING date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE""")
+GROUP BY 1, 2""")
 def stream_error_rate(spark, sf):
-    rates = live.error_rate(live.stream_parquet(spark, sf, "events"), "ts", is_error(), "1 day")
-    return live.run_to_table(rates, spark)[0].select(F.col("start").cast("timestamp_ntz"), F.col("end").cast("timestamp_ntz"), "n", "errors")
+    rates, _ = live.error_rate(live.stream_parquet(spark, sf, "events", 64 << 20), spark, "ts", is_error(), "1 day")
+    return rates.select(F.col("start").cast("timestamp_ntz"), F.col("end").cast("timestamp_ntz"), "n", "errors")
 
 
 @query("batch_error_rate", """SELECT date_trunc('day', ts) AS start, count(*) AS n, sum((event_type = 'error')::INT) AS errors FROM events GROUP BY 1""")
@@ -75,7 +75,7 @@ def stream_ecdf_binarize(spark, sf):
 def stream_resume(spark, sf):
     """The same query started twice on one progress folder: the second start finds nothing left to score."""
     def start():
-        return live.unseen(live.stream_parquet(spark, sf, "events"), "event_id", "ts", "1 hour").select("event_id", "event_type")
+        return live.unseen(live.stream_parquet(spark, sf, "events", 64 << 20), "event_id").select("event_id", "event_type")
 
     _, base = live.run_to_table(start(), spark)
     out, _ = live.run_to_table(start(), spark, base)

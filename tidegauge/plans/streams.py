@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegauge.core.scan import with_sizes
-from tidegauge.core.session import table
+from tidegauge.core.session import row_budget, table
 from tidegauge.functions import sequential as seq
 from tidegauge.operators import sequences as ops
 from tidegauge.plans import fold_sql as fs
@@ -18,7 +18,7 @@ KEY = ["user_id"]
 def is_error():
     return F.col("event_type") == "error"
 
-HORIZON = 500
+SEGMENT_KEY, SEGMENT_ROWS = "spark.tidegauge.trace.segmentRows", 5000  # values per array of a trace; results do not depend on it
 NUMBERED = """e AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn,
   count(*) OVER (PARTITION BY user_id) AS cnt FROM events)"""
 
@@ -123,21 +123,23 @@ def ewma(spark, sf):
     return out.select("user_id", "n", F.round("ewma", 6).alias("ewma"), F.round("ibc", 9).alias("ibc"))
 
 
-def traces(spark, sf, value) -> DataFrame:
-    return ops.segments(numbered(spark, sf), KEY, is_error() if value is None else value, HORIZON)
+def whole_trace(spark, sf, fresh, run, value=None) -> DataFrame:
+    """Alarm positions per user over the unbroken stream."""
+    rows = row_budget(spark, SEGMENT_KEY, SEGMENT_ROWS)
+    packed = ops.segments(numbered(spark, sf), KEY, is_error().cast("double") if value is None else value, rows)
+    return ops.chained_alarms(packed, KEY, fresh, run, rows)
 
 
 def fold_trace(spark, sf, method, params, value=None) -> DataFrame:
-    packed = traces(spark, sf, value)
-    at = seq.alarm_trace(seq.fold(method, params), "xs")
-    return packed.select("user_id", "seg", F.explode(at).alias("at"))
+    f = seq.fold(method, params)
+    return whole_trace(spark, sf, f.start(), lambda xs, start: seq.trace_from(f, "xs", "start"), value)
 
 
 def trace_twin(spec, x="(event_type = 'error')::INT::DOUBLE") -> str:
     return f"""WITH RECURSIVE {NUMBERED},
-seq AS (SELECT {{'u': user_id, 's': (rn - 1) // {HORIZON}}} AS k, (rn - 1) % {HORIZON} + 1 AS pos, {x} AS x FROM e),
+seq AS (SELECT user_id AS k, rn AS pos, {x} AS x FROM e),
 {fs.fold_sql(*spec)}
-SELECT k.u AS user_id, k.s AS seg, pos::INT AS "at" FROM f WHERE alarm"""
+SELECT k AS user_id, pos::BIGINT AS "at" FROM f WHERE alarm"""
 
 
 @query("alarm_trace", trace_twin(fs.ddm(10, "1.5")))
@@ -161,8 +163,7 @@ def page_hinkley(spark, sf):
 
 
 def window_alarms(spark, sf, method, params, value=None) -> DataFrame:
-    packed = traces(spark, sf, value)
-    return packed.select("user_id", "seg", F.explode(seq.window_trace(method, params)("xs")).alias("at"))
+    return whole_trace(spark, sf, seq.WINDOW_START, seq.window_trace_from(method, params), value)
 
 
 @query("adwin", trace_twin(fs.adwin(0.9, 4, 5, 15, 400, 1)))

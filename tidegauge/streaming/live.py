@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -21,45 +22,53 @@ from tidegauge.functions import sequential as seq
 from tidegauge.operators.vectors import Pca
 
 
-def stream_parquet(spark: SparkSession, folder: str, name: str, bytes_per_trigger: int = 256 << 20) -> DataFrame:
-    """A parquet table as a stream, with the schema of the files present; a micro-batch is limited by its bytes."""
-    schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
-    return (
-        spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet*").option("maxBytesPerTrigger", bytes_per_trigger)
-        .parquet(folder)
-    )
+def stream_parquet(spark: SparkSession, folder: str, name: str, bytes_per_trigger: int | None = None) -> DataFrame:
+    """A parquet table (one file or a directory of part files) as a stream, with the schema of the files present.
+
+    Without ``bytes_per_trigger`` all files present form one micro-batch, so operators that need event order see a bounded
+    replay in one sorted pass; operators that do not depend on order may take the table in smaller pieces.
+    """
+    path = f"{folder}/{name}.parquet"
+    now = spark.read.parquet(path)
+    reader = spark.readStream.schema(now.schema)
+    if bytes_per_trigger:
+        reader = reader.option("maxBytesPerTrigger", bytes_per_trigger)
+    if any(not f.rstrip("/").endswith(f"/{name}.parquet") for f in now.inputFiles()):
+        return reader.parquet(path)  # a directory
+    return reader.option("pathGlobFilter", f"{name}.parquet").parquet(folder)
 
 
 def detector_alarms(
-    events: DataFrame, key: str, order: list[str], value: Column, method: str, params: seq.Params | None = None, horizon: int | None = None
+    events: DataFrame, key: str, order: list[str], value: Column, method: str, params: seq.Params | None = None
 ) -> DataFrame:
-    """Alarm rows (key, at, alarm_no): position of each alarm in the key's stream, reset after each.
+    """Alarm rows (key, at, alarm_no, late): position of each alarm in the key's stream, reset after each.
 
-    ``horizon`` restarts the detector every so many rows, like the bounded traces of the batch form.
+    Rows are read in event order inside a micro-batch. Rows that come after a later row of an earlier micro-batch are read
+    when they come; ``late`` counts those so far, so a reordered input cannot pass for an ordered one.
     """
     p = seq.py_params(method, params)
-    rows = events.select(key, *order, value.cast("double").alias("_x"))
+    rows = events.select(key, *order, F.struct(*order).cast("string").alias("_at"), value.cast("double").alias("_x"))
     key_type = rows.schema[key].dataType.simpleString()
 
     def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        n, alarms, text = state.get if state.exists else (0, 0, "")
+        n, alarms, late, last, text = state.get if state.exists else (0, 0, 0, "", "")
         s = json.loads(text) if text else seq.py_start(method)
         chunk = pd.concat(list(batches)).sort_values(order)
+        late += int((chunk["_at"] < last).sum()) if last else 0
         hits = []
         for x in chunk["_x"].to_numpy():
-            if horizon and n % horizon == 0:
-                s = seq.py_start(method)
             n += 1
             if seq.py_step(method, p, s, x):
                 alarms += 1
-                hits.append((k[0], n, alarms))
+                hits.append((k[0], n, alarms, late))
                 s = seq.py_start(method)
-        state.update((n, alarms, json.dumps(s)))
+        state.update((n, alarms, late, max(last, chunk["_at"].iloc[-1]), json.dumps(s)))
         if hits:
-            yield pd.DataFrame(hits, columns=[key, "at", "alarm_no"])
+            yield pd.DataFrame(hits, columns=[key, "at", "alarm_no", "late"])
 
     return rows.groupBy(key).applyInPandasWithState(
-        step, f"{key} {key_type}, at bigint, alarm_no bigint", "n bigint, alarms bigint, state string", "append", GroupStateTimeout.NoTimeout
+        step, f"{key} {key_type}, at bigint, alarm_no bigint, late bigint", "n bigint, alarms bigint, late bigint, last string, state string", "append",
+        GroupStateTimeout.NoTimeout,
     )
 
 
@@ -100,16 +109,37 @@ def window_scores(
     )
 
 
-def error_rate(events: DataFrame, time: str, error: Column, length: str, slide: str | None = None, late: str = "10 minutes") -> DataFrame:
-    """Event-time error rate per window; a window is final once the watermark has passed its end."""
+def error_counts(events: DataFrame, time: str, error: Column, length: str, slide: str | None = None) -> DataFrame:
+    """Rows and errors per event-time window of a batch."""
     w = F.window(time, length, slide) if slide else F.window(time, length)
-    events = events.withColumn(time, F.col(time).cast("timestamp"))  # watermarks need a zoned type
-    return (
-        events.withWatermark(time, late).groupBy(w.alias("w")).agg(F.count(F.lit(1)).alias("n"), F.sum(error.cast("int")).alias("errors"))
-        .select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n", "errors")
+    timed = events.withColumn(time, F.col(time).cast("timestamp"))
+    return timed.groupBy(w.alias("w")).agg(F.count(F.lit(1)).alias("n"), F.sum(error.cast("int")).alias("errors")).select(
+        F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n", "errors"
     )
 
 
+def error_rate(
+    events: DataFrame, spark: SparkSession, time: str, error: Column, length: str, slide: str | None = None, folder: str | None = None
+) -> tuple[DataFrame, str]:
+    """Event-time error rate per window, complete whatever the order of arrival.
+
+    Counts add up, so every micro-batch stores its own counts per window under its number (a repeated batch overwrites
+    them) and the table of rates is their sum. No row is too late, the last window is there, and no state is kept.
+    """
+    base = folder or f"{shared_dir(spark)}/live-{uuid.uuid4().hex}"
+
+    def put(batch: DataFrame, number: int) -> None:
+        error_counts(batch, time, error, length, slide).write.mode("overwrite").parquet(f"{base}/counts/batch={number}")
+
+    events.writeStream.foreachBatch(put).option("checkpointLocation", f"{base}/progress").trigger(availableNow=True).start().awaitTermination()
+    schema = error_counts(spark.createDataFrame([], events.schema), time, error, length, slide).schema
+    try:
+        parts = spark.read.schema(schema).parquet(f"{base}/counts")
+    except AnalysisException:  # no batch, no folder
+        parts = spark.createDataFrame([], schema)
+    return parts.groupBy("start", "end").agg(F.sum("n").alias("n"), F.sum("errors").alias("errors")), base
+
+
 def level_cut(reference: DataFrame, keys: list[str], value: str, level: float) -> DataFrame:
     """Smallest reference value whose empirical level reaches ``level``: x is at or above the level iff x >= cut."""
     from tidegauge.operators.signals import ecdf_levels
@@ -123,8 +153,14 @@ def binarize_live(events: DataFrame, cuts: DataFrame, value: str) -> DataFrame:
     return events.join(F.broadcast(cuts)).withColumn("event", (F.col(value) >= F.col("cut")).cast("int"))  # one row
 
 
-def unseen(events: DataFrame, uid: str, time: str, late: str) -> DataFrame:
-    """Each uid once within the watermark."""
+def unseen(events: DataFrame, uid: str, time: str | None = None, late: str | None = None) -> DataFrame:
+    """Each uid once. The key store holds every uid, so no order of arrival loses a row.
+
+    With ``late``, uids are kept for that long behind the newest ``time`` only: the store stays small, but rows that come
+    later than this are dropped; only for sources that promise an order.
+    """
+    if late is None:
+        return events.dropDuplicates([uid])
     return events.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late).dropDuplicatesWithinWatermark([uid])
 
 
