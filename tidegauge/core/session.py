@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,10 +20,13 @@ def get_session(app: str = "tidegauge", master: str | None = None, **conf: str)
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",  # a stored frame goes when nothing refers to it any more
     }
     for key, value in {**defaults, **conf}.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship(spark)
+    return spark
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
@@ -29,10 +35,29 @@ def table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
     return df.select(*cols) if cols else df
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, so that Python workers find it wherever the driver was started."""
+    root = Path(__file__).resolve().parents[1]
+    if spark.conf.get("spark.tidegauge.shipped", None):
+        return
+    folder = Path(tempfile.mkdtemp(prefix="tidegauge-"))
+    archive = folder / f"{root.name}.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    spark.sparkContext.addPyFile(str(archive))
+    spark.conf.set("spark.tidegauge.shipped", str(archive))
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor sees: the session's checkpoint folder, set here only when unset."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder every executor sees: the session's checkpoint folder.
+
+    Where none is set, a local session uses a folder beside its warehouse; a cluster has no folder that is safe to assume.
+    """
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = os.path.join(spark.conf.get("spark.sql.warehouse.dir").replace("file:", ""), "_checkpoints")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(path)
