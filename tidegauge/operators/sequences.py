@@ -194,8 +194,8 @@ def segments(numbered: DataFrame, keys: Sequence[str], value: Column, horizon: i
     return numbered.groupBy(*keys, seg).agg(F.transform(packed, lambda r: r["x"]).alias("xs"))
 
 
-def chained_alarms(packed: DataFrame, keys: Sequence[str], fresh: str, run: Callable[[Column, Column], Column], horizon: int) -> DataFrame:
-    """(keys, at): alarm positions over whole streams that are held as segments of at most ``horizon`` values.
+def chained(packed: DataFrame, keys: Sequence[str], fresh: str, run: Callable[[Column, Column], Column]) -> DataFrame:
+    """Rows (keys, seg, xs, start, out) of whole streams that are held as bounded segments; ``out`` is (at, state).
 
     Every segment runs at once from a ``fresh`` state; then the state at the end of each segment is handed to the next one, and
     only segments that began in another state run again, until none does. A segment whose runs from the old and the new state
@@ -213,7 +213,17 @@ def chained_alarms(packed: DataFrame, keys: Sequence[str], fresh: str, run: Call
         if again.isEmpty():
             break
         cur = cut_lineage(cur.join(again.select(*keys, "seg"), [*keys, "seg"], "left_anti").unionByName(again))
-    return cur.select(*keys, "seg", F.explode("out.at").alias("_i")).select(*keys, (F.col("seg") * horizon + F.col("_i")).cast("long").alias("at"))
+    return cur
+
+
+def end_state(chain: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, state): the state behind the last segment."""
+    return chain.groupBy(*keys).agg(F.max_by("out.state", "seg").alias("state"))
+
+
+def chained_alarms(packed: DataFrame, keys: Sequence[str], fresh: str, run: Callable[[Column, Column], Column], horizon: int) -> DataFrame:
+    """(keys, at): alarm positions over whole streams in segments of ``horizon`` values."""
+    return chained(packed, keys, fresh, run).select(*keys, "seg", F.explode("out.at").alias("_i")).select(*keys, (F.col("seg") * horizon + F.col("_i")).cast("long").alias("at"))
 
 
 def share_timeline(rows: DataFrame, load: str, start: float, horizon: float) -> DataFrame:

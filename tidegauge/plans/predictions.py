@@ -346,26 +346,30 @@ def image_pixel_filter(spark, sf):
 # ------------------------------------------------------------------ readers and sinks
 
 
+def scratch(spark, name) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 @query("scan_split_json", "SELECT doc_id::VARCHAR AS uid, (doc_id % 12)::INT AS task_id, CASE WHEN doc_id % 4 = 0 THEN 2 ELSE 1 END AS images, lang AS ground_truth FROM documents WHERE doc_id % 6 <> 0")
 def scan_split_json(spark, sf):
-    """Sample JSON (written from the documents) read with an explicit schema; rows without an image are dropped."""
-    key = F.col("doc_id").cast("string")
-    body = F.struct(
+    """Sample JSON files (written from the documents) read with an explicit schema; rows without an image are dropped."""
+    key, out = F.col("doc_id").cast("string"), scratch(spark, "samples")
+    table(spark, sf, "documents", "doc_id", "lang").select(
         key.alias("uid"), (F.col("doc_id") % 12).cast("int").alias("task_id"), F.col("lang").alias("ground_truth"),
         F.when(F.col("doc_id") % 6 == 0, "").otherwise(F.concat(F.lit("a_"), key)).alias("image_path"),
         F.when((F.col("doc_id") % 4 == 0) & (F.col("doc_id") % 6 != 0), F.concat(F.lit("b_"), key)).alias("pre_image_path"),
-    )
-    raw = table(spark, sf, "documents", "doc_id", "lang").select(F.from_json(F.to_json(body), readers.SAMPLE).alias("r")).select("r.*")
-    return readers.typed_samples(raw).select("uid", "task_id", F.size("image_paths").alias("images"), "ground_truth")
+    ).write.json(out)
+    return readers.read_samples(spark, out, lines=True).select("uid", "task_id", F.size("image_paths").alias("images"), "ground_truth")
 
 
 @query("scan_task_json", "SELECT CASE WHEN doc_id % 3 = 0 THEN 'cache' ELSE 'json' END AS source, lang AS task, count(*) AS n FROM documents GROUP BY 1, 2")
 def scan_task_json(spark, sf):
-    """Rows of several task files tagged with the kind of source parsed from the file name."""
-    file = F.concat(F.when(F.col("doc_id") % 3 == 0, "cache").otherwise("tasks"), F.lit("/"), "lang", F.lit(".json"))
-    d = table(spark, sf, "documents", "doc_id", "lang").withColumn("file", file)
-    source = F.when(F.col("file").startswith("cache/"), "cache").otherwise("json")
-    return d.groupBy(source.alias("source"), *readers.path_parts(F.col("file"), r"/([a-z]+)\.json$", ["task"])).agg(F.count(F.lit(1)).alias("n"))
+    """Rows of several task files tagged with the kind of source and the task parsed from the file's path."""
+    out = scratch(spark, "tasks")
+    kind = F.when(F.col("doc_id") % 3 == 0, "cache").otherwise("json").alias("kind")
+    table(spark, sf, "documents", "doc_id", "lang").select("doc_id", kind, F.col("lang").alias("task")).write.partitionBy("kind", "task").json(out)
+    rows = readers.read_reports(spark, out, "doc_id bigint", r"/kind=([a-z]+)/task=([a-z]+)/", ["source", "task"], lines=True)
+    return rows.groupBy("source", "task").agg(F.count("doc_id").alias("n"))
 
 
 def json_lines(spark, sf):
@@ -375,14 +379,18 @@ def json_lines(spark, sf):
         F.when(key % 10 == 0, "").when(key % 10 == 1, F.concat(F.lit("# note "), key.cast("string"))).when(key % 10 == 2, F.concat(F.lit('{"uid": "'), key.cast("string")))
         .otherwise(F.to_json(F.struct(key.cast("string").alias("uid"), F.col("n_chars").cast("double").alias("loss"))))
     )
-    return d.select(key.alias("line"), text.alias("value"))
+    return d.select(text.alias("value"))
 
 
-@query("scan_jsonl_tolerant", "SELECT doc_id AS line, CASE WHEN doc_id % 10 <> 2 THEN doc_id::VARCHAR END AS uid, CASE WHEN doc_id % 10 <> 2 THEN n_chars::DOUBLE END AS loss, doc_id % 10 = 2 AS bad FROM documents WHERE doc_id % 10 >= 2")
+@query("scan_jsonl_tolerant", """SELECT CASE WHEN doc_id % 10 <> 2 THEN doc_id::VARCHAR END AS uid, CASE WHEN doc_id % 10 <> 2 THEN n_chars::DOUBLE END AS loss,
+  CASE WHEN doc_id % 10 = 2 THEN '{"uid": "' || doc_id END AS bad, true AS placed FROM documents WHERE doc_id % 10 >= 2""")
 def scan_jsonl_tolerant(spark, sf):
-    """Parsed rows and bad lines side by side; blanks and comments are skipped."""
-    good, bad = readers.parse_lines(json_lines(spark, sf), "value", "uid string, loss double", "line")
-    return good.withColumn("bad", F.lit(False)).unionByName(bad.select("line", F.lit(True).alias("bad")), allowMissingColumns=True).select("line", "uid", "loss", "bad")
+    """Parsed rows and all bad lines of JSON-lines files, each with file and line number; blanks and comments are skipped."""
+    out = scratch(spark, "lines")
+    json_lines(spark, sf).write.text(out)
+    good, bad = readers.read_jsonl(spark, out, "uid string, loss double")
+    both = good.unionByName(bad.withColumnRenamed("text", "bad"), allowMissingColumns=True)
+    return both.select("uid", "loss", "bad", (F.col("file").isNotNull() & (F.col("line") >= 1)).alias("placed"))
 
 
 @query("scan_jsonl_last_wins", "SELECT o_custkey AS uid, arg_max(o_totalprice, (o_orderstatus <> 'P', o_orderkey)) AS loss, arg_max(o_orderstatus, (o_orderstatus <> 'P', o_orderkey)) = 'P' AS failed FROM orders GROUP BY 1")
@@ -393,10 +401,18 @@ def scan_jsonl_last_wins(spark, sf):
 
 @query("scan_csv_wide", "SELECT n_nationkey AS k, n_name AS name, NULL AS acct FROM nation UNION ALL SELECT s_suppkey, s_name, s_acctbal FROM supplier UNION ALL SELECT c_custkey, NULL, c_acctbal FROM customer")
 def scan_csv_wide(spark, sf):
-    a = table(spark, sf, "nation", F.col("n_nationkey").cast("bigint").alias("k"), F.col("n_name").alias("name"))
-    b = table(spark, sf, "supplier", F.col("s_suppkey").alias("k"), F.col("s_name").alias("name"), F.col("s_acctbal").alias("acct"))
-    c = table(spark, sf, "customer", F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("acct"))
-    return readers.union_wide(a, b, c)
+    """Headed CSV files of unlike columns read under the union of their columns."""
+    parts = {
+        "nation": (["n_nationkey AS k", "n_name AS name"], "k bigint, name string"),
+        "supplier": (["s_suppkey AS k", "s_name AS name", "s_acctbal AS acct"], "k bigint, name string, acct double"),
+        "customer": (["c_custkey AS k", "c_acctbal AS acct"], "k bigint, acct double"),
+    }
+    frames = []
+    for name, (cols, schema) in parts.items():
+        out = scratch(spark, name)
+        table(spark, sf, name).selectExpr(*cols).write.option("header", True).csv(out)
+        frames.append(readers.read_csv(spark, out, schema))
+    return readers.union_wide(*frames)
 
 
 @query("scan_feature_cache", "SELECT label, count(*) AS n, max(len(embedding)) AS dim, round(sum(list_sum(embedding::DOUBLE[])), 4) AS total FROM embeddings GROUP BY 1")
@@ -406,41 +422,61 @@ def scan_feature_cache(spark, sf):
     return f.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.max("dim").alias("dim"), F.round(F.sum(total), 4).alias("total"))
 
 
+def host():
+    return F.regexp_extract("url", "//([^/]+)/", 1)
+
+
 @query("scan_discover", "SELECT trim(regexp_replace(lower(regexp_extract(url, '//([^/]+)/', 1)), '[^a-z0-9]+', '_', 'g'), '_') AS task_key, count(*) AS files FROM pages GROUP BY 1")
 def scan_discover(spark, sf):
-    """Task tables found by path; the key is the slug of the directory."""
-    return table(spark, sf, "pages", "url").groupBy(fn.slug(F.regexp_extract("url", "//([^/]+)/", 1)).alias("task_key")).agg(F.count(F.lit(1)).alias("files"))
+    """Task tables found by walking a folder; the key is the slug of the directory, the count its records."""
+    out = scratch(spark, "found")
+    table(spark, sf, "pages", "page_id", "url").select("page_id", host().alias("dir")).write.partitionBy("dir").json(out)
+    found = readers.read_reports(spark, out, "page_id bigint", r"/dir=([^/]+)/", ["dir"], lines=True)
+    return found.groupBy(fn.slug("dir").alias("task_key")).agg(F.count(F.lit(1)).alias("files"))
 
 
 @query("scan_report_index", r"SELECT nullif(regexp_extract(url, '//([^/]+)/([a-z]+)/(\d+)', 1), '') AS grp, nullif(regexp_extract(url, '//([^/]+)/([a-z]+)/(\d+)', 2), '') AS config, nullif(regexp_extract(url, '//([^/]+)/([a-z]+)/(\d+)', 3), '') AS adapter, count(*) AS reports FROM pages GROUP BY 1, 2, 3")
 def scan_report_index(spark, sf):
+    """Report files indexed by the group and configuration in their path and the adapter in their record."""
+    out = scratch(spark, "reports")
     parts = readers.path_parts(F.col("url"), r"//([^/]+)/([a-z]+)/(\d+)", ["grp", "config", "adapter"])
-    return table(spark, sf, "pages", "url").groupBy(*parts).agg(F.count(F.lit(1)).alias("reports"))
+    table(spark, sf, "pages", "url").select(*parts).write.partitionBy("grp", "config").json(out)
+    index = readers.read_reports(spark, out, "adapter string", r"/grp=([^/]+)/config=([^/]+)/", ["grp", "config"], lines=True)
+    return index.groupBy("grp", "config", "adapter").agg(F.count(F.lit(1)).alias("reports"))
 
 
 @query("scan_rate_index", r"WITH m AS (SELECT regexp_extract(url, '//([^/]+)/', 1) AS dir, min(page_id) / 10.0 AS rate FROM pages GROUP BY 1) SELECT page_id, rate FROM pages JOIN m ON m.dir = regexp_extract(url, '//([^/]+)/', 1)")
 def scan_rate_index(spark, sf):
-    """Result rows keyed by the rate in the manifest of the same directory (joined on the parent path)."""
-    p = table(spark, sf, "pages", "page_id", F.regexp_extract("url", "//([^/]+)/", 1).alias("dir"))
-    manifest = p.groupBy("dir").agg((F.min("page_id") / 10.0).alias("rate"))
-    return p.join(manifest, "dir").select("page_id", "rate")
+    """Result rows keyed by the rate in the manifest file of the same directory (joined on the parent path)."""
+    results, manifests = scratch(spark, "rated"), scratch(spark, "manifests")
+    p = table(spark, sf, "pages", "page_id", "url").select("page_id", host().alias("dir"))
+    p.write.partitionBy("dir").json(results)
+    p.groupBy("dir").agg((F.min("page_id") / 10.0).alias("rate")).write.partitionBy("dir").json(manifests)
+    rows = readers.read_reports(spark, results, "page_id bigint", r"/(dir=[^/]+)/", ["parent"], lines=True)
+    manifest = readers.read_reports(spark, manifests, "rate double", r"/(dir=[^/]+)/", ["parent"], lines=True)
+    return rows.join(manifest.select("parent", "rate"), "parent").select("page_id", "rate")
 
 
 @query("scan_category_records", "SELECT p_brand || '_' || p_partkey || '_' || p_partkey AS uid, 'B' AS answer, lower(p_type) AS label FROM part WHERE p_partkey % 4 NOT IN (0, 1)")
 def scan_category_records(spark, sf):
-    """Question records with options text; rows without options or a readable answer are skipped."""
-    p = table(spark, sf, "part", "p_partkey", "p_brand", "p_name", "p_type")
-    raw = p.select(
+    """Question records from JSON files with options text; rows without options or a readable answer are skipped."""
+    p, out = table(spark, sf, "part", "p_partkey", "p_brand", "p_name", "p_type"), scratch(spark, "questions")
+    p.select(
         "p_partkey", "p_brand", F.when(F.col("p_partkey") % 4 != 0, F.concat(F.lit("A) "), "p_name", F.lit(" B) "), "p_type")).alias("options"),
         F.when(F.col("p_partkey") % 4 == 1, "unknown answer").otherwise(F.col("p_type")).alias("answer_text"), F.col("p_partkey").alias("ord"),
-    )
+    ).write.json(out)
+    raw = spark.read.schema("p_partkey bigint, p_brand string, options string, answer_text string, ord bigint").json(out)
     return readers.category_rows(raw, "options", ["answer_text"], "p_brand", "p_partkey", "ord").select("uid", "answer", "label")
 
 
 @query("sink_accept_reject", f"WITH {SAMPLE_SQL} SELECT CASE WHEN coalesce(accepted AND pseudo IS NOT NULL, false) THEN 'accepted' ELSE 'rejected' END AS route, CASE WHEN coalesce(accepted AND pseudo IS NOT NULL, false) THEN pseudo ELSE truth END AS answer, count(*) AS n FROM j GROUP BY 1, 2")
 def sink_accept_reject(spark, sf):
+    """Accepted and rejected rows written to their own folders and read back."""
     ok, no = sinks.route_accepted(joined(spark, sf), F.col("accepted") & F.col("pseudo").isNotNull(), "truth", "pseudo")
-    both = ok.withColumn("route", F.lit("accepted")).unionByName(no.withColumn("route", F.lit("rejected")))
+    out = scratch(spark, "routed")
+    for route, rows in (("accepted", ok), ("rejected", no)):
+        sinks.write_results(rows.select("truth"), f"{out}/route={route}", "json")
+    both = readers.read_reports(spark, out, "truth string", r"/route=([a-z]+)/", ["route"], lines=True)
     return both.groupBy("route", F.col("truth").alias("answer")).agg(F.count(F.lit(1)).alias("n"))
 
 

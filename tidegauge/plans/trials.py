@@ -9,15 +9,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegauge.core.session import cut_lineage, table
+from tidegauge.core.session import cut_lineage, row_budget, table
 from tidegauge.functions import sequential as seq
 from tidegauge.operators import sampling as smp
+from tidegauge.operators import sequences as ops
 from tidegauge.operators import signals as sig
 from tidegauge.plans import fold_sql as fs
 from tidegauge.plans.registry import query
 from tidegauge.plans.samples import affine_sql
+from tidegauge.plans.streams import SEGMENT_KEY, SEGMENT_ROWS
 
-CLEAN, AFTER, LEVEL, CAL_LEN = 100, 60, 0.70, 1000
+CLEAN, AFTER, LEVEL = 100, 60, 0.70
 FORMATS = {"click": "mcq", "view": "yes_no", "signup": "open_short", "purchase": "caption", "error": "binary"}
 
 SIG_SQL = """ev AS (SELECT event_id, event_type, value, ('0x' || substr(md5(event_id::VARCHAR), 1, 8))::BIGINT % 2 = 0 AS cal FROM events),
@@ -39,8 +41,7 @@ plan AS (SELECT trial, slot, CASE WHEN slot < {CLEAN} THEN 'clean' ELSE 'drift'
 tv AS (SELECT trial, slot, source, coalesce(cp.level, dp.level) AS level, coalesce(cp.event_id, dp.event_id) AS event_id FROM plan
   LEFT JOIN cp ON source = 'clean' AND cp.idx = pool_idx LEFT JOIN dp ON source = 'drift' AND dp.idx = pool_idx)"""
 
-CALSEQ_SQL = f"""cseq AS (SELECT 0 AS k, slot + 1 AS pos, (level >= {LEVEL})::INT::DOUBLE AS x FROM
-  (SELECT slot, {affine_sql('7', 'slot', '(SELECT k FROM ct)', 9, 2)} AS pool_idx FROM (SELECT unnest(range({CAL_LEN})) AS slot)) JOIN kp ON kp.idx = pool_idx)"""
+CALSEQ_SQL = f"""cseq AS (SELECT 0 AS k, idx + 1 AS pos, (level >= {LEVEL})::INT::DOUBLE AS x FROM kp)"""
 
 
 def signals(spark, sf) -> DataFrame:
@@ -87,12 +88,18 @@ class Pools:
         """One row per trial: arrays of calibration levels before and after the change."""
         return smp.materialize(self.plan(), self.both(), ["trial"], ["level"])
 
-    def calibration(self) -> DataFrame:
-        """One row with the fixed-length calibration sequence of binary events."""
-        slots = self.spark.range(CAL_LEN).select(F.col("id").alias("slot"))
-        drawn = slots.withColumn("idx", smp.affine_index(F.lit(7).cast("bigint"), F.col("slot"), self.k, 9, 2)).join(self.cal, "idx")
-        packed = F.array_sort(F.collect_list(F.struct("slot", sig.binarize(F.col("level"), LEVEL, True).cast("double").alias("x"))))
-        return drawn.agg(F.transform(packed, lambda r: r["x"]).alias("cal"))
+    def warm(self, f: seq.Fold, grid: DataFrame | None = None) -> DataFrame:
+        """State of a detector after the whole calibration signal, one row or one per row (idx, param) of the grid.
+
+        The signal stays in bounded segments; the grid is a few fixed rows.
+        """
+        rows = row_budget(self.spark, SEGMENT_KEY, SEGMENT_ROWS)
+        events = self.cal.select((F.col("idx") + 1).alias("rn"), sig.binarize(F.col("level"), LEVEL, True).cast("double").alias("x"))
+        packed, keys = ops.segments(events, [], F.col("x"), rows), []
+        if grid is not None:
+            packed, keys = packed.join(F.broadcast(grid)), ["idx", "param"]
+        run = lambda xs, start: seq.trace_from(f, "xs", "start")
+        return ops.end_state(ops.chained(packed, keys, f.start(), run), keys)
 
     def stationary(self, windows: int, size: int) -> DataFrame:
         plan = smp.stationary_plan(self.spark, windows, size, self.k, 4)
@@ -105,22 +112,17 @@ def events_of(levels: str) -> str:
     return f"transform({levels}, v -> double(v >= {LEVEL}D))"
 
 
-def candidates(method: str):
-    _, grid = seq.GRIDS[method]
-    return F.array(*[F.struct(F.lit(i).alias("idx"), F.lit(float(v)).alias("param")) for i, v in enumerate(grid)])
-
-
 def warmed(p: Pools, method: str) -> DataFrame:
     """State after calibration for each candidate setting: a handful of rows, one per grid value."""
-    name, _ = seq.GRIDS[method]
-    per = p.calibration().select("cal", F.explode(candidates(method)).alias("c")).select("cal", "c.*")
+    name, values = seq.GRIDS[method]
+    grid = p.spark.createDataFrame([(i, float(v)) for i, v in enumerate(values)], "idx int, param double")
     f = seq.fold(method, {**seq.GRID_BASE.get(method, {}), name: "param"})
-    return per.select(F.lit(method).alias("method"), "idx", "param", seq.warm_state(f, "cal").alias("state"))
+    return p.warm(f, grid).select(F.lit(method).alias("method"), "idx", "param", "state")
 
 
 def onset_rows(p: Pools, method: str, params: dict) -> DataFrame:
     f = seq.fold(method, params)
-    warm = p.calibration().select(seq.warm_state(f, "cal").alias("state"))
+    warm = p.warm(f)
     rows = p.trials().join(F.broadcast(warm))  # one row
     both = seq.onset_detection(f, events_of("clean_level"), events_of("drift_level"), "state")
     return rows.select("trial", both.alias("o")).select("trial", "o.prechange", "o.delay")
@@ -203,7 +205,7 @@ DDM_GRID = fs.ddm(30, "k.param")
 GRID_WARM_SQL = f"""{grid_sql('ddm')},
 gseq AS (SELECT {{'idx': idx, 'param': param}} AS k, pos, x FROM cseq, grid),
 {fs.fold_sql(*DDM_GRID, name='gw', seq='gseq')},
-warm AS (SELECT * EXCLUDE (pos, alarm) FROM gw WHERE pos = {CAL_LEN})"""
+warm AS (SELECT * EXCLUDE (pos, alarm) FROM gw WHERE pos = (SELECT k FROM ct))"""
 
 
 @query("warm_state", f"""WITH RECURSIVE {POOLS_SQL}, {CALSEQ_SQL}, {GRID_WARM_SQL}
@@ -222,7 +224,7 @@ STAT_SQL = f"""sw AS (SELECT unnest(range((SELECT k // 100 FROM ct))) AS window_
 sv AS (SELECT window_id, slot, (level >= {LEVEL})::INT::DOUBLE AS x FROM (SELECT window_id, slot, {affine_sql('window_id', 'slot', '(SELECT k FROM ct)', 4, 2)} AS pool_idx
   FROM sw, (SELECT unnest(range({WSIZE})) AS slot)) JOIN kp ON kp.idx = pool_idx)"""
 HD_WARM = f"""{fs.fold_sql(*fs.hddm_w(0.05, 0.05), name='hw', seq='cseq')},
-hwarm AS (SELECT * EXCLUDE (k, pos, alarm) FROM hw WHERE pos = {CAL_LEN})"""
+hwarm AS (SELECT * EXCLUDE (k, pos, alarm) FROM hw WHERE pos = (SELECT k FROM ct))"""
 HW = {"conf": 0.05, "lam": 0.05}
 
 
@@ -233,7 +235,7 @@ SELECT k AS window_id, min(CASE WHEN alarm THEN pos END)::INT AS first_alarm FRO
 def detects_in_window(spark, sf):
     p = Pools(spark, sf)
     f = seq.fold("hddm_w", HW)
-    warm = p.calibration().select(seq.warm_state(f, "cal").alias("state"))
+    warm = p.warm(f)
     rows = p.stationary(p.k // 100, WSIZE).join(F.broadcast(warm))  # one row
     return rows.select("window_id", seq.first_detection(f, "xs", "state").alias("first_alarm"))
 
@@ -254,7 +256,7 @@ def trial_traces(spark, sf) -> DataFrame:
     """Delay after onset plus alarm windows (last 20 of the clean part, every 10) of one method and seed."""
     p = Pools(spark, sf)
     f = seq.fold("hddm_w", HW)
-    warm = p.calibration().select(seq.warm_state(f, "cal").alias("state"))
+    warm = p.warm(f)
     rows = p.trials().join(F.broadcast(warm))  # one row
     clean = events_of("clean_level")
     ends = F.sequence(F.lit(20), F.lit(CLEAN), F.lit(10))
@@ -315,7 +317,7 @@ def ratio_results(spark, sf) -> DataFrame:
     """Per window: first alarm (ratio 0) or alarm after onset with pre-change alarms (contiguous tail)."""
     p = Pools(spark, sf)
     f = seq.fold("hddm_w", HW)
-    warm = p.calibration().select(seq.warm_state(f, "cal").alias("state"))
+    warm = p.warm(f)
     plan = smp.window_plan(spark, p.c // 250, WSIZE, RATIOS, p.c, p.d, 6)
     rows = smp.materialize(plan, p.both(), ["ratio", "window_id", "n_clean", "n_drift"], ["level"]).join(F.broadcast(warm))  # one row
     clean, drift = events_of("clean_level"), events_of("drift_level")

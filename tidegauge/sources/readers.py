@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidegauge.core.expr import doubles
@@ -14,9 +14,9 @@ SAMPLE = (
 )
 
 
-def read_samples(spark: SparkSession, glob: str) -> DataFrame:
-    """Sample arrays from JSON files; rows without any image path are dropped, the file is kept as source."""
-    raw = spark.read.schema(SAMPLE).option("multiLine", True).json(glob)
+def read_samples(spark: SparkSession, glob: str, lines: bool = False) -> DataFrame:
+    """Samples from JSON files, arrays or one per line; rows without any image path are dropped, the file is kept as source."""
+    raw = spark.read.schema(SAMPLE).option("multiLine", not lines).json(glob)
     return typed_samples(raw.withColumn("source_file", F.input_file_name()))
 
 
@@ -36,11 +36,27 @@ def parse_lines(lines: DataFrame, value: str, schema: str, line: str) -> tuple[D
     return good, bad
 
 
-def read_jsonl(spark: SparkSession, path: str, schema: str, max_errors: int = 100) -> tuple[DataFrame, DataFrame]:
-    """JSON-lines file as (rows, first ``max_errors`` bad lines); line order is the position in the file."""
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("line"))
-    good, bad = parse_lines(lines, "value", schema, "line")
-    return good, bad.orderBy("line").limit(max_errors)
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(value, file, line): text lines with their 1-based number in the file.
+
+    Lines are numbered inside their split of the file and shifted by the lines of the splits before it, so a large file is
+    numbered by as many tasks as it has splits.
+    """
+    raw = spark.read.option("recursiveFileLookup", True).text(path).select(
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_from"), F.monotonically_increasing_id().alias("_at")
+    )
+    inside = F.row_number().over(Window.partitionBy("file", "_from").orderBy("_at"))
+    counts = raw.groupBy("file", "_from").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("file").orderBy("_from").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = counts.select("file", "_from", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"))
+    return raw.withColumn("_i", inside).join(shifts, ["file", "_from"]).select("value", "file", (F.col("_shift") + F.col("_i")).alias("line"))
+
+
+def read_jsonl(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
+    """JSON-lines files as (rows, bad lines): all of both, with file and line number. A report may show the first few."""
+    lines = numbered_lines(spark, path).withColumn("at", F.struct("file", "line"))
+    good, bad = parse_lines(lines, "value", schema, "at")
+    return tuple(df.select("at.file", "at.line", *[c for c in df.columns if c != "at"]) for df in (good, bad))
 
 
 def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -67,11 +83,10 @@ def path_parts(path: Column, pattern: str, names: list[str]) -> list[Column]:
     return [F.nullif(F.regexp_extract(path, pattern, i), F.lit("")).alias(n) for i, n in enumerate(names, 1)]
 
 
-def read_reports(spark: SparkSession, glob: str, schema: str, pattern: str, names: list[str]) -> DataFrame:
-    """Report files indexed by keys parsed out of their path."""
-    raw = spark.read.schema(schema).option("multiLine", True).json(glob)
-    path = F.input_file_name()
-    return raw.select("*", path.alias("path"), *path_parts(path, pattern, names))
+def read_reports(spark: SparkSession, glob: str, schema: str, pattern: str, names: list[str], lines: bool = False) -> DataFrame:
+    """Report files at any depth, indexed by keys parsed out of their path."""
+    raw = spark.read.schema(schema).option("multiLine", not lines).option("recursiveFileLookup", True).json(glob)
+    return raw.withColumn("path", F.input_file_name()).select("*", *path_parts(F.col("path"), pattern, names))
 
 
 def category_rows(raw: DataFrame, options: str, answers: list[str], task: str, qid: str, ord_: str) -> DataFrame:
