@@ -14,7 +14,8 @@ of one sketch are still apart after that, pairs of texts from different componen
 of each. No pair is dropped for the size of a group.
 
 Defined results: a text with fewer than five words is one shingle; a text without any word (null, empty, blank, symbols only)
-is compared with nothing and forms its own class; rows that repeat a doc_id count as one document, and a null doc_id
+is compared with nothing and forms its own class; rows that repeat a doc_id count as one document (one of its texts is searched, any of
+them may confirm a pair), and a null doc_id
 as one document, too; an empty table gives an empty result; other columns are not read.
 """
 
@@ -100,13 +101,17 @@ def _sketch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 
 def _sequence_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, seq): the shingle sequence as bytes of 64-bit hashes."""
+    """(doc, seq): the shingle sequence as bytes of 32-bit hashes; two unlike shingles of a pair agree with a chance of 2**-32."""
     for batch in batches:
         for lo, hi in words.slices(batch["text"]):
             part = batch.slice(lo, hi - lo)
             w = words.split(part["text"])
-            seqs = [shingles(w.text(i)).tobytes() for i in range(part.num_rows)]
-            yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(seqs, pa.binary())], ["doc_id", "seq"])
+            seqs = [(shingles(w.text(i)) >> np.uint64(32)).astype(np.uint32).tobytes() for i in range(part.num_rows)]
+            yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(seqs, pa.binary())], ["doc", "seq"])
+
+
+def _read(seq: pa.Scalar) -> np.ndarray:
+    return np.frombuffer(seq.as_py(), np.uint32).astype(np.uint64)
 
 
 def aligned(a: np.ndarray, b: np.ndarray, band: int) -> int:
@@ -153,7 +158,7 @@ def _verify(least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             left, right = batch["left"], batch["right"]
-            got = [similarity(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64), least) for x, y in zip(left, right)]
+            got = [similarity(_read(x), _read(y), least) for x, y in zip(left, right)]
             keep = [i for i, s in enumerate(got) if s >= least - 1e-12]
             yield pa.RecordBatch.from_arrays(
                 [batch["a"].take(pa.array(keep, pa.int32())), batch["b"].take(pa.array(keep, pa.int32())), pa.array([got[i] for i in keep], pa.float64())], ["a", "b", "similarity"]
@@ -162,35 +167,33 @@ def _verify(least: float):
     return run
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b) whose texts are similar enough; each text of a pair is tokenised once."""
-    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    seqs = docs.join(ids, "doc_id", "left_semi").mapInArrow(_sequence_batches, "doc_id bigint, seq binary")
-    seqs = stored(seqs)
-    left = pairs.join(seqs.select(F.col("doc_id").alias("a"), F.col("seq").alias("left")), "a")
-    both = left.join(seqs.select(F.col("doc_id").alias("b"), F.col("seq").alias("right")), "b")
+def _verified(pairs: DataFrame, seqs: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) whose shingle sequences (doc, seq) are similar enough."""
+    left = pairs.join(seqs.select(F.col("doc").alias("a"), F.col("seq").alias("left")), "a")
+    both = left.join(seqs.select(F.col("doc").alias("b"), F.col("seq").alias("right")), "b")
     return stored(both.select("a", "b", "left", "right").mapInArrow(_verify(least), "a bigint, b bigint, similarity double"))
 
 
-def _rare_pairs(docs: DataFrame, members: DataFrame, least: float) -> DataFrame:
-    """Pairs of members (doc, root, n) from different components that share one of the rarest shingles of each."""
-    seqs = docs.join(members.select("doc").distinct(), docs["doc_id"] == F.col("doc"), "left_semi")
+def _mark_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per labelled shingle of a sequence."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, 256):
+            part = batch.slice(lo, 256)
+            marks = [labelled(_read(x)) for x in part["seq"]]
+            ids = np.repeat(part["doc"].to_numpy(zero_copy_only=False), [len(m) for m in marks])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.concatenate(marks).view(np.int64))], ["doc", "mark"])
 
-    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo, hi in words.slices(batch["text"]):
-                part = batch.slice(lo, hi - lo)
-                w = words.split(part["text"])
-                marks = [labelled(shingles(w.text(i))) for i in range(part.num_rows)]
-                ids = np.repeat(part["doc_id"].to_numpy(zero_copy_only=False), [len(m) for m in marks])
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.concatenate(marks).view(np.int64))], ["doc", "mark"])
-
-    rows = stored(seqs.select("doc_id", "text").mapInArrow(explode, "doc bigint, mark bigint"))
+
+def _rare_pairs(seqs: DataFrame, members: DataFrame, least: float) -> DataFrame:
+    """Pairs of members (doc, root, n) from different components that share one of the rarest shingles of each."""
+    own = seqs.join(members.select("doc").distinct(), "doc", "left_semi").select("doc", "seq")
+    rows = stored(own.mapInArrow(_mark_batches, "doc bigint, mark bigint"))
     ranked = rows.join(rows.groupBy("mark").agg(F.count(F.lit(1)).alias("df")), "mark")
     n = F.count(F.lit(1)).over(Window.partitionBy("doc"))
     nth = F.row_number().over(Window.partitionBy("doc").orderBy("df", "mark"))
-    rare = ranked.select("doc", "mark", nth.alias("nth"), n.alias("n")).where(F.col("nth") <= F.col("n") - F.ceil(F.col("n") * F.lit(least) - 1e-9) + 1)
-    side = rare.join(members.select("doc", "root", "n").distinct().withColumnRenamed("n", "size"), "doc")
+    rare = ranked.select("doc", "mark", "df", nth.alias("nth"), n.alias("n")).where(F.col("nth") <= F.col("n") - F.ceil(F.col("n") * F.lit(least) - 1e-9) + 1)
+    rare = rare.where("df > 1")  # a shingle of one text makes no pair
+    side = rare.select("doc", "mark").join(members.select("doc", "root", F.col("n").alias("size")).distinct(), "doc")
     a = side.select(F.col("doc").alias("a"), F.col("root").alias("ra"), F.col("size").alias("na"), "mark")
     b = side.select(F.col("doc").alias("b"), F.col("root").alias("rb"), F.col("size").alias("nb"), "mark")
     near = (F.least("na", "nb") >= F.greatest("na", "nb") * F.lit(least)) & (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb"))
@@ -213,7 +216,10 @@ def near_classes(docs: DataFrame, least: float = SIMILAR, small: int = SMALL) ->
     fit = F.least("n", "hub_n") >= F.greatest("n", "hub_n") * F.lit(least)
     star = member.join(hubs, "key").where((F.col("doc") != F.col("hub")) & fit).select(F.least("doc", "hub").alias("a"), F.greatest("doc", "hub").alias("b")).distinct()
     star = stored(star)
-    links = _verified(star, texts, least)
+    # One pass over the texts for all comparisons: only members of some group are cut into shingles again.
+    ids = member.select(F.col("doc").alias("doc_id")).distinct()
+    seqs = stored(texts.join(ids, "doc_id", "left_semi").mapInArrow(_sequence_batches, "doc bigint, seq binary"))
+    links = _verified(star, seqs, least)
     roots = stored(components(links))
     rooted = member.join(roots.withColumnRenamed("node", "doc"), "doc", "left").withColumn("root", F.coalesce("component", "doc"))
     apart = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
@@ -223,8 +229,8 @@ def near_classes(docs: DataFrame, least: float = SIMILAR, small: int = SMALL) ->
     near = (F.least("na", "nb") >= F.greatest("na", "nb") * F.lit(least)) & (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb"))
     pairs = a.join(b, "key").where(near).select("a", "b")
     large = rest.where(F.col("size") > small).select("doc", "root", "n")
-    pairs = pairs.unionByName(_rare_pairs(texts, large, least)).distinct().join(star, ["a", "b"], "left_anti")
-    more = _verified(stored(pairs), texts, least)
+    pairs = pairs.unionByName(_rare_pairs(seqs, large, least)).distinct().join(star, ["a", "b"], "left_anti")
+    more = _verified(stored(pairs), seqs, least)
     final = components(links.select("a", "b").unionByName(more.select("a", "b")))
     of_text = first.select("high", "low", "doc").join(final.withColumnRenamed("node", "doc"), "doc", "left").select("high", "low", F.coalesce("component", "doc").alias("root"))
     own = one.alias("o").join(of_text.alias("t"), ["high", "low"], "left").select("doc_id", F.coalesce("root", "doc_id").alias("root"))
