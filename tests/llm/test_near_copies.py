@@ -83,10 +83,10 @@ def brute(docs):
     return {i: top(i) for i in ids}
 
 
-@pytest.mark.parametrize("small", [32, 1])
-def test_classes_match_brute_force(spark, corpus, small):
+@pytest.mark.parametrize("chunk", [256, 3])
+def test_classes_match_brute_force(spark, corpus, chunk):
     df = spark.createDataFrame([(i, t, "c") for i, t in corpus.items()], "doc_id long, text string, n string").repartition(5)
-    got = {r["doc_id"]: r["class_id"] for r in om.near_classes(df, small=small).collect()}
+    got = {r["doc_id"]: r["class_id"] for r in om.near_classes(df, chunk=chunk).collect()}
     assert got == brute(corpus)
 
 

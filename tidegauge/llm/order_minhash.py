@@ -9,9 +9,9 @@ in common with a chance of about 1 in 10 000.
 
 Copies first fall together by a 128-bit fingerprint of the word sequence. Of the rest, each group with one sketch is linked
 to its centre (the text that meets most others), which finds groups of any size with one pair per member. Only where members
-of one sketch are still apart after that, pairs of texts from different components are compared: directly in groups of up to
-``SMALL`` members, beyond that by rarest shingles: two texts at similarity 0.8 share one of the rarest fifth of the shingles
-of each. No pair is dropped for the size of a group.
+of one sketch are still apart after that, texts from different components are compared with each other, in blocks of at most
+2 x ``CHUNK`` members: each pair once, in the first sketch it shares, and only similar pairs leave the block. No pair is
+dropped for the size of a group.
 
 Defined results: a text with fewer than five words is one shingle; a text without any word (null, empty, blank, symbols only)
 is compared with nothing and forms its own class; rows that repeat a doc_id count as one document (one of its texts is searched, any of
@@ -25,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidegauge.llm import words
@@ -33,7 +33,7 @@ from tidegauge.llm.components import components
 from tidegauge.llm.tables import stored
 
 SHINGLE, SIMILAR = 5, 0.8
-PICK, SKETCHES, SMALL = 5, 24, 32
+PICK, SKETCHES, CHUNK = 5, 24, 256
 
 
 def shingles(tokens: np.ndarray) -> np.ndarray:
@@ -174,33 +174,45 @@ def _verified(pairs: DataFrame, seqs: DataFrame, least: float) -> DataFrame:
     return stored(both.select("a", "b", "left", "right").mapInArrow(_verify(least), "a bigint, b bigint, similarity double"))
 
 
-def _mark_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row per labelled shingle of a sequence."""
-    for batch in batches:
-        for lo in range(0, batch.num_rows, 256):
-            part = batch.slice(lo, 256)
-            marks = [labelled(_read(x)) for x in part["seq"]]
-            ids = np.repeat(part["doc"].to_numpy(zero_copy_only=False), [len(m) for m in marks])
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.concatenate(marks).view(np.int64))], ["doc", "mark"])
-
-
-def _rare_pairs(seqs: DataFrame, members: DataFrame, least: float) -> DataFrame:
-    """Pairs of members (doc, root, n) from different components that share one of the rarest shingles of each."""
-    own = seqs.join(members.select("doc").distinct(), "doc", "left_semi").select("doc", "seq")
-    rows = stored(own.mapInArrow(_mark_batches, "doc bigint, mark bigint"))
-    ranked = rows.join(rows.groupBy("mark").agg(F.count(F.lit(1)).alias("df")), "mark")
-    n = F.count(F.lit(1)).over(Window.partitionBy("doc"))
-    nth = F.row_number().over(Window.partitionBy("doc").orderBy("df", "mark"))
-    rare = ranked.select("doc", "mark", "df", nth.alias("nth"), n.alias("n")).where(F.col("nth") <= F.col("n") - F.ceil(F.col("n") * F.lit(least) - 1e-9) + 1)
-    rare = rare.where("df > 1")  # a shingle of one text makes no pair
-    side = rare.select("doc", "mark").join(members.select("doc", "root", F.col("n").alias("size")).distinct(), "doc")
-    a = side.select(F.col("doc").alias("a"), F.col("root").alias("ra"), F.col("size").alias("na"), "mark")
-    b = side.select(F.col("doc").alias("b"), F.col("root").alias("rb"), F.col("size").alias("nb"), "mark")
-    near = (F.least("na", "nb") >= F.greatest("na", "nb") * F.lit(least)) & (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb"))
-    return a.join(b, "mark").where(near).select("a", "b").distinct()
-
-
-def near_classes(docs: DataFrame, least: float = SIMILAR, small: int = SMALL) -> DataFrame:
+def _block_batches(least: float):
+    """Similar pairs of the members of each block; the rows of a block follow each other.
+
+    A pair of texts is compared in the first sketch that both share, and only if their components differ.
+    """
+
+    def compare(key: int, first: int, second: int, rows: list[tuple]) -> Iterator[tuple[int, int, float]]:
+        for i, (a, root_a, own_a, keys_a, seq_a) in enumerate(rows):
+            for b, root_b, own_b, keys_b, seq_b in rows[i + 1 :]:
+                short, long = sorted((len(seq_a), len(seq_b)))
+                if root_a == root_b or (first != second and own_a == own_b) or short < least * long - 1e-9:
+                    continue
+                if keys_a[int(np.argmax(keys_a == keys_b))] == key and (s := similarity(seq_a, seq_b, least)) >= least - 1e-12:
+                    yield min(a, b), max(a, b), s
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, rows = None, []
+        for batch in batches:
+            found: list[tuple] = []
+            blocks = zip(*(batch[c].to_pylist() for c in ("key", "first", "second")))
+            fields = zip(*(batch[c].to_pylist() for c in ("doc", "root", "own")), batch["keys"], batch["seq"])
+            for at, (doc, root, own, keys, seq) in zip(blocks, fields):
+                if at != block:
+                    found.extend(compare(*block, rows) if block else ())
+                    block, rows = at, []
+                rows.append((doc, root, own, keys.values.to_numpy(), _read(seq)))
+            yield _links(found)
+        if block:
+            yield _links(list(compare(*block, rows)))
+
+    return run
+
+
+def _links(found: list[tuple]) -> pa.RecordBatch:
+    cols = list(zip(*found)) if found else [[]] * 3
+    return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.float64()))], ["a", "b", "similarity"])
+
+
+def near_classes(docs: DataFrame, least: float = SIMILAR, chunk: int = CHUNK) -> DataFrame:
     """(doc_id, class_id, copies): the least doc_id of every document's class and the size of the class."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     kind = "doc_id bigint, high bigint, low bigint, n int, keys array<bigint>"
@@ -224,13 +236,13 @@ def near_classes(docs: DataFrame, least: float = SIMILAR, small: int = SMALL) ->
     rooted = member.join(roots.withColumnRenamed("node", "doc"), "doc", "left").withColumn("root", F.coalesce("component", "doc"))
     apart = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
     rest = stored(rooted.join(apart, "key").select("key", "size", "doc", "n", "root"))
-    a = rest.where(F.col("size") <= small).select("key", F.col("doc").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
-    b = rest.where(F.col("size") <= small).select("key", F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
-    near = (F.least("na", "nb") >= F.greatest("na", "nb") * F.lit(least)) & (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb"))
-    pairs = a.join(b, "key").where(near).select("a", "b")
-    large = rest.where(F.col("size") > small).select("doc", "root", "n")
-    pairs = pairs.unionByName(_rare_pairs(seqs, large, least)).distinct().join(star, ["a", "b"], "left_anti")
-    more = _verified(stored(pairs), seqs, least)
+    # Groups are cut into chunks; each pair of chunks is a block of bounded size, and no pair becomes a row unless it is similar.
+    chunks = F.ceil(F.col("size") / chunk).cast("int")
+    cut = rest.withColumn("own", F.pmod(F.xxhash64("doc"), chunks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
+    cut = cut.select("key", F.least("own", "other").alias("first"), F.greatest("own", "other").alias("second"), "own", "doc", "root")
+    held = cut.join(first.select("doc", "keys").join(seqs.dropDuplicates(["doc"]), "doc"), "doc")
+    blocks = held.repartition("key", "first", "second").sortWithinPartitions("key", "first", "second", "doc")
+    more = stored(blocks.mapInArrow(_block_batches(least), "a bigint, b bigint, similarity double"))
     final = components(links.select("a", "b").unionByName(more.select("a", "b")))
     of_text = first.select("high", "low", "doc").join(final.withColumnRenamed("node", "doc"), "doc", "left").select("high", "low", F.coalesce("component", "doc").alias("root"))
     own = one.alias("o").join(of_text.alias("t"), ["high", "low"], "left").select("doc_id", F.coalesce("root", "doc_id").alias("root"))
