@@ -90,3 +90,20 @@ def test_same_text_has_full_cosine():
     words = "a b c d e f".split()
     assert ngram_cosine(words, words, 4) == pytest.approx(10.0)
     assert ngram_cosine(words, ["x"], 4) == 0.0
+
+
+def test_window_distance_wide_vectors_and_windows_over_batches(spark):
+    rng = np.random.default_rng(8)
+    d = 2048
+    rows = [(float(w % 2), w, rng.normal(size=d)) for w in range(40) for _ in range(7)]
+    models = {"A": vec.Pca(np.zeros(d), np.eye(d), rng.uniform(0.5, 2.0, d), 10)}
+    df = spark.createDataFrame([(r, w, x.tolist()) for r, w, x in rows], "ratio double, window_id int, A array<double>").repartition(5)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
+    try:
+        got = {(r["ratio"], r["window_id"]): r["score"] for r in vec.window_distance(df, ["ratio", "window_id"], models, 1e-3).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(got) == 40
+    for r, w in got:
+        m = np.mean([x for a, b, x in rows if (a, b) == (r, w)], axis=0)
+        assert got[r, w] == pytest.approx(np.sqrt((m * m / (models["A"].variances + 1e-3)).sum()))

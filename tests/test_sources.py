@@ -74,3 +74,18 @@ def test_durations_and_scores(spark):
         fn.parse_scores(F.lit('{"method":"logprob","scores":{"A":"NaN"}}')).alias("nan"),
     ).first()
     assert row["d"] == 3753.0 and row["nll"] == pytest.approx(0.3132616875) and row["none"] is None and row["nan"] is None
+
+
+def test_all_bad_lines_keep_their_place(spark, tmp_path):
+    lines = [f'{{"uid": "{i}", "loss": 1.5}}' if i % 3 else "{broken" for i in range(1, 601)]
+    (tmp_path / "many").mkdir()
+    (tmp_path / "many" / "a.jsonl").write_text("\n".join(lines))
+    (tmp_path / "many" / "b.jsonl").write_text("# note\n\n{broken\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1k")
+    try:
+        good, bad = readers.read_jsonl(spark, str(tmp_path / "many"), "uid string, loss double")
+        places = {(r["file"][-7], r["line"]) for r in bad.collect()}
+        assert {(r["line"], r["uid"]) for r in good.collect()} == {(i, str(i)) for i in range(1, 601) if i % 3}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert places == {("a", i) for i in range(3, 601, 3)} | {("b", 3)}

@@ -11,6 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -122,6 +123,49 @@ def mahalanobis_scores(means: DataFrame, keys: Sequence[str], models: dict[str,
     return means.select(*keys, F.explode(F.array(*per)).alias("p")).select(*keys, "p.stream", "p.score")
 
 
+def window_distance(drawn: DataFrame, keys: Sequence[str], models: dict[str, Pca], eps: float) -> DataFrame:
+    """Long table keys + (stream, score): Mahalanobis length of each window's mean projected vector.
+
+    The rows of a window meet by one shuffle and follow each other; each Arrow batch is added up per window, and a window that
+    goes on into the next batch carries its sums. The plan does not widen with the dimension.
+    """
+    streams = list(models)
+    inverse = [1.0 / (models[s].variances + eps) for s in streams]
+    schema = ", ".join(f"`{k}` {drawn.schema[k].dataType.simpleString()}" for k in keys) + ", stream string, score double"
+
+    def scored(heads: list[pa.RecordBatch], sums: list[np.ndarray], counts: np.ndarray) -> pa.RecordBatch:
+        table = pa.Table.from_batches(heads).combine_chunks()
+        long = [np.sqrt(np.maximum(((x / counts[:, None]) ** 2 * w).sum(axis=1), 0.0)) for x, w in zip(sums, inverse)]
+        cols = [pa.concat_arrays([table[k].combine_chunks()] * len(streams)) for k in keys]
+        names = pa.array(np.repeat(streams, len(counts)), pa.string())
+        return pa.RecordBatch.from_arrays([*cols, names, pa.array(np.concatenate(long))], [*keys, "stream", "score"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head, kept, count, last = None, None, 0, None  # the open window
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = list(zip(*(batch[k].to_pylist() for k in keys)))
+            starts = np.array([0, *(i for i in range(1, len(rows)) if rows[i] != rows[i - 1])])
+            sums = [np.add.reduceat(batch[s].flatten().to_numpy().reshape(batch.num_rows, -1), starts, axis=0) for s in streams]
+            counts = np.diff(np.append(starts, batch.num_rows)).astype(float)
+            heads = batch.select(list(keys)).take(pa.array(starts))
+            if head is not None:
+                if rows[0] == last:
+                    sums = [np.vstack([x[:1] + y, x[1:]]) for x, y in zip(sums, kept)]
+                    counts[0] += count
+                else:
+                    yield scored([head], kept, np.array([count]))
+            if len(starts) > 1:
+                yield scored([heads.slice(0, len(starts) - 1)], [x[:-1] for x in sums], counts[:-1])
+            head, kept, count, last = heads.slice(len(starts) - 1), [x[-1:] for x in sums], counts[-1], rows[-1]
+        if head is not None:
+            yield scored([head], kept, np.array([count]))
+
+    together = drawn.select(*keys, *streams).repartition(*keys).sortWithinPartitions(*keys)
+    return together.mapInArrow(run, schema)
+
+
 def window_arrays(drawn: DataFrame, keys: Sequence[str], streams: Sequence[str]) -> DataFrame:
     """The window's vectors as one bounded array per stream (window size x d)."""
     return drawn.groupBy(*keys).agg(*[F.collect_list(s).alias(s) for s in streams])

@@ -125,8 +125,7 @@ class Setup:
         return self.drawn(plan, pool)
 
     def scores(self, drawn=None, keys=WINDOW):
-        means = vec.window_means(self.drawn() if drawn is None else drawn, keys, self.k)
-        return vec.mahalanobis_scores(means, keys, self.models, EPS)
+        return vec.window_distance(self.drawn() if drawn is None else drawn, keys, self.models, EPS)
 
     @property
     def cal_rows(self):
