@@ -109,15 +109,19 @@ def grid_choice_partial(
     return none.unionByName(fit).groupBy(*keys).agg(F.max_by(F.struct(*cols), rank).alias("r")).select(*keys, "r.*")
 
 
-def estimate(acc: Column, cost: Column, gain: Column, train: Column, gcost: Column, share: Column, rest: Column, window: float, windows: int, d: float) -> Column:
-    """Struct (current, future, long, finish, replaced) of one pair under a split budget; a NULL gain means no training."""
+def estimate(acc: Column, cost: Column, gain: Column, train: Column, gcost: Column, share: Column, rest: Column, window: float, windows: int, d: float,
+             margin: float = 0.0, ceiling: float = 1.0) -> Column:
+    """Struct (current, future, long, finish, replaced) of one pair under a split budget; a NULL gain means no training.
+
+    A trained profile replaces the old one where it reaches it plus ``margin``; no accuracy goes above ``ceiling``.
+    """
     cov = coverage(share, cost)
     base = acc * cov
     finish = train / F.greatest(rest, F.lit(TOL))
     can = gain.isNotNull() & (rest >= gcost)
     on_time = can & (finish <= window)
-    updated = F.least(F.lit(1.0), acc + gain) * cov
-    replaced = on_time & (updated >= base)
+    updated = F.least(F.lit(float(ceiling)), acc + gain) * cov
+    replaced = on_time & (updated >= base + margin)
     old = F.greatest(F.lit(0.0), F.least(F.lit(1.0), finish / window))
     future = F.when(replaced, updated).otherwise(base)
     current = F.when(replaced, old * base + (1 - old) * updated).otherwise(base)

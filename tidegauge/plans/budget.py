@@ -94,32 +94,46 @@ def budget_grid_choice_v2(spark, sf):
     return out.select("grp", "lam", "gam", *r6("I", "cov", "ready", "estimate", "future"))
 
 
-EST_SQL = """cov * acc AS base, train / greatest(R, 1e-9) AS finish, R >= gcost AS can, least(1.0, acc + gain) * cov AS upd"""
 LONG_SQL = "(cur + 2.439 * fut) / 3.439"  # three future windows, discount 0.9
 
 
-def estimate_sql(src: str) -> str:
+def estimate_sql(src: str, margin: float = 0.0, ceiling: float = 1.0) -> str:
     """CTE est over ``src(keys.., acc, cost, gain, train, gcost, I, R)`` with window 60."""
-    return f"""e0 AS (SELECT *, least(1.0, I / greatest(cost, 1e-9)) AS cov FROM {src}), e1 AS (SELECT *, {EST_SQL} FROM e0),
-e2 AS (SELECT *, coalesce(can AND finish <= 60, false) AS rep FROM e1),
+    return f"""e0 AS (SELECT *, least(1.0, I / greatest(cost, 1e-9)) AS cov FROM {src}),
+e1 AS (SELECT *, cov * acc AS base, train / greatest(R, 1e-9) AS finish, R >= gcost AS can, least({ceiling}::DOUBLE, acc + gain) * cov AS upd FROM e0),
+e2 AS (SELECT *, coalesce(can AND finish <= 60 AND upd >= base + {margin}::DOUBLE, false) AS rep FROM e1),
 e3 AS (SELECT *, CASE WHEN rep THEN least(1.0, finish / 60) * base + (1 - least(1.0, finish / 60)) * upd ELSE base END AS cur, CASE WHEN rep THEN upd ELSE base END AS fut FROM e2),
 est AS (SELECT *, {LONG_SQL} AS lng FROM e3)"""
 
 
-def estimated(df):
+def estimated(df, margin=0.0, ceiling=1.0):
     c = [F.col(x) for x in ("acc", "cost", "gain", "train", "gcost", "I", "R")]
-    return df.withColumn("e", bud.estimate(*c, 60.0, 3, 0.9))
+    return df.withColumn("e", bud.estimate(*c, 60.0, 3, 0.9, margin, ceiling))
 
 
-@query("estimate_accuracy", f"""WITH {PROFILE_SQL}, pr AS (SELECT l.grp, l.lam, g.gam, acc, 2.0 / thr AS cost, gain, train, gcost, 0.55 AS I, 0.45 AS R FROM gam g JOIN lam l ON l.lam = g.gam - 1), {estimate_sql('pr')}
-SELECT lam, gam, round(cur, 6) AS current, round(fut, 6) AS future, round(lng, 6) AS long_avg, round(CASE WHEN can THEN finish END, 6) AS finish, rep AS replaced FROM est""")
-def estimate_accuracy(spark, sf):
+def estimate_table(spark, sf, margin=0.0, ceiling=1.0):
     lam, gam = profiles(spark, sf)
     pairs = gam.drop("grp").withColumn("lam", F.col("gam") - 1).join(bud.with_cost(lam, F.lit(2.0)), "lam").withColumn("I", F.lit(0.55)).withColumn("R", F.lit(0.45))
-    e = estimated(pairs)
+    e = estimated(pairs, margin, ceiling)
     return e.select("lam", "gam", F.round("e.current", 6).alias("current"), F.round("e.future", 6).alias("future"), F.round("e.long", 6).alias("long_avg"), F.round("e.finish", 6).alias("finish"), F.col("e.replaced").alias("replaced"))
 
 
+def estimate_twin(margin=0.0, ceiling=1.0) -> str:
+    return f"""WITH {PROFILE_SQL}, pr AS (SELECT l.grp, l.lam, g.gam, acc, 2.0 / thr AS cost, gain, train, gcost, 0.55 AS I, 0.45 AS R FROM gam g JOIN lam l ON l.lam = g.gam - 1), {estimate_sql('pr', margin, ceiling)}
+SELECT lam, gam, round(cur, 6) AS current, round(fut, 6) AS future, round(lng, 6) AS long_avg, round(CASE WHEN can THEN finish END, 6) AS finish, rep AS replaced FROM est"""
+
+
+@query("estimate_accuracy", estimate_twin())
+def estimate_accuracy(spark, sf):
+    return estimate_table(spark, sf)
+
+
+@query("estimate_accuracy_strict", estimate_twin(0.03, 0.9))
+def estimate_accuracy_strict(spark, sf):
+    """A trained profile must beat the old one by a margin, and accuracies stay under a ceiling."""
+    return estimate_table(spark, sf, 0.03, 0.9)
+
+
 @query("discounted_avg", "SELECT l_orderkey, l_linenumber, round((l_extendedprice / 105001.0 + 2.439 * l_quantity / 53.0) / 3.439, 6) AS long_avg FROM lineitem")
 def discounted_avg(spark, sf):
     li = table(spark, sf, "lineitem", "l_orderkey", "l_linenumber", "l_extendedprice", "l_quantity")

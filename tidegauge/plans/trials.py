@@ -196,21 +196,25 @@ def materialize_window(spark, sf):
     return Pools(spark, sf).trials().select("trial", bits.alias("bits"), F.round(mean, 6).alias("mean_level"))
 
 
-def grid_sql(method: str) -> str:
-    rows = ", ".join(f"({i}, {float(v)}::DOUBLE)" for i, v in enumerate(seq.GRIDS[method][1]))
-    return f"grid(idx, param) AS (VALUES {rows})"
+FOLDED = {"ddm": fs.ddm(30, "k.param"), "eddm": fs.eddm(30, "k.param"), "hddm_w": fs.hddm_w("k.param", 0.05), "page_hinkley": fs.page_hinkley("k.param")}
 
 
-DDM_GRID = fs.ddm(30, "k.param")
-GRID_WARM_SQL = f"""{grid_sql('ddm')},
-gseq AS (SELECT {{'idx': idx, 'param': param}} AS k, pos, x FROM cseq, grid),
-{fs.fold_sql(*DDM_GRID, name='gw', seq='gseq')},
-warm AS (SELECT * EXCLUDE (pos, alarm) FROM gw WHERE pos = (SELECT k FROM ct))"""
+def warm_sql(m: str) -> str:
+    """CTE ``m_warm``: state of each candidate of a method after the whole calibration signal."""
+    rows = ", ".join(f"({i}, {float(v)}::DOUBLE)" for i, v in enumerate(seq.GRIDS[m][1]))
+    return f"""{m}_grid(idx, param) AS (VALUES {rows}),
+{m}_gseq AS (SELECT {{'idx': idx, 'param': param}} AS k, pos, x FROM cseq, {m}_grid),
+{fs.fold_sql(*FOLDED[m], name=f'{m}_gw', seq=f'{m}_gseq')},
+{m}_warm AS (SELECT * EXCLUDE (pos, alarm) FROM {m}_gw WHERE pos = (SELECT k FROM ct))"""
 
 
-@query("warm_state", f"""WITH RECURSIVE {POOLS_SQL}, {CALSEQ_SQL}, {GRID_WARM_SQL}
+def from_warm(m: str, source: str, name: str) -> str:
+    return fs.fold_sql(*FOLDED[m], seq=source, name=name, start=f"JOIN (SELECT k AS wk, * EXCLUDE (k) FROM {m}_warm) ON wk.idx = q.k.idx")
+
+
+@query("warm_state", f"""WITH RECURSIVE {POOLS_SQL}, {CALSEQ_SQL}, {warm_sql('ddm')}
 SELECT 'ddm' AS method, k.idx AS idx, k.param AS param, n, round(mean, 6) AS mean,
-  round(CASE WHEN isinf(best) THEN -1 ELSE best END, 6) AS best FROM warm""")
+  round(CASE WHEN isinf(best) THEN -1 ELSE best END, 6) AS best FROM ddm_warm""")
 def warm_state(spark, sf):
     s = F.col("state")
     best = F.when(s["best"] == float("inf"), -1.0).otherwise(s["best"])
@@ -353,20 +357,33 @@ def constant_delay_rows(spark, sf):
     )
 
 
-FPR_SQL = f"""{POOLS_SQL}, {CALSEQ_SQL}, {GRID_WARM_SQL}, {STAT_SQL},
-fseq AS (SELECT {{'idx': idx, 'param': param, 'w': window_id}} AS k, slot + 1 AS pos, x FROM sv, grid),
-{fs.fold_sql(*DDM_GRID, seq='fseq', start='JOIN (SELECT k AS wk, * EXCLUDE (k) FROM warm) ON wk.idx = q.k.idx')},
-det AS (SELECT k.idx AS idx, k.param AS param, k.w AS w, bool_or(alarm) AS hit FROM f GROUP BY 1, 2, 3),
-cand AS (SELECT 'ddm' AS method, idx, param, avg(hit::INT) AS fpr FROM det GROUP BY 2, 3)"""
+def fpr_sql(m: str) -> str:
+    return f"""{warm_sql(m)},
+{m}_fseq AS (SELECT {{'idx': idx, 'param': param, 'w': window_id}} AS k, slot + 1 AS pos, x FROM sv, {m}_grid),
+{from_warm(m, f'{m}_fseq', f'{m}_f')},
+{m}_det AS (SELECT k.idx AS idx, k.param AS param, k.w AS w, bool_or(alarm) AS hit FROM {m}_f GROUP BY 1, 2, 3),
+{m}_cand AS (SELECT '{m}' AS method, idx, param, avg(hit::INT) AS fpr FROM {m}_det GROUP BY 2, 3)"""
 
 
-def calibration_rows(p: Pools, method: str = "ddm") -> DataFrame:
-    """Alarm rate of every candidate on stationary windows; the grid is a few rows, so it is the broadcast side."""
-    name, _ = seq.GRIDS[method]
-    f = seq.fold(method, {**seq.GRID_BASE.get(method, {}), name: "param"})
-    rows = p.stationary(p.k // 100, WSIZE).join(F.broadcast(warmed(p, method)))
-    hit = seq.first_detection(f, "xs", "state").isNotNull()
-    return rows.select("method", "idx", "param", hit.cast("double").alias("hit")).groupBy("method", "idx", "param").agg(F.avg("hit").alias("fpr"))
+def stacked(suffix: str) -> str:
+    return " UNION ALL ".join(f"SELECT * FROM {m}_{suffix}" for m in FOLDED)
+
+
+FPR_SQL = f"""{POOLS_SQL}, {CALSEQ_SQL}, {STAT_SQL},
+{", ".join(fpr_sql(m) for m in FOLDED)},
+cand AS ({stacked('cand')})"""
+
+
+def calibration_rows(p: Pools) -> DataFrame:
+    """Alarm rate of every candidate of every method on stationary windows; a grid is a few rows, so it is the broadcast side."""
+    windows, out = p.stationary(p.k // 100, WSIZE), None
+    for method in FOLDED:
+        name, _ = seq.GRIDS[method]
+        f = seq.fold(method, {**seq.GRID_BASE.get(method, {}), name: "param"})
+        hit = seq.first_detection(f, "xs", "state").isNotNull()
+        part = windows.join(F.broadcast(warmed(p, method))).select("method", "idx", "param", hit.cast("double").alias("hit"))
+        out = part if out is None else out.unionByName(part)
+    return out.groupBy("method", "idx", "param").agg(F.avg("hit").alias("fpr"))
 
 
 @query("calibration_rate", f"WITH RECURSIVE {FPR_SQL} SELECT method, idx, param, round(fpr, 6) AS fpr FROM cand")
@@ -381,21 +398,43 @@ def config_fpr_select(spark, sf):
     return sig.pick_by_fpr(calibration_rows(Pools(spark, sf)), 0.05).withColumn("fpr", F.round("fpr", 6))
 
 
-POWER_SQL = f"""{FPR_SQL.replace(POOLS_SQL, TRIALS_SQL)},
-pseq AS (SELECT {{'idx': idx, 'param': param, 't': trial}} AS k, slot + 1 AS pos, (level >= {LEVEL})::INT::DOUBLE AS x FROM tv, grid),
-{fs.fold_sql(*DDM_GRID, name='pf', seq='pseq', start='JOIN (SELECT k AS wk, * EXCLUDE (k) FROM warm) ON wk.idx = q.k.idx')},
-pw AS (SELECT idx, avg(hit::INT) AS power FROM (SELECT k.idx AS idx, k.t AS t, bool_or(alarm AND pos > {CLEAN}) AS hit FROM pf GROUP BY 1, 2) GROUP BY 1)"""
+POWER_RATIOS = [0.05, 0.1, 0.2]
+POWER_SHAPES = ", ".join(f"({r}::DOUBLE, {WSIZE - round(WSIZE * r)}, {round(WSIZE * r)})" for r in POWER_RATIOS)
+
+
+def power_sql(m: str) -> str:
+    return f"""{m}_pseq AS (SELECT {{'idx': idx, 'param': param, 'ratio': ratio, 'w': window_id, 'nc': n_clean}} AS k, pos, x FROM psig, {m}_grid),
+{from_warm(m, f'{m}_pseq', f'{m}_pf')},
+{m}_pw AS (SELECT '{m}' AS method, idx, avg(rate) AS power FROM (SELECT idx, ratio, avg(hit::INT) AS rate FROM
+  (SELECT k.idx AS idx, k.ratio AS ratio, k.w AS w, bool_or(alarm AND pos > k.nc) AS hit FROM {m}_pf GROUP BY 1, 2, 3) GROUP BY 1, 2) GROUP BY 2)"""
+
+
+POWER_SQL = f"""{FPR_SQL}, pshapes(ratio, n_clean, n_drift) AS (VALUES {POWER_SHAPES}),
+ps AS (SELECT ratio, window_id, slot, n_clean, n_drift, window_id + round(ratio * 1000)::BIGINT * 7 AS ww FROM
+  (SELECT unnest(range((SELECT c // 250 FROM ct))) AS window_id), pshapes, (SELECT unnest(range({WSIZE})) AS slot)),
+pp AS (SELECT *, CASE WHEN slot < n_clean THEN {affine_sql('ww', 'slot', '(SELECT c FROM ct)', 6, 0)}
+  ELSE {affine_sql('ww', 'slot - n_clean', '(SELECT d FROM ct)', 6, 1)} END AS pool_idx FROM ps),
+psig AS (SELECT ratio, window_id, n_clean, slot + 1 AS pos, (coalesce(cp.level, dp.level) >= {LEVEL})::INT::DOUBLE AS x
+  FROM pp LEFT JOIN cp ON slot < n_clean AND cp.idx = pool_idx LEFT JOIN dp ON slot >= n_clean AND dp.idx = pool_idx),
+{", ".join(power_sql(m) for m in FOLDED)},
+pw AS ({stacked('pw')})"""
 
 
 @query("config_power_select", f"""WITH RECURSIVE {POWER_SQL},
-r AS (SELECT method, idx, power, fpr, fpr <= 0.5 AS ok, row_number() OVER (PARTITION BY method ORDER BY fpr <= 0.5 DESC, power DESC, fpr DESC, idx) AS k FROM cand JOIN pw USING (idx))
+r AS (SELECT method, idx, power, fpr, fpr <= 0.5 AS ok, row_number() OVER (PARTITION BY method ORDER BY fpr <= 0.5 DESC, power DESC, fpr DESC, idx) AS k FROM cand JOIN pw USING (method, idx))
 SELECT method, CASE WHEN ok THEN 'selected' ELSE 'not_calibratable' END AS status, CASE WHEN ok THEN idx END AS selected_index,
   round(CASE WHEN ok THEN power END, 6) AS power, round(CASE WHEN ok THEN fpr END, 6) AS fpr FROM r WHERE k = 1""")
 def config_power_select(spark, sf):
+    """Per method the candidate with the highest validation power (mean over drift ratios) within the target rate."""
     p = Pools(spark, sf)
-    f = seq.fold("ddm", {"drift": "param"})
-    rows = p.trials().join(F.broadcast(warmed(p, "ddm")))  # grid rows
-    hit = seq.onset_detection(f, events_of("clean_level"), events_of("drift_level"), "state")["delay"].isNotNull()
-    power = rows.select("idx", hit.cast("double").alias("h")).groupBy("idx").agg(F.avg("h").alias("power"))
-    out = sig.pick_by_power(calibration_rows(p).join(power, "idx"), 0.5)
-    return out.select("method", "status", "selected_index", F.round("power", 6).alias("power"), F.round("fpr", 6).alias("fpr"))
+    plan = smp.window_plan(spark, p.c // 250, WSIZE, POWER_RATIOS, p.c, p.d, 6)
+    windows, out = smp.materialize(plan, p.both(), ["ratio", "window_id", "n_clean", "n_drift"], ["level"]), None
+    for method in FOLDED:
+        name, _ = seq.GRIDS[method]
+        f = seq.fold(method, {**seq.GRID_BASE.get(method, {}), name: "param"})
+        hit = seq.onset_detection(f, events_of("clean_level"), events_of("drift_level"), "state")["delay"].isNotNull()
+        part = windows.join(F.broadcast(warmed(p, method))).select("method", "idx", "ratio", hit.cast("double").alias("h"))  # grid rows
+        out = part if out is None else out.unionByName(part)
+    power = out.groupBy("method", "idx", "ratio").agg(F.avg("h").alias("h")).groupBy("method", "idx").agg(F.avg("h").alias("power"))
+    best = sig.pick_by_power(calibration_rows(p).join(power, ["method", "idx"]), 0.5)
+    return best.select("method", "status", "selected_index", F.round("power", 6).alias("power"), F.round("fpr", 6).alias("fpr"))
