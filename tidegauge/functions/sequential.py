@@ -146,7 +146,8 @@ def _hddm_w(p: dict[str, str]) -> Fold:
 
 def _page_hinkley(p: dict[str, str]) -> Fold:
     init = {"n": "0", "mean": "0.0D", "up": "0.0D", "down": "0.0D", "lo": INF, "hi": f"-{INF}"}
-    limit = p["threshold"]
+    limit, mode = p["threshold"], p.get("mode", "both")
+    sides = {"up": f"r.up - r.lo > {limit}", "down": f"r.hi - r.down > {limit}"}  # which way a change counts
     return Fold(init, [
         {"n": "r.n + 1", "mean": "r.mean + (r.x - r.mean) / (r.n + 1)"},
         {
@@ -154,7 +155,7 @@ def _page_hinkley(p: dict[str, str]) -> Fold:
             "down": f"{p['alpha']} * r.down + (r.x - r.mean) + {p['delta']}",
         },
         {"lo": "least(r.lo, r.up)", "hi": "greatest(r.hi, r.down)"},
-        {"alarm": f"r.n >= {p['min_n']} AND (r.up - r.lo > {limit} OR r.hi - r.down > {limit})"},
+        {"alarm": f"r.n >= {p['min_n']} AND ({' OR '.join(sides[m] for m in ('up', 'down') if mode in (m, 'both'))})"},
     ])
 
 
@@ -277,7 +278,8 @@ def _py_page_hinkley(p: Params, s: State, x: float) -> bool:
     s["up"] = p["alpha"] * s["up"] + (x - s["mean"]) - p["delta"]
     s["down"] = p["alpha"] * s["down"] + (x - s["mean"]) + p["delta"]
     s["lo"], s["hi"] = min(s["lo"], s["up"]), max(s["hi"], s["down"])
-    return s["n"] >= p["min_n"] and max(s["up"] - s["lo"], s["hi"] - s["down"]) > p["threshold"]
+    moved = {"up": s["up"] - s["lo"], "down": s["hi"] - s["down"]}
+    return s["n"] >= p["min_n"] and any(d > p["threshold"] for m, d in moved.items() if p.get("mode", "both") in (m, "both"))
 
 
 def ks_equal_pvalue(steps: int, m: int) -> float:

@@ -74,7 +74,8 @@ def hddm_w(conf: float, lam: float) -> tuple[dict[str, str], list[dict[str, str]
     return init, stages
 
 
-def page_hinkley(threshold: str, min_n: int = 30, delta: float = 0.005, alpha: float = 0.9999):
+def page_hinkley(threshold: str, min_n: int = 30, delta: float = 0.005, alpha: float = 0.9999, mode: str = "both"):
+    sides = {"up": f"up - lo > {threshold}", "down": f"hi - down > {threshold}"}
     init = {
         "n": "0", "mean": "0.0::DOUBLE", "up": "0.0::DOUBLE", "down": "0.0::DOUBLE", "lo": INF,
         "hi": "'-infinity'::DOUBLE",
@@ -83,7 +84,7 @@ def page_hinkley(threshold: str, min_n: int = 30, delta: float = 0.005, alpha: f
         {"n": "n + 1", "mean": "mean + (x - mean) / (n + 1)"},
         {"up": f"{alpha}::DOUBLE * up + (x - mean) - {delta}::DOUBLE", "down": f"{alpha}::DOUBLE * down + (x - mean) + {delta}::DOUBLE"},
         {"lo": "least(lo, up)", "hi": "greatest(hi, down)"},
-        {"alarm": f"n >= {min_n} AND (up - lo > {threshold} OR hi - down > {threshold})"},
+        {"alarm": f"n >= {min_n} AND ({' OR '.join(v for k, v in sides.items() if mode in (k, 'both'))})"},
     ]
     return init, stages
 

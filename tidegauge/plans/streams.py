@@ -162,6 +162,18 @@ def page_hinkley(spark, sf):
     return fold_trace(spark, sf, "page_hinkley", {"threshold": 50.0}, F.col("value"))
 
 
+@query("page_hinkley_up", trace_twin(fs.page_hinkley("20.0", mode="up"), "value"))
+def page_hinkley_up(spark, sf):
+    """Alarms on a rise only."""
+    return fold_trace(spark, sf, "page_hinkley", {"threshold": 20.0, "mode": "up"}, F.col("value"))
+
+
+@query("page_hinkley_down", trace_twin(fs.page_hinkley("20.0", mode="down"), "value"))
+def page_hinkley_down(spark, sf):
+    """Alarms on a fall only."""
+    return fold_trace(spark, sf, "page_hinkley", {"threshold": 20.0, "mode": "down"}, F.col("value"))
+
+
 def window_alarms(spark, sf, method, params, value=None) -> DataFrame:
     return whole_trace(spark, sf, seq.WINDOW_START, seq.window_trace_from(method, params), value)
 
