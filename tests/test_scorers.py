@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from tidegauge.operators import vectors as vec
-from tidegauge.operators.captions import lcs_length, ngram_cosine
+from tidegauge.operators.captions import best_over_references, lcs_length, ngram_cosines
 
 RNG = np.random.default_rng(5)
 REF, WIN = RNG.normal(size=(120, 6)), RNG.normal(0.4, 1.2, size=(40, 6))
@@ -88,8 +88,8 @@ def test_lcs_against_table():
 
 def test_same_text_has_full_cosine():
     words = "a b c d e f".split()
-    assert ngram_cosine(words, words, 4) == pytest.approx(10.0)
-    assert ngram_cosine(words, ["x"], 4) == 0.0
+    assert ngram_cosines(words, words, 4) == pytest.approx([1.0] * 4)
+    assert ngram_cosines(words, ["x"], 4) == [0.0] * 4
 
 
 def test_window_distance_wide_vectors_and_windows_over_batches(spark):
@@ -107,3 +107,12 @@ def test_window_distance_wide_vectors_and_windows_over_batches(spark):
     for r, w in got:
         m = np.mean([x for a, b, x in rows if (a, b) == (r, w)], axis=0)
         assert got[r, w] == pytest.approx(np.sqrt((m * m / (models["A"].variances + 1e-3)).sum()))
+
+
+def test_best_over_references(spark):
+    rows = [(1, "a b c d", ["x y", "a b c e", "d c b a"]), (2, "a b", []), (3, "a b", None), (4, "", ["a"])]
+    got = {r["uid"]: r for r in best_over_references(spark.createDataFrame(rows, "uid int, pred string, refs array<string>"), "uid", "pred", "refs").collect()}
+    each = [ngram_cosines("a b c d".split(), r.split(), 4) for r in rows[0][2]]
+    assert got[1]["cider"] == pytest.approx(2.5 * sum(max(c) for c in zip(*each)))
+    assert got[1]["rouge_l"] == pytest.approx(75.0)
+    assert [(got[i]["cider"], got[i]["rouge_l"]) for i in (2, 3, 4)] == [(0.0, 0.0)] * 3

@@ -234,6 +234,37 @@ def caption_rouge(spark, sf):
     return rouge_l(spark, sf).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("rouge_l"), 6).alias("rouge_l"))
 
 
+def listed(spark, sf):
+    """An assistant turn as prediction, the user turns on both sides of it as references."""
+    c = table(spark, sf, "conversations")
+    hyp = c.where("role = 'assistant'").select("conv_id", "turn", F.col("text").alias("pred"))
+    user = c.where("role = 'user'")
+    refs = user.select("conv_id", (F.col("turn") + 1).alias("turn"), "text").unionByName(user.select("conv_id", (F.col("turn") - 1).alias("turn"), "text"))
+    refs = refs.groupBy("conv_id", "turn").agg(F.collect_list("text").alias("refs"))
+    return hyp.join(refs, ["conv_id", "turn"], "left").select(F.concat_ws(":", "conv_id", "turn").alias("uid"), "pred", "refs")
+
+
+BEST_SQL = f"""a AS (SELECT conv_id || ':' || turn AS uid, conv_id, turn, {TOK_SQL.format(t='text')} AS w FROM conversations WHERE role = 'assistant'),
+b AS (SELECT a.uid, u.turn AS ref, {TOK_SQL.format(t='u.text')} AS w FROM a JOIN conversations u ON u.conv_id = a.conv_id AND u.role = 'user' AND abs(u.turn - a.turn) = 1),
+ks AS (SELECT unnest([1, 2, 3, 4]) AS k),
+g AS (SELECT uid, ref, k, unnest([array_to_string(w[i + 1:i + k], ' ') FOR i IN range(greatest(len(w) - k + 1, 0))]) AS g FROM (SELECT uid, -9 AS ref, w FROM a UNION ALL SELECT uid, ref, w FROM b), ks),
+c AS (SELECT uid, ref, k, g, count(*)::DOUBLE AS n FROM g GROUP BY ALL), l AS (SELECT uid, ref, k, sqrt(sum(n * n)) AS l FROM c GROUP BY ALL),
+d AS (SELECT h.uid, r.ref, h.k, sum(h.n * r.n) AS dot FROM c h JOIN c r ON h.uid = r.uid AND h.k = r.k AND h.g = r.g AND h.ref = -9 AND r.ref <> -9 GROUP BY ALL),
+e AS (SELECT d.uid, d.k, max(dot / (lh.l * lr.l)) AS best FROM d JOIN l lh ON lh.uid = d.uid AND lh.k = d.k AND lh.ref = -9 JOIN l lr ON lr.uid = d.uid AND lr.k = d.k AND lr.ref = d.ref GROUP BY ALL)"""
+
+
+@query("cider_best", f"WITH {BEST_SQL} SELECT a.uid, round(coalesce(sum(best), 0) * 2.5, 6) AS cider FROM a LEFT JOIN e ON e.uid = a.uid GROUP BY 1")
+def cider_best(spark, sf):
+    """The n-gram cosine against a list of references, the best for each length."""
+    return cap.best_over_references(listed(spark, sf), "uid", "pred", "refs").select("uid", F.round("cider", 6).alias("cider"))
+
+
+@query("rouge_best")
+def rouge_best(spark, sf):
+    """The subsequence score against a list of references, the best of them."""
+    return cap.best_over_references(listed(spark, sf), "uid", "pred", "refs").select("uid", F.round("rouge_l", 6).alias("rouge_l"))
+
+
 @query("render_prompt", """SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN 'Which ' || p_name || '?' || chr(10) || chr(10) || 'Provide a concise answer based on the image.'
   ELSE 'Which ' || p_name || '?' || chr(10) || chr(10) || 'Options:' || chr(10) || 'A: ' || p_type || chr(10) || 'B: ' || p_brand || chr(10) || chr(10) || 'Answer with just the letter.' END AS prompt FROM part""")
 def render_prompt(spark, sf):
