@@ -194,6 +194,14 @@ def segments(numbered: DataFrame, keys: Sequence[str], value: Column, horizon: i
     return numbered.groupBy(*keys, seg).agg(F.transform(packed, lambda r: r["x"]).alias("xs"))
 
 
+def _same(a: str, b: str, cols: Sequence[str]) -> Column:
+    """Equal columns of two aliases; a null key is a key."""
+    out = F.lit(True)
+    for c in cols:
+        out = out & F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}"))
+    return out
+
+
 def chained(packed: DataFrame, keys: Sequence[str], fresh: str, run: Callable[[Column, Column], Column]) -> DataFrame:
     """Rows (keys, seg, xs, start, out) of whole streams that are held as bounded segments; ``out`` is (at, state).
 
@@ -204,15 +212,19 @@ def chained(packed: DataFrame, keys: Sequence[str], fresh: str, run: Callable[[C
     """
     cur = packed.withColumn("start", F.expr(fresh))
     cur = cut_lineage(cur.withColumn("out", run(F.col("xs"), F.col("start"))))
-    while True:
-        before = cur.select(*keys, (F.col("seg") + 1).alias("seg"), F.col("out.state").alias("given"))
-        met = cur.join(before, [*keys, "seg"], "left")
-        stale = F.col("given").isNotNull() & ~F.col("given").eqNullSafe(F.col("start"))
-        wrong = met.where(stale).select(*keys, "seg", "xs", F.col("given").alias("start"))
-        again = cut_lineage(wrong.withColumn("out", run(F.col("xs"), F.col("start"))))
-        if again.isEmpty():
-            break
-        cur = cut_lineage(cur.join(again.select(*keys, "seg"), [*keys, "seg"], "left_anti").unionByName(again))
+    if not cur.where("seg > 0").isEmpty():
+        while True:
+            before = cur.select(*keys, (F.col("seg") + 1).alias("seg"), F.col("out.state").alias("given"))
+            met = cur.alias("c").join(before.alias("b"), _same("c", "b", [*keys, "seg"]))
+            stale = ~F.col("given").eqNullSafe(F.col("c.start"))
+            wrong = met.where(stale).select(*[F.col(f"c.{k}") for k in [*keys, "seg", "xs"]], F.col("given").alias("start"))
+            again = cut_lineage(wrong.withColumn("out", run(F.col("xs"), F.col("start"))))
+            if again.isEmpty():
+                break
+            redone = again.select(*keys, "seg", F.col("start").alias("new_start"), F.col("out").alias("new_out"))
+            both = cur.alias("c").join(redone.alias("b"), _same("c", "b", [*keys, "seg"]), "left")
+            fresher = [F.coalesce(f"b.new_{x}", f"c.{x}").alias(x) for x in ("start", "out")]
+            cur = cut_lineage(both.select(*[F.col(f"c.{k}") for k in [*keys, "seg", "xs"]], *fresher))
     return cur
 
 

@@ -493,15 +493,3 @@ def sink_results(spark, sf):
     li = table(spark, sf, "lineitem", "l_returnflag", "l_linestatus", "l_quantity")
     sinks.write_results(li.groupBy("l_returnflag", "l_linestatus").agg(F.count(F.lit(1)).alias("n"), F.sum("l_quantity").alias("quantity")), out, by=["l_returnflag"])
     return spark.read.parquet(out).select("l_returnflag", "l_linestatus", "n", "quantity")
-
-
-@query("sink_model_tables")
-def sink_model_tables(spark, sf):
-    """Fitted models and thresholds written to the shared folder and read back."""
-    from tidegauge.plans.vectors import Setup
-
-    s = Setup(spark, sf)
-    out = f"{shared_dir(spark)}/models-{uuid.uuid4().hex}"
-    sinks.write_models(spark, s.models, s.limits(), out)
-    comps = spark.read.parquet(f"{out}/components").select("stream", "component", "variance")
-    return comps.join(F.broadcast(spark.read.parquet(f"{out}/thresholds")), "stream")  # one row per stream

@@ -441,16 +441,21 @@ def range_audit(spark, sf):
     })
 
 
-@query("metric_recompute_audit", f"""WITH {SEED_SQL} SELECT count(*) AS cells, 0.0 AS max_diff, 0::BIGINT AS mismatches FROM (SELECT DISTINCT method, family, load FROM runs)""")
+@query("metric_recompute_audit", f"""WITH {SEED_SQL},
+st AS (SELECT method, family, load, avg(acc) AS m, coalesce(stddev_samp(acc), 0) AS s, count(acc) AS n, sum(acc) AS t, sum(acc * acc) AS q FROM runs GROUP BY 1, 2, 3),
+df AS (SELECT greatest(abs(m - t / n), abs(s - CASE WHEN n > 1 THEN sqrt(greatest((q - t * t / n) / (n - 1), 0)) ELSE 0 END)) AS d FROM st)
+SELECT count(*) AS cells, round(max(d), 5) AS max_diff, sum((d > 1e-6)::INT) AS mismatches FROM df""")
 def metric_recompute_audit(spark, sf):
-    """Stored seed statistics recomputed from sums; the largest difference must stay below 1e-12."""
+    """Stored seed statistics against their recomputation from counts, sums and sums of squares."""
     runs = seed_runs(spark, sf)
     keys = ["method", "family", "load"]
     stored = res.mean_std(runs, keys, ["acc"])
-    again = runs.groupBy(*keys).agg((F.sum("acc") / F.count("acc")).alias("m"), F.sqrt(F.var_samp("acc")).alias("s"))
-    diff = F.greatest(F.abs(F.col("acc_mean") - F.col("m")), F.abs(F.col("acc_std") - F.coalesce("s", F.lit(0.0))))
-    return stored.join(again, keys).agg(
-        F.count(F.lit(1)).alias("cells"), F.round(F.max(diff), 9).alias("max_diff"), F.sum((diff > 1e-12).cast("bigint")).alias("mismatches")
+    sums = runs.groupBy(*keys).agg(F.count("acc").alias("c"), F.sum("acc").alias("t"), F.sum(F.col("acc") * F.col("acc")).alias("q"))
+    spread = F.sqrt(F.greatest((F.col("q") - F.col("t") * F.col("t") / F.col("c")) / (F.col("c") - 1), F.lit(0.0)))
+    again = F.when(F.col("c") > 1, spread).otherwise(0.0)
+    diff = F.greatest(F.abs(F.col("acc_mean") - F.col("t") / F.col("c")), F.abs(F.col("acc_std") - again))
+    return stored.join(sums, keys).agg(
+        F.count(F.lit(1)).alias("cells"), F.round(F.max(diff), 5).alias("max_diff"), F.sum((diff > 1e-6).cast("bigint")).alias("mismatches")
     )
 
 

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import math
+import uuid
 
 from pyspark.sql import functions as F
 
 from tidegauge.core.scan import exact_quantiles, positions
-from tidegauge.core.session import cut_lineage, table
+from tidegauge.core.session import cut_lineage, shared_dir, table
 from tidegauge.operators import sampling as smp
 from tidegauge.operators import vectors as vec
 from tidegauge.operators.sequences import sliding_sums
@@ -15,6 +16,7 @@ from tidegauge.plans.registry import query
 from tidegauge.plans.samples import (
     EMB_SQL, MIXED_SQL, RATIOS, SIZE, affine_sql, mixed_plan, vector_pool, vector_splits,
 )
+from tidegauge.sources import sinks
 
 DIM, HALF, EPS, SHIFT = 64, 32, 1e-6, 0.1
 STREAMS = {"A": HALF, "B": HALF}
@@ -379,6 +381,19 @@ def group_detection(spark, sf):
     return vec.detection_rates(fused, ["feature_group", "ratio"]).select("feature_group", "ratio", "windows", *r6("rate"))
 
 
+@query("sink_model_tables", f"""WITH {FUSED_SQL}
+SELECT cov.stream, count(*) FILTER (cov.i = cov.j) AS components, round(sum(c) FILTER (cov.i = cov.j) - {HALF} * {EPS}, 5) AS total_variance,
+  round(any_value(threshold), 6) AS threshold FROM cov JOIN thr ON thr.stream = cov.stream GROUP BY 1""")
+def sink_model_tables(spark, sf):
+    """Fitted models and thresholds written to the shared folder and read back; the variances of all components add up to the trace."""
+    s = Setup(spark, sf)
+    out = f"{shared_dir(spark)}/models-{uuid.uuid4().hex}"
+    sinks.write_models(spark, s.models, s.limits(), out)
+    comps = spark.read.parquet(f"{out}/components").groupBy("stream").agg(F.count(F.lit(1)).alias("components"), F.round(F.sum("variance"), 5).alias("total_variance"))
+    limits = spark.read.parquet(f"{out}/thresholds").select("stream", F.round("threshold", 6).alias("threshold"))
+    return comps.join(F.broadcast(limits), "stream")  # one row per stream
+
+
 @query("permutation_check", f"""WITH {FUSED_SQL}
 SELECT count(*) AS windows, 20 AS permutations, 0.0 AS max_span, 0::BIGINT AS disagreements FROM fused""")
 def permutation_check(spark, sf):
