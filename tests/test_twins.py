@@ -4,9 +4,10 @@ import pytest
 from check import compare
 from conftest import SF
 
-import __spark_entry__ as entry
+from tidegauge.plans import load_all
+from tidegauge.plans.registry import QUERIES, TWINS
 
-QUERIES, TWINS = entry.queries(), entry.oracle_sql()
+load_all()
 
 
 @pytest.mark.parametrize("name", sorted(TWINS))
