@@ -121,3 +121,19 @@ def test_components(spark):
         x, y = sorted((top(a), top(b)))
         root[y] = x
     assert got == {i: top(i) for a, b in edges if a != b for i in (a, b)}
+
+
+def test_short_texts_lose_no_pair(spark):
+    rng = random.Random(4)
+    docs, n = {}, 0
+    for size in [8, 9, 10, 12, 14, 16, 18, 24, 32, 33, 34, 38, 40, 41] * 8:
+        base = [f"t{n}w{i}" for i in range(size)]
+        docs[n] = " ".join(base)
+        docs[n + 1] = " ".join([*base, "more"])  # 8 against 9 words, 9 against 10 and so on
+        docs[n + 2] = " ".join(["w0", *base, *["z"] * rng.randrange(1 + size // 6)])
+        n += 3
+    want = brute(docs)
+    assert want[1] == 0 and want[4] == 3  # 4 against 5 shingles, 5 against 6
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    for chunk in (256, 2):
+        assert {r["doc_id"]: r["class_id"] for r in om.near_classes(df, chunk=chunk).collect()} == want

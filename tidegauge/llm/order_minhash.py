@@ -2,15 +2,19 @@
 
 A text is its sequence of five-word shingles, each labelled with its occurrence number in the text. One sketch takes the
 ``PICK`` labelled shingles that are least under one hash function and keeps them in text order, so it depends on order as
-well as on content; a text has ``SKETCHES`` of them. Two texts that share a sketch are candidates. A candidate is verified
+well as on content; a text has ``SKETCHES`` of them. A text of at most ``SHORT`` shingles has prefix keys as well: its
+n - ceil(0.8 n) + 1 labelled shingles that are least under one hash function for all texts. Two texts that share a sketch or a
+prefix key are candidates. A candidate is verified
 by an alignment of the two shingle sequences restricted to the diagonals that a similar pair can use: with L aligned
-shingles of n1 and n2 the similarity is L / (n1 + n2 - L), and a pair counts from 0.8. At similarity 0.8 a pair has no sketch
-in common with a chance of about 1 in 10 000.
+shingles of n1 and n2 the similarity is L / (n1 + n2 - L), and a pair counts from 0.8. Of two similar texts of at most
+``SHORT`` shingles the prefixes always share a key, so none of these pairs is missed. Where the longer text has more, a pair
+at similarity 0.8 has no sketch in common with a chance of at most 1.6 in 10 000 (32 shingles of 40 shared), of 0.7 in 10 000
+for long texts. A text that is too short to be similar to one of more than ``SHORT`` shingles has prefix keys only.
 
-Copies first fall together by a 128-bit fingerprint of the word sequence. Of the rest, each group with one sketch is linked
+Copies first fall together by a 128-bit fingerprint of the word sequence. Of the rest, each group with one key is linked
 to its centre (the text that meets most others), which finds groups of any size with one pair per member. Only where members
-of one sketch are still apart after that, texts from different components are compared with each other, in blocks of at most
-2 x ``CHUNK`` members: each pair once, in the first sketch it shares, and only similar pairs leave the block. No pair is
+of one key are still apart after that, texts from different components are compared with each other, in blocks of at most
+2 x ``CHUNK`` members: each pair once, in the least key it shares, and only similar pairs leave the block. No pair is
 dropped for the size of a group.
 
 Defined results: a text with fewer than five words is one shingle; a text without any word (null, empty, blank, symbols only)
@@ -21,6 +25,7 @@ as one document, too; an empty table gives an empty result; other columns are no
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,6 +39,7 @@ from tidegauge.llm.tables import stored
 
 SHINGLE, SIMILAR = 5, 0.8
 PICK, SKETCHES, CHUNK = 5, 24, 256
+SHORT = 36  # shingles; a text of fewer than 30 is similar to no text of more than that
 
 
 def shingles(tokens: np.ndarray) -> np.ndarray:
@@ -78,26 +84,51 @@ def sketch(seq: np.ndarray) -> np.ndarray:
     return np.concatenate(out).view(np.int64)
 
 
-def _sketch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for lo, hi in words.slices(batch["text"]):
-            part = batch.slice(lo, hi - lo)
-            w = words.split(part["text"])
-            high, low, count, keys = [], [], [], []
-            for i in range(part.num_rows):
-                t = w.text(i)
-                count.append(max(0, len(t) - SHINGLE + 1) or int(len(t) > 0))
-                if not len(t):
-                    high.append(None), low.append(None), keys.append(None)
-                    continue
-                place = np.arange(1, len(t) + 1, dtype=np.uint64)
-                for out, odd in ((high, 0x9E3779B97F4A7C15), (low, 0xD6E8FEB86659FD93)):
-                    out.append(int(np.bitwise_xor.reduce(words.mix(t + place * np.uint64(odd), odd % 1000)).view(np.int64)))
-                keys.append(sketch(shingles(t)))
-            yield pa.RecordBatch.from_arrays(
-                [part["doc_id"], pa.array(high, pa.int64()), pa.array(low, pa.int64()), pa.array(count, pa.int32()), pa.array(keys, pa.list_(pa.int64()))],
-                ["doc_id", "high", "low", "n", "keys"],
-            )
+def prefix(seq: np.ndarray, least: float = SIMILAR) -> np.ndarray:
+    """The labelled shingles that are least in one order for all texts: of two similar texts each has one that the other has.
+
+    A text has n - ceil(least n) + 1 of them; without a common one, at least that many shingles of one text would be missing
+    in the other, which leaves fewer than ``least`` of its own.
+    """
+    marks = words.mix(labelled(seq), 91)
+    k = len(marks) - math.ceil(least * len(marks) - 1e-9) + 1
+    return np.sort(marks)[:k].view(np.int64)
+
+
+def keys_of(seq: np.ndarray, least: float = SIMILAR) -> np.ndarray:
+    """The keys that make candidates: prefix keys up to ``SHORT`` shingles, sketches where a similar text may be longer."""
+    if len(seq) > SHORT:
+        return sketch(seq)
+    if len(seq) + 1e-9 < least * (SHORT + 1):
+        return prefix(seq, least)
+    return np.unique(np.concatenate([prefix(seq, least), sketch(seq)]))
+
+
+def _key_batches(least: float):
+    """Fingerprint, number of shingles and keys of each text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi in words.slices(batch["text"]):
+                part = batch.slice(lo, hi - lo)
+                w = words.split(part["text"])
+                high, low, count, keys = [], [], [], []
+                for i in range(part.num_rows):
+                    t = w.text(i)
+                    count.append(max(0, len(t) - SHINGLE + 1) or int(len(t) > 0))
+                    if not len(t):
+                        high.append(None), low.append(None), keys.append(None)
+                        continue
+                    place = np.arange(1, len(t) + 1, dtype=np.uint64)
+                    for out, odd in ((high, 0x9E3779B97F4A7C15), (low, 0xD6E8FEB86659FD93)):
+                        out.append(int(np.bitwise_xor.reduce(words.mix(t + place * np.uint64(odd), odd % 1000)).view(np.int64)))
+                    keys.append(keys_of(shingles(t), least))
+                yield pa.RecordBatch.from_arrays(
+                    [part["doc_id"], pa.array(high, pa.int64()), pa.array(low, pa.int64()), pa.array(count, pa.int32()), pa.array(keys, pa.list_(pa.int64()))],
+                    ["doc_id", "high", "low", "n", "keys"],
+                )
+
+    return run
 
 
 def _sequence_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,7 +208,7 @@ def _verified(pairs: DataFrame, seqs: DataFrame, least: float) -> DataFrame:
 def _block_batches(least: float):
     """Similar pairs of the members of each block; the rows of a block follow each other.
 
-    A pair of texts is compared in the first sketch that both share, and only if their components differ.
+    A pair of texts is compared in the least key that both share, and only if their components differ.
     """
 
     def compare(key: int, first: int, second: int, rows: list[tuple]) -> Iterator[tuple[int, int, float]]:
@@ -186,7 +217,7 @@ def _block_batches(least: float):
                 short, long = sorted((len(seq_a), len(seq_b)))
                 if root_a == root_b or (first != second and own_a == own_b) or short < least * long - 1e-9:
                     continue
-                if keys_a[int(np.argmax(keys_a == keys_b))] == key and (s := similarity(seq_a, seq_b, least)) >= least - 1e-12:
+                if min(keys_a & keys_b) == key and (s := similarity(seq_a, seq_b, least)) >= least - 1e-12:
                     yield min(a, b), max(a, b), s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,7 +230,7 @@ def _block_batches(least: float):
                 if at != block:
                     found.extend(compare(*block, rows) if block else ())
                     block, rows = at, []
-                rows.append((doc, root, own, keys.values.to_numpy(), _read(seq)))
+                rows.append((doc, root, own, frozenset(keys.as_py()), _read(seq)))
             yield _links(found)
         if block:
             yield _links(list(compare(*block, rows)))
@@ -216,7 +247,7 @@ def near_classes(docs: DataFrame, least: float = SIMILAR, chunk: int = CHUNK) ->
     """(doc_id, class_id, copies): the least doc_id of every document's class and the size of the class."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     kind = "doc_id bigint, high bigint, low bigint, n int, keys array<bigint>"
-    made = stored(texts.mapInArrow(_sketch_batches, kind))
+    made = stored(texts.mapInArrow(_key_batches(least), kind))
     one = made.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(F.struct("high", "low", "n", "keys")).alias("s")).select("doc_id", "s.*")
     first = stored(one.where("n > 0").groupBy("high", "low").agg(F.min(F.struct("doc_id", "n", "keys")).alias("s")).select("high", "low", F.col("s.doc_id").alias("doc"), "s.n", "s.keys"))
     exploded = first.select("doc", "n", F.explode("keys").alias("key"))
