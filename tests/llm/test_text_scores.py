@@ -78,6 +78,20 @@ def test_toxicity_held_out(spark, tables):
     assert {r["doc_id"] for r in kept.select("doc_id").collect()} == want
 
 
+def test_misspelt_forms_of_a_stem_are_found(spark):
+    rng = random.Random(6)
+    vocab = [f"{a}{b}{c}" for a in ("lor", "mip", "sud", "dal") for b in ("ema", "oru", "ipi") for c in ("te", "no", "ra", "sk")]
+    rows = [(i, " ".join([*rng.choices(vocab, k=30), *([rng.choice(["idiots", "idiotic", "idiotism"])] if i % 2 else []), *rng.choices(vocab, k=9)])) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = toxicity.train(docs, spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, toxic int"))
+    assert any(t.endswith("*") for t in model.terms)
+    filler = " ".join(rng.choices(vocab, k=39))
+    tried = ["idiots", "idiotry", "idyots", "iditic", "idiptism", "vdiotic", "idyot", "zebra"]
+    got = {r["doc_id"]: r for r in toxicity.score(spark.createDataFrame([(i, f"{filler} {w}") for i, w in enumerate(tried)], "doc_id long, text string"), model).collect()}
+    assert [got[i]["strength"] > 0 for i in range(len(tried))] == [True] * 6 + [False] * 2
+    assert got[0]["strength"] == got[1]["strength"] > got[2]["strength"] and got[2]["score"] > got[7]["score"]
+
+
 def test_quality_held_out(spark, tables):
     weights = quality_ftrl.train(tables["documents"], tables["labels"])
     scores = quality_ftrl.score(tables["documents"], weights)

@@ -1,7 +1,7 @@
 """Toxicity: a lexicon trie met by Levenshtein automata, scored in context windows.
 
 The lexicon is learnt from labelled documents outside the held-out fold: words, and stems of words (any ending), whose log-odds
-for toxic texts are high beyond doubt. All words of a text run through one automaton, the product of the lexicon's trie with "at most d edits" (no edit for
+for toxic texts are high beyond doubt. The forms of a stem that the sample holds stand beside it, so that they can be misspelt. All words of a text run through one automaton, the product of the lexicon's trie with "at most d edits" (no edit for
 stems and terms under five characters, one up to eight, two beyond), which is built state by state as words ask for it. A term's
 misspellings count less where words that close also stand in clean texts. Each mention is weighed in its window: inside
 quotation marks or after a word of reporting it counts a quarter, near other mentions it counts more. A logistic function of
@@ -13,7 +13,9 @@ row gets one result row; without training rows of both classes no word is toxic
 
 from __future__ import annotations
 
+import functools
 import math
+import operator
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -286,6 +288,14 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Mod
     ranked = {w: o for w, (o, _) in ranked.items()}
     terms = tuple(w for w, o in ranked.items() if all(ranked.get(w[:k] + "*", -9.0) < o - 0.5 for k in STEMS if k < len(w.rstrip("*"))))
     exact = [min(6.0, ranked[w]) for w in terms]
+    # a stem takes no edit: its forms follow as terms with their own edits; an exact form still meets the stem, which comes first
+    stems = {w[:-1]: e for w, e in zip(terms, exact) if w.endswith("*")}
+    if stems:
+        begins = [F.substring("word", 1, k).isin([x for x in stems if len(x) == k]) for k in sorted({len(x) for x in stems})]
+        forms = counted.where(~F.col("word").endswith("*") & (odds >= 1.0) & functools.reduce(operator.or_, begins)).select("word").collect()
+        more = sorted({r["word"] for r in forms} - set(terms))
+        terms += tuple(more)
+        exact += [next(stems[w[:k]] for k in STEMS if w[:k] in stems) for w in more]
     seen = counted.where(~F.col("word").endswith("*")).mapInArrow(_near_batches(terms), "term int, d0 bigint, d1 bigint").groupBy("term").agg(F.sum("d0").alias("d0"), F.sum("d1").alias("d1")).collect()
     near = [0.6 * e for e in exact]
     for r in seen:  # misspellings that the sample holds are judged by it
