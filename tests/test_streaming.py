@@ -115,3 +115,41 @@ def test_one_long_key_is_one_unbroken_trace(spark):
             got = ops.chained_alarms(packed, ["key"], seq.WINDOW_START, seq.window_trace_from(method, params), 1000)
         want = seq.py_trace(method, seq.py_params(method, params), xs)
         assert sorted(r["at"] for r in got.collect() if r["key"] == "k") == want, method
+
+
+def test_replays_come_in_bounded_ordered_batches(spark, tmp_path):
+    ev, folder = shuffled_table(tmp_path)
+    rows = spark.read.parquet(f"{folder}/events.parquet")
+    most, seen = 97, []
+
+    def see(batch, number):
+        seen.append([(r["ts"], r["event_id"]) for r in batch.select("ts", "event_id").collect()])
+
+    stream = live.stream_ordered(rows, ["ts", "event_id"], most)
+    stream.writeStream.foreachBatch(see).option("checkpointLocation", str(tmp_path / "b")).trigger(availableNow=True).start().awaitTermination()
+    assert len(seen) >= len(ev) / most > 2 and max(map(len, seen)) <= most
+    assert [x[1] for b in seen for x in sorted(b)] == ev["event_id"].tolist()
+    empty = live.stream_ordered(rows.limit(0), ["ts", "event_id"])
+    assert live.run_to_table(empty, spark, str(tmp_path / "none"))[0].count() == 0
+
+
+def test_queries_replay_in_small_batches(spark, monkeypatch):
+    from tidegauge.plans import live as plans
+
+    whole = {q: sorted(map(tuple, getattr(plans, q)(spark, SF).collect())) for q in ("stream_detector", "stream_window_score")}
+    n = spark.read.parquet(f"{SF}/events.parquet").count()
+    sizes = []
+    step = live.run_to_table
+
+    def watched(stream, spark, folder=None):
+        table, base = step(stream, spark, folder)
+        sizes.append(sum(1 for _ in __import__("pathlib").Path(base.replace("file:", ""), "progress", "commits").glob("[0-9]*")))
+        return table, base
+
+    monkeypatch.setattr(live, "run_to_table", watched)
+    spark.conf.set(live.BATCH_KEY, str(n // 3))
+    try:
+        got = {q: sorted(map(tuple, getattr(plans, q)(spark, SF).collect())) for q in whole}
+    finally:
+        spark.conf.unset(live.BATCH_KEY)
+    assert got == whole and sizes[0] >= 3

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidegauge.core.session import table
+from tidegauge.core.session import row_budget, table
 from tidegauge.operators import sampling as smp
 from tidegauge.operators import vectors as vec
 from tidegauge.plans import fold_sql as fs
@@ -15,16 +15,16 @@ from tidegauge.plans.trials import LEVEL, SIG_SQL
 from tidegauge.plans.vectors import EPS, HALF, MODEL_SQL, STREAM_SQL, score_sql
 from tidegauge.streaming import live
 
+VALUES = 8_000_000  # numbers in the vectors of one micro-batch
 
 
 def is_error():
     return F.col("event_type") == "error"
 
 
-
 @query("stream_detector", trace_twin(fs.ddm(10, "1.5")))
 def stream_detector(spark, sf):
-    ev = live.stream_parquet(spark, sf, "events")
+    ev = live.stream_ordered(table(spark, sf, "events", "user_id", "ts", "event_id", "event_type"), ["ts", "event_id"])
     alarms = live.detector_alarms(ev, "user_id", ["ts", "event_id"], is_error().cast("double"), "ddm", {"warm": 10, "drift": 1.5})
     return live.run_to_table(alarms, spark)[0].select("user_id", "at")
 
@@ -43,7 +43,8 @@ def stream_window_score(spark, sf):
     """Count windows of 20 vectors every 10 per label, scored against the fitted first stream."""
     pool = vector_pool(spark, sf).withColumn("A", F.slice(F.col("embedding").cast("array<double>"), 1, HALF))
     model = vec.fit_pca(pool.where("split = 'fit'"), "A", HALF, HALF)
-    vs = live.stream_parquet(spark, sf, "embeddings").withColumn("A", F.slice(F.col("embedding").cast("array<double>"), 1, HALF))
+    vs = table(spark, sf, "embeddings").select("label", "vec_id", F.slice(F.col("embedding").cast("array<double>"), 1, HALF).alias("A"))
+    vs = live.stream_ordered(vs, ["vec_id"], row_budget(spark, live.BATCH_KEY, max(1, VALUES // HALF)))
     out = live.window_scores(vs, "label", "vec_id", "A", model, EPS, 20, 10)
     return live.run_to_table(out, spark)[0].select("label", "endpoint", F.round("score", 6).alias("score"))
 

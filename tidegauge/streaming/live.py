@@ -2,11 +2,13 @@
 
 Stateful operators keep a bounded state per key (detector fields, or block sums of the last window). Rows of a key are
 put in event order inside a micro-batch; the size of a batch is the source's own limit (files or offsets per trigger).
+A replay of a whole table goes through ``stream_ordered``: bounded files in event order, one per micro-batch.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -17,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tidegauge.core.session import shared_dir
+from tidegauge.core.session import row_budget, shared_dir
 from tidegauge.functions import sequential as seq
 from tidegauge.operators.vectors import Pca
 
@@ -25,8 +27,8 @@ from tidegauge.operators.vectors import Pca
 def stream_parquet(spark: SparkSession, folder: str, name: str, bytes_per_trigger: int | None = None) -> DataFrame:
     """A parquet table (one file or a directory of part files) as a stream, with the schema of the files present.
 
-    Without ``bytes_per_trigger`` all files present form one micro-batch, so operators that need event order see a bounded
-    replay in one sorted pass; operators that do not depend on order may take the table in smaller pieces.
+    Without ``bytes_per_trigger`` all files present form one micro-batch. Operators that need event order take a table from
+    ``stream_ordered`` instead; others may take it in smaller pieces.
     """
     path = f"{folder}/{name}.parquet"
     now = spark.read.parquet(path)
@@ -38,6 +40,33 @@ def stream_parquet(spark: SparkSession, folder: str, name: str, bytes_per_trigge
     return reader.option("pathGlobFilter", f"{name}.parquet").parquet(folder)
 
 
+BATCH_KEY, BATCH_ROWS = "spark.tidegauge.stream.batchRows", 500_000
+_FILE = re.compile(r"part-(\d+)-.*?(?:-c(\d+))?\.[^/]*parquet$")
+
+
+def stream_ordered(rows: DataFrame, order: list[str], most: int | None = None) -> DataFrame:
+    """A table as a stream in event order: files of at most ``most`` rows in the shared folder, one per micro-batch.
+
+    The rows are range-partitioned and sorted by ``order``. A file source reads in order of modification time, so the files
+    get times one second apart in the order of their rows. A key of any length reaches its operator ``most`` rows at a time.
+    """
+    spark = rows.sparkSession
+    most = most or row_budget(spark, BATCH_KEY, BATCH_ROWS)
+    path = f"{shared_dir(spark)}/ordered-{uuid.uuid4().hex}"
+    by = [F.col(c).asc_nulls_last() for c in order]
+    ranges = rows.repartitionByRange(max(1, -(-rows.count() // most)), *by)
+    ranges.sortWithinPartitions(*by).write.option("maxRecordsPerFile", most).parquet(path)
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files = [(int(m[1]), int(m[2] or 0), f.getPath()) for f in fs.listStatus(at) if (m := _FILE.search(f.getPath().getName()))]
+    for i, (_, _, f) in enumerate(sorted(files, key=lambda x: x[:2])):
+        fs.setTimes(f, 1_700_000_000_000 + 1000 * i, -1)
+        if fs.getFileStatus(f).getModificationTime() != 1_700_000_000_000 + 1000 * i:
+            raise OSError(f"{path} is in a store that keeps no given file times; set spark.checkpoint.dir to one that does")
+    # no file is too old, however many there are
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).option("maxFileAge", "36500d").parquet(path)
+
+
 def detector_alarms(
     events: DataFrame, key: str, order: list[str], value: Column, method: str, params: seq.Params | None = None
 ) -> DataFrame:
