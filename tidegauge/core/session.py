@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -64,6 +65,26 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder for files of one run; the file system drops it when the driver ends."""
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _hadoop(spark, path, lambda fs, p: fs.deleteOnExit(p))
+    return path
+
+
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Delete a path made by ``scratch_path`` as soon as nothing reads it any more."""
+    _hadoop(spark, path, lambda fs, p: fs.delete(p, True))
+
+
+def _hadoop(spark: SparkSession, path: str, act) -> None:
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(p.getParent())
+    act(fs, p)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the shared folder, so a lost executor never re-runs the upstream plan."""
     shared_dir(df.sparkSession)
