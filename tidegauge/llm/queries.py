@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegauge.llm import backoff, chat_masks, html_layout, mixing, order_minhash, permutation_index, quality_ftrl, secret_ledger, tiling, toxicity
+from tidegauge.llm import backoff, chat_masks, collocation, html_layout, mixing, order_minhash, permutation_index, quality_ftrl, secret_ledger, tiling, toxicity
 from tidegauge.llm.tables import bucket_of, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -145,6 +145,31 @@ def op10_quality_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _judged(quality_ftrl.score(docs, weights), 5, 0, 0.3)
 
 
+COLLOCATION_SQL = r"""
+WITH piece AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p FROM documents),
+said AS (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM piece),
+gram AS (SELECT lang, m, array_to_string(w[i:i+m-1], ' ') AS phrase, count(*) AS c
+         FROM (SELECT lang, w, unnest(generate_series(1, len(w))) AS i FROM said WHERE len(w) > 0), (VALUES (1), (2), (3)) s(m) WHERE i + m - 1 <= len(w) GROUP BY ALL),
+total AS (SELECT lang, sum(c)::BIGINT AS n FROM gram WHERE m = 1 GROUP BY lang),
+cand AS (SELECT lang, m, phrase, c AS a, string_split(phrase, ' ') AS w FROM gram WHERE m > 1 AND c >= 10),
+inside AS (SELECT lang, phrase, max(a) AS held FROM (SELECT lang, a, unnest([w[1] || ' ' || w[2], w[2] || ' ' || w[3]]) AS phrase FROM cand WHERE m = 3) GROUP BY ALL),
+kept AS (SELECT c.* FROM cand c LEFT JOIN inside i USING (lang, phrase) WHERE i.held IS NULL OR c.m = 3 OR 100 * i.held < 50 * c.a),
+cut AS (SELECT lang, phrase, a, k, array_to_string(w[1:k], ' ') AS h, array_to_string(w[k+1:m], ' ') AS t FROM kept, (VALUES (1), (2)) s(k) WHERE k < m),
+scored AS (SELECT cut.*, x.c AS l, y.c AS r, ((1000000::HUGEINT * a * a) // (x.c::HUGEINT * y.c))::BIGINT AS score FROM cut
+           JOIN gram x ON x.lang = cut.lang AND x.phrase = h JOIN gram y ON y.lang = cut.lang AND y.phrase = t),
+least AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS nth FROM scored),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM least WHERE nth = 1)
+SELECT lang, rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n, score FROM ranked JOIN total USING (lang) WHERE rank <= 2000
+"""
+
+
+@query("op11_collocations", COLLOCATION_SQL)
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 2000 collocations of every language."""
+    return collocation.collocations(table(spark, sf_dir, "documents", "lang", "text"))
+
+
 @query("pipeline")
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The corpus pipeline over all documents."""
