@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegauge.llm import backoff, chat_masks, collocation, html_layout, mixing, order_minhash, permutation_index, quality_ftrl, secret_ledger, tiling, toxicity
+from tidegauge.llm import (
+    backoff, chat_masks, collocation, html_layout, mixing, order_minhash, permutation_index, quality_ftrl, secret_ledger, tiling, toxicity, warc, whitening,
+)
 from tidegauge.llm.tables import bucket_of, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -170,6 +172,30 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocation.collocations(table(spark, sf_dir, "documents", "lang", "text"))
 
 
+@query("op12_whitening")
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 32 whitened components of every vector."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+
+
+WARC_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS t FROM pages),
+b AS (SELECT page_id, octet_length(encode(t))::BIGINT AS payload_bytes, unhex(sha1(t))::BIT::VARCHAR AS bits, max(page_id) OVER (PARTITION BY t) AS kept FROM p)
+SELECT page_id, payload_bytes,
+       list_aggregate(list_transform(generate_series(0, 31), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+           1 + 16 * substr(bits, 5 * i + 1, 1)::INT + 8 * substr(bits, 5 * i + 2, 1)::INT + 4 * substr(bits, 5 * i + 3, 1)::INT
+             + 2 * substr(bits, 5 * i + 4, 1)::INT + substr(bits, 5 * i + 5, 1)::INT, 1)), 'string_agg', '') AS payload_digest,
+       CASE WHEN page_id = kept THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> kept THEN kept END AS refers_to
+FROM b
+"""
+
+
+@query("op13_warc_members", WARC_SQL)
+def op13_warc_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as it is read back from its normalised archive."""
+    return warc.archive_round_trip(table(spark, sf_dir, "pages", "page_id", "url", "html"))
+
+
 @query("pipeline")
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The corpus pipeline over all documents."""
