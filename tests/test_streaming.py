@@ -98,25 +98,6 @@ def test_directory_and_shuffled_files_lose_nothing(spark, tmp_path):
     assert late.where("late > 0").count() > 0
 
 
-def test_one_long_key_is_one_unbroken_trace(spark):
-    import numpy as np
-
-    from tidegauge.operators import sequences as ops
-
-    rng = np.random.default_rng(3)
-    xs = np.concatenate([rng.random(2500) < 0.1, rng.random(1500) < 0.5, rng.random(1000) < 0.2]).astype(float)
-    rows = spark.createDataFrame([("k", i + 1, float(x)) for i, x in enumerate(xs)] + [("s", 1, 1.0)], "key string, rn long, x double")
-    packed = ops.segments(rows, ["key"], F.col("x"), 1000)
-    for method, params in (("ddm", {"warm": 30, "drift": 2.0}), ("eddm", {"warm": 10}), ("hddm_w", {"conf": 0.01}), ("page_hinkley", {"threshold": 5.0}), ("adwin", {"delta": 0.3}), ("kswin", {"alpha": 0.01})):
-        if method in seq.FOLDS:
-            f = seq.fold(method, params)
-            got = ops.chained_alarms(packed, ["key"], f.start(), lambda v, s, f=f: seq.trace_from(f, "xs", "start"), 1000)
-        else:
-            got = ops.chained_alarms(packed, ["key"], seq.WINDOW_START, seq.window_trace_from(method, params), 1000)
-        want = seq.py_trace(method, seq.py_params(method, params), xs)
-        assert sorted(r["at"] for r in got.collect() if r["key"] == "k") == want, method
-
-
 def test_replays_come_in_bounded_ordered_batches(spark, tmp_path):
     ev, folder = shuffled_table(tmp_path)
     rows = spark.read.parquet(f"{folder}/events.parquet")

@@ -91,6 +91,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def kept(df: DataFrame, name: str = "kept") -> DataFrame:
+    """The frame written as Parquet in the shared folder and read back: cuts the lineage as a checkpoint does, and the size estimates of
+    the plan, which joins multiply from round to round of a loop, start anew from the files."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def row_budget(spark: SparkSession, key: str, default: int) -> int:
     """A tunable row count read from the session, e.g. ``spark.tidegauge.scan.bucketRows``."""
     return int(spark.conf.get(key, str(default)))

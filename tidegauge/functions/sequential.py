@@ -1,25 +1,17 @@
-"""Sequential change detectors.
+"""Settings of the sequential change detectors, and the four with a state of fixed size as native folds over bounded arrays.
 
-Four of them have a state of fixed size and run as native folds over bounded arrays. The three with a sliding window
-(``ADWIN``, ``KSWIN``, ``OPTWIN``) use numpy on the window. The same update rules drive the stateful streaming operator.
+``functions.blocks`` has all seven on whole blocks of values, for long streams and for live ones.
 """
 
 from __future__ import annotations
 
-import math
-from collections.abc import Callable, Iterable
-from functools import lru_cache
-from typing import Any, NamedTuple
+from collections.abc import Callable
+from typing import Any
 
-from statistics import NormalDist
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 Params = dict[str, float]
-State = dict[str, Any]
 
 DEFAULTS: dict[str, Params] = {
     "ddm": {"warm": 30, "drift": 3.0},
@@ -164,6 +156,10 @@ FOLDS: dict[str, Callable[[dict[str, str]], Fold]] = {
 }
 
 
+def settings(method: str, params: Params | None = None) -> Params:
+    return {**DEFAULTS[method], **(params or {})}
+
+
 def fold(method: str, params: dict[str, Any] | None = None) -> Fold:
     """Fold of a method; a parameter is a number or the name of a column, e.g. of a candidate table."""
     merged = {**DEFAULTS[method], **(params or {})}
@@ -182,13 +178,6 @@ def alarm_trace(f: Fold, values: str, start: str | None = None) -> Column:
     return F.expr(f"aggregate({values}, {begin}, (a, x) -> {f.step('a.s', 'x', after)}, a -> a.at)")
 
 
-def trace_from(f: Fold, values: str, start: str) -> Column:
-    """Struct (at, state): positions of all alarms from a given state, reset after each, and the state at the end."""
-    begin = _struct({"s": start, "i": "0", "at": "cast(array() as array<int>)"})
-    after = _struct({"s": f.kept_or_reset(), "i": "a.i + 1", "at": "if(r.alarm, concat(a.at, array(a.i + 1)), a.at)"})
-    return F.expr(f"aggregate({values}, {begin}, (a, x) -> {f.step('a.s', 'x', after)}, a -> named_struct('at', a.at, 'state', a.s))")
-
-
 def _first(f: Fold, values: str, start: str) -> str:
     begin = _struct({"s": start, "i": "0", "hit": "cast(NULL as int)"})
     after = _struct({"s": f.kept(), "i": "a.i + 1", "hit": "if(r.alarm, a.i + 1, NULL)"})
@@ -207,298 +196,3 @@ def onset_detection(f: Fold, clean: str, drift: str, start: str) -> Column:
     prefix = f"aggregate({clean}, {begin}, (a, x) -> {f.step('a.s', 'x', after)})"
     both = _struct({"prechange": "pre.alarms", "delay": _first(f, drift, "pre.s")})
     return F.expr(f"get(transform(array({prefix}), pre -> {both}), 0)")
-
-
-# ---------------------------------------------------------------- python updates (streaming, window detectors)
-
-
-def py_start(method: str) -> State:
-    if method == "ddm":
-        return {"n": 0, "mean": 0.0, "best": math.inf, "bp": math.inf, "bs": 0.0}
-    if method == "eddm":
-        return {"n": 0, "k": 0, "last": 0, "mean": 0.0, "m2": 0.0, "top": -1.0}
-    if method == "hddm_w":
-        return {"n": 0, "t": 0.0, "ti": 1.0, "cut": math.inf, "a": 0.0, "ai": 1.0, "b": 0.0, "bi": 1.0, "bn": 0}
-    if method == "page_hinkley":
-        return {"n": 0, "mean": 0.0, "up": 0.0, "down": 0.0, "lo": math.inf, "hi": -math.inf}
-    return {"n": 0, "w": []}
-
-
-def py_step(method: str, p: Params, s: State, x: float) -> bool:
-    """Advance ``s`` in place by one value; True on an alarm (the caller resets)."""
-    s["n"] += 1
-    return _PY[method](p, s, float(x))
-
-
-def _py_ddm(p: Params, s: State, x: float) -> bool:
-    s["mean"] += (x - s["mean"]) / s["n"]
-    sd = math.sqrt(max(s["mean"] * (1 - s["mean"]) / s["n"], 0.0))
-    if s["n"] <= p["warm"]:
-        return False
-    if s["mean"] + sd <= s["best"]:
-        s.update(best=s["mean"] + sd, bp=s["mean"], bs=sd)
-    return s["mean"] + sd > s["bp"] + p["drift"] * s["bs"]
-
-
-def _py_eddm(p: Params, s: State, x: float) -> bool:
-    if x != 1:
-        return False
-    s["k"] += 1
-    d = float(s["n"] - s["last"])
-    gap = d - s["mean"]
-    s["mean"] += gap / s["k"]
-    s["m2"] += gap * (d - s["mean"])
-    s["last"] = s["n"]
-    if s["n"] <= p["warm"] or s["k"] < 2:
-        return False
-    score = s["mean"] + 2.0 * math.sqrt(max(s["m2"] / (s["k"] - 1), 0.0))
-    if score > s["top"]:
-        s["top"] = score
-        return False
-    return s["k"] > p["warm"] and s["top"] > 0 and score < p["beta"] * s["top"]
-
-
-def _py_hddm_w(p: Params, s: State, x: float) -> bool:
-    lam, keep = p["lam"], 1 - p["lam"]
-    scale = math.log(1.0 / p["conf"]) / 2.0
-    s["t"] = x if s["n"] == 1 else lam * x + keep * s["t"]
-    s["ti"] = lam * lam + keep * keep * s["ti"]
-    level = s["t"] + math.sqrt(s["ti"] * scale)
-    if level < s["cut"]:
-        s.update(cut=level, a=s["t"], ai=s["ti"], b=0.0, bi=1.0, bn=0)
-        return False
-    s["b"] = x if s["bn"] == 0 else lam * x + keep * s["b"]
-    s["bi"] = lam * lam + keep * keep * s["bi"]
-    s["bn"] += 1
-    return s["b"] - s["a"] > math.sqrt((s["ai"] + s["bi"]) * scale)
-
-
-def _py_page_hinkley(p: Params, s: State, x: float) -> bool:
-    s["mean"] += (x - s["mean"]) / s["n"]
-    s["up"] = p["alpha"] * s["up"] + (x - s["mean"]) - p["delta"]
-    s["down"] = p["alpha"] * s["down"] + (x - s["mean"]) + p["delta"]
-    s["lo"], s["hi"] = min(s["lo"], s["up"]), max(s["hi"], s["down"])
-    moved = {"up": s["up"] - s["lo"], "down": s["hi"] - s["down"]}
-    return s["n"] >= p["min_n"] and any(d > p["threshold"] for m, d in moved.items() if p.get("mode", "both") in (m, "both"))
-
-
-def ks_equal_pvalue(steps: int, m: int) -> float:
-    """Exact two-sided p-value of the KS distance steps/m for two samples of the same size m."""
-    if steps <= 0:
-        return 1.0
-    total = math.comb(2 * m, m)
-    tail = sum((-1) ** (i + 1) * math.comb(2 * m, m - i * steps) for i in range(1, m // steps + 1))
-    return min(1.0, 2.0 * tail / total)
-
-
-def kswin_step(older: int) -> int:
-    """Multiplier of the sampling rule: the first number from 37 on without a common factor with the older part."""
-    return next(a for a in range(37, 37 + older + 1) if math.gcd(a, older) == 1)
-
-
-def kswin_picks(n: int, older: int, stat: int) -> list[int]:
-    """Distinct positions sampled from the older part, from a rule both engines can repeat."""
-    mult = kswin_step(older)
-    return [(mult * j + 11 * n) % older for j in range(stat)]
-
-
-def _py_kswin(p: Params, s: State, x: float) -> bool:
-    size, stat = int(p["window"]), int(p["stat"])
-    s["w"].append(x)
-    if len(s["w"]) > size:
-        del s["w"][: len(s["w"]) - size]
-    if len(s["w"]) < size or s["n"] % int(p["clock"]):
-        return False
-    w = np.asarray(s["w"])
-    old = np.sort(w[kswin_picks(s["n"], size - stat, stat)])
-    new = np.sort(w[-stat:])
-    grid = np.concatenate([old, new])
-    gap = np.abs(np.searchsorted(old, grid, "right") - np.searchsorted(new, grid, "right")).max()
-    if ks_equal_pvalue(int(gap), stat) <= p["alpha"] and gap / stat > 0.1:
-        s["w"] = s["w"][-stat:]
-        return True
-    return False
-
-
-@lru_cache(maxsize=1024)
-def _normal_limit(tail: float) -> float:
-    """Slightly below the normal quantile of the tail, so rounding never rejects a passing cut."""
-    return -math.inf if tail >= 1.0 else -NormalDist().inv_cdf(tail) - 1e-6
-
-
-BETA_TERMS = 60  # terms of the continued fraction; below the mean it is exact to rounding with far fewer
-
-
-def beta_inc(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Regularised incomplete beta function of arrays, by its continued fraction evaluated from the last term back."""
-    a, b, x = np.broadcast_arrays(*(np.asarray(v, dtype=np.float64) for v in (a, b, x)))
-    swap = x > (a + 1.0) / (a + b + 2.0)  # the fraction converges fast below the mean; use the symmetry above it
-    p, q, y = np.where(swap, b, a), np.where(swap, a, b), np.clip(np.where(swap, 1.0 - x, x), 0.0, 1.0)
-    tail = np.ones_like(y)
-    for m in range(BETA_TERMS, 0, -1):
-        odd = -(p + m) * (p + q + m) * y / ((p + 2 * m) * (p + 2 * m + 1))
-        even = m * (q - m) * y / ((p + 2 * m - 1) * (p + 2 * m))
-        tail = 1.0 + even / (1.0 + odd / tail)
-    first = 1.0 - (p + q) * y / (p + 1.0) / tail
-    logs = np.vectorize(math.lgamma, otypes=[float])
-    with np.errstate(divide="ignore"):
-        front = np.exp(logs(p + q) - logs(p) - logs(q) + p * np.log(y) + q * np.log1p(-y)) / p
-    part = np.where(y <= 0.0, 0.0, np.where(y >= 1.0, 1.0, front / first))
-    return np.where(swap, 1.0 - part, part)
-
-
-def t_sf(t: np.ndarray, dof: np.ndarray) -> np.ndarray:
-    """Upper tail of Student's t."""
-    half = 0.5 * beta_inc(dof / 2.0, 0.5, dof / (dof + t * t))
-    return np.where(t >= 0, half, 1.0 - half)
-
-
-def f_sf(ratio: np.ndarray, d1: np.ndarray, d2: np.ndarray) -> np.ndarray:
-    """Upper tail of Fisher's F."""
-    return beta_inc(d2 / 2.0, d1 / 2.0, d2 / (d2 + d1 * ratio))
-
-
-class Split(NamedTuple):
-    """A window seen as an older and a newer part at many cuts at once."""
-
-    older: np.ndarray
-    newer: np.ndarray
-    rise: np.ndarray
-    older_var: np.ndarray
-    newer_var: np.ndarray
-
-
-def split_at(values: np.ndarray, cuts: np.ndarray) -> Split:
-    powers = np.vstack([values, values * values]).cumsum(axis=1)
-    older, newer = cuts.astype(np.float64), len(values) - cuts.astype(np.float64)
-    head = powers[:, cuts - 1]
-    tail = powers[:, -1:] - head
-
-    def variance(part: np.ndarray, n: np.ndarray) -> np.ndarray:
-        return np.clip((part[1] - part[0] ** 2 / n) / np.maximum(n - 1, 1), 0.0, None)
-
-    return Split(older, newer, tail[0] / newer - head[0] / older, variance(head, older), variance(tail, newer))
-
-
-def adwin_cuts(p: Params, values: np.ndarray, cuts: np.ndarray) -> np.ndarray:
-    """Cuts where the means of the parts differ by more than the bound of adaptive windowing.
-
-    With m the harmonic size of the parts and L = ln(2 / delta'), the bound is sqrt(2 v L / m) + 2 L / (3 m).
-    """
-    part = split_at(values, cuts)
-    log_term = max(math.log(2.0 * math.log(len(values)) / p["delta"]), 1e-7)
-    per_m = len(values) / (part.older * part.newer)
-    bound = np.sqrt(2.0 * values.var() * log_term * per_m) + 2.0 / 3.0 * log_term * per_m
-    return (np.abs(part.rise) if p["two_sided"] else part.rise) > bound
-
-
-def optwin_cuts(p: Params, values: np.ndarray, cuts: np.ndarray) -> np.ndarray:
-    """Cuts where the newer part lies above the older by Welch's t test (or spreads wider by the F test).
-
-    Every window is tested at many cuts and many times while it fills, so the level is shared among them. A rise below
-    ``rigor`` standard errors of the older part is no drift however sure the tests are.
-    """
-    part, sides = split_at(values, cuts), 2.0 if p["two_sided"] else 1.0
-    level = p["delta"] / (len(cuts) * max(math.ceil(p["max_window"] / p["clock"]), 1))
-    height = np.abs(part.rise) if p["two_sided"] else part.rise
-    wide = (height > 0.0) & (height * np.sqrt(part.newer) >= p["rigor"] * np.sqrt(np.maximum(part.older_var, 1e-12)))
-    share = np.vstack([part.older_var / part.older, part.newer_var / part.newer])
-    error = share.sum(axis=0)
-    found = np.zeros(len(cuts), dtype=bool)
-    # Student's tails are never below the normal ones: only cuts beyond the normal limit need the exact tail.
-    t = np.divide(height, np.sqrt(error), out=np.zeros_like(height), where=error > 1e-12)
-    near = np.flatnonzero(wide & (error > 1e-12) & (t >= _normal_limit(level / sides)))
-    if near.size:
-        spread = (share[:, near] ** 2 / np.maximum(np.vstack([part.older, part.newer])[:, near] - 1, 1)).sum(axis=0)
-        dof = np.divide(error[near] ** 2, spread, out=np.ones(near.size), where=spread > 1e-18)
-        found[near] = sides * t_sf(t[near], dof) <= level
-    if p["f_test"]:
-        open_f = np.flatnonzero(wide & ~found & (part.older_var > 1e-12) & (part.newer_var > 1e-12))
-        above = f_sf(part.newer_var[open_f] / part.older_var[open_f], part.newer[open_f] - 1, part.older[open_f] - 1)
-        found[open_f] = (np.minimum(1.0, 2.0 * np.minimum(above, 1.0 - above)) if p["two_sided"] else above) <= level
-    return found
-
-
-CUT_TESTS: dict[str, Callable[[Params, np.ndarray, np.ndarray], np.ndarray]] = {"adwin": adwin_cuts, "optwin": optwin_cuts}
-
-
-def _py_cutting(method: str) -> Callable[[Params, State, float], bool]:
-    """A detector that keeps a growing window and drops its older part at the earliest cut that tests as a change."""
-
-    def step(p: Params, s: State, x: float) -> bool:
-        kept = s["w"]
-        kept.append(x)
-        del kept[: max(0, len(kept) - int(p["max_window"]))]
-        least = int(p["min_len"])
-        if s["n"] % int(p["clock"]) or len(kept) < p.get("grace", 2 * least):
-            return False
-        cuts = np.arange(least, len(kept) - least + 1, int(p["step"]))
-        changed = np.flatnonzero(CUT_TESTS[method](p, np.array(kept), cuts)) if cuts.size else cuts
-        if changed.size:
-            s["w"] = kept[cuts[changed[0]] :]
-        return bool(changed.size)
-
-    return step
-
-
-_PY: dict[str, Callable[[Params, State, float], bool]] = {
-    "ddm": _py_ddm, "eddm": _py_eddm, "hddm_w": _py_hddm_w, "page_hinkley": _py_page_hinkley,
-    "kswin": _py_kswin, "adwin": _py_cutting("adwin"), "optwin": _py_cutting("optwin"),
-}
-WINDOWED = ("kswin", "adwin", "optwin")
-
-
-def py_params(method: str, params: Params | None = None) -> Params:
-    return {**DEFAULTS[method], **(params or {})}
-
-
-def py_warm(method: str, p: Params, values: Iterable[float]) -> State:
-    s = py_start(method)
-    for v in values:
-        if py_step(method, p, s, v):
-            s = py_start(method)
-    return s
-
-
-def py_copy(s: State) -> State:
-    return {k: list(v) if isinstance(v, list) else v for k, v in s.items()}
-
-
-def py_trace(method: str, p: Params, values: Iterable[float], start: State | None = None) -> list[int]:
-    s, hits = py_copy(start) if start else py_start(method), []
-    for i, v in enumerate(values, 1):
-        if py_step(method, p, s, v):
-            hits.append(i)
-            s = py_start(method)
-    return hits
-
-
-def py_first(method: str, p: Params, values: Iterable[float], start: State) -> int | None:
-    s = py_copy(start)
-    for i, v in enumerate(values, 1):
-        if py_step(method, p, s, v):
-            return i
-    return None
-
-
-WINDOW_START = "named_struct('n', 0L, 'w', cast(array() as array<double>))"
-
-
-def window_trace_from(method: str, params: Params | None = None) -> Callable[[Column, Column], Column]:
-    """``trace_from`` of a window detector: (values, state) to (alarms, state), one Arrow batch of arrays at a time."""
-    p = py_params(method, params)
-
-    @F.pandas_udf("at array<int>, state struct<n: bigint, w: array<double>>")
-    def run(values, n, w):  # noqa: ANN001, ANN202 - pandas types are read by Spark at run time
-        rows = []
-        for v, seen, kept in zip(values, n, w):
-            state: State = {"n": int(seen), "w": [float(x) for x in kept]}
-            hits = []
-            for i, x in enumerate(v, 1):
-                if py_step(method, p, state, x):
-                    hits.append(i)
-                    state = py_start(method)
-            rows.append((hits, {"n": state["n"], "w": state["w"]}))
-        return pd.DataFrame(rows, columns=["at", "state"])
-
-    return lambda values, start: run(values, start["n"], start["w"])

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from tidegauge.core.scan import with_sizes
 from tidegauge.core.session import row_budget, table
-from tidegauge.functions import sequential as seq
+from tidegauge.functions import blocks as bl
+from tidegauge.operators import chains
 from tidegauge.operators import sequences as ops
 from tidegauge.plans import fold_sql as fs
 from tidegauge.plans.registry import query
@@ -123,16 +124,11 @@ def ewma(spark, sf):
     return out.select("user_id", "n", F.round("ewma", 6).alias("ewma"), F.round("ibc", 9).alias("ibc"))
 
 
-def whole_trace(spark, sf, fresh, run, value=None) -> DataFrame:
+def whole_trace(spark, sf, method, params, value=None) -> DataFrame:
     """Alarm positions per user over the unbroken stream."""
     rows = row_budget(spark, SEGMENT_KEY, SEGMENT_ROWS)
     packed = ops.segments(numbered(spark, sf), KEY, is_error().cast("double") if value is None else value, rows)
-    return ops.chained_alarms(packed, KEY, fresh, run, rows)
-
-
-def fold_trace(spark, sf, method, params, value=None) -> DataFrame:
-    f = seq.fold(method, params)
-    return whole_trace(spark, sf, f.start(), lambda xs, start: seq.trace_from(f, "xs", "start"), value)
+    return chains.chained_alarms(packed, KEY, method, params, rows)
 
 
 def trace_twin(spec, x="(event_type = 'error')::INT::DOUBLE") -> str:
@@ -144,58 +140,54 @@ SELECT k AS user_id, pos::BIGINT AS "at" FROM f WHERE alarm"""
 
 @query("alarm_trace", trace_twin(fs.ddm(10, "1.5")))
 def alarm_trace(spark, sf):
-    return fold_trace(spark, sf, "ddm", {"warm": 10, "drift": 1.5})
+    return whole_trace(spark, sf, "ddm", {"warm": 10, "drift": 1.5})
 
 
 @query("eddm_trace", trace_twin(fs.eddm(4, "0.9")))
 def eddm_trace(spark, sf):
-    return fold_trace(spark, sf, "eddm", {"warm": 4, "beta": 0.9})
+    return whole_trace(spark, sf, "eddm", {"warm": 4, "beta": 0.9})
 
 
 @query("hddm_w", trace_twin(fs.hddm_w(0.1, 0.05)))
 def hddm_w(spark, sf):
-    return fold_trace(spark, sf, "hddm_w", {"conf": 0.1})
+    return whole_trace(spark, sf, "hddm_w", {"conf": 0.1})
 
 
 @query("page_hinkley", trace_twin(fs.page_hinkley("50.0"), "value"))
 def page_hinkley(spark, sf):
-    return fold_trace(spark, sf, "page_hinkley", {"threshold": 50.0}, F.col("value"))
+    return whole_trace(spark, sf, "page_hinkley", {"threshold": 50.0}, F.col("value"))
 
 
 @query("page_hinkley_up", trace_twin(fs.page_hinkley("20.0", mode="up"), "value"))
 def page_hinkley_up(spark, sf):
     """Alarms on a rise only."""
-    return fold_trace(spark, sf, "page_hinkley", {"threshold": 20.0, "mode": "up"}, F.col("value"))
+    return whole_trace(spark, sf, "page_hinkley", {"threshold": 20.0, "mode": "up"}, F.col("value"))
 
 
 @query("page_hinkley_down", trace_twin(fs.page_hinkley("20.0", mode="down"), "value"))
 def page_hinkley_down(spark, sf):
     """Alarms on a fall only."""
-    return fold_trace(spark, sf, "page_hinkley", {"threshold": 20.0, "mode": "down"}, F.col("value"))
-
-
-def window_alarms(spark, sf, method, params, value=None) -> DataFrame:
-    return whole_trace(spark, sf, seq.WINDOW_START, seq.window_trace_from(method, params), value)
+    return whole_trace(spark, sf, "page_hinkley", {"threshold": 20.0, "mode": "down"}, F.col("value"))
 
 
 @query("adwin", trace_twin(fs.adwin(0.9, 4, 5, 15, 400, 1)))
 def adwin(spark, sf):
-    return window_alarms(spark, sf, "adwin", {"delta": 0.9, "clock": 4, "min_len": 5, "grace": 15, "step": 1})
+    return whole_trace(spark, sf, "adwin", {"delta": 0.9, "clock": 4, "min_len": 5, "grace": 15, "step": 1})
 
 
 KSWIN = {"alpha": 0.2, "window": 40, "stat": 12, "clock": 2}
-KS_TABLE = [seq.ks_equal_pvalue(k, KSWIN["stat"]) for k in range(1, KSWIN["stat"] + 1)]
+KS_TABLE = [bl.ks_equal_pvalue(k, KSWIN["stat"]) for k in range(1, KSWIN["stat"] + 1)]
 
 
-@query("kswin", trace_twin(fs.kswin(**KSWIN, pvalues=KS_TABLE, mult=seq.kswin_step(KSWIN["window"] - KSWIN["stat"])), "value"))
+@query("kswin", trace_twin(fs.kswin(**KSWIN, pvalues=KS_TABLE, mult=bl.kswin_step(KSWIN["window"] - KSWIN["stat"])), "value"))
 def kswin(spark, sf):
-    return window_alarms(spark, sf, "kswin", KSWIN, F.col("value"))
+    return whole_trace(spark, sf, "kswin", KSWIN, F.col("value"))
 
 
 @query("optwin")
 def optwin(spark, sf):
     params = {"delta": 0.9, "min_len": 5, "clock": 1, "step": 1, "max_window": 100, "f_test": 0, "two_sided": 1}
-    return window_alarms(spark, sf, "optwin", params, F.col("value"))
+    return whole_trace(spark, sf, "optwin", params, F.col("value"))
 
 
 PHASED = f"""{NUMBERED},

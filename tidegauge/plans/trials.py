@@ -6,11 +6,14 @@ those at or above the 0.70 calibration level form the degrading pool.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidegauge.core.session import cut_lineage, row_budget, table
+from tidegauge.functions import blocks as bl
 from tidegauge.functions import sequential as seq
+from tidegauge.operators import chains
 from tidegauge.operators import sampling as smp
 from tidegauge.operators import sequences as ops
 from tidegauge.operators import signals as sig
@@ -88,7 +91,7 @@ class Pools:
         """One row per trial: arrays of calibration levels before and after the change."""
         return smp.materialize(self.plan(), self.both(), ["trial"], ["level"])
 
-    def warm(self, f: seq.Fold, grid: DataFrame | None = None) -> DataFrame:
+    def warm(self, method: str, params: dict | None = None, grid: DataFrame | None = None) -> DataFrame:
         """State of a detector after the whole calibration signal, one row or one per row (idx, param) of the grid.
 
         The signal stays in bounded segments; the grid is a few fixed rows.
@@ -98,8 +101,9 @@ class Pools:
         packed, keys = ops.segments(events, [], F.col("x"), rows), []
         if grid is not None:
             packed, keys = packed.join(F.broadcast(grid)), ["idx", "param"]
-        run = lambda xs, start: seq.trace_from(f, "xs", "start")
-        return ops.end_state(ops.chained(packed, keys, f.start(), run), keys)
+        varied = seq.GRIDS[method][0] if grid is not None else None
+        out = chains.end_state(chains.chained(packed, keys, method, params, varied), keys)
+        return out.withColumn("state", chains.fold_state(method)) if method in seq.FOLDS else out
 
     def stationary(self, windows: int, size: int) -> DataFrame:
         plan = smp.stationary_plan(self.spark, windows, size, self.k, 4)
@@ -114,15 +118,34 @@ def events_of(levels: str) -> str:
 
 def warmed(p: Pools, method: str) -> DataFrame:
     """State after calibration for each candidate setting: a handful of rows, one per grid value."""
-    name, values = seq.GRIDS[method]
-    grid = p.spark.createDataFrame([(i, float(v)) for i, v in enumerate(values)], "idx int, param double")
-    f = seq.fold(method, {**seq.GRID_BASE.get(method, {}), name: "param"})
-    return p.warm(f, grid).select(F.lit(method).alias("method"), "idx", "param", "state")
+    grid = p.spark.createDataFrame([(i, float(v)) for i, v in enumerate(seq.GRIDS[method][1])], "idx int, param double")
+    states = p.warm(method, seq.GRID_BASE.get(method), grid)
+    return states.select(F.lit(method).alias("method"), "idx", "param", "state")
+
+
+def candidate(method: str):
+    """(first alarm in an array, first alarm in a second array behind a first one) of the warmed candidates of a method, as columns."""
+    if method in seq.FOLDS:
+        f = seq.fold(method, {**seq.GRID_BASE.get(method, {}), seq.GRIDS[method][0]: "param"})
+        return (lambda xs: seq.first_detection(f, xs, "state")), (lambda clean, drift: seq.onset_detection(f, clean, drift, "state")["delay"])
+    fixed, name = seq.settings(method, seq.GRID_BASE.get(method)), seq.GRIDS[method][0]
+
+    @F.pandas_udf("int")
+    def first(clean: pd.Series, drift: pd.Series, state: pd.Series, param: pd.Series) -> pd.Series:
+        out = []
+        for head, tail, s, v in zip(clean, drift, state, param):
+            given = {**fixed, name: float(v)}
+            behind = bl.trace(method, given, head, list(s))[1]
+            out.append((bl.trace(method, given, tail, behind, most=1)[0] or [None])[0])
+        return pd.Series(out, dtype="Int32")
+
+    nothing = "cast(array() AS array<double>)"
+    return (lambda xs: first(F.expr(nothing), F.expr(xs), "state", "param")), (lambda clean, drift: first(F.expr(clean), F.expr(drift), "state", "param"))
 
 
 def onset_rows(p: Pools, method: str, params: dict) -> DataFrame:
     f = seq.fold(method, params)
-    warm = p.warm(f)
+    warm = p.warm(method, params)
     rows = p.trials().join(F.broadcast(warm))  # one row
     both = seq.onset_detection(f, events_of("clean_level"), events_of("drift_level"), "state")
     return rows.select("trial", both.alias("o")).select("trial", "o.prechange", "o.delay")
@@ -239,7 +262,7 @@ SELECT k AS window_id, min(CASE WHEN alarm THEN pos END)::INT AS first_alarm FRO
 def detects_in_window(spark, sf):
     p = Pools(spark, sf)
     f = seq.fold("hddm_w", HW)
-    warm = p.warm(f)
+    warm = p.warm("hddm_w", HW)
     rows = p.stationary(p.k // 100, WSIZE).join(F.broadcast(warm))  # one row
     return rows.select("window_id", seq.first_detection(f, "xs", "state").alias("first_alarm"))
 
@@ -260,7 +283,7 @@ def trial_traces(spark, sf) -> DataFrame:
     """Delay after onset plus alarm windows (last 20 of the clean part, every 10) of one method and seed."""
     p = Pools(spark, sf)
     f = seq.fold("hddm_w", HW)
-    warm = p.warm(f)
+    warm = p.warm("hddm_w", HW)
     rows = p.trials().join(F.broadcast(warm))  # one row
     clean = events_of("clean_level")
     ends = F.sequence(F.lit(20), F.lit(CLEAN), F.lit(10))
@@ -321,7 +344,7 @@ def ratio_results(spark, sf) -> DataFrame:
     """Per window: first alarm (ratio 0) or alarm after onset with pre-change alarms (contiguous tail)."""
     p = Pools(spark, sf)
     f = seq.fold("hddm_w", HW)
-    warm = p.warm(f)
+    warm = p.warm("hddm_w", HW)
     plan = smp.window_plan(spark, p.c // 250, WSIZE, RATIOS, p.c, p.d, 6)
     rows = smp.materialize(plan, p.both(), ["ratio", "window_id", "n_clean", "n_drift"], ["level"]).join(F.broadcast(warm))  # one row
     clean, drift = events_of("clean_level"), events_of("drift_level")
@@ -377,23 +400,28 @@ cand AS ({stacked('cand')})"""
 def calibration_rows(p: Pools) -> DataFrame:
     """Alarm rate of every candidate of every method on stationary windows; a grid is a few rows, so it is the broadcast side."""
     windows, out = p.stationary(p.k // 100, WSIZE), None
-    for method in FOLDED:
-        name, _ = seq.GRIDS[method]
-        f = seq.fold(method, {**seq.GRID_BASE.get(method, {}), name: "param"})
-        hit = seq.first_detection(f, "xs", "state").isNotNull()
+    for method in seq.GRIDS:
+        hit = candidate(method)[0]("xs").isNotNull()
         part = windows.join(F.broadcast(warmed(p, method))).select("method", "idx", "param", hit.cast("double").alias("hit"))
         out = part if out is None else out.unionByName(part)
     return out.groupBy("method", "idx", "param").agg(F.avg("hit").alias("fpr"))
 
 
-@query("calibration_rate", f"WITH RECURSIVE {FPR_SQL} SELECT method, idx, param, round(fpr, 6) AS fpr FROM cand")
+# SQL of the rows of the four fold methods; the window methods are checked by brute force in the tests
+FOLDED_SQL = {"calibration_rate": f"WITH RECURSIVE {FPR_SQL} SELECT method, idx, param, round(fpr, 6) AS fpr FROM cand"}
+
+
+@query("calibration_rate")
 def calibration_rate(spark, sf):
     return calibration_rows(Pools(spark, sf)).withColumn("fpr", F.round("fpr", 6))
 
 
-@query("config_fpr_select", f"""WITH RECURSIVE {FPR_SQL}
+FOLDED_SQL["config_fpr_select"] = f"""WITH RECURSIVE {FPR_SQL}
 SELECT method, idx AS selected_index, param, round(fpr, 6) AS fpr FROM (SELECT *, row_number() OVER (PARTITION BY method
-  ORDER BY CASE WHEN fpr <= 0.05 THEN 0 ELSE 1 END, CASE WHEN fpr <= 0.05 THEN 0 ELSE fpr END, idx) AS r FROM cand) WHERE r = 1""")
+  ORDER BY CASE WHEN fpr <= 0.05 THEN 0 ELSE 1 END, CASE WHEN fpr <= 0.05 THEN 0 ELSE fpr END, idx) AS r FROM cand) WHERE r = 1"""
+
+
+@query("config_fpr_select")
 def config_fpr_select(spark, sf):
     return sig.pick_by_fpr(calibration_rows(Pools(spark, sf)), 0.05).withColumn("fpr", F.round("fpr", 6))
 
@@ -420,19 +448,20 @@ psig AS (SELECT ratio, window_id, n_clean, slot + 1 AS pos, (coalesce(cp.level,
 pw AS ({stacked('pw')})"""
 
 
-@query("config_power_select", f"""WITH RECURSIVE {POWER_SQL},
+FOLDED_SQL["config_power_select"] = f"""WITH RECURSIVE {POWER_SQL},
 r AS (SELECT method, idx, power, fpr, fpr <= 0.5 AS ok, row_number() OVER (PARTITION BY method ORDER BY fpr <= 0.5 DESC, power DESC, fpr DESC, idx) AS k FROM cand JOIN pw USING (method, idx))
 SELECT method, CASE WHEN ok THEN 'selected' ELSE 'not_calibratable' END AS status, CASE WHEN ok THEN idx END AS selected_index,
-  round(CASE WHEN ok THEN power END, 6) AS power, round(CASE WHEN ok THEN fpr END, 6) AS fpr FROM r WHERE k = 1""")
+  round(CASE WHEN ok THEN power END, 6) AS power, round(CASE WHEN ok THEN fpr END, 6) AS fpr FROM r WHERE k = 1"""
+
+
+@query("config_power_select")
 def config_power_select(spark, sf):
     """Per method the candidate with the highest validation power (mean over drift ratios) within the target rate."""
     p = Pools(spark, sf)
     plan = smp.window_plan(spark, p.c // 250, WSIZE, POWER_RATIOS, p.c, p.d, 6)
     windows, out = smp.materialize(plan, p.both(), ["ratio", "window_id", "n_clean", "n_drift"], ["level"]), None
-    for method in FOLDED:
-        name, _ = seq.GRIDS[method]
-        f = seq.fold(method, {**seq.GRID_BASE.get(method, {}), name: "param"})
-        hit = seq.onset_detection(f, events_of("clean_level"), events_of("drift_level"), "state")["delay"].isNotNull()
+    for method in seq.GRIDS:
+        hit = candidate(method)[1](events_of("clean_level"), events_of("drift_level")).isNotNull()
         part = windows.join(F.broadcast(warmed(p, method))).select("method", "idx", "ratio", hit.cast("double").alias("h"))  # grid rows
         out = part if out is None else out.unionByName(part)
     power = out.groupBy("method", "idx", "ratio").agg(F.avg("h").alias("h")).groupBy("method", "idx").agg(F.avg("h").alias("power"))
