@@ -29,8 +29,10 @@ def packed(spark, horizon):
     return ops.segments(spark.createDataFrame(rows, "key string, rn long, x double"), ["key"], F.col("x"), horizon)
 
 
+@pytest.mark.parametrize("long", [0, 256])
 @pytest.mark.parametrize("method,params", CASES)
-def test_long_keys_are_unbroken_traces(spark, method, params):
+def test_long_keys_are_unbroken_traces(spark, monkeypatch, method, params, long):
+    monkeypatch.setattr(chains, "LONG", long)
     chain = chains.chained(packed(spark, 500), ["key"], method, params).collect()
     p = seq.settings(method, params)
     for key, xs in streams().items():
@@ -56,6 +58,7 @@ def test_a_key_without_resets_takes_one_round(spark, monkeypatch):
 
 def test_blocks_of_segments_are_composed(spark, monkeypatch):
     monkeypatch.setattr(chains, "BLOCK", 3)
+    monkeypatch.setattr(chains, "LONG", 0)
     for method, params in (("hddm_w", {"conf": 0.01}), ("adwin", {"delta": 0.3})):
         got = chains.chained_alarms(packed(spark, 400), ["key"], method, params, 400).collect()
         for key, xs in streams().items():

@@ -4,7 +4,7 @@ A stream of any length is cut into segments (keys, seg, xs). Where no alarm fall
 that compose (``blocks.PARTS``), so the state at the start of every segment of a key comes from one scan over small elements, part by
 part of the state. An alarm resets the state, so a segment with an alarm hands on the state it ends in, whatever came before.
 
-Every round scans for the states at all starts, runs the segments from them, and compares what they did with what the scan took
+Keys of fewer than LONG segments are read through by one task, a segment at a time. For longer ones, every round scans for the states at all starts, runs the segments from them, and compares what they did with what the scan took
 for granted: at first that no segment alarms. The segments up to the first one that behaved otherwise are settled; the later ones of that
 key go into the next round. A key that never resets is settled in the first round, and one with resets after about
 as many as it has stretches between segments that change their minds. The values stay where they are: rounds join small rows to them.
@@ -24,6 +24,7 @@ from tidegauge.core.session import cut_lineage, kept
 from tidegauge.functions import blocks as bl
 from tidegauge.functions import sequential as seq
 
+LONG = 256  # segments of a key that one task runs through in a row; keys beyond are run segment by segment side by side
 BLOCK = 4096  # segments of a key that one task scans in a row; more are first composed block by block
 PART_FIELDS = {"ddm": [2, 5], "eddm": [5, 6], "hddm_w": [3, 6, 9], "page_hinkley": [2, 4, 6]}  # end of each part in a state
 
@@ -121,7 +122,7 @@ def _begins(live: DataFrame, sure: DataFrame, heads: DataFrame, most: int, metho
     rows, lo = live, 0
     for part, hi in enumerate(ends):
         items = rows.select("_k", "seg", "param", _elements(rows, part, method, params, varied).alias("e")).join(sure, ["_k", "seg"], "left")
-        got = _scan(items.unionByName(heads, allowMissingColumns=True), part, most, method, params, varied)
+        got = kept(_scan(items.unionByName(heads, allowMissingColumns=True), part, most, method, params, varied))
         if method in bl.WINDOWED:
             state = F.col("at_start")
         else:  # earlier parts as found, this one as scanned, later ones as after a reset
@@ -132,21 +133,54 @@ def _begins(live: DataFrame, sure: DataFrame, heads: DataFrame, most: int, metho
     return rows
 
 
+def _in_a_row(held: DataFrame, method: str, params: dict[str, Any] | None, varied: str | None) -> DataFrame:
+    """(_k, seg, at, state) of keys of a bounded number of segments: read one after the other, one segment in memory at a time."""
+    given = _params(method, params, varied)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, state = None, None
+        for pdf in batches:
+            out = []
+            for k, v, xs in zip(pdf["_k"], pdf["param"], pdf["xs"]):
+                if k != now:
+                    now, state = k, bl.start(method)
+                at, state = bl.trace(method, given(v), xs, state)
+                out.append((at, state))
+            yield pd.DataFrame({"_k": pdf["_k"], "seg": pdf["seg"], "at": [x[0] for x in out], "state": [x[1] for x in out]})
+
+    return held.sortWithinPartitions("_k", "seg").mapInPandas(run, "_k string, seg bigint, at array<int>, state array<double>")
+
+
 def chained(packed: DataFrame, keys: Sequence[str], method: str, params: dict[str, Any] | None = None, varied: str | None = None) -> DataFrame:
     """Rows (keys, seg, at, state) of unbroken runs over segments (keys, seg, xs): alarm positions inside each segment and the state behind it.
 
     With ``varied``, the column ``param`` (one of the keys) holds the value of that parameter.
     """
     rows = cut_lineage(packed)
-    if rows.where("seg > 0").isEmpty():
+    most = rows.agg(F.max("seg")).first()[0] or 0
+    if most == 0:
         return segment_runs(rows, method, params, varied).select(*keys, "seg", "run.at", "run.state")
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     named = F.to_json(F.struct(*[F.col(k) for k in keys]), {"ignoreNullFields": "false"}) if keys else F.lit("{}")
     value = F.col("param").cast("double") if varied else F.lit(0.0)
-    # kept by (_k, seg): the joins of the rounds bring small rows to the values
-    held = cut_lineage(rows.select(named.alias("_k"), F.col("seg").cast("long").alias("seg"), value.alias("param"), "xs").repartition(n, "_k", "seg"))
-    most = held.agg(F.max("seg")).first()[0]
-    spark = rows.sparkSession
+    named_rows = rows.select(named.alias("_k"), F.col("seg").cast("long").alias("seg"), value.alias("param"), "xs")
+    if most < LONG:
+        short, settled = named_rows, None
+    else:
+        long = kept(named_rows.groupBy("_k").agg(F.max("seg").alias("_last")).where(F.col("_last") >= LONG).select("_k"))
+        short = named_rows.join(long, "_k", "left_anti")
+        settled = _side_by_side(named_rows.join(long, "_k", "left_semi"), most, method, params, varied)
+    through = _in_a_row(short.repartition(n, "_k"), method, params, varied)
+    settled = through if settled is None else settled.unionByName(through)
+    back = rows.select(*keys, F.col("seg").cast("long").alias("seg"), named.alias("_k"))
+    return back.join(settled, ["_k", "seg"]).select(*keys, "seg", "at", "state")
+
+
+def _side_by_side(long: DataFrame, most: int, method: str, params: dict[str, Any] | None, varied: str | None) -> DataFrame:
+    """(_k, seg, at, state) of keys of any length: rounds of scans and runs until nothing is taken for granted any more."""
+    spark = long.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    held = cut_lineage(long.repartition(n, "_k", "seg"))  # kept by (_k, seg): the joins of the rounds bring small rows to the values
     known = spark.createDataFrame([], "_k string, seg bigint, state array<double>, alarmed boolean")
     heads = spark.createDataFrame([], "_k string, seg bigint, param double, c array<double>")
     live, settled = held, None
@@ -166,8 +200,7 @@ def chained(packed: DataFrame, keys: Sequence[str], method: str, params: dict[st
         live = held.join(first, "_k").where("seg > first").drop("first")
         heads = met.where("seg = first").select("_k", "seg", "param", F.col("state").alias("c"))
         known = met.where("seg > first").select("_k", "seg", "state", "alarmed")
-    back = rows.select(*keys, F.col("seg").cast("long").alias("seg"), named.alias("_k"))
-    return back.join(settled, ["_k", "seg"]).select(*keys, "seg", "at", "state")
+    return settled
 
 
 def end_state(chain: DataFrame, keys: Sequence[str]) -> DataFrame:
