@@ -137,3 +137,22 @@ def test_short_texts_lose_no_pair(spark):
     df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
     for chunk in (256, 2):
         assert {r["doc_id"]: r["class_id"] for r in om.near_classes(df, chunk=chunk).collect()} == want
+
+
+def ids_of(df):
+    return sorted((r["doc_id"], r["text"]) for r in df.collect())
+
+
+def test_every_text_of_a_repeated_id_is_searched(spark):
+    t = " ".join(f"w{i}" for i in range(60))
+    near, changed, unlike = t + " x", t.replace("w0 ", "other "), "a b c d e f g h i j k l m n o"
+    frame = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
+    linked = frame([(1, t), (2, near), (2, unlike), (3, unlike + " p q r s"), (4, "quite another text of a few words")])
+    assert {r["doc_id"]: (r["class_id"], r["copies"]) for r in om.near_classes(linked).collect()} == {1: (1, 2), 2: (1, 2), 3: (3, 1), 4: (4, 1)}
+    both = frame([(1, t), (2, near), (2, unlike), (3, unlike)])
+    assert {r["doc_id"]: (r["class_id"], r["copies"]) for r in om.near_classes(both).collect()} == {1: (1, 3), 2: (1, 3), 3: (1, 3)}
+    assert ids_of(om.keep_first(frame([(1, t), (2, changed), (2, unlike)]))) == [(1, t), (2, unlike)]  # only the copy goes
+    assert ids_of(om.keep_first(frame([(2, near), (2, unlike), (2, t), (2, ""), (2, unlike)]))) in (
+        [(2, ""), (2, unlike), (2, unlike), (2, x)] for x in (t, near))
+    two = frame([(5, t), (5, unlike), (6, near), (6, unlike)])
+    assert ids_of(om.keep_first(two)) == [(5, unlike), (5, t)]

@@ -18,9 +18,10 @@ of one key are still apart after that, texts from different components are compa
 dropped for the size of a group.
 
 Defined results: a text with fewer than five words is one shingle; a text without any word (null, empty, blank, symbols only)
-is compared with nothing and forms its own class; rows that repeat a doc_id count as one document (one of its texts is searched, any of
-them may confirm a pair), and a null doc_id
-as one document, too; an empty table gives an empty result; other columns are not read.
+is compared with nothing and forms its own class; every text of a repeated doc_id is searched, and the id stands in the union of
+their classes; a null doc_id is one document that is no copy of another; an empty table gives an empty result; other columns are not
+read. Where documents are filtered, a row goes only if its own text has an earlier copy: of a class of texts the rows with the least
+doc_id stay (of one id with several such texts, one text), rows that repeat the same id and text stay together, and rows without words or without doc_id stay.
 """
 
 from __future__ import annotations
@@ -29,10 +30,13 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from tidegauge.core.session import kept
 from tidegauge.llm import words
 from tidegauge.llm.components import components
 from tidegauge.llm.tables import stored
@@ -104,6 +108,12 @@ def keys_of(seq: np.ndarray, least: float = SIMILAR) -> np.ndarray:
     return np.unique(np.concatenate([prefix(seq, least), sketch(seq)]))
 
 
+def _fingerprint(tokens: np.ndarray) -> tuple[int, int]:
+    place = np.arange(1, len(tokens) + 1, dtype=np.uint64)
+    high, low = (int(np.bitwise_xor.reduce(words.mix(tokens + place * np.uint64(odd), odd % 1000)).view(np.int64)) for odd in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93))
+    return high, low
+
+
 def _key_batches(least: float):
     """Fingerprint, number of shingles and keys of each text."""
 
@@ -119,9 +129,8 @@ def _key_batches(least: float):
                     if not len(t):
                         high.append(None), low.append(None), keys.append(None)
                         continue
-                    place = np.arange(1, len(t) + 1, dtype=np.uint64)
-                    for out, odd in ((high, 0x9E3779B97F4A7C15), (low, 0xD6E8FEB86659FD93)):
-                        out.append(int(np.bitwise_xor.reduce(words.mix(t + place * np.uint64(odd), odd % 1000)).view(np.int64)))
+                    for out, half in zip((high, low), _fingerprint(t)):
+                        out.append(half)
                     keys.append(keys_of(shingles(t), least))
                 yield pa.RecordBatch.from_arrays(
                     [part["doc_id"], pa.array(high, pa.int64()), pa.array(low, pa.int64()), pa.array(count, pa.int32()), pa.array(keys, pa.list_(pa.int64()))],
@@ -141,6 +150,25 @@ def _sequence_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
             yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(seqs, pa.binary())], ["doc", "seq"])
 
 
+def _printed_sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(high, low, seq): shingle sequences under the fingerprints of their texts."""
+    for batch in batches:
+        for lo, hi in words.slices(batch["text"]):
+            part = batch.slice(lo, hi - lo)
+            w = words.split(part["text"])
+            prints = [_fingerprint(w.text(i)) for i in range(part.num_rows)]
+            seqs = [(shingles(w.text(i)) >> np.uint64(32)).astype(np.uint32).tobytes() for i in range(part.num_rows)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([p[0] for p in prints], pa.int64()), pa.array([p[1] for p in prints], pa.int64()), pa.array(seqs, pa.binary())], ["high", "low", "seq"])
+
+
+@F.pandas_udf(T.StructType([T.StructField("high", T.LongType()), T.StructField("low", T.LongType())]))
+def text_print(texts: pd.Series) -> pd.DataFrame:
+    """Fingerprint of the word sequence of a text; null for a text without words."""
+    w = words.split(pa.Array.from_pandas(texts, type=pa.string()))
+    return pd.DataFrame([_fingerprint(w.text(i)) if len(w.text(i)) else (None, None) for i in range(len(texts))], columns=["high", "low"]).astype("Int64")
+
+
 def _read(seq: pa.Scalar) -> np.ndarray:
     return np.frombuffer(seq.as_py(), np.uint32).astype(np.uint64)
 
@@ -243,13 +271,21 @@ def _links(found: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.float64()))], ["a", "b", "similarity"])
 
 
-def near_classes(docs: DataFrame, least: float = SIMILAR, chunk: int = CHUNK) -> DataFrame:
-    """(doc_id, class_id, copies): the least doc_id of every document's class and the size of the class."""
+def _classes_of_texts(docs: DataFrame, least: float, chunk: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows (doc_id, high, low, root) of all unlike texts of all ids, where texts of one class have one root (null without words); the ids that
+    have several texts; and whether there are rows without id (at most one row)."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     kind = "doc_id bigint, high bigint, low bigint, n int, keys array<bigint>"
     made = stored(texts.mapInArrow(_key_batches(least), kind))
-    one = made.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(F.struct("high", "low", "n", "keys")).alias("s")).select("doc_id", "s.*")
-    first = stored(one.where("n > 0").groupBy("high", "low").agg(F.min(F.struct("doc_id", "n", "keys")).alias("s")).select("high", "low", F.col("s.doc_id").alias("doc"), "s.n", "s.keys"))
+    by_id = made.where("doc_id IS NOT NULL").groupBy("doc_id").agg(
+        F.min(F.struct("high", "low", "n", "keys")).alias("s"), F.min(F.struct("high", "low")).alias("x"), F.max(F.struct("high", "low")).alias("y"))
+    by_id = stored(by_id.select("doc_id", "s.*", (F.col("x") != F.col("y")).alias("several")))
+    several = kept(by_id.where("several").select("doc_id"))
+    others = made.join(several, "doc_id").dropDuplicates(["doc_id", "high", "low"]).select("doc_id", "high", "low", "n", "keys", F.lit(True).alias("several"))
+    every = by_id.where("NOT several").unionByName(others)
+    # A text is known by the least id that has no other text, else by a hash of its fingerprint.
+    named = every.where("n > 0").groupBy("high", "low").agg(F.min(F.when(~F.col("several"), F.col("doc_id"))).alias("least_id"), F.min(F.struct("n", "keys")).alias("s"))
+    first = stored(named.select("high", "low", F.coalesce("least_id", F.xxhash64("high", "low")).alias("doc"), "s.n", "s.keys", F.col("least_id").isNull().alias("hashed")))
     exploded = first.select("doc", "n", F.explode("keys").alias("key"))
     groups = exploded.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     member = stored(exploded.join(groups, "key").select("key", "size", "doc", "n"))
@@ -260,8 +296,12 @@ def near_classes(docs: DataFrame, least: float = SIMILAR, chunk: int = CHUNK) ->
     star = member.join(hubs, "key").where((F.col("doc") != F.col("hub")) & fit).select(F.least("doc", "hub").alias("a"), F.greatest("doc", "hub").alias("b")).distinct()
     star = stored(star)
     # One pass over the texts for all comparisons: only members of some group are cut into shingles again.
-    ids = member.select(F.col("doc").alias("doc_id")).distinct()
-    seqs = stored(texts.join(ids, "doc_id", "left_semi").mapInArrow(_sequence_batches, "doc bigint, seq binary"))
+    ids = member.select("doc").distinct()
+    plain = first.where("NOT hashed").select("doc").join(ids, "doc", "left_semi").withColumnRenamed("doc", "doc_id")
+    seqs = texts.join(plain, "doc_id", "left_semi").mapInArrow(_sequence_batches, "doc bigint, seq binary")
+    printed = texts.join(several, "doc_id", "left_semi").where("text IS NOT NULL").mapInArrow(_printed_sequences, "high bigint, low bigint, seq binary")
+    hashed = printed.dropDuplicates(["high", "low"]).join(first.where("hashed").select("high", "low", "doc"), ["high", "low"]).select("doc", "seq")
+    seqs = stored(seqs.unionByName(hashed.join(ids, "doc", "left_semi")))
     links = _verified(star, seqs, least)
     roots = stored(components(links))
     rooted = member.join(roots.withColumnRenamed("node", "doc"), "doc", "left").withColumn("root", F.coalesce("component", "doc"))
@@ -276,14 +316,37 @@ def near_classes(docs: DataFrame, least: float = SIMILAR, chunk: int = CHUNK) ->
     more = stored(blocks.mapInArrow(_block_batches(least), "a bigint, b bigint, similarity double"))
     final = components(links.select("a", "b").unionByName(more.select("a", "b")))
     of_text = first.select("high", "low", "doc").join(final.withColumnRenamed("node", "doc"), "doc", "left").select("high", "low", F.coalesce("component", "doc").alias("root"))
-    own = one.alias("o").join(of_text.alias("t"), ["high", "low"], "left").select("doc_id", F.coalesce("root", "doc_id").alias("root"))
-    sizes = own.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("copies"))
-    found = own.join(sizes, "root").select("doc_id", "class_id", "copies")
-    nulls = made.where("doc_id IS NULL").limit(1).select(F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("class_id"), F.lit(1).cast("long").alias("copies"))
-    return found.unionByName(nulls)
+    own = every.alias("o").join(of_text.alias("t"), ["high", "low"], "left").select("doc_id", "high", "low", "root")
+    return own, several, made.where("doc_id IS NULL").limit(1)
+
+
+def near_classes(docs: DataFrame, least: float = SIMILAR, chunk: int = CHUNK) -> DataFrame:
+    """(doc_id, class_id, copies): the least doc_id of every document's class and the number of documents in it."""
+    own, several, nulls = _classes_of_texts(docs, least, chunk)
+    # the classes of the texts of one id are one: an id that has several joins their roots
+    spread = own.join(several, "doc_id").where("root IS NOT NULL")
+    met = spread.groupBy("doc_id").agg(F.min("root").alias("lo"))
+    joins = kept(spread.join(met, "doc_id").where("root <> lo").select(F.col("root").alias("a"), F.col("lo").alias("b")))
+    if not joins.isEmpty():
+        merged = components(joins).select(F.col("node").alias("root"), "component")
+        own = own.join(merged, "root", "left").withColumn("root", F.coalesce("component", "root")).drop("component")
+    rooted = own.groupBy("doc_id").agg(F.min("root").alias("root")).withColumn("alone", F.when(F.col("root").isNull(), F.col("doc_id")))
+    sizes = rooted.groupBy("root", "alone").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("copies"))
+    same = F.col("r.root").eqNullSafe(F.col("s.root")) & F.col("r.alone").eqNullSafe(F.col("s.alone"))
+    found = rooted.alias("r").join(sizes.alias("s"), same).select("r.doc_id", "s.class_id", "s.copies")
+    return found.unionByName(nulls.select(F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("class_id"), F.lit(1).cast("long").alias("copies")))
 
 
 def keep_first(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
-    """The documents that stand for their class, with all their columns; rows without doc_id stay."""
-    kept = near_classes(docs, least).where("doc_id = class_id").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").unionByName(docs.where("doc_id IS NULL")).select(*docs.columns)
+    """The rows that stand for the class of their text, with all their columns."""
+    own, several, _ = _classes_of_texts(docs, least, CHUNK)
+    heads = own.where("root IS NOT NULL").groupBy("root").agg(F.min(F.struct("doc_id", "high", "low")).alias("h")).select("h.*")
+    # ids with one text need no look at the text; the rows of the others are told apart by its fingerprint
+    stay = heads.join(several, "doc_id", "left_anti").select("doc_id").unionByName(own.where("root IS NULL").join(several, "doc_id", "left_anti").select("doc_id"))
+    single = docs.join(stay.select(F.col("doc_id").alias("_id")), F.col("doc_id").cast("long") == F.col("_id"), "left_semi")
+    many = docs.join(several.select(F.col("doc_id").alias("_id")), F.col("doc_id").cast("long") == F.col("_id"), "left_semi")
+    told = many.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), text_print("text").alias("p"))
+    of_heads = heads.join(several, "doc_id")
+    first = told.alias("t").join(of_heads.alias("h"), (F.col("t.doc_id") == F.col("h.doc_id")) & (F.col("t.p.high") == F.col("h.high")) & (F.col("t.p.low") == F.col("h.low")), "left_semi")
+    wordless = told.where("p.high IS NULL")
+    return single.unionByName(first.unionByName(wordless).select("row.*")).unionByName(docs.where("doc_id IS NULL")).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -116,19 +116,29 @@ def scan(docs: DataFrame, ledger: DataFrame | None = None, rules: Sequence[Rule]
 
 
 def redact(docs: DataFrame, found: DataFrame, mark: str = "[SECRET]") -> DataFrame:
-    """The documents with every finding replaced by ``mark`` (overlapping findings as one); n_chars follows the text."""
-    columns = docs.columns
-    spans = found.where(F.size("spans") > 0).select(F.col("path").alias("_path"), "blob", "spans").dropDuplicates(["_path", "blob"])
-    own = docs.withColumn("_blob", F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256))
-    joined = own.join(spans, own["doc_id"].eqNullSafe(spans["_path"]) & (own["_blob"] == spans["blob"]), "left")
+    """The documents with every finding replaced by ``mark`` (overlapping findings as one); n_chars follows the text.
+
+    All other columns stay as they are, whatever their names; a null text stays null; repeated rows are redacted each; a text of any length
+    is cut at its findings only.
+    """
+    spans = found.where(F.size("spans") > 0).select(F.col("path").alias("p"), F.col("blob").alias("b"), "spans").dropDuplicates(["p", "b"]).alias("f")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    blob = F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256).alias("blob")
+    own = docs.select(row, blob, F.col("doc_id").alias("id"), F.col("text").alias("text")).alias("o")
+    joined = own.join(spans, F.col("o.id").eqNullSafe(F.col("f.p")) & (F.col("o.blob") == F.col("f.b")), "left")
     # Fold the ordered spans: keep the text between them, write one mark for each run of overlapping spans.
-    fold = f"""aggregate(spans, struct(cast('' AS string) AS out, 0 AS at),
+    fold = f"""aggregate(f.spans, struct(cast('' AS string) AS out, 0 AS at),
         (a, x) -> CASE WHEN x.end <= a.at THEN a
                        WHEN x.start < a.at THEN struct(a.out AS out, x.end AS at)
-                       ELSE struct(concat(a.out, substring(text, a.at + 1, x.start - a.at), '{mark}') AS out, x.end AS at) END,
-        a -> concat(a.out, substring(text, a.at + 1)))"""
-    clean = F.when(F.col("spans").isNull(), F.col("text")).otherwise(F.expr(fold))
-    out = joined.select(*[clean.alias("text") if c == "text" else F.col(f"`{c}`") for c in [*columns, "spans"]])
-    if "n_chars" in columns:
-        out = out.withColumn("n_chars", F.when(F.col("spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
-    return out.select(*columns)
+                       ELSE struct(concat(a.out, substring(o.text, a.at + 1, x.start - a.at), '{mark}') AS out, x.end AS at) END,
+        a -> concat(a.out, substring(o.text, a.at + 1)))"""
+    clean = F.when(F.col("f.spans").isNull(), F.col("o.text")).otherwise(F.expr(fold))
+    told = joined.select(F.col("o.row").alias("row"), clean.alias("text"), F.col("f.spans").isNull().alias("whole"))
+
+    def column(c: str) -> F.Column:
+        old = F.col("row").getField(c)
+        if c == "text":
+            return F.col("text")
+        return F.when(F.col("whole"), old).otherwise(F.length("text").cast(docs.schema[c].dataType)).alias(c) if c == "n_chars" else old.alias(c)
+
+    return told.select(*[column(c) for c in docs.columns])
