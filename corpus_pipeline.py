@@ -1,12 +1,15 @@
 """The corpus pipeline: five stages over ``documents``, each written as Parquet and read again by the next.
 
 1. toxicity: documents scored at 0.7 or more go.
-2. near copies: one document of each class stays, the one with the least id.
+2. near copies: one text of each class stays, the one with the least id; a row goes only if its own text has an earlier copy.
 3. decontamination: documents that hold half of a benchmark item or more go.
 4. secrets: every finding in the text is replaced by a mark; all documents stay.
 5. mixing: each document's part in the mix of sources; documents of which the mix takes no word go.
 
-A null text passes every filter and takes no word in the mix; a null doc_id is never the copy of another; an empty table stays empty.
+A null text passes every filter and takes no word in the mix; a null doc_id is never the copy of another; an empty table stays empty. Rows
+that repeat an id are judged each by its own text, rows that repeat id and text stay or go together. Texts of any length are read whole.
+Other columns come through all stages as they are; only in the last one do columns named size, source_size, target or taken give way to
+those of the mix. Ties are settled by the least doc_id, or in the mix by a digest of it.
 """
 
 from __future__ import annotations
