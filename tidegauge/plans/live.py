@@ -7,10 +7,9 @@ from pyspark.sql import functions as F
 from tidegauge.core.session import row_budget, table
 from tidegauge.operators import sampling as smp
 from tidegauge.operators import vectors as vec
-from tidegauge.plans import fold_sql as fs
-from tidegauge.plans.registry import query
+from tidegauge.plans.registry import TWINS, query
 from tidegauge.plans.samples import EMB_SQL, vector_pool
-from tidegauge.plans.streams import trace_twin
+from tidegauge.plans.streams import KSWIN, OPTWIN
 from tidegauge.plans.trials import LEVEL, SIG_SQL
 from tidegauge.plans.vectors import EPS, HALF, MODEL_SQL, STREAM_SQL, score_sql
 from tidegauge.streaming import live
@@ -22,11 +21,33 @@ def is_error():
     return F.col("event_type") == "error"
 
 
-@query("stream_detector", trace_twin(fs.ddm(10, "1.5")))
+METHODS = {  # settings and signal of each live method: those of its batch trace
+    "ddm": ({"warm": 10, "drift": 1.5}, "error"), "eddm": ({"warm": 4, "beta": 0.9}, "error"), "hddm_w": ({"conf": 0.1}, "error"),
+    "page_hinkley": ({"threshold": 50.0}, "value"), "adwin": ({"delta": 0.9, "clock": 4, "min_len": 5, "grace": 15, "step": 1}, "error"),
+    "kswin": (KSWIN, "value"), "optwin": (OPTWIN, "value"),
+}
+
+
+def live_alarms(spark, sf, method):
+    """Alarms of one method over the replayed events."""
+    params, signal = METHODS[method]
+    x = is_error().cast("double") if signal == "error" else F.col("value")
+    ev = table(spark, sf, "events", "user_id", "ts", "event_id", "event_type", "value")
+    build = lambda stream: live.detector_alarms(stream, "user_id", ["ts", "event_id"], x, method, params)
+    return live.run_replay(ev, "user_id", ["ts", "event_id"], build)[0].select("user_id", "at")
+
+
+@query("stream_detector", TWINS["alarm_trace"])
 def stream_detector(spark, sf):
-    ev = live.stream_ordered(table(spark, sf, "events", "user_id", "ts", "event_id", "event_type"), ["ts", "event_id"])
-    alarms = live.detector_alarms(ev, "user_id", ["ts", "event_id"], is_error().cast("double"), "ddm", {"warm": 10, "drift": 1.5})
-    return live.run_to_table(alarms, spark)[0].select("user_id", "at")
+    return live_alarms(spark, sf, "ddm")
+
+
+def _each_method() -> None:
+    for method, trace in (("eddm", "eddm_trace"), ("hddm_w", "hddm_w"), ("page_hinkley", "page_hinkley"), ("adwin", "adwin"), ("kswin", "kswin"), ("optwin", None)):
+        query(f"stream_{method}", TWINS.get(trace))(lambda spark, sf, method=method: live_alarms(spark, sf, method))
+
+
+_each_method()
 
 
 @query("stream_window_score", f"""WITH {EMB_SQL},
@@ -44,9 +65,9 @@ def stream_window_score(spark, sf):
     pool = vector_pool(spark, sf).withColumn("A", F.slice(F.col("embedding").cast("array<double>"), 1, HALF))
     model = vec.fit_pca(pool.where("split = 'fit'"), "A", HALF, HALF)
     vs = table(spark, sf, "embeddings").select("label", "vec_id", F.slice(F.col("embedding").cast("array<double>"), 1, HALF).alias("A"))
-    vs = live.stream_ordered(vs, ["vec_id"], row_budget(spark, live.BATCH_KEY, max(1, VALUES // HALF)))
-    out = live.window_scores(vs, "label", "vec_id", "A", model, EPS, 20, 10)
-    return live.run_to_table(out, spark)[0].select("label", "endpoint", F.round("score", 6).alias("score"))
+    build = lambda stream: live.window_scores(stream, "label", "vec_id", "A", model, EPS, 20, 10)
+    out, _ = live.run_replay(vs, "label", ["vec_id"], build, row_budget(spark, live.BATCH_KEY, max(1, VALUES // HALF)))
+    return out.select("label", "endpoint", F.round("score", 6).alias("score"))
 
 
 @query("stream_error_rate", """SELECT date_trunc('day', ts) AS start, date_trunc('day', ts) + INTERVAL 1 DAY AS "end", count(*) AS n, sum((event_type = 'error')::INT) AS errors FROM events

@@ -184,10 +184,12 @@ def kswin(spark, sf):
     return whole_trace(spark, sf, "kswin", KSWIN, F.col("value"))
 
 
+OPTWIN = {"delta": 0.9, "min_len": 5, "clock": 1, "step": 1, "max_window": 100, "f_test": 0, "two_sided": 1}
+
+
 @query("optwin")
 def optwin(spark, sf):
-    params = {"delta": 0.9, "min_len": 5, "clock": 1, "step": 1, "max_window": 100, "f_test": 0, "two_sided": 1}
-    return whole_trace(spark, sf, "optwin", params, F.col("value"))
+    return whole_trace(spark, sf, "optwin", OPTWIN, F.col("value"))
 
 
 PHASED = f"""{NUMBERED},

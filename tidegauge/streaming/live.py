@@ -2,24 +2,24 @@
 
 Stateful operators keep a bounded state per key (detector fields, or block sums of the last window). Rows of a key are
 put in event order inside a micro-batch; the size of a batch is the source's own limit (files or offsets per trigger).
-A replay of a whole table goes through ``stream_ordered``: bounded files in event order, one per micro-batch.
+A replay of a whole table goes through ``run_replay``: slices in event order, one per micro-batch, each read by all tasks.
 """
 
 from __future__ import annotations
 
-import json
-import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tidegauge.core.session import row_budget, shared_dir
+from tidegauge.core.session import row_budget, scratch_path, shared_dir
+from tidegauge.functions import blocks as bl
 from tidegauge.functions import sequential as seq
 from tidegauge.operators.vectors import Pca
 
@@ -27,8 +27,8 @@ from tidegauge.operators.vectors import Pca
 def stream_parquet(spark: SparkSession, folder: str, name: str, bytes_per_trigger: int | None = None) -> DataFrame:
     """A parquet table (one file or a directory of part files) as a stream, with the schema of the files present.
 
-    Without ``bytes_per_trigger`` all files present form one micro-batch. Operators that need event order take a table from
-    ``stream_ordered`` instead; others may take it in smaller pieces.
+    Without ``bytes_per_trigger`` all files present form one micro-batch. Operators that need event order take a table by
+    ``run_replay`` instead; others may take it in smaller pieces.
     """
     path = f"{folder}/{name}.parquet"
     now = spark.read.parquet(path)
@@ -41,64 +41,116 @@ def stream_parquet(spark: SparkSession, folder: str, name: str, bytes_per_trigge
 
 
 BATCH_KEY, BATCH_ROWS = "spark.tidegauge.stream.batchRows", 500_000
-_FILE = re.compile(r"part-(\d+)-.*?(?:-c(\d+))?\.[^/]*parquet$")
+STORE_KEY, STORE = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def stream_ordered(rows: DataFrame, order: list[str], most: int | None = None) -> DataFrame:
-    """A table as a stream in event order: files of at most ``most`` rows in the shared folder, one per micro-batch.
+def run_replay(
+    rows: DataFrame, key: str, order: list[str], build: Callable[[DataFrame], DataFrame], most: int | None = None, folder: str | None = None
+) -> tuple[DataFrame, str]:
+    """A table run through a live operator in event order: slices of about ``most`` rows, one micro-batch each.
 
-    The rows are range-partitioned and sorted by ``order``. A file source reads in order of modification time, so the files
-    get times one second apart in the order of their rows. A key of any length reaches its operator ``most`` rows at a time.
+    The rows are cut into ranges of ``order`` once. Slice after slice is added to the folder that the stream watches, and the query goes on from
+    its progress until it has read it; so the order of slices needs no file times and holds in any store. Inside a slice the
+    files are split by the hash of the key: all tasks read at once, and only the rows of one key need to be in order, which the operator sees to.
     """
     spark = rows.sparkSession
     most = most or row_budget(spark, BATCH_KEY, BATCH_ROWS)
-    path = f"{shared_dir(spark)}/ordered-{uuid.uuid4().hex}"
+    base = folder or scratch_path(spark, "live")
     by = [F.col(c).asc_nulls_last() for c in order]
-    ranges = rows.repartitionByRange(max(1, -(-rows.count() // most)), *by)
-    ranges.sortWithinPartitions(*by).write.option("maxRecordsPerFile", most).parquet(path)
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    files = [(int(m[1]), int(m[2] or 0), f.getPath()) for f in fs.listStatus(at) if (m := _FILE.search(f.getPath().getName()))]
-    for i, (_, _, f) in enumerate(sorted(files, key=lambda x: x[:2])):
-        fs.setTimes(f, 1_700_000_000_000 + 1000 * i, -1)
-        if fs.getFileStatus(f).getModificationTime() != 1_700_000_000_000 + 1000 * i:
-            raise OSError(f"{path} is in a store that keeps no given file times; set spark.checkpoint.dir to one that does")
-    # no file is too old, however many there are
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).option("maxFileAge", "36500d").parquet(path)
+    count = max(1, -(-rows.count() // most))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if count > 1:
+        cut = rows.repartitionByRange(count, *by).withColumn("_slice", F.spark_partition_id())
+        cut.write.partitionBy("_slice").parquet(f"{base}/slices")
+        held = spark.read.schema(cut.schema).parquet(f"{base}/slices")
+    table = None
+    for i in range(count):
+        part = held.where(F.col("_slice") == i).drop("_slice") if count > 1 else rows
+        part.repartition(tasks, key).write.mode("append").parquet(f"{base}/feed")
+        table, _ = run_to_table(build(spark.readStream.schema(rows.schema).parquet(f"{base}/feed")), spark, base)
+    return table, base
+
+
+class DetectorState(StatefulProcessor):
+    """One detector per key. State: a value of the counters and the place of the newest row in its own types, and the numbers of the
+    detector - a value for a fold method, a list for a window method. With ``ttl`` milliseconds the state of a key that stays silent for so long goes."""
+
+    def __init__(self, method: str, params: seq.Params, kinds: list[str], ttl: int | None = None):
+        self.method, self.params, self.kinds, self.ttl = method, params, kinds, ttl
+        self.order = [f"p{i}" for i in range(len(kinds))]
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        places = ", ".join(f"p{i} {kind}" for i, kind in enumerate(self.kinds))
+        self.seen = handle.getValueState("seen", f"n bigint, alarms bigint, late bigint, read bigint, {places}", self.ttl)
+        if self.method in bl.WINDOWED:
+            self.window = handle.getListState("window", "x double", self.ttl)
+        else:
+            self.fields = handle.getValueState("fields", "numbers array<double>", self.ttl)
+
+    def _numbers(self, read: int) -> list[float]:
+        if self.method in bl.WINDOWED:
+            return [float(read), *(x[0] for x in self.window.get())]
+        return [float(x) for x in self.fields.get()[0]]
+
+    def _late(self, chunk: pd.DataFrame, place: tuple) -> int:
+        """Rows that stand before the newest place of earlier micro-batches, compared column by column."""
+        before, same = np.zeros(len(chunk), bool), np.ones(len(chunk), bool)
+        for name, last in zip(self.order, place):
+            if last is None:
+                break
+            values = chunk[name]
+            last = pd.Timestamp(last) if pd.api.types.is_datetime64_any_dtype(values) else last
+            if isinstance(last, pd.Timestamp) and values.dt.tz is not None and last.tz is None:
+                last = last.tz_localize(values.dt.tz)
+            before |= same & (values < last).to_numpy()
+            same &= (values == last).to_numpy()
+        return int(before.sum())
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timer) -> Iterator[pd.DataFrame]:
+        chunk = pd.concat(list(rows)).sort_values(self.order)
+        n, alarms, late, state, place = 0, 0, 0, None, None
+        if self.seen.exists():
+            n, alarms, late, read, *place = self.seen.get()
+            late += self._late(chunk, tuple(place))
+            state = self._numbers(read)
+        at, state = bl.trace(self.method, self.params, chunk["x"].to_numpy(np.float64), state)
+        newest = [_plain(v) for v in chunk[self.order].iloc[-1]]
+        if place and late and self._late(chunk.iloc[[-1]], tuple(place)):
+            newest = place
+        self.seen.update((n + len(chunk), alarms + len(at), late, int(state[0]), *newest))
+        if self.method in bl.WINDOWED:
+            self.window.put([(float(x),) for x in state[1:]]) if len(state) > 1 else self.window.clear()
+        else:
+            self.fields.update(([float(x) for x in state],))
+        if at:
+            yield pd.DataFrame({"key": [key[0]] * len(at), "at": [n + a for a in at], "alarm_no": range(alarms + 1, alarms + len(at) + 1), "late": late})
+
+    def close(self) -> None:
+        pass
+
+
+def _plain(value):
+    if pd.isna(value):
+        return None
+    return value.to_pydatetime() if isinstance(value, pd.Timestamp) else value.item() if hasattr(value, "item") else value
 
 
 def detector_alarms(
-    events: DataFrame, key: str, order: list[str], value: Column, method: str, params: seq.Params | None = None
+    events: DataFrame, key: str, order: list[str], value: Column, method: str, params: seq.Params | None = None, ttl: int | None = None
 ) -> DataFrame:
-    """Alarm rows (key, at, alarm_no, late): position of each alarm in the key's stream, reset after each.
+    """Alarm rows (key, at, alarm_no, late) of any of the seven methods: position of each alarm in the key's stream, reset after each.
 
-    Rows are read in event order inside a micro-batch. Rows that come after a later row of an earlier micro-batch are read
-    when they come; ``late`` counts those so far, so a reordered input cannot pass for an ordered one.
+    Rows are read in event order inside a micro-batch, all of a key's rows at once. Rows that come after a later row of an earlier micro-batch are read
+    when they come; ``late`` counts those so far, so a reordered input cannot pass for an ordered one. ``ttl`` (milliseconds) is for streams that
+    run on: a bounded run of it needs ``spark.sql.streaming.noDataMicroBatches.enabled`` off, else batches without data never end.
     """
-    p = seq.py_params(method, params)
-    rows = events.select(key, *order, F.struct(*order).cast("string").alias("_at"), value.cast("double").alias("_x"))
-    key_type = rows.schema[key].dataType.simpleString()
-
-    def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        n, alarms, late, last, text = state.get if state.exists else (0, 0, 0, "", "")
-        s = json.loads(text) if text else seq.py_start(method)
-        chunk = pd.concat(list(batches)).sort_values(order)
-        late += int((chunk["_at"] < last).sum()) if last else 0
-        hits = []
-        for x in chunk["_x"].to_numpy():
-            n += 1
-            if seq.py_step(method, p, s, x):
-                alarms += 1
-                hits.append((k[0], n, alarms, late))
-                s = seq.py_start(method)
-        state.update((n, alarms, late, max(last, chunk["_at"].iloc[-1]), json.dumps(s)))
-        if hits:
-            yield pd.DataFrame(hits, columns=[key, "at", "alarm_no", "late"])
-
-    return rows.groupBy(key).applyInPandasWithState(
-        step, f"{key} {key_type}, at bigint, alarm_no bigint, late bigint", "n bigint, alarms bigint, late bigint, last string, state string", "append",
-        GroupStateTimeout.NoTimeout,
-    )
+    events.sparkSession.conf.set(STORE_KEY, STORE)  # the state store that typed states need
+    kinds = [events.schema[c].dataType.simpleString() for c in order]
+    rows = events.select(F.col(key).alias("key"), *[F.col(c).alias(f"p{i}") for i, c in enumerate(order)], value.cast("double").alias("x"))
+    out = f"key {events.schema[key].dataType.simpleString()}, at bigint, alarm_no bigint, late bigint"
+    processor = DetectorState(method, seq.settings(method, params), kinds, ttl)
+    alarms = rows.groupBy("key").transformWithStateInPandas(processor, out, "append", "processingTime" if ttl else "none")
+    return alarms.withColumnRenamed("key", key)
 
 
 def window_scores(
