@@ -21,6 +21,6 @@ def test_query(spark, duck, name):
         assert df.count() > 0
 
 
-def test_ten_operators_and_the_pipeline():
-    assert sorted(q.split("_")[0] for q in queries.QUERIES) == sorted([*(f"op{n}" for n in range(1, 11)), "pipeline"])
+def test_thirteen_operators_and_the_pipeline():
+    assert sorted(q.split("_")[0] for q in queries.QUERIES) == sorted([*(f"op{n}" for n in range(1, 14)), "pipeline"])
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near_copies", "decontamination", "secrets", "mixing"] and corpus_pipeline.ORACLE_SQL is None

@@ -49,7 +49,8 @@ def whole_vectors(rows: DataFrame, vector: str = "embedding") -> DataFrame:
     """The rows with ``x``, the whole-number form of the vector; rows without a usable vector drop out."""
     v = F.col(vector).cast("array<double>")
     fit = v.isNotNull() & (F.size(v) > 0) & F.forall(v, lambda c: c.isNotNull() & (F.abs(F.coalesce(c, F.lit(HUGE))) < HUGE) & ~F.isnan(c))
-    x = F.transform(v, lambda c: F.floor(c * F.lit(float(SCALE))) + F.lit(SHIFT).cast("long"))
+    # the bound stands in the expression, too: a filter may be pushed behind it
+    x = F.transform(v, lambda c: F.when(F.abs(c) < HUGE, F.floor(c * F.lit(float(SCALE))) + F.lit(SHIFT).cast("long")))
     return rows.where(fit).withColumn("x", x)
 
 
