@@ -36,10 +36,35 @@ def test_mmd_and_lsdd_direct():
     assert vec.lsdd_scorer(REF)(REF) == pytest.approx(0.0, abs=1e-9)
 
 
+def coded(ref, w):
+    """Rank codes of a window and the tie sums of the reference, from plain sorts."""
+    out, ties = [], []
+    for i in range(ref.shape[1]):
+        a, both = np.sort(ref[:, i]), np.unique(np.r_[ref[:, i], w[:, i]])
+        out.append((np.searchsorted(a, w[:, i], "right"), np.searchsorted(a, w[:, i], "left"), np.searchsorted(both, w[:, i])))
+        sizes = np.unique(a, return_counts=True)[1].astype(float)
+        ties.append((sizes * (sizes**2 - 1)).sum() / 12)
+    return np.hstack([np.column_stack([c[j] for c in out]) for j in range(3)]).astype(float), np.array(ties)
+
+
+def test_rank_codes_over_buckets(spark, tiny_buckets):
+    ref, win = np.round(RNG.normal(size=(300, 4)), 1), np.round(RNG.normal(size=(50, 4)), 1)
+    rows = [("fit", i, [float(x) for x in v[:3]], [float(v[3])]) for i, v in enumerate(ref)] + [("w", i, [float(x) for x in v[:3]], [float(v[3])]) for i, v in enumerate(win)]
+    df = spark.createDataFrame(rows, "split string, idx int, A array<double>, B array<double>")
+    got, ties = vec.rank_codes(df, df["split"] == "fit", {"A": 3, "B": 1}, ["split", "idx"])
+    picked = sorted(got.collect(), key=lambda r: r["idx"])
+    for stream, cols in (("A", slice(0, 3)), ("B", slice(3, 4))):
+        codes, sums = coded(ref[:, cols], win[:, cols])
+        d, mine = codes.shape[1] // 3, np.array([r[stream] for r in picked])
+        assert np.array_equal(mine[:, : 2 * d], codes[:, : 2 * d]) and np.allclose(ties[stream], sums)
+        assert all(np.array_equal(np.unique(mine[:, 2 * d + i], return_inverse=True)[1], np.unique(codes[:, 2 * d + i], return_inverse=True)[1]) for i in range(d))
+
+
 def test_ks_and_cvm_with_ties():
     a, b = np.round(REF, 1), np.round(WIN, 1)
     ks = max(max(abs((a[:, i] <= t).mean() - (b[:, i] <= t).mean()) for t in np.r_[a[:, i], b[:, i]]) for i in range(6))
-    assert vec.ks_scorer(a)(b) == pytest.approx(ks)
+    codes, ties = coded(a, b)
+    assert vec.ks_scorer(len(a))(codes) == pytest.approx(ks)
     best = -1.0
     for i in range(6):
         x, y = np.sort(a[:, i]), np.sort(b[:, i])
@@ -48,13 +73,16 @@ def test_ks_and_cvm_with_ties():
         n, m = len(x), len(y)
         u = n * ((rank[:n] - np.arange(1, n + 1)) ** 2).sum() + m * ((rank[n:] - np.arange(1, m + 1)) ** 2).sum()
         best = max(best, u / (n * m * (n + m)) - (4 * n * m - 1) / (6 * (n + m)))
-    assert vec.cvm_scorer(a)(b) == pytest.approx(best)
+    assert vec.cvm_scorer(len(a), ties)(codes) == pytest.approx(best)
 
 
 def test_row_order_does_not_matter():
     mixed = WIN[RNG.permutation(len(WIN))]
-    for scorer in (vec.mmd_scorer(REF), vec.ks_scorer(REF), vec.cvm_scorer(REF), vec.lsdd_scorer(REF)):
+    for scorer in (vec.mmd_scorer(REF), vec.lsdd_scorer(REF)):
         assert scorer(mixed) == pytest.approx(scorer(WIN), abs=1e-9)
+    codes, ties = coded(REF, WIN)
+    for scorer in (vec.ks_scorer(len(REF)), vec.cvm_scorer(len(REF), ties)):
+        assert scorer(codes[::-1]) == pytest.approx(scorer(codes), abs=1e-9)
 
 
 def test_pca_and_moments(spark):

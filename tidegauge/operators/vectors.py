@@ -6,6 +6,7 @@ d x d matrices and fixed-size reference samples reach the driver or a broadcast.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -14,11 +15,13 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidegauge.core.expr import ratio
-from tidegauge.core.scan import exact_quantiles
+from tidegauge.core.scan import exact_quantiles, prefix_scan
+from tidegauge.core.session import cut_lineage
 
-KERNEL_ROWS = 512  # size of the reference sample of the kernel and rank scorers
+KERNEL_ROWS = 512  # size of the reference sample of the kernel scorers
 MAX_DIM = 4096  # bound on d for the driver's d x d step
 
 
@@ -166,6 +169,36 @@ def window_distance(drawn: DataFrame, keys: Sequence[str], models: dict[str, Pca
     return together.mapInArrow(run, schema)
 
 
+def permuted_scores(drawn: DataFrame, keys: Sequence[str], slot: str, models: dict[str, Pca], eps: float, orders: int) -> DataFrame:
+    """Long table keys + (perm, stream, score): each window's vectors added up one by one in ``orders`` orders of their slots.
+
+    A window is gathered once (its size bounds the arrays); the orders are digests of (perm, window, slot), taken where the window lies.
+    """
+    streams = list(models)
+    names = {s: models[s] for s in streams}
+    window = keys[-1]
+
+    @F.pandas_udf(T.ArrayType(T.StructType([T.StructField("perm", T.IntegerType()), T.StructField("stream", T.StringType()), T.StructField("score", T.DoubleType())])))
+    def scored(ids: pd.Series, slots: pd.Series, *columns: pd.Series) -> pd.Series:
+        out = []
+        for row in zip(ids, slots, *columns):
+            vectors = [np.stack(list(c)).astype(np.float64) for c in row[2:]]
+            found = []
+            for perm in range(orders):
+                by = sorted(range(len(row[1])), key=lambda i: (hashlib.md5(f"{perm}:{row[0]}:{row[1][i]}".encode()).hexdigest(), row[1][i]))
+                for s, x in zip(streams, vectors):
+                    z = np.add.accumulate(x[by], axis=0)[-1] / len(by)  # one after the other, in this order
+                    found.append({"perm": perm, "stream": s, "score": float(np.sqrt(max((z * z / (names[s].variances + eps)).sum(), 0.0)))})
+            out.append(found)
+        return pd.Series(out)
+
+    packed = F.array_sort(F.collect_list(F.struct(F.col(slot).alias("slot"), *streams)))
+    arrays = drawn.groupBy(*keys).agg(packed.alias("_w"))
+    cols = [F.transform("_w", lambda r: r[s]) for s in streams]
+    one = arrays.select(*keys, F.explode(scored(F.col(window), F.transform("_w", lambda r: r["slot"]), *cols)).alias("p"))
+    return one.select(*keys, "p.perm", "p.stream", "p.score")
+
+
 def window_arrays(drawn: DataFrame, keys: Sequence[str], streams: Sequence[str]) -> DataFrame:
     """The window's vectors as one bounded array per stream (window size x d)."""
     return drawn.groupBy(*keys).agg(*[F.collect_list(s).alias(s) for s in streams])
@@ -200,39 +233,74 @@ def mmd_scorer(ref: np.ndarray):
     return score
 
 
-def ks_scorer(ref: np.ndarray):
-    order = np.sort(ref, axis=0)
+def rank_codes(rows: DataFrame, is_ref: Column, streams: dict[str, int], ids: Sequence[str]) -> tuple[DataFrame, dict[str, np.ndarray]]:
+    """Rows outside the reference with each value replaced by its place among the whole reference, and the reference's tie sums.
+
+    A stream of d values becomes an array of 3 d numbers: how many reference values of that dimension are at most the value, how many are
+    below it, and the number of the value among all distinct ones. Equal values are combined before the scan, which runs over all
+    dimensions side by side and cuts each one into buckets of values. The tie sums (d numbers a stream) are sum(t (t^2 - 1)) / 12
+    over groups of t equal reference values.
+    """
+    width = sum(streams.values())
+    long = rows.select(*ids, is_ref.alias("_ref"), F.posexplode(F.concat(*[F.col(s).cast("array<double>") for s in streams])).alias("_dim", "_q"))
+    counts = long.groupBy("_dim", "_q").agg(F.sum(F.col("_ref").cast("long")).alias("_m"))
+    ran = cut_lineage(prefix_scan(counts, ["_dim"], ["_q"], {"_le": ("sum", F.col("_m")), "_at": ("count", F.lit(1))}, axis=F.col("_q")))
+    place = F.struct(F.col("_dim"), F.col("_le").cast("double").alias("le"), (F.col("_le") - F.col("_m")).cast("double").alias("lt"), F.col("_at").cast("double").alias("at"))
+    coded = long.where("NOT _ref").join(ran, ["_dim", "_q"]).groupBy(*ids).agg(F.array_sort(F.collect_list(place)).alias("_p"))  # one entry a dimension
+    cols, lo = [], 1
+    for s, d in streams.items():
+        part = F.slice("_p", lo, d)
+        cols.append(F.concat(*[F.transform(part, lambda r: r[f]) for f in ("le", "lt", "at")]).alias(s))
+        lo += d
+    ties = {r["_dim"]: r["k"] for r in ran.groupBy("_dim").agg(F.sum(F.col("_m") * (F.col("_m") * F.col("_m") - 1) / 12.0).alias("k")).collect()}  # one row a dimension
+    every, out, lo = np.array([float(ties.get(i) or 0.0) for i in range(width)]), {}, 0
+    for s, d in streams.items():
+        out[s], lo = every[lo : lo + d], lo + d
+    return coded.select(*ids, *cols), out
+
+
+def _ranked(w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Places of a window's values in order, by dimension (columns), and the first and last position of each group of equal values."""
+    d = w.shape[1] // 3
+    by = np.argsort(w[:, 2 * d :], axis=0, kind="stable")
+    le, lt, at = (np.take_along_axis(w[:, i * d : (i + 1) * d], by, axis=0) for i in range(3))
+    n = len(w)
+    index = np.arange(n)[:, None]
+    new = np.vstack([np.ones((1, d), bool), at[1:] != at[:-1]])
+    end = np.vstack([new[1:], np.ones((1, d), bool)])
+    first = np.maximum.accumulate(np.where(new, index, 0), axis=0)
+    last = np.minimum.accumulate(np.where(end, index, n)[::-1], axis=0)[::-1]
+    return le, lt, first, last, new
+
+
+def ks_scorer(ref_rows: int):
+    """Largest distance of the two distribution functions over the dimensions, from rank codes: it is reached at a value of the window or just before one."""
 
     def score(w: np.ndarray) -> float:
-        best = 0.0
-        for i in range(w.shape[1]):
-            a, b = order[:, i], np.sort(w[:, i])
-            at = np.concatenate([a, b])
-            gap = np.searchsorted(a, at, "right") / a.size - np.searchsorted(b, at, "right") / b.size
-            best = max(best, float(np.abs(gap).max()))
-        return best
+        le, lt, first, last, _ = _ranked(w)
+        at, before = np.abs(le / ref_rows - (last + 1) / len(w)), np.abs(lt / ref_rows - first / len(w))
+        return float(max(at.max(), before.max()))
 
     return score
 
 
-def _mid_ranks(at: np.ndarray, pooled: np.ndarray) -> np.ndarray:
-    lo, hi = np.searchsorted(pooled, at, "left"), np.searchsorted(pooled, at, "right")
-    return (lo + hi + 1) / 2.0
+def cvm_scorer(ref_rows: int, ties: np.ndarray):
+    """Largest two-sample Cramer-von Mises statistic over the dimensions, by mid-ranks, from rank codes.
 
-
-def cvm_scorer(ref: np.ndarray):
-    order = np.sort(ref, axis=0)
+    A reference value with c window values below it, equal ones counted half, stands c places behind its own rank. So the reference's sum of
+    squares is a sum over the gaps and values of the window, plus the reference's own ties.
+    """
 
     def score(w: np.ndarray) -> float:
-        nx, ny = order.shape[0], w.shape[0]
-        best = -np.inf
-        for i in range(w.shape[1]):
-            a, b = order[:, i], np.sort(w[:, i])
-            pooled = np.sort(np.concatenate([a, b]))
-            u = nx * ((_mid_ranks(a, pooled) - np.arange(1, nx + 1)) ** 2).sum()
-            u += ny * ((_mid_ranks(b, pooled) - np.arange(1, ny + 1)) ** 2).sum()
-            best = max(best, u / (nx * ny * (nx + ny)) - (4.0 * nx * ny - 1.0) / (6.0 * (nx + ny)))
-        return float(best)
+        le, lt, first, last, new = _ranked(w)
+        nx, ny = ref_rows, len(w)
+        size, nth = last - first + 1, np.arange(ny)[:, None] - first + 1
+        own = (((lt + le) / 2 + (size + 1) / 2 - nth) ** 2).sum(axis=0)
+        gap = np.where(new, lt - np.vstack([np.zeros((1, le.shape[1])), le[:-1]]), 0.0) * first**2
+        same = np.where(new, le - lt, 0.0) * (first + size / 2) ** 2
+        ref = gap.sum(axis=0) + same.sum(axis=0) + (nx - le[-1]) * ny**2 + ties
+        u = nx * ref + ny * own
+        return float((u / (nx * ny * (nx + ny)) - (4.0 * nx * ny - 1.0) / (6.0 * (nx + ny))).max())
 
     return score
 

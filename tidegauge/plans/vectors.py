@@ -288,10 +288,19 @@ def window_mmd(spark, sf):
     return whole_window_scores(spark, sf, lambda s, st: vec.mmd_scorer(sample_of(s, st)))
 
 
+def rank_scores(spark, sf, make):
+    """Scores from ranks against all fit rows; ``make(fit rows, tie sums)`` builds the scorer of a stream."""
+    s = Setup(spark, sf)
+    coded, ties = vec.rank_codes(s.raw, F.col("split") == "fit", STREAMS, ["split", "idx"])
+    arrays = vec.window_arrays(s.drawn(pool=coded), WINDOW, list(STREAMS))
+    per = F.array(*[F.struct(F.lit(st).alias("stream"), vec.score_windows(F.col(st), make(s.sizes["fit"], ties[st])).alias("score")) for st in STREAMS])
+    return arrays.select(*WINDOW, F.explode(per).alias("p")).select(*WINDOW, "p.stream", F.round("p.score", 6).alias("score"))
+
+
 POOLED_SQL = f"""WITH {MIXED_SQL},
 {STREAM_SQL},
 {DRAWN_SQL},
-{KREF_SQL},
+kref AS (SELECT stream, idx, z FROM x WHERE split = 'fit'),
 wins AS (SELECT DISTINCT stream, ratio, window_id FROM drawn),
 pooled AS (SELECT stream, ratio, window_id, i, 1 AS is_w, z[i + 1] AS q FROM drawn, dims
   UNION ALL SELECT stream, ratio, window_id, i, 0, z[i + 1] FROM wins JOIN kref USING (stream), dims),
@@ -303,7 +312,7 @@ c AS (SELECT stream, ratio, window_id, i, sum(is_w) OVER w AS cw, sum(1 - is_w)
   WINDOW w AS (PARTITION BY stream, ratio, window_id, i ORDER BY q RANGE UNBOUNDED PRECEDING))
 SELECT ratio, window_id, stream, round(max(abs(cr / nx - cw / ny)), 6) AS score FROM c JOIN sz USING (stream, ratio, window_id, i) GROUP BY 1, 2, 3""")
 def window_ks(spark, sf):
-    return whole_window_scores(spark, sf, lambda s, st: vec.ks_scorer(sample_of(s, st)))
+    return rank_scores(spark, sf, lambda rows, ties: vec.ks_scorer(rows))
 
 
 @query("window_cvm", f"""{POOLED_SQL},
@@ -314,7 +323,7 @@ u AS (SELECT stream, ratio, window_id, i, sum(CASE WHEN is_w = 1 THEN (mid - own
 SELECT ratio, window_id, stream, round(max((nx * ux + ny * uy) / (nx * ny * (nx + ny)) - (4.0 * nx * ny - 1) / (6.0 * (nx + ny))), 6) AS score
 FROM u JOIN sz USING (stream, ratio, window_id, i) GROUP BY 1, 2, 3""")
 def window_cvm(spark, sf):
-    return whole_window_scores(spark, sf, lambda s, st: vec.cvm_scorer(sample_of(s, st)))
+    return rank_scores(spark, sf, vec.cvm_scorer)
 
 
 @query("window_lsdd")
@@ -394,21 +403,31 @@ def sink_model_tables(spark, sf):
     return comps.join(F.broadcast(limits), "stream")  # one row per stream
 
 
-@query("permutation_check", f"""WITH {FUSED_SQL}
-SELECT count(*) AS windows, 20 AS permutations, 0.0 AS max_span, 0::BIGINT AS disagreements FROM fused""")
+PERMUTED_SQL = f"""{SCORES_SQL},
+{CALSCORES_SQL},
+thr AS (SELECT stream, quantile_cont(score, {Q}) AS threshold FROM calscores GROUP BY 1),
+ordered AS (SELECT perm, ratio, window_id, stream, list(z ORDER BY md5(perm || ':' || window_id || ':' || slot), slot) AS zs
+  FROM drawn, (SELECT unnest(range(20)) AS perm) GROUP BY ALL),
+psum AS (SELECT perm, ratio, window_id, stream, len(zs) AS n, list_reduce(zs, lambda a, b: [a[t] + b[t] FOR t IN range(1, {HALF + 1})]) AS zt FROM ordered),
+pd AS (SELECT stream, perm, ratio, window_id, [zt[t + 1] / n - ml[t + 1] FOR t IN range({HALF})] AS d FROM psum JOIN mul USING (stream)),
+{score_sql('pd', 'perm, ratio, window_id', 'psc')},
+pf AS (SELECT perm, ratio, window_id, max(score / greatest(threshold, 1e-12)) AS m FROM psc JOIN thr USING (stream) GROUP BY 1, 2, 3),
+pspan AS (SELECT ratio, window_id, max(m) - min(m) AS span, count(DISTINCT m > 1) AS decisions FROM pf GROUP BY 1, 2)"""
+
+
+@query("permutation_check", f"""WITH {PERMUTED_SQL}
+SELECT count(*) AS windows, 20 AS permutations, round(max(span), 9) AS max_span, sum((decisions > 1)::INT)::BIGINT AS disagreements FROM pspan""")
 def permutation_check(spark, sf):
-    """Scores of 20 shuffled copies of each window; the window mean must not depend on the order."""
+    """Scores of each window added up in 20 shuffled orders; the window mean must not depend on the order."""
     s = Setup(spark, sf)
-    limits = s.limits()
-    copies = s.drawn().withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(19))))
-    copies = copies.repartition(*WINDOW, "perm").sortWithinPartitions(F.md5(F.concat_ws(":", "perm", "window_id", "slot")))
-    fused = vec.fuse(s.scores(copies, [*WINDOW, "perm"]), limits, [*WINDOW, "perm"])
+    orders = vec.permuted_scores(s.drawn(), WINDOW, "slot", s.models, EPS, 20)
+    fused = vec.fuse(orders, s.limits(), [*WINDOW, "perm"])
     spans = fused.groupBy(*WINDOW).agg(
         (F.max("max_norm") - F.min("max_norm")).alias("span"),
         F.countDistinct(F.col("max_norm") > 1).alias("decisions"),
     )
     return spans.agg(
-        F.count(F.lit(1)).alias("windows"), F.lit(20).alias("permutations"), F.round(F.max("span"), 6).alias("max_span"),
+        F.count(F.lit(1)).alias("windows"), F.lit(20).alias("permutations"), F.round(F.max("span"), 9).alias("max_span"),
         F.sum((F.col("decisions") > 1).cast("bigint")).alias("disagreements"),
     )
 
