@@ -14,11 +14,9 @@ those of the mix. Ties are settled by the least doc_id, or in the mix by a diges
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
-from tidegauge.core.session import shared_dir
+from tidegauge.core.session import scratch_path
 from tidegauge.llm import mixing, order_minhash, secret_ledger, tiling, toxicity
 from tidegauge.llm.tables import table
 
@@ -53,7 +51,7 @@ ORACLE_SQL = None  # scores, sketches and alignments have no SQL form; the tests
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of the last stage."""
-    folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    folder = scratch_path(spark, "pipeline")
     docs = table(spark, sf_dir, "documents")
     for n, (name, stage) in enumerate(STAGES):
         path = f"{folder}/{n}-{name}"

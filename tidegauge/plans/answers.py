@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidegauge.core.session import table
+from tidegauge.core.session import scratch_path, table
 from tidegauge.functions import answers as fn
 from tidegauge.operators import captions as cap
 from tidegauge.operators import signals as sig
 from tidegauge.plans.registry import query
+from tidegauge.sources import readers
 
 B0, B1 = r"(?:^|[^\p{L}\p{N}_])", r"(?:$|[^\p{L}\p{N}_])"
 
@@ -294,7 +295,7 @@ def duration_seconds(spark, sf):
 SELECT user_id, max_by(value, (ts, event_id)) FILTER (event_type = 'purchase') AS train_runtime, max_by(k / 10.0, (ts, event_id)) FILTER (event_type = 'signup') AS train_speed,
   coalesce(max(k) FILTER (event_type IN ('purchase', 'signup')), 0) + 0.5 AS peak_memory FROM l GROUP BY 1""")
 def metric_log_extract(spark, sf):
-    """Log lines with metric dictionaries (other lines are noise): last runtime and speed, largest memory per log."""
+    """Log files, one folder per user, with metric dictionaries among other lines: last runtime and speed, largest memory per log."""
     e = table(spark, sf, "events", "event_id", "ts", "user_id", "event_type", "value", "props")
     k = F.get_json_object("props", "$.k")
     line = (
@@ -302,17 +303,20 @@ def metric_log_extract(spark, sf):
         .when(F.col("event_type") == "signup", F.concat(F.lit(" {'train_speed(s/it)': "), (k.cast("int") / 10.0).cast("string"), F.lit(", 'memory(GiB)': "), k, F.lit(".5} ")))
         .otherwise(F.concat(F.lit("step "), k))
     )
-    text = F.trim(line)
-    kept = e.withColumn("t", F.when(text.startswith("{") & text.endswith("}"), text))
+    out = scratch_path(spark, "logs")
+    ordered = e.select("user_id", "ts", "event_id", line.alias("value")).repartition("user_id").sortWithinPartitions("user_id", "ts", "event_id")
+    ordered.select("user_id", "value").write.partitionBy("user_id").text(out)
+    logs = readers.numbered_lines(spark, out).withColumn("user_id", F.regexp_extract("file", r"/user_id=(-?[0-9]+)/", 1).cast("long"))
+    text = F.trim("value")
+    kept = logs.withColumn("t", F.when(text.startswith("{") & text.endswith("}"), text))
 
     def metric(name):
         return F.regexp_extract("t", rf"'{name}': ([-0-9.eE]+)", 1).try_cast("double")
 
-    at = F.struct("ts", "event_id")
-    m = kept.select("user_id", at.alias("at"), metric("train_runtime").alias("run"), metric(r"train_speed\(s/it\)").alias("speed"), metric(r"memory\(GiB\)").alias("mem"))
+    m = kept.select("user_id", "line", metric("train_runtime").alias("run"), metric(r"train_speed\(s/it\)").alias("speed"), metric(r"memory\(GiB\)").alias("mem"))
     return m.groupBy("user_id").agg(
-        F.max_by("run", F.when(F.col("run").isNotNull(), F.col("at"))).alias("train_runtime"),
-        F.max_by("speed", F.when(F.col("speed").isNotNull(), F.col("at"))).alias("train_speed"),
+        F.max_by("run", F.when(F.col("run").isNotNull(), F.col("line"))).alias("train_runtime"),
+        F.max_by("speed", F.when(F.col("speed").isNotNull(), F.col("line"))).alias("train_speed"),
         F.coalesce(F.max("mem"), F.lit(0.5)).alias("peak_memory"),
     )
 

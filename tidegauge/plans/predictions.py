@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
 
 from pyspark.sql import functions as F
 
-from tidegauge.core.session import shared_dir, table
+from tidegauge.core.session import scratch_path, table
 from tidegauge.functions import answers as fn
 from tidegauge.operators import predictions as pr
 from tidegauge.operators import results as res
@@ -347,7 +346,7 @@ def image_pixel_filter(spark, sf):
 
 
 def scratch(spark, name) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    return scratch_path(spark, name)
 
 
 @query("scan_split_json", "SELECT doc_id::VARCHAR AS uid, (doc_id % 12)::INT AS task_id, CASE WHEN doc_id % 4 = 0 THEN 2 ELSE 1 END AS images, lang AS ground_truth FROM documents WHERE doc_id % 6 <> 0")
@@ -395,8 +394,12 @@ def scan_jsonl_tolerant(spark, sf):
 
 @query("scan_jsonl_last_wins", "SELECT o_custkey AS uid, arg_max(o_totalprice, (o_orderstatus <> 'P', o_orderkey)) AS loss, arg_max(o_orderstatus, (o_orderstatus <> 'P', o_orderkey)) = 'P' AS failed FROM orders GROUP BY 1")
 def scan_jsonl_last_wins(spark, sf):
-    o = table(spark, sf, "orders", F.col("o_custkey").alias("uid"), F.col("o_orderkey").alias("line"), F.col("o_totalprice").alias("loss"), (F.col("o_orderstatus") == "P").alias("failed"))
-    return res.last_wins(o, "uid", ~F.col("failed"), F.col("line")).select("uid", "loss", "failed")
+    """Loss rows appended to JSON-lines files, a uid always to the same one; of a uid's lines the last one that did not fail counts."""
+    out = scratch(spark, "losses")
+    o = table(spark, sf, "orders", F.col("o_custkey").alias("uid"), "o_orderkey", F.col("o_totalprice").alias("loss"), (F.col("o_orderstatus") == "P").alias("failed"))
+    o.repartition("uid").sortWithinPartitions("o_orderkey").select(F.to_json(F.struct("uid", "loss", "failed")).alias("value")).write.text(out)
+    rows, _ = readers.read_jsonl(spark, out, "uid bigint, loss double, failed boolean")
+    return res.last_wins(rows, "uid", ~F.col("failed"), F.col("line")).select("uid", "loss", "failed")
 
 
 @query("scan_csv_wide", "SELECT n_nationkey AS k, n_name AS name, NULL AS acct FROM nation UNION ALL SELECT s_suppkey, s_name, s_acctbal FROM supplier UNION ALL SELECT c_custkey, NULL, c_acctbal FROM customer")
@@ -489,7 +492,7 @@ def resume_antijoin(spark, sf):
 @query("sink_results", "SELECT l_returnflag, l_linestatus, count(*) AS n, sum(l_quantity) AS quantity FROM lineitem GROUP BY 1, 2")
 def sink_results(spark, sf):
     """A result table written partitioned to the shared folder and read back."""
-    out = f"{shared_dir(spark)}/results-{uuid.uuid4().hex}"
+    out = scratch(spark, "results")
     li = table(spark, sf, "lineitem", "l_returnflag", "l_linestatus", "l_quantity")
     sinks.write_results(li.groupBy("l_returnflag", "l_linestatus").agg(F.count(F.lit(1)).alias("n"), F.sum("l_quantity").alias("quantity")), out, by=["l_returnflag"])
     return spark.read.parquet(out).select("l_returnflag", "l_linestatus", "n", "quantity")

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegauge.core.session import cut_lineage, row_budget, table
+from tidegauge.core.session import cut_lineage, row_budget, scratch_path, table
 from tidegauge.functions import blocks as bl
 from tidegauge.functions import sequential as seq
 from tidegauge.operators import chains
@@ -372,11 +372,14 @@ def eval_ratio_traces(spark, sf):
 @query("constant_delay_rows", f"""WITH RECURSIVE {RATIO_SQL}
 SELECT ratio, max(n_drift)::INT AS contiguous_delay, {WSIZE} AS shuffled_delay, count(*) AS windows FROM res WHERE ratio > 0 GROUP BY 1""")
 def constant_delay_rows(spark, sf):
-    """A window detector decides at the window end: its delay is n_drift (contiguous tail) or the window size."""
-    p = Pools(spark, sf)
-    plan = smp.window_plan(spark, p.c // 250, WSIZE, RATIOS, p.c, p.d, 6).where("ratio > 0 AND slot = 0")
-    return plan.groupBy("ratio").agg(
-        F.max("n_drift").alias("contiguous_delay"), F.lit(WSIZE).alias("shuffled_delay"), F.count(F.lit(1)).alias("windows")
+    """Delays of a detector that decides at the window's end, from the stored results of its windows: n_drift behind a contiguous
+    tail, the whole window where the drift is shuffled in."""
+    out = scratch_path(spark, "runs")
+    ratio_results(spark, sf).write.json(out)
+    runs = spark.read.schema("ratio double, window_id bigint, n_clean int, n_drift int").json(out).where("ratio > 0")
+    size = (F.col("n_clean") + F.col("n_drift")).cast("int")
+    return runs.groupBy("ratio").agg(
+        F.max("n_drift").alias("contiguous_delay"), F.max(size).alias("shuffled_delay"), F.count(F.lit(1)).alias("windows")
     )
 
 

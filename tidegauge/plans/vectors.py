@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 import math
-import uuid
 
 from pyspark.sql import functions as F
 
 from tidegauge.core.scan import exact_quantiles, positions
-from tidegauge.core.session import cut_lineage, shared_dir, table
+from tidegauge.core.session import cut_lineage, scratch_path, table
 from tidegauge.operators import sampling as smp
 from tidegauge.operators import vectors as vec
 from tidegauge.operators.sequences import sliding_sums
@@ -396,7 +395,7 @@ SELECT cov.stream, count(*) FILTER (cov.i = cov.j) AS components, round(sum(c) F
 def sink_model_tables(spark, sf):
     """Fitted models and thresholds written to the shared folder and read back; the variances of all components add up to the trace."""
     s = Setup(spark, sf)
-    out = f"{shared_dir(spark)}/models-{uuid.uuid4().hex}"
+    out = scratch_path(spark, "models")
     sinks.write_models(spark, s.models, s.limits(), out)
     comps = spark.read.parquet(f"{out}/components").groupBy("stream").agg(F.count(F.lit(1)).alias("components"), F.round(F.sum("variance"), 5).alias("total_variance"))
     limits = spark.read.parquet(f"{out}/thresholds").select("stream", F.round("threshold", 6).alias("threshold"))

@@ -7,7 +7,6 @@ A replay of a whole table goes through ``run_replay``: slices in event order, on
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -18,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tidegauge.core.session import row_budget, scratch_path, shared_dir
+from tidegauge.core.session import row_budget, scratch_path
 from tidegauge.functions import blocks as bl
 from tidegauge.functions import sequential as seq
 from tidegauge.operators.vectors import Pca
@@ -207,7 +206,7 @@ def error_rate(
     Counts add up, so every micro-batch stores its own counts per window under its number (a repeated batch overwrites
     them) and the table of rates is their sum. No row is too late, the last window is there, and no state is kept.
     """
-    base = folder or f"{shared_dir(spark)}/live-{uuid.uuid4().hex}"
+    base = folder or scratch_path(spark, "live")
 
     def put(batch: DataFrame, number: int) -> None:
         error_counts(batch, time, error, length, slide).write.mode("overwrite").parquet(f"{base}/counts/batch={number}")
@@ -247,7 +246,7 @@ def unseen(events: DataFrame, uid: str, time: str | None = None, late: str | Non
 
 def run_to_table(stream: DataFrame, spark: SparkSession, folder: str | None = None) -> tuple[DataFrame, str]:
     """Process what is available into a parquet table with an exactly-once file sink; the same folder resumes."""
-    base = folder or f"{shared_dir(spark)}/live-{uuid.uuid4().hex}"
+    base = folder or scratch_path(spark, "live")
     q = (
         stream.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/progress")
         .outputMode("append").trigger(availableNow=True).start()
