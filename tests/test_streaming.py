@@ -171,8 +171,8 @@ def test_replays_come_in_ordered_slices_read_by_many_tasks(spark, tmp_path):
 def test_queries_replay_in_small_batches(spark, monkeypatch):
     from tidegauge.plans import live as plans
 
-    whole = {q: sorted(map(tuple, getattr(plans, q)(spark, SF).collect())) for q in ("stream_detector", "stream_window_score")}
-    n = spark.read.parquet(f"{SF}/events.parquet").count()
+    whole = {q: sorted(map(tuple, getattr(plans, q)(spark, SF).collect())) for q in ("stream_detector", "stream_window_score", "stream_fused_alarm")}
+    n = 170  # vectors and events of a slice
     sizes = []
     step = live.run_to_table
 
@@ -182,7 +182,7 @@ def test_queries_replay_in_small_batches(spark, monkeypatch):
         return table, base
 
     monkeypatch.setattr(live, "run_to_table", watched)
-    spark.conf.set(live.BATCH_KEY, str(n // 3))
+    spark.conf.set(live.BATCH_KEY, str(n))
     try:
         got = {q: sorted(map(tuple, getattr(plans, q)(spark, SF).collect())) for q in whole}
     finally:

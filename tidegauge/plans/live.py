@@ -11,7 +11,7 @@ from tidegauge.plans.registry import TWINS, query
 from tidegauge.plans.samples import EMB_SQL, vector_pool
 from tidegauge.plans.streams import KSWIN, OPTWIN
 from tidegauge.plans.trials import LEVEL, SIG_SQL
-from tidegauge.plans.vectors import EPS, HALF, MODEL_SQL, STREAM_SQL, score_sql
+from tidegauge.plans.vectors import CAL_ONLY_SQL, DIM, EPS, HALF, MODEL_SQL, Q, STREAM_SQL, Setup, score_sql
 from tidegauge.streaming import live
 
 VALUES = 8_000_000  # numbers in the vectors of one micro-batch
@@ -70,6 +70,35 @@ def stream_window_score(spark, sf):
     return out.select("label", "endpoint", F.round("score", 6).alias("score"))
 
 
+@query("stream_fused_alarm", f"""{CAL_ONLY_SQL},
+thr AS (SELECT stream, quantile_cont(score, {Q}) AS threshold FROM calscores GROUP BY 1),
+o AS (SELECT stream, label, z, row_number() OVER (PARTITION BY stream, label ORDER BY vec_id) AS rn FROM
+  (SELECT r.vec_id, r.label, st.stream, v[s * {HALF} + 1:s * {HALF} + {HALF}] AS z FROM ranked r, st)),
+ends AS (SELECT DISTINCT stream, label, rn AS endpoint FROM o WHERE rn >= 20 AND rn % 10 = 0),
+wz AS (SELECT e.stream, e.label, e.endpoint, i, avg(o.z[i + 1]) AS m FROM ends e JOIN o ON o.stream = e.stream AND o.label = e.label AND o.rn > e.endpoint - 20 AND o.rn <= e.endpoint, dims GROUP BY ALL),
+wd AS (SELECT wz.stream, label, endpoint, list(wz.m - mu.m ORDER BY i) AS d FROM wz JOIN mu USING (stream, i) GROUP BY ALL),
+{score_sql('wd', 'label, endpoint', 'sc')},
+nz AS (SELECT label, endpoint, score / greatest(threshold, 1e-12) AS norm FROM sc JOIN thr USING (stream))
+SELECT label, endpoint, round(max(norm), 6) AS max_norm, round(avg(norm), 6) AS mean_norm, sum((norm > 1)::INT)::BIGINT AS votes, max(norm) > 1 AS alarm FROM nz GROUP BY 1, 2""")
+def stream_fused_alarm(spark, sf):
+    """Both streams joined by uid as they come, scored in count windows per label and fused with the calibrated thresholds.
+
+    Event time is the id in seconds, far from the epoch: rows at or before it count as late from the start.
+    """
+    s = Setup(spark, sf)
+    limits = {r["stream"]: r["threshold"] for r in s.limits().collect()}  # one row per stream
+    v = F.col("embedding").cast("array<double>")
+    rows = table(spark, sf, "embeddings", "label", "vec_id", "embedding").select(
+        "label", "vec_id", F.timestamp_seconds(F.col("vec_id") + 1_000_000_000).alias("at"), F.slice(v, 1, HALF).alias("A"), F.slice(v, HALF + 1, HALF).alias("B"))
+
+    def build(stream):
+        both = live.joined_streams({"A": stream, "B": stream}, "vec_id", "at", ["label"], "60 SECONDS")
+        return live.fused_alarms(both, "label", "vec_id", s.models, limits, EPS, 20, 10)
+
+    out, _ = live.run_replay(rows, "label", ["vec_id"], build, row_budget(spark, live.BATCH_KEY, max(1, VALUES // DIM)))
+    return out.select("label", "endpoint", F.round("max_norm", 6).alias("max_norm"), F.round("mean_norm", 6).alias("mean_norm"), "votes", "alarm")
+
+
 @query("stream_error_rate", """SELECT date_trunc('day', ts) AS start, date_trunc('day', ts) + INTERVAL 1 DAY AS "end", count(*) AS n, sum((event_type = 'error')::INT) AS errors FROM events
 GROUP BY 1, 2""")
 def stream_error_rate(spark, sf):

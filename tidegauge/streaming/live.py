@@ -189,6 +189,82 @@ def window_scores(
     )
 
 
+def joined_streams(streams: dict[str, DataFrame], uid: str, time: str, carry: list[str], wait: str) -> DataFrame:
+    """Rows of several vector streams met by uid: (uid, time, carry, one column per stream).
+
+    Each side waits for the others for ``wait`` of event time, so what a join buffers is bounded by the rows of that span.
+    """
+    out = None
+    for name, df in streams.items():
+        one = df.select(F.col(uid).alias(f"_uid_{name}"), F.col(time).alias(f"_time_{name}"), name, *(carry if out is None else [])).withWatermark(f"_time_{name}", wait)
+        if out is None:
+            first, out = name, one
+            continue
+        near = F.expr(f"`_time_{name}` BETWEEN `_time_{first}` - INTERVAL {wait} AND `_time_{first}` + INTERVAL {wait}")
+        out = out.join(one, (F.col(f"_uid_{first}") == F.col(f"_uid_{name}")) & near)
+    return out.select(F.col(f"_uid_{first}").alias(uid), F.col(f"_time_{first}").alias(time), *carry, *streams)
+
+
+class FusedWindows(StatefulProcessor):
+    """Scores of the last ``size`` vectors of every stream at each ``stride``, divided by the streams' thresholds and fused.
+
+    State of a key: the rows read, and a list of block sums (size / stride of them) over the vectors of all streams side by side.
+    """
+
+    def __init__(self, models: dict[str, Pca], limits: dict[str, float], eps: float, size: int, stride: int):
+        if size % stride:
+            raise ValueError("the live form needs a stride that divides the window size")
+        self.size, self.stride = size, stride
+        self.parts, lo = [], 0
+        for name, m in models.items():
+            hi = lo + len(m.mean)
+            self.parts.append((name, lo, hi, m.mean, m.components.T.copy(), 1.0 / (m.variances + eps), max(limits[name], 1e-12)))
+            lo = hi
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.rows = handle.getValueState("rows", "n bigint")
+        self.sums = handle.getListState("sums", "block array<double>")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timer) -> Iterator[pd.DataFrame]:
+        chunk = pd.concat(list(rows)).sort_values("uid")
+        n, ring = 0, []
+        if self.rows.exists():
+            n, ring = int(self.rows.get()[0]), [np.asarray(x[0], dtype=np.float64) for x in self.sums.get()]
+        x = np.hstack([np.stack(list(chunk[name])).astype(np.float64) for name, *_ in self.parts])
+        cuts = np.arange(self.stride - n % self.stride, len(x), self.stride)
+        out = []
+        for block in np.split(x, cuts):
+            if not len(block):
+                continue
+            if n % self.stride == 0:
+                ring = [*ring[max(0, len(ring) - self.size // self.stride + 1) :], np.zeros(x.shape[1])]
+            ring[-1] = ring[-1] + block.sum(axis=0)
+            n += len(block)
+            if n >= self.size and n % self.stride == 0:
+                mean = np.sum(ring, axis=0) / self.size
+                norms = []
+                for _, lo, hi, centre, basis, inverse, limit in self.parts:
+                    z = (mean[lo:hi] - centre) @ basis
+                    norms.append(float(np.sqrt(max((z * z * inverse).sum(), 0.0))) / limit)
+                out.append((key[0], n, max(norms), float(np.mean(norms)), sum(v > 1 for v in norms), max(norms) > 1))
+        self.rows.update((n,))
+        self.sums.put([([float(v) for v in b],) for b in ring])
+        if out:
+            yield pd.DataFrame(out, columns=["key", "endpoint", "max_norm", "mean_norm", "votes", "alarm"])
+
+    def close(self) -> None:
+        pass
+
+
+def fused_alarms(rows: DataFrame, key: str, uid: str, models: dict[str, Pca], limits: dict[str, float], eps: float, size: int, stride: int) -> DataFrame:
+    """(key, endpoint, max_norm, mean_norm, votes, alarm) of joined streams; vectors of a key are read in the order of ``uid`` inside a micro-batch."""
+    rows.sparkSession.conf.set(STORE_KEY, STORE)
+    plain = rows.select(F.col(key).alias("key"), F.col(uid).alias("uid"), *models)
+    out = f"key {rows.schema[key].dataType.simpleString()}, endpoint bigint, max_norm double, mean_norm double, votes bigint, alarm boolean"
+    scored = plain.groupBy("key").transformWithStateInPandas(FusedWindows(models, limits, eps, size, stride), out, "append", "none")
+    return scored.withColumnRenamed("key", key)
+
+
 def error_counts(events: DataFrame, time: str, error: Column, length: str, slide: str | None = None) -> DataFrame:
     """Rows and errors per event-time window of a batch."""
     w = F.window(time, length, slide) if slide else F.window(time, length)
