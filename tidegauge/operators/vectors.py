@@ -84,6 +84,56 @@ def fit_pca(df: DataFrame, col: str, d: int, k: int) -> Pca:
     return Pca(mean, vectors[:, top].T.copy(), np.maximum(values[top], 0.0), n)
 
 
+def keyed_models(rows: DataFrame, key: str, col: str, d: int, k: int) -> DataFrame:
+    """(key, n, mean, basis, variances): a PCA of at most ``k`` components for every key in one aggregate.
+
+    Gram sums are added up by key in every task (keys are tasks or labels, so these are a few matrices), then by key and row; the
+    eigen step runs once per key on its d rows.
+    """
+    kind = rows.schema[key].dataType.simpleString()
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict = {}
+        for pdf in batches:
+            for value, part in pdf.groupby("key"):
+                x = np.stack(part["x"].to_numpy()).astype(np.float64)
+                n, s, g = sums.get(value, (0, np.zeros(d), np.zeros((d, d))))
+                sums[value] = (n + len(x), s + x.sum(axis=0), g + x.T @ x)
+        for value, (n, s, g) in sums.items():
+            yield pd.DataFrame({"key": [value] * d, "i": np.arange(d), "n": n, "s": s, "g": list(g)})
+
+    def model(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("i")
+        n, s, g = int(pdf["n"].iloc[0]), pdf["s"].to_numpy(), np.stack(pdf["g"].to_numpy())
+        cov = (g - np.outer(s, s) / n) / max(n - 1, 1)
+        values, vectors = np.linalg.eigh((cov + cov.T) / 2)
+        top = np.argsort(values)[::-1][: max(1, min(k, n, d))]
+        return pd.DataFrame({"key": [pdf["key"].iloc[0]], "n": [n], "mean": [s / n], "basis": [vectors[:, top].T.ravel()], "variances": [np.maximum(values[top], 0.0)]})
+
+    plain = rows.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col(col).cast("array<double>").alias("x"))
+    parts = plain.mapInPandas(partial, f"key {kind}, i int, n bigint, s double, g array<double>")
+    row = ", ".join(f"sum(g[{j}])" for j in range(d))
+    summed = parts.groupBy("key", "i").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.expr(f"array({row})").alias("g"))
+    made = summed.groupBy("key").applyInPandas(model, f"key {kind}, n bigint, mean array<double>, basis array<double>, variances array<double>")
+    return made.withColumnRenamed("key", key)
+
+
+def score_modes(windows: Column, mean: Column, basis: Column, variances: Column, eps: float) -> Column:
+    """Struct (mean_sample, p90_sample, window_mean) of windows of vectors, each under the model in its own row."""
+
+    @F.pandas_udf(T.StructType([T.StructField(m, T.DoubleType()) for m in ("mean_sample", "p90_sample", "window_mean")]))
+    def run(ws: pd.Series, centres: pd.Series, bases: pd.Series, spreads: pd.Series) -> pd.DataFrame:
+        out = []
+        for w, centre, b, v in zip(ws, centres, bases, spreads):
+            z = (np.stack(list(w)).astype(np.float64) - centre) @ np.asarray(b).reshape(len(v), -1).T
+            far = np.sqrt((z * z / (np.asarray(v) + eps)).sum(axis=1))
+            middle = z.mean(axis=0)
+            out.append((far.mean(), np.quantile(far, 0.9), np.sqrt((middle * middle / (np.asarray(v) + eps)).sum())))
+        return pd.DataFrame(out, columns=["mean_sample", "p90_sample", "window_mean"])
+
+    return run(windows, mean, basis, variances)
+
+
 def project(col: Column, model: Pca) -> Column:
     """Centred projection of an array column, one Arrow batch at a time."""
     mean, basis = model.mean, model.components.T.copy()

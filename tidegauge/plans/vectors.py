@@ -485,42 +485,69 @@ def score_linear_head(spark, sf):
     return out.withColumn("best_score", F.round("best_score", 6))
 
 
-@query("reference_drift_grid")
+GRID_EPS, GRID_SIZE = 1e-4, 20
+GRID_SHAPES = [(0.0, GRID_SIZE, 0), (0.5, GRID_SIZE // 2, GRID_SIZE // 2)]
+GRID_MODES = ("mean_sample", "p90_sample", "window_mean")
+GRID_MODEL_SQL = MODEL_SQL.replace("FROM x, dims WHERE split = 'fit'", "FROM gx, dims").replace(f"{EPS}::DOUBLE", f"{GRID_EPS}::DOUBLE")
+GRID_SQL = f"""WITH {EMB_SQL},
+{STREAM_SQL},
+gx AS (SELECT label AS stream, vec_id, z FROM x WHERE stream = 'A'),
+gp AS (SELECT stream AS label, vec_id, z, row_number() OVER (PARTITION BY stream ORDER BY md5('grid:' || vec_id), vec_id) - 1 AS idx FROM gx),
+gn AS (SELECT label, count(*) AS n FROM gp GROUP BY 1),
+{GRID_MODEL_SQL},
+shapes(ratio, n_clean, n_drift) AS (VALUES {", ".join(f"({r}::DOUBLE, {a}, {b})" for r, a, b in GRID_SHAPES)}),
+gw AS (SELECT r.label AS ref, r.n AS nr, d.label AS drift, d.n AS nd, ratio, n_clean, unnest(range(greatest(10, r.n // 2))) AS window_id
+    FROM gn r JOIN gn d ON r.label <> d.label, shapes
+  UNION ALL SELECT label, n, NULL, 0, -1.0, {GRID_SIZE}, unnest(range(greatest(10, n // 2))) FROM gn),
+gs AS (SELECT *, window_id + round(greatest(ratio, 0) * 1000)::BIGINT * 7 AS ww FROM gw, (SELECT unnest(range({GRID_SIZE})) AS slot)),
+gplan AS (SELECT ref, drift, ratio, window_id, CASE WHEN slot < n_clean THEN ref ELSE drift END AS label,
+  CASE WHEN drift IS NULL THEN {affine_sql('window_id', 'slot', 'nr', 0, 2)} WHEN slot < n_clean THEN {affine_sql('ww', 'slot', 'nr', 0, 0)}
+  ELSE {affine_sql('ww', 'slot - n_clean', 'greatest(nd, 1)', 0, 1)} END AS idx FROM gs),
+gv AS (SELECT ref, drift, ratio, window_id, vec_id, z FROM gplan JOIN gp USING (label, idx)),
+fd AS (SELECT ref AS stream, vec_id, [z[t + 1] - ml[t + 1] FOR t IN range({HALF})] AS d FROM (SELECT DISTINCT ref, vec_id, z FROM gv) JOIN mul ON mul.stream = ref),
+{score_sql('fd', 'vec_id', 'far')},
+gm AS (SELECT ref AS stream, drift, ratio, window_id, [list_avg([q[t + 1] FOR q IN zs]) - ml[t + 1] FOR t IN range({HALF})] AS d
+  FROM (SELECT ref, drift, ratio, window_id, list(z) AS zs FROM gv GROUP BY ALL) JOIN mul ON mul.stream = ref),
+{score_sql('gm', 'drift, ratio, window_id', 'mid')},
+long3 AS (SELECT stream AS ref, drift, ratio, 'window_mean' AS mode, score FROM mid
+  UNION ALL SELECT ref, drift, ratio, unnest(['mean_sample', 'p90_sample']), unnest([avg(score), quantile_cont(score, 0.9)])
+    FROM gv JOIN far ON far.stream = gv.ref AND far.vec_id = gv.vec_id GROUP BY ref, drift, ratio, window_id),
+gl AS (SELECT ref, mode, quantile_cont(score, 0.95) AS threshold FROM long3 WHERE drift IS NULL GROUP BY 1, 2)
+SELECT ref AS reference, drift, mode, round(avg(CASE WHEN ratio = 0 THEN (score > threshold)::INT END), 6) AS fpr,
+  round(avg(CASE WHEN ratio > 0 THEN (score > threshold)::INT END), 6) AS recall
+FROM long3 JOIN gl USING (ref, mode) WHERE drift IS NOT NULL GROUP BY 1, 2, 3"""
+
+
+@query("reference_drift_grid", GRID_SQL)
 def reference_drift_grid(spark, sf):
-    """Detection table over reference task x drift task x score mode: one fit per reference task, one scored pool.
+    """Detection table over every reference task x every other task x score mode, in one job.
 
-    Reference tasks are the labels 0-3; each is standardised and projected by its own model, calibrated on its own
-    windows and tested on windows that mix in each drift label.
+    Tasks are the labels. Each is projected by its own model (a row of the table of models), calibrated on its own windows and
+    tested on windows that mix in each other label.
     """
-    rows = cut_lineage(shifted(vector_splits(spark, sf)))
-    drifts = [4, 5, 6]
-    size, out = 20, None
-    for ref in (0, 1, 2, 3):
-        own = rows.where(F.col("label") == ref)
-        model = vec.fit_pca(own, "A", HALF, 8)
-        near = rows.where(F.col("label").isin(ref, *drifts)).select("vec_id", "label", vec.project(F.col("A"), model).alias("z"))
-        dist = cut_lineage(smp.pool_index(near, "vec_id", f"grid{ref}", ["label"]).withColumn("d", vec.array_norm(F.col("z"), model, 1e-4)))
-        sizes = {r["label"]: r["count"] for r in dist.groupBy("label").count().collect()}  # one row per task
-        windows = max(10, sizes[ref] // 2)
-        cal = smp.stationary_plan(spark, windows, size, sizes[ref]).withColumn("label", F.lit(ref))
-        plans = cal.withColumn("drift", F.lit(-1)).withColumn("ratio", F.lit(-1.0)).select("drift", "ratio", "window_id", "label", "pool_idx")
-        for dr in drifts:
-            mixed = smp.window_plan(spark, windows, size, [0.0, 0.5], sizes[ref], sizes[dr], dr)
-            label = F.when(F.col("source") == "clean", ref).otherwise(dr)
-            plans = plans.unionByName(mixed.select(F.lit(dr).alias("drift"), "ratio", "window_id", label.alias("label"), "pool_idx"))
-        drawn = plans.join(dist.select("label", F.col("idx").alias("pool_idx"), "d", "z"), ["label", "pool_idx"])
-        k = len(model.variances)
-        scored = drawn.groupBy("drift", "ratio", "window_id").agg(
-            F.avg("d").alias("mean_sample"), F.percentile("d", 0.9).alias("p90_sample"), *[F.expr(f"avg(z[{i}]) AS z_{i}") for i in range(k)]
-        )
-        scored = scored.withColumn("window_mean", vec.whitened_norm([f"z_{i}" for i in range(k)], model, 1e-4))
-        modes = F.array(*[F.struct(F.lit(m).alias("mode"), F.col(m).alias("score")) for m in ("mean_sample", "p90_sample", "window_mean")])
-        long = scored.select("drift", "ratio", F.explode(modes).alias("m")).select("drift", "ratio", "m.*")
-        limits = vec.thresholds(long.where("drift = -1"), ["mode"], 0.95, 3 * windows)
-        tested = long.where("drift >= 0").join(F.broadcast(limits), "mode")  # three rows
-        part = tested.groupBy("drift", "mode").agg(
-            F.avg(F.when(F.col("ratio") == 0, (F.col("score") > F.col("threshold")).cast("double"))).alias("fpr"),
-            F.avg(F.when(F.col("ratio") > 0, (F.col("score") > F.col("threshold")).cast("double"))).alias("recall"),
-        ).withColumn("reference", F.lit(ref))
-        out = part if out is None else out.unionByName(part)
+    rows = cut_lineage(shifted(vector_splits(spark, sf)).select("vec_id", "label", "A"))
+    models = vec.keyed_models(rows, "label", "A", HALF, HALF).withColumnRenamed("label", "reference")
+    sizes = [(r["label"], r["count"]) for r in rows.where("label IS NOT NULL").groupBy("label").count().collect()]  # one row per task
+    pairs = [(a, b, n, m, GRID_SHAPES) for a, n in sizes for b, m in sizes if a != b] + [(a, None, n, 0, [(-1.0, GRID_SIZE, 0)]) for a, n in sizes]
+    kind = rows.schema["label"].dataType.simpleString()
+    grid = spark.createDataFrame(pairs, f"reference {kind}, drift {kind}, nr bigint, nd bigint, shapes array<struct<ratio: double, n_clean: int, n_drift: int>>")
+    each = grid.withColumn("shape", F.explode("shapes")).select("reference", "drift", "nr", "nd", "shape.ratio", "shape.n_clean")
+    each = each.repartition(spark.sparkContext.defaultParallelism)
+    each = each.withColumn("window_id", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(10), F.floor(F.col("nr") / 2)) - 1)))
+    each = each.withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(GRID_SIZE - 1))))
+    clean, w = F.col("slot") < F.col("n_clean"), F.col("window_id") + F.round(F.greatest("ratio", F.lit(0.0)) * 1000).cast("bigint") * 7
+    at = F.when(F.col("drift").isNull(), smp.affine_index(F.col("window_id"), F.col("slot"), F.col("nr"), 0, 2)).when(
+        clean, smp.affine_index(w, F.col("slot"), F.col("nr"), 0, 0)
+    ).otherwise(smp.affine_index(w, F.col("slot") - F.col("n_clean"), F.greatest("nd", F.lit(1).cast("long")), 0, 1))
+    plan = each.select("reference", "drift", "ratio", "window_id", F.when(clean, F.col("reference")).otherwise(F.col("drift")).alias("label"), at.alias("pool_idx"))
+    pool = smp.pool_index(rows, "vec_id", "grid", ["label"]).select("label", F.col("idx").alias("pool_idx"), "A")
+    windows = plan.join(pool, ["label", "pool_idx"]).groupBy("reference", "drift", "ratio", "window_id").agg(F.collect_list("A").alias("vectors"))  # GRID_SIZE each
+    modes = vec.score_modes(F.col("vectors"), F.col("mean"), F.col("basis"), F.col("variances"), GRID_EPS)
+    scored = cut_lineage(windows.join(F.broadcast(models), "reference").select("reference", "drift", "ratio", modes.alias("m")))  # one model per task
+    long = scored.select("reference", "drift", "ratio", F.explode(F.array(*[F.struct(F.lit(m).alias("mode"), F.col(f"m.{m}").alias("score")) for m in GRID_MODES])).alias("s"))
+    long = long.select("reference", "drift", "ratio", "s.*")
+    limits = vec.thresholds(long.where("drift IS NULL"), ["reference", "mode"], 0.95)
+    tested = long.where("drift IS NOT NULL").join(F.broadcast(limits), ["reference", "mode"])  # three rows per task
+    hit = (F.col("score") > F.col("threshold")).cast("double")
+    out = tested.groupBy("reference", "drift", "mode").agg(F.avg(F.when(F.col("ratio") == 0, hit)).alias("fpr"), F.avg(F.when(F.col("ratio") > 0, hit)).alias("recall"))
     return out.select("reference", "drift", "mode", *r6("fpr", "recall"))
