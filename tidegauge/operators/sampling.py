@@ -1,7 +1,7 @@
-"""Deterministic sampling and splitting: digest order, affine window plans, stratified allocation.
+"""Deterministic sampling and splitting: digest order, keyed window plans, stratified allocation.
 
-Random streams are replaced by rules every engine can repeat: rows are ranked by a digest of their id, and a window
-draws ``(a*j + b) mod N`` with ``a`` a prime above N, so draws within a window are distinct while j < N.
+Random streams are replaced by rules every engine can repeat: rows are ranked by a digest of their id, and a window draws the
+first places of its own keyed permutation of the pool, so draws within a window are distinct while they last.
 """
 
 from __future__ import annotations
@@ -11,38 +11,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidegauge.core.expr import hex_int, lit_array
+from tidegauge.core.expr import hex_int, let, lit_array
 from tidegauge.core.scan import hash_positions, with_sizes
 
 
-def _is_prime(n: int) -> bool:
-    d, r = n - 1, 0
-    while d % 2 == 0:
-        d, r = d // 2, r + 1
-    for base in (2, 3, 5, 7, 11, 13, 17, 19, 23, 29, 31, 37):
-        x = pow(base, d, n)
-        if x in (1, n - 1):
-            continue
-        for _ in range(r - 1):
-            x = x * x % n
-            if x == n - 1:
-                break
-        else:
-            return False
-    return True
-
-
-def _primes_below(limit: int, count: int) -> list[int]:
-    found, n = [], limit - 1
-    while len(found) < count:
-        if _is_prime(n):
-            found.append(n)
-        n -= 2
-    return found
-
-
-PRIMES = _primes_below(2**40, 16)  # larger than any pool; slot * prime stays far inside BIGINT
-STEP_WINDOW, STEP_SEED, STEP_SOURCE = 2654435761, 40503, 65537  # fixed offsets between windows, seeds and pools
+ROUNDS = 16  # rounds of the keyed permutation
 
 
 def digest(uid: Column, seed: str = "", kind: str = "md5") -> Column:
@@ -68,11 +41,26 @@ def stable_mask(uid: Column, fraction: float) -> Column:
     return hex_int(F.substring(F.sha2(uid.cast("string"), 256), 1, 8)) % 10_000 < int(round(fraction * 10_000))
 
 
-def affine_index(window: Column, j: Column, pool_size: Column | int, seed: int = 0, source: int = 0) -> Column:
-    n = pool_size if isinstance(pool_size, Column) else F.lit(pool_size)
-    a = F.get(F.expr(f"array({', '.join(f'{p}L' for p in PRIMES)})"), (window % len(PRIMES)).cast("int"))
-    b = (window * F.lit(STEP_WINDOW) + F.lit(seed * STEP_SEED + source * STEP_SOURCE)) % n
-    return ((a * j) % n + b) % n
+def draw_index(window: Column, j: Column, pool_size: Column | int, seed: int = 0, source: int = 0) -> Column:
+    """The j-th place of a keyed permutation of 0 .. n-1: each (seed, source, window) has its own, and no place comes twice while j < n.
+
+    Each round pairs x with K - x mod n and swaps the pair or not, by a bit that depends on the pair alone; so a round is a
+    permutation of exactly n places, whatever n is. K and the bit's hash come from a digest of the key and the round. All products
+    stay below 2**59.
+    """
+    n = (pool_size if isinstance(pool_size, Column) else F.lit(pool_size)).cast("bigint")
+    key = F.concat_ws(":", F.lit(str(seed)), F.lit(str(source)), window.cast("bigint").cast("string"))
+
+    def turn(x: Column, r: Column) -> Column:
+        def swapped(h: Column) -> Column:
+            other = F.pmod(hex_int(F.substring(h, 1, 8)) % n - x, n)
+            pair = F.greatest(x, other)
+            bit = (hex_int(F.substring(h, 9, 7)) * (pair % 2147483647) + hex_int(F.substring(h, 16, 8))) % 2147483647 % 2
+            return F.when(bit == 1, other).otherwise(x)
+
+        return let(F.md5(F.concat_ws(":", key, r.cast("string"))), swapped)
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), (j.cast("bigint") % n).cast("bigint"), turn)
 
 
 def window_plan(
@@ -100,8 +88,8 @@ def window_plan(
     clean = F.col("slot") < F.col("n_clean")
     w = F.col("window_id") + F.round(F.col("ratio") * 1000).cast("bigint") * 7
     j = F.when(clean, F.col("slot")).otherwise(F.col("slot") - F.col("n_clean"))
-    idx = F.when(clean, affine_index(w, j, max(clean_size, 1), seed, 0)).otherwise(
-        affine_index(w, j, max(drift_size, 1), seed, 1)
+    idx = F.when(clean, draw_index(w, j, max(clean_size, 1), seed, 0)).otherwise(
+        draw_index(w, j, max(drift_size, 1), seed, 1)
     )
     source = F.when(clean, "clean").otherwise("drift")
     return slots.select(
@@ -114,7 +102,7 @@ def stationary_plan(spark: SparkSession, windows: int, size: int, pool_size: int
     slots = spark.range(windows).select(
         F.col("id").alias("window_id"), F.explode(F.sequence(F.lit(0), F.lit(size - 1))).alias("slot")
     )
-    return slots.withColumn("pool_idx", affine_index(F.col("window_id"), F.col("slot"), max(pool_size, 1), seed, 2))
+    return slots.withColumn("pool_idx", draw_index(F.col("window_id"), F.col("slot"), max(pool_size, 1), seed, 2))
 
 
 def bootstrap_plan(spark: SparkSession, windows: int, size: int, pool_size: int, seed: str) -> DataFrame:
@@ -142,7 +130,7 @@ def task_balanced_plan(spark: SparkSession, windows: int, size: int, sizes: dict
     )
     within = Window.partitionBy("window_id", "task").orderBy("slot")  # at most one window of slots per group
     ranked = chosen.withColumn("_j", F.row_number().over(within) - 1)
-    return ranked.withColumn("pool_idx", affine_index(F.col("window_id"), F.col("_j"), F.col("_n"))).drop("_n", "_j")
+    return ranked.withColumn("pool_idx", draw_index(F.col("window_id"), F.col("_j"), F.col("_n"))).drop("_n", "_j")
 
 
 def layout_key(layout: str, size: Column, block: int | None = None, seed: str = "order") -> Column:

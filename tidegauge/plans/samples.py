@@ -11,15 +11,16 @@ from tidegauge.plans.registry import query
 
 RATIOS = [0.0, 0.05, 0.1, 0.2, 0.3, 0.5]
 SIZE = 30
-PRIMES_SQL = "[" + ", ".join(str(p) for p in smp.PRIMES) + "]"
 
 
-def affine_sql(window: str, j: str, n: str, seed: int = 0, source: int = 0) -> str:
-    off = seed * smp.STEP_SEED + source * smp.STEP_SOURCE
-    return (
-        f"((({PRIMES_SQL}[({window}) % {len(smp.PRIMES)} + 1] * ({j})) % ({n})) + "
-        f"((({window}) * {smp.STEP_WINDOW} + {off}) % ({n}))) % ({n})"
-    )
+def draw_sql(window: str, j: str, n: str, seed: int = 0, source: int = 0) -> str:
+    """``smp.draw_index`` in SQL: the list holds the place, the pool's size and the window."""
+    h = f"md5('{seed}:{source}:' || _s[3]::VARCHAR || ':' || _r::VARCHAR)"
+    part = lambda at, digits: f"('0x' || substr({h}, {at}, {digits}))::BIGINT"
+    other = f"(({part(1, 8)} % _s[2] - _s[1]) % _s[2] + _s[2]) % _s[2]"
+    bit = f"({part(9, 7)} * (greatest(_s[1], {other}) % 2147483647) + {part(16, 8)}) % 2147483647 % 2"
+    begin = f"[(({j})::BIGINT % ({n})::BIGINT)::BIGINT, ({n})::BIGINT, ({window})::BIGINT]"
+    return f"(list_reduce(range({smp.ROUNDS}), lambda _s, _r: [CASE WHEN {bit} = 1 THEN {other} ELSE _s[1] END, _s[2], _s[3]], {begin}))[1]"
 
 
 def hex_sql(text: str, digits: int) -> str:
@@ -38,8 +39,8 @@ def plan_sql(windows: str, size: int, ratios, clean_n: str, drift_n: str, seed:
 slots AS (SELECT ratio, w.window_id, s.slot, n_clean, n_drift, {w} AS ww
   FROM (SELECT unnest(range({windows})) AS window_id) w, shapes, (SELECT unnest(range({size})) AS slot) s),
 plan AS (SELECT ratio, window_id, slot, CASE WHEN slot < n_clean THEN 'clean' ELSE 'drift' END AS source,
-  CASE WHEN slot < n_clean THEN {affine_sql('ww', 'slot', clean_n, seed, 0)}
-  ELSE {affine_sql('ww', 'slot - n_clean', drift_n, seed, 1)} END AS pool_idx, n_clean, n_drift FROM slots)"""
+  CASE WHEN slot < n_clean THEN {draw_sql('ww', 'slot', clean_n, seed, 0)}
+  ELSE {draw_sql('ww', 'slot - n_clean', drift_n, seed, 1)} END AS pool_idx, n_clean, n_drift FROM slots)"""
 
 
 # vectors: labels 0-3 are the reference tasks, split by a digest of the id; labels 4-9 drift
@@ -86,7 +87,7 @@ def window_plan(spark, sf):
 @query("stationary_windows", f"""WITH {EMB_SQL},
 s AS (SELECT window_id, slot FROM (SELECT unnest(range((SELECT 4 * (cal // 3) FROM nn))) AS window_id),
   (SELECT unnest(range({SIZE})) AS slot))
-SELECT window_id, slot, vec_id FROM (SELECT *, {affine_sql('window_id', 'slot', '(SELECT cal FROM nn)', 0, 2)} AS pool_idx FROM s) p
+SELECT window_id, slot, vec_id FROM (SELECT *, {draw_sql('window_id', 'slot', '(SELECT cal FROM nn)', 0, 2)} AS pool_idx FROM s) p
 JOIN ranked r ON r.split = 'calibrate' AND r.idx = p.pool_idx""")
 def stationary_windows(spark, sf):
     n = split_sizes(spark, sf)["calibrate"]
@@ -101,7 +102,7 @@ t AS (SELECT task, count(*) AS n, row_number() OVER (ORDER BY task) - 1 AS tno F
 s AS (SELECT window_id, slot, {hex_sql("'tb:' || window_id || ':' || slot", 15)} % (SELECT count(*) FROM t) AS tno
   FROM (SELECT unnest(range((SELECT count(*) // 100 FROM events))) AS window_id), (SELECT unnest(range(40)) AS slot)),
 j AS (SELECT s.*, t.task, t.n, row_number() OVER (PARTITION BY window_id, t.task ORDER BY slot) - 1 AS j FROM s JOIN t USING (tno)),
-p AS (SELECT *, {affine_sql('window_id', 'j', 'n')} AS pool_idx FROM j)
+p AS (SELECT *, {draw_sql('window_id', 'j', 'n')} AS pool_idx FROM j)
 SELECT window_id, slot, p.task, event_id FROM p JOIN d ON d.task = p.task AND d.idx = p.pool_idx""")
 def sample_task_balanced(spark, sf):
     ev = table(spark, sf, "events", "event_id", F.col("event_type").alias("task"))
@@ -262,7 +263,7 @@ def pair_interleave(spark, sf):
 
 
 @query("sample_natural", f"""WITH d AS (SELECT doc_id, row_number() OVER (ORDER BY md5('nat:' || doc_id), doc_id) - 1 AS idx FROM documents),
-s AS (SELECT window_id, slot, {affine_sql('window_id', 'slot', '(SELECT count(*) FROM documents)', 0, 2)} AS pool_idx
+s AS (SELECT window_id, slot, {draw_sql('window_id', 'slot', '(SELECT count(*) FROM documents)', 0, 2)} AS pool_idx
   FROM (SELECT unnest(range((SELECT count(*) // 20 FROM documents))) AS window_id), (SELECT unnest(range(25)) AS slot))
 SELECT window_id, slot, doc_id FROM s JOIN d ON d.idx = s.pool_idx""")
 def sample_natural(spark, sf):

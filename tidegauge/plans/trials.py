@@ -19,7 +19,7 @@ from tidegauge.operators import sequences as ops
 from tidegauge.operators import signals as sig
 from tidegauge.plans import fold_sql as fs
 from tidegauge.plans.registry import query
-from tidegauge.plans.samples import affine_sql
+from tidegauge.plans.samples import draw_sql
 from tidegauge.plans.streams import SEGMENT_KEY, SEGMENT_ROWS
 
 CLEAN, AFTER, LEVEL = 100, 60, 0.70
@@ -39,8 +39,8 @@ ct AS (SELECT (SELECT count(*) FROM cp) AS c, (SELECT count(*) FROM dp) AS d, (S
 TRIALS_SQL = f"""{POOLS_SQL},
 tr AS (SELECT unnest(range((SELECT c // 250 FROM ct))) AS trial),
 plan AS (SELECT trial, slot, CASE WHEN slot < {CLEAN} THEN 'clean' ELSE 'drift' END AS source,
-  CASE WHEN slot < {CLEAN} THEN {affine_sql('trial', 'slot', '(SELECT c FROM ct)', 3, 0)}
-  ELSE {affine_sql('trial', f'slot - {CLEAN}', '(SELECT d FROM ct)', 3, 1)} END AS pool_idx FROM tr, (SELECT unnest(range({CLEAN + AFTER})) AS slot)),
+  CASE WHEN slot < {CLEAN} THEN {draw_sql('trial', 'slot', '(SELECT c FROM ct)', 3, 0)}
+  ELSE {draw_sql('trial', f'slot - {CLEAN}', '(SELECT d FROM ct)', 3, 1)} END AS pool_idx FROM tr, (SELECT unnest(range({CLEAN + AFTER})) AS slot)),
 tv AS (SELECT trial, slot, source, coalesce(cp.level, dp.level) AS level, coalesce(cp.event_id, dp.event_id) AS event_id FROM plan
   LEFT JOIN cp ON source = 'clean' AND cp.idx = pool_idx LEFT JOIN dp ON source = 'drift' AND dp.idx = pool_idx)"""
 
@@ -82,8 +82,8 @@ class Pools:
             F.col("id").alias("trial"), F.explode(F.sequence(F.lit(0), F.lit(CLEAN + AFTER - 1))).alias("slot")
         )
         clean = F.col("slot") < CLEAN
-        idx = F.when(clean, smp.affine_index(F.col("trial"), F.col("slot"), self.c, 3, 0)).otherwise(
-            smp.affine_index(F.col("trial"), F.col("slot") - CLEAN, self.d, 3, 1)
+        idx = F.when(clean, smp.draw_index(F.col("trial"), F.col("slot"), self.c, 3, 0)).otherwise(
+            smp.draw_index(F.col("trial"), F.col("slot") - CLEAN, self.d, 3, 1)
         )
         return slots.select("trial", "slot", F.when(clean, "clean").otherwise("drift").alias("source"), idx.alias("pool_idx"))
 
@@ -248,7 +248,7 @@ def warm_state(spark, sf):
 
 WSIZE = 80
 STAT_SQL = f"""sw AS (SELECT unnest(range((SELECT k // 100 FROM ct))) AS window_id),
-sv AS (SELECT window_id, slot, (level >= {LEVEL})::INT::DOUBLE AS x FROM (SELECT window_id, slot, {affine_sql('window_id', 'slot', '(SELECT k FROM ct)', 4, 2)} AS pool_idx
+sv AS (SELECT window_id, slot, (level >= {LEVEL})::INT::DOUBLE AS x FROM (SELECT window_id, slot, {draw_sql('window_id', 'slot', '(SELECT k FROM ct)', 4, 2)} AS pool_idx
   FROM sw, (SELECT unnest(range({WSIZE})) AS slot)) JOIN kp ON kp.idx = pool_idx)"""
 HD_WARM = f"""{fs.fold_sql(*fs.hddm_w(0.05, 0.05), name='hw', seq='cseq')},
 hwarm AS (SELECT * EXCLUDE (k, pos, alarm) FROM hw WHERE pos = (SELECT k FROM ct))"""
@@ -331,8 +331,8 @@ SHAPES = ", ".join(f"({r}::DOUBLE, {WSIZE - round(WSIZE * r)}, {round(WSIZE * r)
 RATIO_SQL = f"""{POOLS_SQL}, {CALSEQ_SQL}, {HD_WARM}, shapes(ratio, n_clean, n_drift) AS (VALUES {SHAPES}),
 rs AS (SELECT ratio, window_id, slot, n_clean, n_drift, window_id + round(ratio * 1000)::BIGINT * 7 AS ww FROM
   (SELECT unnest(range((SELECT c // 250 FROM ct))) AS window_id), shapes, (SELECT unnest(range({WSIZE})) AS slot)),
-rp AS (SELECT *, CASE WHEN slot < n_clean THEN {affine_sql('ww', 'slot', '(SELECT c FROM ct)', 6, 0)}
-  ELSE {affine_sql('ww', 'slot - n_clean', '(SELECT d FROM ct)', 6, 1)} END AS pool_idx FROM rs),
+rp AS (SELECT *, CASE WHEN slot < n_clean THEN {draw_sql('ww', 'slot', '(SELECT c FROM ct)', 6, 0)}
+  ELSE {draw_sql('ww', 'slot - n_clean', '(SELECT d FROM ct)', 6, 1)} END AS pool_idx FROM rs),
 rseq AS (SELECT {{'ratio': ratio, 'w': window_id, 'nc': n_clean, 'nd': n_drift}} AS k, slot + 1 AS pos, (coalesce(cp.level, dp.level) >= {LEVEL})::INT::DOUBLE AS x
   FROM rp LEFT JOIN cp ON slot < n_clean AND cp.idx = pool_idx LEFT JOIN dp ON slot >= n_clean AND dp.idx = pool_idx),
 {fs.fold_sql(*fs.hddm_w(0.05, 0.05), seq='rseq', start=', hwarm')},
@@ -443,8 +443,8 @@ def power_sql(m: str) -> str:
 POWER_SQL = f"""{FPR_SQL}, pshapes(ratio, n_clean, n_drift) AS (VALUES {POWER_SHAPES}),
 ps AS (SELECT ratio, window_id, slot, n_clean, n_drift, window_id + round(ratio * 1000)::BIGINT * 7 AS ww FROM
   (SELECT unnest(range((SELECT c // 250 FROM ct))) AS window_id), pshapes, (SELECT unnest(range({WSIZE})) AS slot)),
-pp AS (SELECT *, CASE WHEN slot < n_clean THEN {affine_sql('ww', 'slot', '(SELECT c FROM ct)', 6, 0)}
-  ELSE {affine_sql('ww', 'slot - n_clean', '(SELECT d FROM ct)', 6, 1)} END AS pool_idx FROM ps),
+pp AS (SELECT *, CASE WHEN slot < n_clean THEN {draw_sql('ww', 'slot', '(SELECT c FROM ct)', 6, 0)}
+  ELSE {draw_sql('ww', 'slot - n_clean', '(SELECT d FROM ct)', 6, 1)} END AS pool_idx FROM ps),
 psig AS (SELECT ratio, window_id, n_clean, slot + 1 AS pos, (coalesce(cp.level, dp.level) >= {LEVEL})::INT::DOUBLE AS x
   FROM pp LEFT JOIN cp ON slot < n_clean AND cp.idx = pool_idx LEFT JOIN dp ON slot >= n_clean AND dp.idx = pool_idx),
 {", ".join(power_sql(m) for m in FOLDED)},

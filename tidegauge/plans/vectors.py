@@ -13,7 +13,7 @@ from tidegauge.operators import vectors as vec
 from tidegauge.operators.sequences import sliding_sums
 from tidegauge.plans.registry import query
 from tidegauge.plans.samples import (
-    EMB_SQL, MIXED_SQL, RATIOS, SIZE, affine_sql, mixed_plan, vector_pool, vector_splits,
+    EMB_SQL, MIXED_SQL, RATIOS, SIZE, draw_sql, mixed_plan, vector_pool, vector_splits,
 )
 from tidegauge.sources import sinks
 
@@ -56,7 +56,7 @@ def centred_sql(drawn: str, keys: str, out: str) -> str:
 
 
 DRAWN_SQL = """drawn AS (SELECT x.stream, ratio, window_id, x.z, slot FROM plan JOIN x ON x.split = plan.source AND x.idx = plan.pool_idx)"""
-CAL_SQL = f"""calplan AS (SELECT window_id, {affine_sql('window_id', 'slot', '(SELECT cal FROM nn)', 0, 2)} AS pool_idx FROM
+CAL_SQL = f"""calplan AS (SELECT window_id, {draw_sql('window_id', 'slot', '(SELECT cal FROM nn)', 0, 2)} AS pool_idx FROM
   (SELECT unnest(range((SELECT 4 * (cal // 3) FROM nn))) AS window_id), (SELECT unnest(range({SIZE})) AS slot)),
 caldrawn AS (SELECT x.stream, window_id, x.z FROM calplan JOIN x ON x.split = 'calibrate' AND x.idx = pool_idx)"""
 BASE_SQL = f"{MIXED_SQL},\n{STREAM_SQL},\n{MODEL_SQL},\n{DRAWN_SQL}"
@@ -438,8 +438,8 @@ def permutation_check(spark, sf):
 thr AS (SELECT stream, quantile_cont(score, {Q}) AS threshold FROM calscores GROUP BY 1),
 t AS (SELECT trial, pos FROM (SELECT unnest(range((SELECT clean // 6 FROM nn))) AS trial), (SELECT unnest(range({SIZE + 60})) AS pos)),
 p AS (SELECT trial, pos + 1 AS rn, CASE WHEN pos < {SIZE} THEN 'clean' ELSE 'drift' END AS source,
-  CASE WHEN pos < {SIZE} THEN {affine_sql('trial', 'pos', '(SELECT clean FROM nn)', 5, 0)}
-  ELSE {affine_sql('trial', f'pos - {SIZE}', '(SELECT drift FROM nn)', 5, 1)} END AS pool_idx FROM t),
+  CASE WHEN pos < {SIZE} THEN {draw_sql('trial', 'pos', '(SELECT clean FROM nn)', 5, 0)}
+  ELSE {draw_sql('trial', f'pos - {SIZE}', '(SELECT drift FROM nn)', 5, 1)} END AS pool_idx FROM t),
 e AS (SELECT unnest(range(0, 61, 5)) AS checkpoint),
 rd AS (SELECT x.stream, trial, checkpoint, x.z FROM p JOIN e ON rn > checkpoint AND rn <= checkpoint + {SIZE} JOIN x ON x.split = p.source AND x.idx = p.pool_idx),
 {centred_sql('rd', 'trial, checkpoint', 'rm')},
@@ -455,8 +455,8 @@ def sliding_replay(spark, sf):
     clean = F.col("pos") < SIZE
     plan = t.select(
         "trial", (F.col("pos") + 1).alias("rn"), F.when(clean, "clean").otherwise("drift").alias("source"),
-        F.when(clean, smp.affine_index(F.col("trial"), F.col("pos"), s.sizes["clean"], 5, 0))
-        .otherwise(smp.affine_index(F.col("trial"), F.col("pos") - SIZE, s.sizes["drift"], 5, 1)).alias("pool_idx"),
+        F.when(clean, smp.draw_index(F.col("trial"), F.col("pos"), s.sizes["clean"], 5, 0))
+        .otherwise(smp.draw_index(F.col("trial"), F.col("pos") - SIZE, s.sizes["drift"], 5, 1)).alias("pool_idx"),
     )
     cols = {f"{st}_{i}": F.expr(f"{st}[{i}]") for st, k in s.k.items() for i in range(k)}
     sums = sliding_sums(s.drawn(plan), ["trial"], SIZE, 5, cols)
@@ -501,8 +501,8 @@ gw AS (SELECT r.label AS ref, r.n AS nr, d.label AS drift, d.n AS nd, ratio, n_c
   UNION ALL SELECT label, n, NULL, 0, -1.0, {GRID_SIZE}, unnest(range(greatest(10, n // 2))) FROM gn),
 gs AS (SELECT *, window_id + round(greatest(ratio, 0) * 1000)::BIGINT * 7 AS ww FROM gw, (SELECT unnest(range({GRID_SIZE})) AS slot)),
 gplan AS (SELECT ref, drift, ratio, window_id, CASE WHEN slot < n_clean THEN ref ELSE drift END AS label,
-  CASE WHEN drift IS NULL THEN {affine_sql('window_id', 'slot', 'nr', 0, 2)} WHEN slot < n_clean THEN {affine_sql('ww', 'slot', 'nr', 0, 0)}
-  ELSE {affine_sql('ww', 'slot - n_clean', 'greatest(nd, 1)', 0, 1)} END AS idx FROM gs),
+  CASE WHEN drift IS NULL THEN {draw_sql('window_id', 'slot', 'nr', 0, 2)} WHEN slot < n_clean THEN {draw_sql('ww', 'slot', 'nr', 0, 0)}
+  ELSE {draw_sql('ww', 'slot - n_clean', 'greatest(nd, 1)', 0, 1)} END AS idx FROM gs),
 gv AS (SELECT ref, drift, ratio, window_id, vec_id, z FROM gplan JOIN gp USING (label, idx)),
 fd AS (SELECT ref AS stream, vec_id, [z[t + 1] - ml[t + 1] FOR t IN range({HALF})] AS d FROM (SELECT DISTINCT ref, vec_id, z FROM gv) JOIN mul ON mul.stream = ref),
 {score_sql('fd', 'vec_id', 'far')},
@@ -536,9 +536,9 @@ def reference_drift_grid(spark, sf):
     each = each.withColumn("window_id", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(10), F.floor(F.col("nr") / 2)) - 1)))
     each = each.withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(GRID_SIZE - 1))))
     clean, w = F.col("slot") < F.col("n_clean"), F.col("window_id") + F.round(F.greatest("ratio", F.lit(0.0)) * 1000).cast("bigint") * 7
-    at = F.when(F.col("drift").isNull(), smp.affine_index(F.col("window_id"), F.col("slot"), F.col("nr"), 0, 2)).when(
-        clean, smp.affine_index(w, F.col("slot"), F.col("nr"), 0, 0)
-    ).otherwise(smp.affine_index(w, F.col("slot") - F.col("n_clean"), F.greatest("nd", F.lit(1).cast("long")), 0, 1))
+    at = F.when(F.col("drift").isNull(), smp.draw_index(F.col("window_id"), F.col("slot"), F.col("nr"), 0, 2)).when(
+        clean, smp.draw_index(w, F.col("slot"), F.col("nr"), 0, 0)
+    ).otherwise(smp.draw_index(w, F.col("slot") - F.col("n_clean"), F.greatest("nd", F.lit(1).cast("long")), 0, 1))
     plan = each.select("reference", "drift", "ratio", "window_id", F.when(clean, F.col("reference")).otherwise(F.col("drift")).alias("label"), at.alias("pool_idx"))
     pool = smp.pool_index(rows, "vec_id", "grid", ["label"]).select("label", F.col("idx").alias("pool_idx"), "A")
     windows = plan.join(pool, ["label", "pool_idx"]).groupBy("reference", "drift", "ratio", "window_id").agg(F.collect_list("A").alias("vectors"))  # GRID_SIZE each
