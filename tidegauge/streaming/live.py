@@ -71,8 +71,8 @@ def run_replay(
 
 
 class DetectorState(StatefulProcessor):
-    """One detector per key. State: a value of the counters and the place of the newest row in its own types, and the numbers of the
-    detector - a value for a fold method, a list for a window method. With ``ttl`` milliseconds the state of a key that stays silent for so long goes."""
+    """One detector per key. State: one value with the counters, the numbers of the detector and the place of the newest row in its own
+    types, and for a window method the list of its window. With ``ttl`` milliseconds the state of a key that stays silent for so long goes."""
 
     def __init__(self, method: str, params: seq.Params, kinds: list[str], ttl: int | None = None):
         self.method, self.params, self.kinds, self.ttl = method, params, kinds, ttl
@@ -80,16 +80,10 @@ class DetectorState(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         places = ", ".join(f"p{i} {kind}" for i, kind in enumerate(self.kinds))
-        self.seen = handle.getValueState("seen", f"n bigint, alarms bigint, late bigint, read bigint, {places}", self.ttl)
-        if self.method in bl.WINDOWED:
+        self.seen = handle.getValueState("seen", f"n bigint, alarms bigint, late bigint, numbers array<double>, {places}", self.ttl)
+        self.windowed = self.method in bl.WINDOWED
+        if self.windowed:
             self.window = handle.getListState("window", "x double", self.ttl)
-        else:
-            self.fields = handle.getValueState("fields", "numbers array<double>", self.ttl)
-
-    def _numbers(self, read: int) -> list[float]:
-        if self.method in bl.WINDOWED:
-            return [float(read), *(x[0] for x in self.window.get())]
-        return [float(x) for x in self.fields.get()[0]]
 
     def _late(self, chunk: pd.DataFrame, place: tuple) -> int:
         """Rows that stand before the newest place of earlier micro-batches, compared column by column."""
@@ -108,19 +102,17 @@ class DetectorState(StatefulProcessor):
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timer) -> Iterator[pd.DataFrame]:
         chunk = pd.concat(list(rows)).sort_values(self.order)
         n, alarms, late, state, place = 0, 0, 0, None, None
-        if self.seen.exists():
-            n, alarms, late, read, *place = self.seen.get()
+        if (seen := self.seen.get()) is not None:  # each call is a trip to the store: one to read, one to write
+            n, alarms, late, numbers, *place = seen
             late += self._late(chunk, tuple(place))
-            state = self._numbers(read)
+            state = [*(float(x) for x in numbers), *(x[0] for x in self.window.get())] if self.windowed else [float(x) for x in numbers]
         at, state = bl.trace(self.method, self.params, chunk["x"].to_numpy(np.float64), state)
         newest = [_plain(v) for v in chunk[self.order].iloc[-1]]
         if place and late and self._late(chunk.iloc[[-1]], tuple(place)):
             newest = place
-        self.seen.update((n + len(chunk), alarms + len(at), late, int(state[0]), *newest))
-        if self.method in bl.WINDOWED:
+        self.seen.update((n + len(chunk), alarms + len(at), late, [float(x) for x in (state[:1] if self.windowed else state)], *newest))
+        if self.windowed:
             self.window.put([(float(x),) for x in state[1:]]) if len(state) > 1 else self.window.clear()
-        else:
-            self.fields.update(([float(x) for x in state],))
         if at:
             yield pd.DataFrame({"key": [key[0]] * len(at), "at": [n + a for a in at], "alarm_no": range(alarms + 1, alarms + len(at) + 1), "late": late})
 
