@@ -56,6 +56,31 @@ def test_a_key_without_resets_takes_one_round(spark, monkeypatch):
         assert chains.end_state(chain, ["key"]).first()["state"] == pytest.approx(bl.trace(method, seq.settings(method, params), xs)[1], rel=1e-9, abs=1e-9)
 
 
+def test_a_key_with_many_resets_takes_few_rounds(spark, monkeypatch):
+    xs = (np.random.default_rng(5).random(12_000) < 0.3).astype(float)
+    rows = spark.createDataFrame([("k", i + 1, float(x)) for i, x in enumerate(xs)], "key string, rn long, x double")
+    segments = ops.segments(rows, ["key"], F.col("x"), 40)  # three hundred segments, most of them with an alarm
+    rounds, begins = [], chains._begins
+    monkeypatch.setattr(chains, "_begins", lambda *a: rounds.append(1) or begins(*a))
+    for method, params in (("ddm", {"warm": 10, "drift": 1.5}), ("hddm_w", {"conf": 0.1})):
+        rounds.clear()
+        got = chains.chained_alarms(segments, ["key"], method, params, 40).collect()
+        want = bl.trace(method, seq.settings(method, params), xs)[0]
+        assert len(want) > 100 and sorted(r["at"] for r in got) == want
+        assert len(rounds) <= 2
+
+
+@pytest.mark.parametrize("method,params", CASES)
+def test_runs_join_behind_a_common_alarm(method, params):
+    p, xs = seq.settings(method, params), streams()["loud"]
+    for cut in (200, 931, 1500):
+        begin = bl.trace(method, p, xs[:cut])[1]
+        fresh, end = bl.trace(method, p, xs[cut:])
+        got = bl.joined_trace(method, p, xs[cut:], begin, fresh, end)
+        want = bl.trace(method, p, xs[cut:], begin)
+        assert got[0] == want[0] and got[1] == pytest.approx(want[1], rel=1e-9, abs=1e-9)
+
+
 def test_blocks_of_segments_are_composed(spark, monkeypatch):
     monkeypatch.setattr(chains, "BLOCK", 3)
     monkeypatch.setattr(chains, "LONG", 0)

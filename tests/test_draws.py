@@ -44,3 +44,10 @@ def test_sql_draws_the_same(spark, duck):
     for n in (5, 1000, 2**33):
         want = duck.execute(f"SELECT {draw_sql('w', 'j', str(n), 3, 1)} FROM range(4) a(w), range(30) b(j) ORDER BY w, j").fetchall()
         assert [x[0] for x in want] == drawn(spark, n, 4, 30).ravel().tolist()
+
+
+def test_plans_are_never_broadcast(spark, capsys):
+    pool = spark.range(1000).select(F.lit("clean").alias("source"), F.col("id").alias("pool_idx"), F.rand(1).alias("level"))
+    plan = smp.window_plan(spark, 40, 20, [0.0, 0.5], 500, 500, 1)  # estimated as a few rows, but it grows with the data
+    smp.materialize(plan, pool, ["ratio", "window_id"], ["level"]).explain()
+    assert "Broadcast" not in capsys.readouterr().out

@@ -385,6 +385,26 @@ def trace(method: str, p: Params, values: Sequence[float] | np.ndarray, begin: S
     return hits, s
 
 
+def joined_trace(
+    method: str, p: Params, values: Sequence[float] | np.ndarray, begin: State, fresh: Sequence[int], end: State
+) -> tuple[list[int], State]:
+    """``trace`` from ``begin``, given the alarms ``fresh`` and the state ``end`` of a run of the same values from a reset detector.
+
+    An alarm resets the detector, so behind the first alarm that both runs have they do the same and nothing more needs to be read.
+    """
+    x, known, hits, at = np.asarray(values, dtype=np.float64), set(fresh), [], 0
+    s = list(begin)
+    while at < len(x):
+        hit, s = trace(method, p, x[at:], s, most=1)
+        if not hit:
+            break
+        at += hit[0]
+        hits.append(at)
+        if at in known:
+            return hits + [int(a) for a in fresh if a > at], list(end)
+    return hits, s
+
+
 # ---------------------------------------------------------------- composition over blocks without an alarm
 
 

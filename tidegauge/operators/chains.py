@@ -6,8 +6,10 @@ part of the state. An alarm resets the state, so a segment with an alarm hands o
 
 Keys of fewer than LONG segments are read through by one task, a segment at a time. For longer ones, every round scans for the states at all starts, runs the segments from them, and compares what they did with what the scan took
 for granted: at first that no segment alarms. The segments up to the first one that behaved otherwise are settled; the later ones of that
-key go into the next round. A key that never resets is settled in the first round, and one with resets after about
-as many as it has stretches between segments that change their minds. The values stay where they are: rounds join small rows to them.
+key go into the next round. A key that never resets is settled in the first round. Rounds go on while each settles at least half of
+what it began with, so there are at most log2(segments) of them and all together run each segment about twice. Keys that reset more often
+are finished in a row: all their segments run side by side from a reset detector first, and the pass along the key reads a segment only
+up to the first alarm that this run has too, as both are the same behind it. The values stay where they are: rounds join small rows to them.
 """
 
 from __future__ import annotations
@@ -134,20 +136,29 @@ def _begins(live: DataFrame, sure: DataFrame, heads: DataFrame, most: int, metho
 
 
 def _in_a_row(held: DataFrame, method: str, params: dict[str, Any] | None, varied: str | None) -> DataFrame:
-    """(_k, seg, at, state) of keys of a bounded number of segments: read one after the other, one segment in memory at a time."""
+    """(_k, seg, at, state) of keys whose segments lie in one task: read one after the other, a few segments in memory at a time.
+
+    ``held`` (_k, seg, param, xs) may have ``head``, the state that a key starts from, and ``run`` (at, state), the run of each segment from
+    a reset detector: behind an alarm that both have, they are the same.
+    """
     given = _params(method, params, varied)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, state = None, None
         for pdf in batches:
             out = []
-            for k, v, xs in zip(pdf["_k"], pdf["param"], pdf["xs"]):
+            for k, v, xs, head, fresh in zip(pdf["_k"], pdf["param"], pdf["xs"], pdf["head"], pdf["run"]):
                 if k != now:
-                    now, state = k, bl.start(method)
-                at, state = bl.trace(method, given(v), xs, state)
+                    now, state = k, bl.start(method) if head is None else list(head)
+                if fresh is None:
+                    at, state = bl.trace(method, given(v), xs, state)
+                else:
+                    at, state = bl.joined_trace(method, given(v), xs, state, list(fresh["at"]), list(fresh["state"]))
                 out.append((at, state))
             yield pd.DataFrame({"_k": pdf["_k"], "seg": pdf["seg"], "at": [x[0] for x in out], "state": [x[1] for x in out]})
 
+    extra = {"head": "array<double>", "run": "struct<at: array<int>, state: array<double>>"}
+    held = held.withColumns({c: F.lit(None).cast(kind) for c, kind in extra.items() if c not in held.columns})
     return held.sortWithinPartitions("_k", "seg").mapInPandas(run, "_k string, seg bigint, at array<int>, state array<double>")
 
 
@@ -177,7 +188,7 @@ def chained(packed: DataFrame, keys: Sequence[str], method: str, params: dict[st
 
 
 def _side_by_side(long: DataFrame, most: int, method: str, params: dict[str, Any] | None, varied: str | None) -> DataFrame:
-    """(_k, seg, at, state) of keys of any length: rounds of scans and runs until nothing is taken for granted any more."""
+    """(_k, seg, at, state) of keys of any length: rounds of scans and runs while they settle at least half of what is left, then the rest in a row."""
     spark = long.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     held = cut_lineage(long.repartition(n, "_k", "seg"))  # kept by (_k, seg): the joins of the rounds bring small rows to the values
@@ -195,10 +206,15 @@ def _side_by_side(long: DataFrame, most: int, method: str, params: dict[str, Any
         met = now.join(first, "_k", "left")
         done = met.where("first IS NULL OR seg <= first").select("_k", "seg", "at", "state")  # it began right, so what it did is right
         settled = done if settled is None else settled.unionByName(done)
-        if first.isEmpty():
+        ran, left = met.agg(F.count(F.lit(1)), F.count_if(F.col("seg") > F.col("first"))).first()
+        if not left:
             break
         live = held.join(first, "_k").where("seg > first").drop("first")
         heads = met.where("seg = first").select("_k", "seg", "param", F.col("state").alias("c"))
+        if 2 * left > ran:
+            rest = segment_runs(live, method, params, varied).join(heads.select("_k", F.col("c").alias("head")), "_k")
+            settled = settled.unionByName(_in_a_row(rest.repartition(n, "_k"), method, params, varied))
+            break
         known = met.where("seg > first").select("_k", "seg", "state", "alarmed")
     return settled
 

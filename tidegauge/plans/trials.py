@@ -67,7 +67,7 @@ class Pools:
             F.sum(F.col("cal").cast("int")).alias("k"),
         ).first()
         self.c, self.d, self.k = sizes["c"], sizes["d"], sizes["k"]
-        self.spark = spark
+        self.spark, self._packed = spark, None
         self.clean = smp.pool_index(test, "event_id", "clean", rows=self.c)
         self.drift = smp.pool_index(test.where(F.col("level") >= LEVEL), "event_id", "drift", rows=self.d)
         self.cal = smp.pool_index(rows.where("cal"), "event_id", "cal", rows=self.k)
@@ -78,12 +78,12 @@ class Pools:
         return a.unionByName(self.drift.select(F.lit("drift").alias("source"), *cols))
 
     def plan(self) -> DataFrame:
-        slots = self.spark.range(self.c // 250).select(
-            F.col("id").alias("trial"), F.explode(F.sequence(F.lit(0), F.lit(CLEAN + AFTER - 1))).alias("slot")
-        )
+        turns = {"_c": smp.draw_turns(F.col("trial"), 3, 0), "_d": smp.draw_turns(F.col("trial"), 3, 1)}
+        trials = self.spark.range(self.c // 250).withColumnRenamed("id", "trial").withColumns(turns)
+        slots = trials.withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(CLEAN + AFTER - 1))))
         clean = F.col("slot") < CLEAN
-        idx = F.when(clean, smp.draw_index(F.col("trial"), F.col("slot"), self.c, 3, 0)).otherwise(
-            smp.draw_index(F.col("trial"), F.col("slot") - CLEAN, self.d, 3, 1)
+        idx = F.when(clean, smp.draw_index(F.col("trial"), F.col("slot"), self.c, turns=F.col("_c"))).otherwise(
+            smp.draw_index(F.col("trial"), F.col("slot") - CLEAN, self.d, turns=F.col("_d"))
         )
         return slots.select("trial", "slot", F.when(clean, "clean").otherwise("drift").alias("source"), idx.alias("pool_idx"))
 
@@ -96,9 +96,10 @@ class Pools:
 
         The signal stays in bounded segments; the grid is a few fixed rows.
         """
-        rows = row_budget(self.spark, SEGMENT_KEY, SEGMENT_ROWS)
-        events = self.cal.select((F.col("idx") + 1).alias("rn"), sig.binarize(F.col("level"), LEVEL, True).cast("double").alias("x"))
-        packed, keys = ops.segments(events, [], F.col("x"), rows), []
+        if self._packed is None:  # stored once: every method and candidate reads it
+            events = self.cal.select((F.col("idx") + 1).alias("rn"), sig.binarize(F.col("level"), LEVEL, True).cast("double").alias("x"))
+            self._packed = cut_lineage(ops.segments(events, [], F.col("x"), row_budget(self.spark, SEGMENT_KEY, SEGMENT_ROWS)))
+        packed, keys = self._packed, []
         if grid is not None:
             packed, keys = packed.join(F.broadcast(grid)), ["idx", "param"]
         varied = seq.GRIDS[method][0] if grid is not None else None
@@ -107,11 +108,16 @@ class Pools:
 
     def stationary(self, windows: int, size: int) -> DataFrame:
         plan = smp.stationary_plan(self.spark, windows, size, self.k, 4)
-        drawn = plan.join(self.cal.select(F.col("idx").alias("pool_idx"), "level"), "pool_idx")
+        drawn = plan.hint("merge").join(self.cal.select(F.col("idx").alias("pool_idx"), "level"), "pool_idx")
         packed = F.array_sort(F.collect_list(F.struct("slot", sig.binarize(F.col("level"), LEVEL, True).cast("double").alias("x"))))
         return drawn.groupBy("window_id").agg(F.transform(packed, lambda r: r["x"]).alias("xs"))
 
 
+def spread(windows: DataFrame) -> DataFrame:
+    """Windows stored once, over as many parts as a shuffle has: every method reads them, and each row stands for a run of every candidate."""
+    return cut_lineage(windows.repartition(int(windows.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+
+
 def events_of(levels: str) -> str:
     return f"transform({levels}, v -> double(v >= {LEVEL}D))"
 
@@ -402,7 +408,7 @@ cand AS ({stacked('cand')})"""
 
 def calibration_rows(p: Pools) -> DataFrame:
     """Alarm rate of every candidate of every method on stationary windows; a grid is a few rows, so it is the broadcast side."""
-    windows, out = p.stationary(p.k // 100, WSIZE), None
+    windows, out = spread(p.stationary(p.k // 100, WSIZE)), None
     for method in seq.GRIDS:
         hit = candidate(method)[0]("xs").isNotNull()
         part = windows.join(F.broadcast(warmed(p, method))).select("method", "idx", "param", hit.cast("double").alias("hit"))
@@ -462,7 +468,7 @@ def config_power_select(spark, sf):
     """Per method the candidate with the highest validation power (mean over drift ratios) within the target rate."""
     p = Pools(spark, sf)
     plan = smp.window_plan(spark, p.c // 250, WSIZE, POWER_RATIOS, p.c, p.d, 6)
-    windows, out = smp.materialize(plan, p.both(), ["ratio", "window_id", "n_clean", "n_drift"], ["level"]), None
+    windows, out = spread(smp.materialize(plan, p.both(), ["ratio", "window_id", "n_clean", "n_drift"], ["level"])), None
     for method in seq.GRIDS:
         hit = candidate(method)[1](events_of("clean_level"), events_of("drift_level")).isNotNull()
         part = windows.join(F.broadcast(warmed(p, method))).select("method", "idx", "ratio", hit.cast("double").alias("h"))  # grid rows
