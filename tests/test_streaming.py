@@ -188,3 +188,25 @@ def test_queries_replay_in_small_batches(spark, monkeypatch):
     finally:
         spark.conf.unset(live.BATCH_KEY)
     assert got == whole and max(sizes) >= 3
+
+
+def test_slices_grow_with_the_number_of_keys(spark, tmp_path, monkeypatch):
+    """Every slice costs a call for each key in it: with many keys of few rows, keys times slices stays in step with the rows."""
+    rows = spark.range(400).select((F.col("id") % 50).alias("user_id"), F.col("id").alias("event_id"))
+    monkeypatch.setattr(live, "BATCH_ROWS", 20)
+    monkeypatch.setattr(live, "KEY_ROWS", 4)
+    runs, run = [], live.run_to_table
+    monkeypatch.setattr(live, "run_to_table", lambda *a: runs.append(1) or run(*a))
+    out, _ = live.run_replay(rows, "user_id", ["event_id"], lambda s: s, None, str(tmp_path / "r"))
+    assert out.count() == 400 and len(runs) == 2  # 200 rows each, not 20
+
+
+def test_small_chunks_are_put_in_order_like_frames():
+    d = live.DetectorState("ddm", seq.settings("ddm"), ["timestamp_ntz", "bigint"])
+    ts = pd.to_datetime(["2024-01-02", "2024-01-01", "2024-01-01", None])
+    for chunk in (pd.DataFrame({"p0": ts[:3], "p1": [5, 9, 7], "x": [1.0, 2.0, 3.0]}), pd.DataFrame({"p0": ts, "p1": [5, 9, 7, 1], "x": 0.0}),
+                  pd.DataFrame({"p0": ts[:3], "p1": [5, None, 7], "x": 0.0})):
+        got = d._in_order([chunk])
+        assert got.equals(chunk.sort_values(["p0", "p1"]))
+        for place in ([pd.Timestamp("2024-01-01").to_pydatetime(), 7], [pd.Timestamp("2024-01-01").to_pydatetime(), 8], [pd.Timestamp("2024-02-01").to_pydatetime(), None], [None, None]):
+            assert d._first_late(got, place) == (d._late(got, tuple(place)) > 0)
