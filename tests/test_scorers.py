@@ -144,3 +144,42 @@ def test_best_over_references(spark):
     assert got[1]["cider"] == pytest.approx(2.5 * sum(max(c) for c in zip(*each)))
     assert got[1]["rouge_l"] == pytest.approx(75.0)
     assert [(got[i]["cider"], got[i]["rouge_l"]) for i in (2, 3, 4)] == [(0.0, 0.0)] * 3
+
+
+def test_permuted_scores_hold_a_batch_and_the_open_window(spark, capsys):
+    import hashlib
+
+    rng = np.random.default_rng(8)
+    data = [(r, w, s, rng.normal(size=3).tolist()) for r in (0.0, 0.5) for w in range(6) for s in range(5 + w)]
+    drawn = spark.createDataFrame(data, "ratio double, window_id long, slot int, A array<double>").repartition(3)
+    model = vec.Pca(np.zeros(3), np.eye(3), np.array([1.0, 2.0, 3.0]), 10)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")  # windows go on over several batches
+    try:
+        out = vec.permuted_scores(drawn, ["ratio", "window_id"], "slot", {"A": model}, 0.1, 3)
+        out.explain()
+        got = {(r["ratio"], r["window_id"], r["perm"], r["stream"]): r["score"] for r in out.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert "collect_list" not in capsys.readouterr().out  # no window is gathered into one value
+    want = {}
+    for r in (0.0, 0.5):
+        for w in range(6):
+            rows = {s: np.array(v) for a, b, s, v in data if (a, b) == (r, w)}
+            for perm in range(3):
+                total = np.zeros(3)
+                for s in sorted(rows, key=lambda s: (hashlib.md5(f"{perm}:{w}:{s}".encode()).hexdigest(), s)):
+                    total = total + rows[s]
+                z = total / len(rows)
+                want[r, w, perm, "A"] = float(np.sqrt((z * z / (model.variances + 0.1)).sum()))
+    assert got == pytest.approx(want, rel=1e-12)
+
+
+def test_the_grid_broadcasts_no_plan(spark, monkeypatch, capsys):
+    from tidegauge.plans import vectors as plans
+
+    stored, cut = [], plans.cut_lineage
+    monkeypatch.setattr(plans, "cut_lineage", lambda df: stored.append(df) or cut(df))
+    assert plans.reference_drift_grid(spark, SF).count() > 0
+    stored[-1].explain()
+    plan = capsys.readouterr().out
+    assert "SortMergeJoin [label" in plan and "pool_idx" in plan.split("SortMergeJoin [label", 1)[1].splitlines()[0]
