@@ -89,3 +89,16 @@ def test_all_bad_lines_keep_their_place(spark, tmp_path):
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
     assert places == {("a", i) for i in range(3, 601, 3)} | {("b", 3)}
+
+
+def test_log_folders_are_put_in_place_by_the_tasks(spark, monkeypatch):
+    from conftest import SF
+    from pyspark.sql import DataFrameWriter
+
+    from tidegauge.plans import answers
+
+    given, option = {}, DataFrameWriter.option
+    monkeypatch.setattr(DataFrameWriter, "option", lambda self, k, v: given.update({k: v}) or option(self, k, v))
+    users = spark.read.parquet(f"{SF}/events.parquet").select("user_id").distinct().count()
+    assert answers.metric_log_extract(spark, SF).count() == users
+    assert given["mapreduce.fileoutputcommitter.algorithm.version"] == "2"

@@ -305,7 +305,8 @@ def metric_log_extract(spark, sf):
     )
     out = scratch_path(spark, "logs")
     ordered = e.select("user_id", "ts", "event_id", line.alias("value")).repartition("user_id").sortWithinPartitions("user_id", "ts", "event_id")
-    ordered.select("user_id", "value").write.partitionBy("user_id").text(out)
+    # version 2: each task moves its own folders into place; version 1 leaves them all to the driver, one after the other
+    ordered.select("user_id", "value").write.option("mapreduce.fileoutputcommitter.algorithm.version", "2").partitionBy("user_id").text(out)
     logs = readers.numbered_lines(spark, out).withColumn("user_id", F.regexp_extract("file", r"/user_id=(-?[0-9]+)/", 1).cast("long"))
     text = F.trim("value")
     kept = logs.withColumn("t", F.when(text.startswith("{") & text.endswith("}"), text))
