@@ -196,3 +196,52 @@ def test_backoff_brute_force(spark):
                 want[i][1] += math.log(0.4 * two[w] / total) if two[w] else math.log(0.16 / total)
     assert {k: (r["words"], round(r["log_score"], 6)) for k, r in got.items()} == {k: (a, round(b, 6)) for k, (a, b) in want.items()}
     assert got[100]["mean_log"] is None
+
+
+def exchanged(df):
+    """Bytes that the exchanges of a collected frame's plan have sent, before compression."""
+    total, todo = 0, [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        name = node.nodeName()
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+        if name.startswith("AdaptiveSparkPlan"):
+            todo.append(node.executedPlan())
+        elif "QueryStage" in name:
+            todo.append(node.plan())
+        elif name == "Exchange":
+            total += node.metrics().apply("dataSize").value()
+    return total
+
+
+def test_backoff_sends_a_few_bytes_a_pair(spark):
+    rng = random.Random(2)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    texts = [rng.choices(vocabulary, k=300) for _ in range(1000)]
+    pairs = sum(len(set(zip(["", *t], t))) for t in texts)
+    df = backoff.score(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").repartition(2))
+    assert len(df.collect()) == len(texts)
+    assert 0 < exchanged(df) < 16 * pairs
+
+
+def test_backoff_chunks_and_partitions_do_not_change_scores(spark):
+    rng = random.Random(3)
+    rows = [(i % 40, " ".join(rng.choices("abcdefgh", k=rng.randrange(0, 12)))) for i in range(60)] + [(None, "a b"), (None, "a b"), (7, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = [{r["doc_id"]: r for r in backoff.score(docs, *sizes).collect()} for sizes in ((), (16, 4, 1), (1, 1, 1))]
+    assert {k: r["words"] for k, r in got[0].items()} == {k: sum(len((t or "").split()) for i, t in rows if i == k) for k, _ in rows}
+    for other in got[1:]:
+        assert {k: (r["words"], r["log_score"]) for k, r in other.items()} == {k: (r["words"], pytest.approx(r["log_score"])) for k, r in got[0].items()}
+
+
+def test_backoff_of_no_rows(spark):
+    assert backoff.score(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+    one = backoff.score(spark.createDataFrame([(1, "a a")], "doc_id long, text string")).collect()
+    assert [(r["words"], round(r["log_score"], 9)) for r in one] == [(2, round(2 * math.log(0.16), 9))]
+
+
+def test_packed_numbers_come_back():
+    for x in ([], [0], [1, 2**64 - 1, 2**40], range(1000)):
+        x = np.array(x, np.uint64)
+        assert (backoff._unpacked(backoff._packed(x), len(x)) == x).all()
+    assert len(backoff._packed(np.ones(100_000, np.int64))) < 1000
