@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 from conftest import SF
+from pyspark import TaskContext
 from pyspark.sql import functions as F
 
 from tidegauge.functions import blocks as bl
@@ -70,6 +71,25 @@ def test_a_key_with_many_resets_takes_few_rounds(spark, monkeypatch):
         assert len(rounds) <= 2
 
 
+def test_keys_stay_in_one_task_where_a_join_becomes_a_broadcast(spark):
+    """Rows of a key met by a small table: planned as a sorted merge by the key, run as a broadcast that reads its shuffle as it was written."""
+    confs = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "10m",
+        "spark.sql.adaptive.nonEmptyPartitionRatioForBroadcastJoin": "0", "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    }
+    for key, value in confs.items():
+        spark.conf.set(key, value)
+    try:
+        live = spark.range(0, 4000, 1, 8).selectExpr("concat('k', id % 5) AS _k", "id AS seg", "repeat('x', 200) AS xs")
+        heads = spark.range(5).selectExpr("concat('k', id) AS _k", "id AS head")
+        held = chains._by_key(live.join(heads, "_k"), "_k").sortWithinPartitions("_k", "seg")
+        rows = held.mapInPandas(lambda parts: (p[["_k", "seg"]].assign(task=TaskContext.get().partitionId()) for p in parts), "_k string, seg long, task int").collect()
+    finally:
+        for key in confs:
+            spark.conf.unset(key)
+    assert len(rows) == 4000 and len({(r["_k"], r["task"]) for r in rows}) == 5
+
+
 @pytest.mark.parametrize("method,params", CASES)
 def test_runs_join_behind_a_common_alarm(method, params):
     p, xs = seq.settings(method, params), streams()["loud"]
@@ -147,6 +167,71 @@ def test_selections_of_window_methods_by_brute_force(spark):
     assert {r["method"]: r["selected_index"] for r in trials.config_power_select(spark, SF).collect() if r["method"] in bl.WINDOWED} == powered
 
 
+WINDOWS = {  # heads and tails of odd shapes, some with missing values
+    "short": ([76, 72, 64, 0, 5], [4, 8, 16, 80, 75]), "long": ([120, 0], [200, 300]),
+}
+
+
+@pytest.mark.parametrize("method", list(seq.GRIDS))
+def test_windows_of_all_candidates_at_once(spark, method):
+    """Every candidate over every window as one detector after the other finds them: native folds, or window methods value by value."""
+    rng, (varied, grid), base = np.random.default_rng(11), seq.GRIDS[method], seq.GRID_BASE.get(method)
+    fixed, values = seq.settings(method, base), [float(v) for v in seq.GRIDS[method][1]]
+    warm = (rng.random(700) < 0.3).astype(float)
+    states = [bl.trace(method, {**fixed, varied: v}, warm)[1] for v in values]
+    for broken in (False, True):
+        rows = []
+        for name, (heads, tails) in WINDOWS.items():
+            for a, b in [] if broken and name == "long" else list(zip(heads, tails)) * 3:  # trace tests many ticks part by part, and a gap counts for its part
+                rows.append(((rng.random(a) < rng.random()).astype(float).tolist(), (rng.random(b) < rng.random()).astype(float).tolist()))
+        if broken:
+            for i, (head, tail) in enumerate(rows):
+                part = head if i % 2 and head else tail
+                part[int(rng.integers(len(part)))] = None
+        nan = [([np.nan if v is None else v for v in a], [np.nan if v is None else v for v in b]) for a, b in rows]
+        got = bl.first_alarms(method, fixed, varied, values, states, [a for a, _ in nan], [b for _, b in nan])
+        if method in bl.WINDOWED:
+            want = [[(bl.trace(method, {**fixed, varied: v}, b, bl.trace(method, {**fixed, varied: v}, a, s)[1], most=1)[0] or [0])[0]
+                     for v, s in zip(values, states)] for a, b in nan]
+        else:
+            f = seq.fold(method, {**(base or {}), varied: "param"})
+            frame = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(rows)], "w int, a array<double>, b array<double>")
+            tried = spark.createDataFrame([(i, v, s) for i, (v, s) in enumerate(zip(values, states))], "idx int, param double, state array<double>")
+            both = frame.crossJoin(F.broadcast(tried.withColumn("state", chains.fold_state(method))))
+            found = {(r["w"], r["idx"]): r["delay"] or 0 for r in both.select("w", "idx", seq.onset_detection(f, "a", "b", "state")["delay"].alias("delay")).collect()}
+            want = [[found[w, i] for i in range(len(values))] for w in range(len(rows))]
+        assert got.tolist() == want and (broken or got.any())
+
+
+@pytest.mark.parametrize("method", ["ddm", "hddm_w", "page_hinkley"])
+def test_states_without_a_number_compare_as_in_spark(spark, method):
+    varied, grid = seq.GRIDS[method]
+    state = bl.trace(method, seq.settings(method), [0.0, 1.0] * 30 + [np.nan] + [0.0] * 5)[1]
+    frame = spark.createDataFrame([([1.0, 0.0] * 20, [1.0] * 20, state, float(grid[0]))], "a array<double>, b array<double>, state array<double>, param double")
+    f = seq.fold(method, {varied: "param"})
+    want = frame.withColumn("state", chains.fold_state(method)).select(seq.onset_detection(f, "a", "b", "state")["delay"].alias("d")).first()["d"]
+    assert bl.first_alarms(method, seq.settings(method), varied, [grid[0]], [state], [[1.0, 0.0] * 20], [[1.0] * 20]).tolist() == [[want or 0]]
+
+
+def test_power_selection_warms_each_candidate_once_in_a_row(spark, monkeypatch):
+    from tidegauge.plans import trials
+    from tidegauge.plans.streams import SEGMENT_KEY
+
+    monkeypatch.setattr(chains, "LONG", 2)  # a calibration signal of many times as many segments
+    runs, rounds, chained, begins = [], [], chains.chained, chains._begins
+    monkeypatch.setattr(chains, "chained", lambda *a, **k: runs.append(a[2]) or chained(*a, **k))
+    monkeypatch.setattr(chains, "_begins", lambda *a: rounds.append(1) or begins(*a))
+    want = trials.config_power_select(spark, SF).collect()
+    spark.conf.set(SEGMENT_KEY, "20")
+    try:
+        runs.clear()
+        got = trials.config_power_select(spark, SF).collect()
+    finally:
+        spark.conf.unset(SEGMENT_KEY)
+    assert sorted(runs) == sorted(seq.GRIDS) and not rounds
+    assert {r["method"]: (r["status"], r["selected_index"]) for r in got} == {r["method"]: (r["status"], r["selected_index"]) for r in want}
+
+
 SEGMENTED = ["alarm_trace", "eddm_trace", "hddm_w", "page_hinkley", "adwin", "kswin", "warm_state", "detects_in_window"]
 
 

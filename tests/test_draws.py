@@ -40,6 +40,14 @@ def test_large_pools_do_not_overflow(spark):
     assert rows.min() >= 0 and rows.max() < n and np.unique(rows).size == 600
 
 
+@pytest.mark.parametrize("n", [1, 5, 997, 2**33])
+def test_all_places_of_a_window_at_once(spark, n):
+    sizes = spark.createDataFrame([(0, 0), (1, 30), (2, 7)], "w long, size int")
+    got = sizes.select("w", smp.draw_all(smp.draw_turns(F.col("w"), 3, 1), F.col("size"), n).alias("at")).orderBy("w").collect()
+    want = drawn(spark, n, 3, 30)
+    assert [r["at"] for r in got] == [[], want[1].tolist(), want[2][:7].tolist()]
+
+
 def test_sql_draws_the_same(spark, duck):
     for n in (5, 1000, 2**33):
         want = duck.execute(f"SELECT {draw_sql('w', 'j', str(n), 3, 1)} FROM range(4) a(w), range(30) b(j) ORDER BY w, j").fetchall()

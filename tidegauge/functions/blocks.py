@@ -189,49 +189,88 @@ def kswin_picks(n: int | np.ndarray, older: int, stat: int) -> np.ndarray:
     return (kswin_step(older) * np.arange(stat) + 11 * np.asarray(n)[..., None]) % older
 
 
+FEW = 4  # different values up to which KSWIN counts instead of sorting
+
+
 def _kswin(p: Params, seen: np.ndarray, ends: np.ndarray, sizes: np.ndarray, n: np.ndarray) -> np.ndarray:
     """Ticks where the sampled older part and the newest values differ by the exact KS test."""
     size, stat = int(p["window"]), int(p["stat"])
-    first = (ends - size)[:, None]
-    both = np.hstack([seen[first + kswin_picks(n, size - stat, stat)], seen[ends[:, None] - stat + np.arange(stat)]])
-    by = np.argsort(both, axis=1, kind="stable")
-    ranked = np.take_along_axis(both, by, axis=1)
-    ahead = np.cumsum(np.where(by < stat, 1, -1), axis=1)
-    whole = np.hstack([ranked[:, 1:] != ranked[:, :-1], np.ones((len(ends), 1), bool)])  # behind the last of equal values
-    gap = np.where(whole, np.abs(ahead), 0).max(axis=1)
+    old, new = (ends - size)[:, None] + kswin_picks(n, size - stat, stat), ends[:, None] - stat + np.arange(stat)
+    gap = np.zeros((len(seen), len(ends)), np.int64)
+    values = _different(seen)
+    if values is not None:  # the gap is largest behind one of the values; the last one has everything up to it
+        for v in values[:-1]:
+            upto = (seen <= v).astype(np.int32)
+            before = np.hstack([np.zeros((len(seen), 1), np.int64), upto.cumsum(axis=1, dtype=np.int64)])
+            apart = -(before[:, ends] - before[:, ends - stat])
+            for at in old.T:
+                apart += upto.take(at, axis=1)
+            gap = np.maximum(gap, np.abs(apart))
+    else:
+        both = np.concatenate([seen[:, old], seen[:, new]], axis=2)
+        by = np.argsort(both, axis=2, kind="stable")
+        ranked = np.take_along_axis(both, by, axis=2)
+        ahead = np.cumsum(np.where(by < stat, 1, -1), axis=2)
+        whole = np.concatenate([ranked[:, :, 1:] != ranked[:, :, :-1], np.ones((*ranked.shape[:2], 1), bool)], axis=2)  # behind the last of equal values
+        gap = np.where(whole, np.abs(ahead), 0).max(axis=2)
     return (_ks_table(stat)[gap] <= p["alpha"]) & (gap / stat > 0.1)
 
 
+def _different(seen: np.ndarray) -> list[float] | None:
+    """The different values in order where they are at most FEW and all known, else None."""
+    out, low = [], -INF
+    if np.isnan(seen).any():
+        return None
+    left = seen.ravel()
+    while left.size:
+        if len(out) == FEW:
+            return None
+        low = left.min()
+        out.append(float(low))
+        left = left[left > low]
+    return out
+
+
 class Split(NamedTuple):
-    """Windows (rows) seen as an older and a newer part at many cuts (columns) at once; ``real`` marks the cuts a window has."""
+    """Windows (rows of values by ticks) seen as an older and a newer part at many cuts (last axis) at once; ``real`` marks the cuts a window has."""
 
     older: np.ndarray
     newer: np.ndarray
     rise: np.ndarray
-    older_var: np.ndarray
-    newer_var: np.ndarray
+    older_var: np.ndarray | None
+    newer_var: np.ndarray | None
     real: np.ndarray
     spread: np.ndarray  # variance of each whole window, over all its values
 
 
-def _split(p: Params, seen: np.ndarray, ends: np.ndarray, sizes: np.ndarray) -> Split:
+def _split(p: Params, seen: np.ndarray, ends: np.ndarray, sizes: np.ndarray, variances: bool = True) -> Split:
     least = int(p["min_len"])
     cuts = np.arange(least, max(least, int(sizes.max()) - least) + 1, int(p["step"]))
-    z = seen - seen.mean()
-    sums = np.vstack([np.zeros(2), np.column_stack([z, z * z]).cumsum(axis=0)]).T
+    z = seen - seen.mean(axis=1, keepdims=True)
+    nought = np.zeros((len(z), 1))
+    sums, squares = (np.hstack([nought, v.cumsum(axis=1)]) for v in (z, z * z))
     begin = (ends - sizes)[:, None]
     real = cuts <= (sizes - least)[:, None]
     mid = np.where(real, begin + cuts, begin + least)
-    head, tail = sums[:, mid] - sums[:, begin], sums[:, ends][:, :, None] - sums[:, mid]
     older = (mid - begin).astype(np.float64)
     newer = sizes[:, None] - older
 
-    def variance(part: np.ndarray, n: np.ndarray) -> np.ndarray:
-        return np.clip((part[1] - part[0] ** 2 / n) / np.maximum(n - 1, 1), 0.0, None)
+    def parts(run: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = run.take(mid, axis=1)
+        return at - run[:, begin], run[:, ends][:, :, None] - at
+
+    def variance(total: np.ndarray, square: np.ndarray, n: np.ndarray) -> np.ndarray:
+        return np.clip((square - total**2 / n) / np.maximum(n - 1, 1), 0.0, None)
 
-    whole = (sums[:, ends] - sums[:, begin[:, 0]]) / sizes
-    spread = np.clip(whole[1] - whole[0] ** 2, 0.0, None)
-    return Split(older, newer, tail[0] / newer - head[0] / older, variance(head, older), variance(tail, newer), real, spread)
+    head, tail = parts(sums)
+    if variances:
+        head2, tail2 = parts(squares)
+        by_part = variance(head, head2, older), variance(tail, tail2, newer)
+    else:
+        by_part = None, None
+    first, second = ((run[:, ends] - run[:, begin[:, 0]]) / sizes for run in (sums, squares))
+    spread = np.clip(second - first**2, 0.0, None)
+    return Split(older, newer, tail / newer - head / older, *by_part, real, spread)
 
 
 def _adwin(p: Params, seen: np.ndarray, ends: np.ndarray, sizes: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -239,11 +278,11 @@ def _adwin(p: Params, seen: np.ndarray, ends: np.ndarray, sizes: np.ndarray, n:
 
     With m the harmonic size of the parts and L = ln(2 / delta'), the bound is sqrt(2 v L / m) + 2 L / (3 m).
     """
-    part = _split(p, seen, ends, sizes)
+    part = _split(p, seen, ends, sizes, variances=False)
     log_term = np.maximum(np.log(2.0 * np.log(sizes) / p["delta"]), 1e-7)[:, None]
     per_m = sizes[:, None] / (part.older * part.newer)
-    bound = np.sqrt(2.0 * part.spread[:, None] * log_term * per_m) + 2.0 / 3.0 * log_term * per_m
-    return (part.real & ((np.abs(part.rise) if p["two_sided"] else part.rise) > bound)).any(axis=1)
+    bound = np.sqrt(2.0 * part.spread[:, :, None] * log_term * per_m) + 2.0 / 3.0 * log_term * per_m
+    return (part.real & ((np.abs(part.rise) if p["two_sided"] else part.rise) > bound)).any(axis=2)
 
 
 @lru_cache(maxsize=4096)
@@ -294,26 +333,32 @@ def _optwin(p: Params, seen: np.ndarray, ends: np.ndarray, sizes: np.ndarray, n:
     part, sides = _split(p, seen, ends, sizes), 2.0 if p["two_sided"] else 1.0
     level = p["delta"] / (part.real.sum(axis=1) * max(math.ceil(p["max_window"] / p["clock"]), 1))
     limit = np.array([_normal_limit(v / sides) for v in level.tolist()])
-    levels = np.broadcast_to(level[:, None], part.rise.shape)
+    shape = part.rise.shape
+    levels, older, newer = (np.broadcast_to(v, shape) for v in (level[:, None], part.older, part.newer))
     height = np.abs(part.rise) if p["two_sided"] else part.rise
-    wide = part.real & (height > 0.0) & (height * np.sqrt(part.newer) >= p["rigor"] * np.sqrt(np.maximum(part.older_var, 1e-12)))
+
+    def wide(cells: tuple | np.ndarray) -> np.ndarray:
+        return height[cells] * np.sqrt(newer[cells]) >= p["rigor"] * np.sqrt(np.maximum(part.older_var[cells], 1e-12))
+
     by_old, by_new = part.older_var / part.older, part.newer_var / part.newer
     error = by_old + by_new
-    found = np.zeros(error.shape, bool)
+    found = np.zeros(shape, bool)
     # Student's tails are never below the normal ones: only cells beyond the normal limit need the exact tail.
     t = np.divide(height, np.sqrt(error), out=np.zeros_like(height), where=error > 1e-12)
-    near = wide & (error > 1e-12) & (t >= limit[:, None])
+    rises = part.real & (height > 0.0)
+    near = rises & (error > 1e-12) & (t >= limit[:, None])
+    near[near] = wide(near)
     if near.any():
-        spread = by_old[near] ** 2 / np.maximum(part.older[near] - 1, 1) + by_new[near] ** 2 / np.maximum(part.newer[near] - 1, 1)
+        spread = by_old[near] ** 2 / np.maximum(older[near] - 1, 1) + by_new[near] ** 2 / np.maximum(newer[near] - 1, 1)
         dof = np.divide(error[near] ** 2, spread, out=np.ones(int(near.sum())), where=spread > 1e-18)
         found[near] = sides * t_sf(t[near], dof) <= levels[near]
     if p["f_test"]:
-        open_f = wide & ~found & (part.older_var > 1e-12) & (part.newer_var > 1e-12)
-        open_f[np.maximum.accumulate(found.any(axis=1))] = False  # ticks at or behind one that is decided
+        open_f = rises & wide(...) & ~found & (part.older_var > 1e-12) & (part.newer_var > 1e-12)
+        open_f[np.maximum.accumulate(found.any(axis=2), axis=1)] = False  # ticks at or behind one that is decided
         if open_f.any():
-            above = f_sf(part.newer_var[open_f] / part.older_var[open_f], part.newer[open_f] - 1, part.older[open_f] - 1)
+            above = f_sf(part.newer_var[open_f] / part.older_var[open_f], newer[open_f] - 1, older[open_f] - 1)
             found[open_f] = (np.minimum(1.0, 2.0 * np.minimum(above, 1.0 - above)) if p["two_sided"] else above) <= levels[open_f]
-    return found.any(axis=1)
+    return found.any(axis=2)
 
 
 _TICKS: dict[str, Callable[[Params, np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray]] = {
@@ -361,7 +406,7 @@ def _advance_window(method: str, p: Params, s: State, x: np.ndarray) -> tuple[in
     while lo < len(ticks):
         part = slice(lo, lo + rows)
         begin = int((ends[part] - sizes[part]).min())
-        hit = _first(_TICKS[method](p, seen[begin : int(ends[part][-1])], ends[part] - begin, sizes[part], n + ticks[part]))
+        hit = _first(_TICKS[method](p, seen[None, begin : int(ends[part][-1])], ends[part] - begin, sizes[part], n + ticks[part])[0])
         if hit is not None:
             at = int(ticks[lo + hit])
             return at - 1, [float(n + at), *seen[max(0, len(kept) + at - size) : len(kept) + at].tolist()]
@@ -405,6 +450,166 @@ def joined_trace(
     return hits, s
 
 
+# ---------------------------------------------------------------- many short windows at once
+
+
+def _above(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a > b in the order of Spark SQL, in which NaN is above all numbers, as the native folds compare."""
+    return ~(a <= b) & (b == b)
+
+
+Step = tuple[np.ndarray, list[np.ndarray]]  # (alarm, state fields) behind one value of every window and candidate
+
+
+def _ddm_step(p: Params, s: list[np.ndarray], x: np.ndarray) -> Step:
+    n, mean, best, bp, bs = s
+    n = n + 1
+    mean = mean + (x - mean) / n
+    sd = np.sqrt(np.maximum(mean * (1 - mean) / n, 0.0))
+    level, warm = mean + sd, n > p["warm"]
+    better = warm & ~_above(level, best)
+    best, bp, bs = np.where(better, level, best), np.where(better, mean, bp), np.where(better, sd, bs)
+    return warm & _above(level, bp + p["drift"] * bs), [n, mean, best, bp, bs]
+
+
+def _eddm_step(p: Params, s: list[np.ndarray], x: np.ndarray) -> Step:
+    n, k, last, mean, m2, top = s
+    n, hit = n + 1, x == 1
+    k, d = k + hit, n - last
+    gap, mean = d - mean, np.where(hit, mean + (d - mean) / np.maximum(k, 1), mean)
+    m2, last = np.where(hit, m2 + gap * (d - mean), m2), np.where(hit, n, last)
+    score, known = mean + 2.0 * np.sqrt(np.maximum(m2 / np.maximum(k - 1, 1), 0.0)), hit & (n > p["warm"]) & (k >= 2)
+    alarm = known & ~_above(score, top) & (k > p["warm"]) & _above(top, 0.0) & _above(p["beta"] * top, score)
+    return alarm, [n, k, last, mean, m2, np.where(known, np.maximum(top, score), top)]
+
+
+def _hddm_w_step(p: Params, s: list[np.ndarray], x: np.ndarray) -> Step:
+    lam, keep, scale = p["lam"], 1 - p["lam"], np.log(1.0 / p["conf"])
+    n, t, ti, cut, a, ai, b, bi, bn = s
+    t, ti, n = np.where(n == 0, x, lam * x + keep * t), lam * lam + keep * keep * ti, n + 1
+    level = t + np.sqrt(np.maximum(ti, 0.0) * scale / 2.0)
+    here = _above(cut, level)
+    b = np.where(here, 0.0, np.where(bn == 0, x, lam * x + keep * b))
+    cut, a, ai = np.where(here, level, cut), np.where(here, t, a), np.where(here, ti, ai)
+    bi, bn = np.where(here, 1.0, lam * lam + keep * keep * bi), np.where(here, 0.0, bn + 1)
+    return (bn > 0) & _above(b - a, np.sqrt(np.maximum(ai + bi, 0.0) * scale / 2.0)), [n, t, ti, cut, a, ai, b, bi, bn]
+
+
+def _page_hinkley_step(p: Params, s: list[np.ndarray], x: np.ndarray) -> Step:
+    n, mean, up, down, lo, hi = s
+    n = n + 1
+    mean = mean + (x - mean) / n
+    up, down = p["alpha"] * up + (x - mean) - p["delta"], p["alpha"] * down + (x - mean) + p["delta"]
+    lo, hi = np.fmin(lo, up), np.maximum(hi, down)
+    mode, moved = p.get("mode", "both"), np.zeros(mean.shape, bool)
+    if mode in ("up", "both"):
+        moved |= _above(up - lo, p["threshold"])
+    if mode in ("down", "both"):
+        moved |= _above(hi - down, p["threshold"])
+    return (n >= p["min_n"]) & moved, [n, mean, up, down, lo, hi]
+
+
+_STEPS: dict[str, Callable[[Params, list[np.ndarray], np.ndarray], Step]] = {
+    "ddm": _ddm_step, "eddm": _eddm_step, "hddm_w": _hddm_w_step, "page_hinkley": _page_hinkley_step,
+}
+ACROSS = 1 << 12  # windows times candidates that take a step of a fold together
+
+
+def _fold_alarms(method: str, fixed: Params, varied: str, values: Sequence[float], states: Sequence[State], heads: np.ndarray, tails: np.ndarray) -> np.ndarray:
+    """Step by step over all windows and candidates side by side, with the arithmetic of the native folds."""
+    p, fresh = {**fixed, varied: np.asarray(values, dtype=np.float64)}, list(FIELDS[method].values())
+    first = np.zeros((len(tails), len(states)), np.int32)
+    s = [np.tile(np.asarray(column, dtype=np.float64), (len(tails), 1)) for column in zip(*states)]
+    lost = np.zeros((len(tails), 1), bool)  # behind a missing value no level is known any more
+    with np.errstate(invalid="ignore"):
+        for x in heads.T[:, :, None]:
+            lost |= np.isnan(x)
+            alarm, s = _STEPS[method](p, s, x)
+            alarm &= ~lost
+            if alarm.any():
+                for field, value in zip(s, fresh):
+                    field[alarm] = value
+        for i, x in enumerate(tails.T[:, :, None]):
+            lost |= np.isnan(x)
+            alarm, s = _STEPS[method](p, s, x)
+            first[alarm & ~lost & (first == 0)] = i + 1
+    return first
+
+
+def _first_ticks(method: str, p: Params, n: int, kept: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """First alarm in each row of values behind n values of which ``kept`` are in the window, 0 where there is none."""
+    size, clock = window_size(method, p), int(p["clock"])
+    ticks = np.arange(clock - n % clock, x.shape[1] + 1, clock)
+    ends = kept.shape[1] + ticks
+    sizes = np.minimum(ends, size)
+    due = sizes >= _needed(method, p)
+    ticks, ends, sizes = ticks[due], ends[due], sizes[due]
+    out = np.zeros(len(x), np.int32)
+    if len(ticks) and len(x):
+        begin, end = int((ends - sizes).min()), int(ends[-1])
+        rows = max(1, (CELLS >> 3) // (len(ticks) * (int(p["stat"]) * 2 if method == "kswin" else max(1, size // int(p["step"])))))
+        for lo in range(0, len(x), rows):
+            seen = np.hstack([kept[lo : lo + rows], x[lo : lo + rows]])[:, begin:end]
+            hit = _TICKS[method](p, seen, ends - begin, sizes, n + ticks)
+            out[lo : lo + rows] = np.where(hit.any(axis=1), ticks[hit.argmax(axis=1)], 0)
+    return out
+
+
+def _window_alarms(method: str, p: Params, n: int, kept: np.ndarray, heads: np.ndarray, tails: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first alarm in each tail behind its head, whether there was any alarm); rows go on together as long as they alarm at the same places."""
+    at = _first_ticks(method, p, n, kept, heads)
+    out, quiet = np.zeros(len(tails), np.int32), at == 0
+    if quiet.any():
+        seen = np.hstack([kept[quiet], heads[quiet]])
+        out[quiet] = _first_ticks(method, p, n + heads.shape[1], seen[:, max(0, seen.shape[1] - window_size(method, p)) :], tails[quiet])
+    for a in np.unique(at[~quiet]):
+        rows = at == a
+        out[rows] = _window_alarms(method, p, 0, kept[rows, :0], heads[rows, a:], tails[rows])[0]
+    return out, ~quiet | (out > 0)
+
+
+STRICT = {"kswin": "alpha", "adwin": "delta", "optwin": "delta"}  # the lower it is, the fewer ticks alarm: none but those of a higher one
+
+
+def _grid_alarms(method: str, fixed: Params, varied: str, values: Sequence[float], states: Sequence[State], heads: np.ndarray, tails: np.ndarray) -> np.ndarray:
+    """Candidates that start from the same window follow each other, least strict first: only rows in which one alarms are read for the next."""
+    out, alike = np.zeros((len(tails), len(states)), np.int32), {}
+    turn = math.lcm(int(fixed["clock"]), int(fixed["window"]) - int(fixed["stat"])) if method == "kswin" else int(fixed["clock"])
+    for i, s in enumerate(states):  # beyond the ticks and the sampled places, the number of values read does not matter
+        key = (int(s[0]) % turn, np.asarray(s[1:], dtype=np.float64).tobytes(), 0 if varied == STRICT[method] else i)
+        alike.setdefault(key, []).append(i)
+    for same in alike.values():
+        rows = np.arange(len(tails))
+        for i in sorted(same, key=lambda i: -values[i]):
+            n, kept = int(states[i][0]), np.tile(np.asarray(states[i][1:], dtype=np.float64), (len(rows), 1))
+            first, any_alarm = _window_alarms(method, {**fixed, varied: values[i]}, n, kept, heads[rows], tails[rows])
+            out[rows, i] = first
+            rows = rows[any_alarm]
+            if not len(rows):
+                break
+    return out
+
+
+def first_alarms(
+    method: str, fixed: Params, varied: str, values: Sequence[float], states: Sequence[State], heads: Sequence[Sequence[float]], tails: Sequence[Sequence[float]]
+) -> np.ndarray:
+    """First alarm (1-based, 0 where none) in each tail, from every candidate's state and read behind the window's head with resets: windows by candidates.
+
+    A candidate is a value of the setting ``varied`` and a state; windows are short arrays, NaN where a value is missing.
+    """
+    out, shapes = np.zeros((len(tails), len(states)), np.int32), {}
+    for i, (head, tail) in enumerate(zip(heads, tails)):
+        shapes.setdefault((len(head), len(tail)), []).append(i)
+    run = _grid_alarms if method in WINDOWED else _fold_alarms
+    step = 1 << 10 if method in WINDOWED else max(1, ACROSS // max(1, len(states)))
+    for (before, behind), at in shapes.items():
+        for lo in range(0, len(at) if len(states) else 0, step):
+            part = at[lo : lo + step]
+            a, b = (np.array([rows[i] for i in part], dtype=np.float64).reshape(len(part), size) for rows, size in ((heads, before), (tails, behind)))
+            out[part] = run(method, fixed, varied, values, states, a, b)
+    return out
+
+
 # ---------------------------------------------------------------- composition over blocks without an alarm
 
 

@@ -62,6 +62,12 @@ def _elements(rows: DataFrame, part: int, method: str, params: dict[str, Any] |
     return element("xs", begin, F.col("param") if varied else F.lit(0.0))
 
 
+def _by_key(rows: DataFrame, *cols: str) -> DataFrame:
+    """The rows of a key in one task. The key is hashed once more: a join's shuffle by the bare key would stand in for this one, and where
+    that join turns out to be a broadcast, its shuffle is read as it was written, which leaves a key in several tasks."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64(*cols))
+
+
 def _scan(items: DataFrame, part: int, most: int, method: str, params: dict[str, Any] | None, varied: str | None) -> DataFrame:
     """(_k, seg, part state at the segment's start) of items (_k, seg, param, e, c): the element, or the state ``c`` a segment ends in for sure.
 
@@ -102,15 +108,14 @@ def _scan(items: DataFrame, part: int, most: int, method: str, params: dict[str,
         if now is not None:
             yield row()
 
-    n = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     kind = "_k string, seg bigint"
     if most < BLOCK:
         whole = items.withColumn("_blk", F.lit(0).cast("long")).withColumn("b", F.lit(None).cast("array<double>"))
-        return whole.repartition(n, "_k").sortWithinPartitions("_k", "seg").mapInPandas(starts, f"{kind}, at_start array<double>")
-    cut = items.withColumn("_blk", F.floor(F.col("seg") / BLOCK)).repartition(n, "_k", "_blk").sortWithinPartitions("_k", "_blk", "seg")
+        return _by_key(whole, "_k").sortWithinPartitions("_k", "seg").mapInPandas(starts, f"{kind}, at_start array<double>")
+    cut = _by_key(items.withColumn("_blk", F.floor(F.col("seg") / BLOCK)), "_k", "_blk").sortWithinPartitions("_k", "_blk", "seg")
     composed = cut.mapInPandas(totals, f"{kind}, param double, e array<double>, c array<double>")
     above = _scan(composed, part, most // BLOCK, method, params, varied).select("_k", F.col("seg").alias("_blk"), F.col("at_start").alias("b"))
-    met = cut.join(above, ["_k", "_blk"]).repartition(n, "_k", "_blk").sortWithinPartitions("_k", "_blk", "seg")
+    met = _by_key(cut.join(above, ["_k", "_blk"]), "_k", "_blk").sortWithinPartitions("_k", "_blk", "seg")
     return met.mapInPandas(starts, f"{kind}, at_start array<double>")
 
 
@@ -162,26 +167,29 @@ def _in_a_row(held: DataFrame, method: str, params: dict[str, Any] | None, varie
     return held.sortWithinPartitions("_k", "seg").mapInPandas(run, "_k string, seg bigint, at array<int>, state array<double>")
 
 
-def chained(packed: DataFrame, keys: Sequence[str], method: str, params: dict[str, Any] | None = None, varied: str | None = None) -> DataFrame:
+def chained(
+    packed: DataFrame, keys: Sequence[str], method: str, params: dict[str, Any] | None = None, varied: str | None = None,
+    long: int | None = None, stored: bool = False,
+) -> DataFrame:
     """Rows (keys, seg, at, state) of unbroken runs over segments (keys, seg, xs): alarm positions inside each segment and the state behind it.
 
-    With ``varied``, the column ``param`` (one of the keys) holds the value of that parameter.
+    With ``varied``, the column ``param`` (one of the keys) holds the value of that parameter. Keys of fewer than ``long`` segments (LONG)
+    are read through in a row. ``stored`` segments are read again instead of being stored once more.
     """
-    rows = cut_lineage(packed)
+    rows, long_from = packed if stored else cut_lineage(packed), LONG if long is None else long
     most = rows.agg(F.max("seg")).first()[0] or 0
     if most == 0:
         return segment_runs(rows, method, params, varied).select(*keys, "seg", "run.at", "run.state")
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     named = F.to_json(F.struct(*[F.col(k) for k in keys]), {"ignoreNullFields": "false"}) if keys else F.lit("{}")
     value = F.col("param").cast("double") if varied else F.lit(0.0)
     named_rows = rows.select(named.alias("_k"), F.col("seg").cast("long").alias("seg"), value.alias("param"), "xs")
-    if most < LONG:
+    if most < long_from:
         short, settled = named_rows, None
     else:
-        long = kept(named_rows.groupBy("_k").agg(F.max("seg").alias("_last")).where(F.col("_last") >= LONG).select("_k"))
+        long = kept(named_rows.groupBy("_k").agg(F.max("seg").alias("_last")).where(F.col("_last") >= long_from).select("_k"))
         short = named_rows.join(long, "_k", "left_anti")
         settled = _side_by_side(named_rows.join(long, "_k", "left_semi"), most, method, params, varied)
-    through = _in_a_row(short.repartition(n, "_k"), method, params, varied)
+    through = _in_a_row(_by_key(short, "_k"), method, params, varied)
     settled = through if settled is None else settled.unionByName(through)
     back = rows.select(*keys, F.col("seg").cast("long").alias("seg"), named.alias("_k"))
     return back.join(settled, ["_k", "seg"]).select(*keys, "seg", "at", "state")
@@ -213,7 +221,7 @@ def _side_by_side(long: DataFrame, most: int, method: str, params: dict[str, Any
         heads = met.where("seg = first").select("_k", "seg", "param", F.col("state").alias("c"))
         if 2 * left > ran:
             rest = segment_runs(live, method, params, varied).join(heads.select("_k", F.col("c").alias("head")), "_k")
-            settled = settled.unionByName(_in_a_row(rest.repartition(n, "_k"), method, params, varied))
+            settled = settled.unionByName(_in_a_row(_by_key(rest, "_k"), method, params, varied))
             break
         known = met.where("seg > first").select("_k", "seg", "state", "alarmed")
     return settled

@@ -7,7 +7,7 @@ those at or above the 0.70 calibration level form the degrading pool.
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidegauge.core.session import cut_lineage, row_budget, scratch_path, table
@@ -23,6 +23,7 @@ from tidegauge.plans.samples import draw_sql
 from tidegauge.plans.streams import SEGMENT_KEY, SEGMENT_ROWS
 
 CLEAN, AFTER, LEVEL = 100, 60, 0.70
+IN_A_ROW = 1 << 26  # calibration values that one task reads through for a candidate; the segments of longer signals run side by side
 FORMATS = {"click": "mcq", "view": "yes_no", "signup": "open_short", "purchase": "caption", "error": "binary"}
 
 SIG_SQL = """ev AS (SELECT event_id, event_type, value, ('0x' || substr(md5(event_id::VARCHAR), 1, 8))::BIGINT % 2 = 0 AS cal FROM events),
@@ -67,7 +68,7 @@ class Pools:
             F.sum(F.col("cal").cast("int")).alias("k"),
         ).first()
         self.c, self.d, self.k = sizes["c"], sizes["d"], sizes["k"]
-        self.spark, self._packed = spark, None
+        self.spark, self._packed, self._tried = spark, None, None
         self.clean = smp.pool_index(test, "event_id", "clean", rows=self.c)
         self.drift = smp.pool_index(test.where(F.col("level") >= LEVEL), "event_id", "drift", rows=self.d)
         self.cal = smp.pool_index(rows.where("cal"), "event_id", "cal", rows=self.k)
@@ -99,13 +100,29 @@ class Pools:
         if self._packed is None:  # stored once: every method and candidate reads it
             events = self.cal.select((F.col("idx") + 1).alias("rn"), sig.binarize(F.col("level"), LEVEL, True).cast("double").alias("x"))
             self._packed = cut_lineage(ops.segments(events, [], F.col("x"), row_budget(self.spark, SEGMENT_KEY, SEGMENT_ROWS)))
-        packed, keys = self._packed, []
-        if grid is not None:
-            packed, keys = packed.join(F.broadcast(grid)), ["idx", "param"]
-        varied = seq.GRIDS[method][0] if grid is not None else None
-        out = chains.end_state(chains.chained(packed, keys, method, params, varied), keys)
+        packed, keys, varied, long = self._packed, [], None, None
+        if grid is not None:  # the candidates already run side by side
+            packed, keys, varied = packed.join(F.broadcast(grid)), ["idx", "param"], seq.GRIDS[method][0]
+            long = max(chains.LONG, IN_A_ROW // row_budget(self.spark, SEGMENT_KEY, SEGMENT_ROWS))
+        out = chains.end_state(chains.chained(packed, keys, method, params, varied, long, stored=True), keys)
         return out.withColumn("state", chains.fold_state(method)) if method in seq.FOLDS else out
 
+    def tried(self, method: str) -> list[tuple[int, float, list[float]]]:
+        """Warmed candidates of a method (index, setting, state), for the closures of tasks: a few rows, each at most a window of values.
+
+        All methods are warmed in one job and once, whatever reads them.
+        """
+        if self._tried is None:
+            self._tried = {m: [] for m in seq.GRIDS}
+            rows = None
+            for m in seq.GRIDS:
+                state = F.array(*[F.col("state")[f].cast("double") for f in bl.FIELDS[m]]) if m in seq.FOLDS else F.col("state")
+                part = warmed(self, m).select("method", "idx", "param", state.alias("state"))
+                rows = part if rows is None else rows.unionByName(part)
+            for r in sorted(rows.collect(), key=lambda r: r["idx"]):
+                self._tried[r["method"]].append((r["idx"], r["param"], r["state"]))
+        return self._tried[method]
+
     def stationary(self, windows: int, size: int) -> DataFrame:
         plan = smp.stationary_plan(self.spark, windows, size, self.k, 4)
         drawn = plan.hint("merge").join(self.cal.select(F.col("idx").alias("pool_idx"), "level"), "pool_idx")
@@ -129,24 +146,25 @@ def warmed(p: Pools, method: str) -> DataFrame:
     return states.select(F.lit(method).alias("method"), "idx", "param", "state")
 
 
-def candidate(method: str):
-    """(first alarm in an array, first alarm in a second array behind a first one) of the warmed candidates of a method, as columns."""
-    if method in seq.FOLDS:
-        f = seq.fold(method, {**seq.GRID_BASE.get(method, {}), seq.GRIDS[method][0]: "param"})
-        return (lambda xs: seq.first_detection(f, xs, "state")), (lambda clean, drift: seq.onset_detection(f, clean, drift, "state")["delay"])
+def candidate(p: Pools, method: str):
+    """(first alarm in an array, first alarm in a second array behind a first one) of every warmed candidate of a method, as columns of arrays, 0 where none."""
     fixed, name = seq.settings(method, seq.GRID_BASE.get(method)), seq.GRIDS[method][0]
+    values, states = [v for _, v, _ in p.tried(method)], [s for _, _, s in p.tried(method)]
 
-    @F.pandas_udf("int")
-    def first(clean: pd.Series, drift: pd.Series, state: pd.Series, param: pd.Series) -> pd.Series:
-        out = []
-        for head, tail, s, v in zip(clean, drift, state, param):
-            given = {**fixed, name: float(v)}
-            behind = bl.trace(method, given, head, list(s))[1]
-            out.append((bl.trace(method, given, tail, behind, most=1)[0] or [None])[0])
-        return pd.Series(out, dtype="Int32")
+    @F.pandas_udf("array<int>")
+    def first(clean: pd.Series, drift: pd.Series) -> pd.Series:
+        return pd.Series(list(bl.first_alarms(method, fixed, name, values, states, list(clean), list(drift))))
 
     nothing = "cast(array() AS array<double>)"
-    return (lambda xs: first(F.expr(nothing), F.expr(xs), "state", "param")), (lambda clean, drift: first(F.expr(clean), F.expr(drift), "state", "param"))
+    return (lambda xs: first(F.expr(nothing), F.expr(xs))), (lambda clean, drift: first(F.expr(clean), F.expr(drift)))
+
+
+def tries(p: Pools, windows: DataFrame, method: str, first: Column, *cols: str) -> DataFrame:
+    """(method, idx, param, cols, hit): one row per window and candidate, given the column of the candidates' first alarms."""
+    idx, param = (F.array(*[F.lit(r[i]) for r in p.tried(method)]).cast(f"array<{kind}>") for i, kind in enumerate(("int", "double")))
+    each = windows.select(*cols, F.posexplode(first).alias("_i", "_at"))
+    return each.select(F.lit(method).alias("method"), F.get(idx, F.col("_i")).alias("idx"), F.get(param, F.col("_i")).alias("param"), *cols,
+                       (F.col("_at") > 0).cast("double").alias("hit"))
 
 
 def onset_rows(p: Pools, method: str, params: dict) -> DataFrame:
@@ -407,11 +425,10 @@ cand AS ({stacked('cand')})"""
 
 
 def calibration_rows(p: Pools) -> DataFrame:
-    """Alarm rate of every candidate of every method on stationary windows; a grid is a few rows, so it is the broadcast side."""
+    """Alarm rate of every candidate of every method on stationary windows."""
     windows, out = spread(p.stationary(p.k // 100, WSIZE)), None
     for method in seq.GRIDS:
-        hit = candidate(method)[0]("xs").isNotNull()
-        part = windows.join(F.broadcast(warmed(p, method))).select("method", "idx", "param", hit.cast("double").alias("hit"))
+        part = tries(p, windows, method, candidate(p, method)[0]("xs"))
         out = part if out is None else out.unionByName(part)
     return out.groupBy("method", "idx", "param").agg(F.avg("hit").alias("fpr"))
 
@@ -470,9 +487,8 @@ def config_power_select(spark, sf):
     plan = smp.window_plan(spark, p.c // 250, WSIZE, POWER_RATIOS, p.c, p.d, 6)
     windows, out = spread(smp.materialize(plan, p.both(), ["ratio", "window_id", "n_clean", "n_drift"], ["level"])), None
     for method in seq.GRIDS:
-        hit = candidate(method)[1](events_of("clean_level"), events_of("drift_level")).isNotNull()
-        part = windows.join(F.broadcast(warmed(p, method))).select("method", "idx", "ratio", hit.cast("double").alias("h"))  # grid rows
+        part = tries(p, windows, method, candidate(p, method)[1](events_of("clean_level"), events_of("drift_level")), "ratio")
         out = part if out is None else out.unionByName(part)
-    power = out.groupBy("method", "idx", "ratio").agg(F.avg("h").alias("h")).groupBy("method", "idx").agg(F.avg("h").alias("power"))
+    power = out.groupBy("method", "idx", "ratio").agg(F.avg("hit").alias("h")).groupBy("method", "idx").agg(F.avg("h").alias("power"))
     best = sig.pick_by_power(calibration_rows(p).join(power, ["method", "idx"]), 0.5)
     return best.select("method", "status", "selected_index", F.round("power", 6).alias("power"), F.round("fpr", 6).alias("fpr"))
