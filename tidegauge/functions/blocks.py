@@ -453,11 +453,6 @@ def joined_trace(
 # ---------------------------------------------------------------- many short windows at once
 
 
-def _above(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """a > b in the order of Spark SQL, in which NaN is above all numbers, as the native folds compare."""
-    return ~(a <= b) & (b == b)
-
-
 Step = tuple[np.ndarray, list[np.ndarray]]  # (alarm, state fields) behind one value of every window and candidate
 
 
@@ -467,9 +462,9 @@ def _ddm_step(p: Params, s: list[np.ndarray], x: np.ndarray) -> Step:
     mean = mean + (x - mean) / n
     sd = np.sqrt(np.maximum(mean * (1 - mean) / n, 0.0))
     level, warm = mean + sd, n > p["warm"]
-    better = warm & ~_above(level, best)
+    better = warm & (level <= best)
     best, bp, bs = np.where(better, level, best), np.where(better, mean, bp), np.where(better, sd, bs)
-    return warm & _above(level, bp + p["drift"] * bs), [n, mean, best, bp, bs]
+    return warm & (level > bp + p["drift"] * bs), [n, mean, best, bp, bs]
 
 
 def _eddm_step(p: Params, s: list[np.ndarray], x: np.ndarray) -> Step:
@@ -479,7 +474,7 @@ def _eddm_step(p: Params, s: list[np.ndarray], x: np.ndarray) -> Step:
     gap, mean = d - mean, np.where(hit, mean + (d - mean) / np.maximum(k, 1), mean)
     m2, last = np.where(hit, m2 + gap * (d - mean), m2), np.where(hit, n, last)
     score, known = mean + 2.0 * np.sqrt(np.maximum(m2 / np.maximum(k - 1, 1), 0.0)), hit & (n > p["warm"]) & (k >= 2)
-    alarm = known & ~_above(score, top) & (k > p["warm"]) & _above(top, 0.0) & _above(p["beta"] * top, score)
+    alarm = known & (score <= top) & (k > p["warm"]) & (top > 0) & (score < p["beta"] * top)
     return alarm, [n, k, last, mean, m2, np.where(known, np.maximum(top, score), top)]
 
 
@@ -488,11 +483,11 @@ def _hddm_w_step(p: Params, s: list[np.ndarray], x: np.ndarray) -> Step:
     n, t, ti, cut, a, ai, b, bi, bn = s
     t, ti, n = np.where(n == 0, x, lam * x + keep * t), lam * lam + keep * keep * ti, n + 1
     level = t + np.sqrt(np.maximum(ti, 0.0) * scale / 2.0)
-    here = _above(cut, level)
+    here = level < cut
     b = np.where(here, 0.0, np.where(bn == 0, x, lam * x + keep * b))
     cut, a, ai = np.where(here, level, cut), np.where(here, t, a), np.where(here, ti, ai)
     bi, bn = np.where(here, 1.0, lam * lam + keep * keep * bi), np.where(here, 0.0, bn + 1)
-    return (bn > 0) & _above(b - a, np.sqrt(np.maximum(ai + bi, 0.0) * scale / 2.0)), [n, t, ti, cut, a, ai, b, bi, bn]
+    return (bn > 0) & (b - a > np.sqrt(np.maximum(ai + bi, 0.0) * scale / 2.0)), [n, t, ti, cut, a, ai, b, bi, bn]
 
 
 def _page_hinkley_step(p: Params, s: list[np.ndarray], x: np.ndarray) -> Step:
@@ -500,12 +495,12 @@ def _page_hinkley_step(p: Params, s: list[np.ndarray], x: np.ndarray) -> Step:
     n = n + 1
     mean = mean + (x - mean) / n
     up, down = p["alpha"] * up + (x - mean) - p["delta"], p["alpha"] * down + (x - mean) + p["delta"]
-    lo, hi = np.fmin(lo, up), np.maximum(hi, down)
+    lo, hi = np.minimum(lo, up), np.maximum(hi, down)
     mode, moved = p.get("mode", "both"), np.zeros(mean.shape, bool)
     if mode in ("up", "both"):
-        moved |= _above(up - lo, p["threshold"])
+        moved |= up - lo > p["threshold"]
     if mode in ("down", "both"):
-        moved |= _above(hi - down, p["threshold"])
+        moved |= hi - down > p["threshold"]
     return (n >= p["min_n"]) & moved, [n, mean, up, down, lo, hi]
 
 
@@ -520,7 +515,7 @@ def _fold_alarms(method: str, fixed: Params, varied: str, values: Sequence[float
     p, fresh = {**fixed, varied: np.asarray(values, dtype=np.float64)}, list(FIELDS[method].values())
     first = np.zeros((len(tails), len(states)), np.int32)
     s = [np.tile(np.asarray(column, dtype=np.float64), (len(tails), 1)) for column in zip(*states)]
-    lost = np.zeros((len(tails), 1), bool)  # behind a missing value no level is known any more
+    lost = np.isnan(s).any(axis=0)  # behind a missing value, also of the warm-up, no level is known any more
     with np.errstate(invalid="ignore"):
         for x in heads.T[:, :, None]:
             lost |= np.isnan(x)
@@ -595,7 +590,7 @@ def first_alarms(
 ) -> np.ndarray:
     """First alarm (1-based, 0 where none) in each tail, from every candidate's state and read behind the window's head with resets: windows by candidates.
 
-    A candidate is a value of the setting ``varied`` and a state; windows are short arrays, NaN where a value is missing.
+    A candidate is a value of the setting ``varied`` and a state, None or NaN where a missing value made it unknown; windows are short arrays, NaN where a value is missing.
     """
     out, shapes = np.zeros((len(tails), len(states)), np.int32), {}
     for i, (head, tail) in enumerate(zip(heads, tails)):
